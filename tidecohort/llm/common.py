@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidecohort.llm.vectext import slices
 
 #: A word is a maximal run of characters other than ASCII blank, tab, LF, VT, FF and CR.
 WORD_REGEX = r"[^\x20\x09-\x0D]+"
@@ -38,3 +43,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def word_count(text) -> F.Column:
     """Number of words of a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD_REGEX)), F.lit(0)).cast("long")
+
+
+def add_struct(docs: DataFrame, name: str, fields: T.StructType, annotate: Callable[[pa.RecordBatch], pa.StructArray]) -> DataFrame:
+    """``docs`` with a struct column computed from ``text`` in Arrow batches of bounded bytes; replaces a column of that name."""
+    kept = [c for c in docs.columns if c != name]
+    docs = docs.select(*kept)
+
+    def run(batches):
+        for batch in batches:
+            for piece in slices(batch, "text"):
+                yield pa.RecordBatch.from_arrays([*piece.columns, annotate(piece)], names=[*kept, name])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, fields)]))
+
+
+def struct_array(fields: T.StructType, columns: list) -> pa.StructArray:
+    """A struct array of the given Spark fields from one array per field."""
+    types = {T.LongType: pa.int64(), T.IntegerType: pa.int32(), T.DoubleType: pa.float64(), T.BooleanType: pa.bool_(), T.StringType: pa.string(), T.BinaryType: pa.binary()}
+    arrays = [pa.array(c, types[type(f.dataType)]) for f, c in zip(fields, columns, strict=True)]
+    return pa.StructArray.from_arrays(arrays, names=fields.names)
+
+
+def bounded_sample(df: DataFrame, key: str, most: int) -> DataFrame:
+    """At most ``most`` rows: those with the smallest hash of ``key``, the same on every run."""
+    return df.orderBy(F.xxhash64(F.col(key).cast("string")), key).limit(most)
+
+
+def remainder(doc_id: str = "doc_id") -> F.Column:
+    """crc32 of the id as text, modulo 4; rows with remainder 2 are held out of training. Null ids count as empty text."""
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 4

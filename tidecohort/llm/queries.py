@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from tidecohort.llm import mixing, secrets, sql
+from tidecohort.llm import langid, mixing, quality, secrets, sql, toxicity
 from tidecohort.llm.common import table
 
 QUERIES = {
     "op1_secret_scan": lambda spark, sf_dir: secrets.report(table(spark, sf_dir, "documents")),
+    "op4_quality_rules": lambda spark, sf_dir: quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op7_mixing": lambda spark, sf_dir: mixing.mix(table(spark, sf_dir, "documents")),
+    "op8_toxicity": lambda spark, sf_dir: toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
+    "op10_language_id": lambda spark, sf_dir: langid.report(table(spark, sf_dir, "documents")),
 }
 
 ORACLES: dict[str, str] = {"op7_mixing": sql.MIXING}
