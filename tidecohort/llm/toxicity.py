@@ -8,7 +8,7 @@ log-likelihood; the document's mean difference and its strongest line become a p
 rows that the counts did not use (remainder 3).
 
 Words and bigrams are counted by hash slot (``word_bits``, ``pair_bits``), so the model that is broadcast has a fixed size
-(16 MB with the defaults) however large the corpus is. Class counts come from a bounded sample of labelled rows
+(48 MB with the defaults) however large the corpus is. Class counts come from a bounded sample of labelled rows
 (``docs_per_class`` of remainders 0 and 1 for each class), the logistic fit from at most ``max_fit_docs``.
 
 Defined results: null and word-less texts get the score of the base rate alone; without labelled rows of both classes every
@@ -28,9 +28,10 @@ from pyspark.sql import types as T
 from tidecohort.llm.common import add_struct, bounded_sample, remainder, struct_array
 from tidecohort.llm.vectext import NO_LETTER, Batch, mix, slices
 
-DISCOUNT = 0.75
+#: Counts up to this are rare: they are discounted away and left to the shared counts.
+DISCOUNT = 4.0
 FIELDS = T.StructType([T.StructField("score", T.DoubleType())])
-N_FEATURES = 4
+N_FEATURES = 5
 
 
 class Slots:
@@ -51,25 +52,22 @@ class Slots:
 
 
 def _slot_counts(rows: DataFrame, word_bits: int, pair_bits: int, pairs: bool) -> DataFrame:
-    """(kind, slot, toxic, ordinary): summed counts of words (kind 0), contexts (1) and bigrams (2); rows have text and toxic."""
+    """(context, slot, toxic, ordinary): summed counts of words (context -1) and of bigrams; rows have text and toxic."""
 
     def count(batches):
-        sizes = [1 << word_bits, 1 << word_bits, 1 << pair_bits][: 3 if pairs else 1]
-        held = [np.zeros((2, size), np.int64) for size in sizes]
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", 8 << 20):
                 s = Slots(batch.column("text"), word_bits, pair_bits)
                 toxic = np.asarray(batch.column("toxic"))[s.batch.doc] > 0
-                for table, slot in zip(held, (s.word, s.context, s.pair), strict=False):
-                    for k, mask in enumerate((toxic, ~toxic)):
-                        np.add.at(table[k], slot[mask], 1) if mask.sum() < 1000 else table[k].__iadd__(np.bincount(slot[mask], minlength=table.shape[1]))
-        for kind, table in enumerate(held):
-            slot = np.flatnonzero(table.any(0))
-            for part in np.array_split(slot, len(slot) // 50_000 + 1):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, np.int32)), pa.array(part.astype(np.int32)), pa.array(table[0, part]), pa.array(table[1, part])], names=["kind", "slot", "toxic", "ordinary"])
+                for context, slot in [(np.full(s.n, -1), s.word), (s.context, s.pair)][: 1 + pairs]:
+                    key = np.where(toxic, 1, 0) | (slot << 1) | ((context + 1) << (pair_bits + 1))
+                    found, counts = np.unique(key, return_counts=True)
+                    good, zero = (found & 1) > 0, np.zeros(len(found), np.int64)
+                    columns = [((found >> (pair_bits + 1)) - 1).astype(np.int32), ((found >> 1) & ((1 << pair_bits) - 1)).astype(np.int32), np.where(good, counts, zero), np.where(good, zero, counts)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["context", "slot", "toxic", "ordinary"])
 
-    out = rows.mapInArrow(count, "kind int, slot int, toxic long, ordinary long")
-    return out.groupBy("kind", "slot").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    out = rows.mapInArrow(count, "context int, slot int, toxic long, ordinary long")
+    return out.groupBy("context", "slot").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, rule: str, per_class: int) -> DataFrame:
@@ -80,26 +78,29 @@ def _labelled(docs: DataFrame, labels: DataFrame, rule: str, per_class: int) ->
     return docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("of")).select(F.coalesce("text", F.lit("")).alias("text"), "toxic")
 
 
-def train(docs: DataFrame, labels: DataFrame, word_bits: int = 17, pair_bits: int = 20, docs_per_class: int = 10_000, max_fit_docs: int = 4000) -> dict | None:
+def train(docs: DataFrame, labels: DataFrame, word_bits: int = 20, pair_bits: int = 21, docs_per_class: int = 10_000, max_fit_docs: int = 4000) -> dict | None:
     """Both models, their shared backoff and the logistic fit; None without labelled rows of both classes."""
     counted = _slot_counts(_labelled(docs, labels, "r < 2", docs_per_class), word_bits, pair_bits, True).toPandas()
     corpus = docs.filter(remainder() != 2).select(F.coalesce("text", F.lit("")).alias("text"), F.lit(0).alias("toxic"))
     shared = _slot_counts(corpus, word_bits, pair_bits, False).toPandas()
-    sizes = (1 << word_bits, 1 << word_bits, 1 << pair_bits)
-    tables = [np.zeros((2, size), np.float32) for size in sizes]
-    for kind, table in enumerate(tables):
-        own = counted[counted["kind"] == kind]
-        table[:, own["slot"].to_numpy()] = own[["toxic", "ordinary"]].to_numpy().T
-    words, contexts, pairs = tables
+    words, contexts, kept, pairs = (np.zeros((2, 1 << bits), np.float32) for bits in (word_bits, word_bits, word_bits, pair_bits))
+    context, slot = counted["context"].to_numpy(), counted["slot"].to_numpy()
+    single, pair = context < 0, context >= 0
+    for k, kind in enumerate(("toxic", "ordinary")):
+        c = counted[kind].to_numpy().astype(np.float32)
+        words[k, slot[single]] = c[single]
+        np.add.at(pairs[k], slot[pair], c[pair])
+        np.add.at(contexts[k], context[pair], c[pair])
+        np.add.at(kept[k], context[pair], np.maximum(c[pair] - DISCOUNT, 0))
     if not words.any(1).all():
         return None
-    background = np.full(sizes[0], 0.5)
+    background = np.full(1 << word_bits, 0.5)
     background[shared["slot"].to_numpy()] += shared["ordinary"].to_numpy()
     background /= background.sum()
-    total, kinds = words.sum(1, keepdims=True), (words > 0).sum(1, keepdims=True)
-    unigram = np.maximum(words - DISCOUNT, 0) / total + DISCOUNT * kinds / total * background
-    # Of each context, the share of its mass that discounts free: bounded above by the discount times its distinct followers.
-    model = {"word_bits": word_bits, "pair_bits": pair_bits, "unigram": unigram.astype(np.float32), "contexts": contexts, "pairs": pairs, "fit": None}
+    total, left = words.sum(1, keepdims=True), np.maximum(words - DISCOUNT, 0)
+    unigram = left / total + (1 - left.sum(1, keepdims=True) / total) * background
+    freed = np.where(contexts > 0, 1 - kept / np.maximum(contexts, 1), 1)
+    model = {"word_bits": word_bits, "pair_bits": pair_bits, "unigram": unigram.astype(np.float32), "contexts": contexts, "freed": freed.astype(np.float32), "pairs": pairs, "fit": None}
     fit_rows = _labelled(docs, labels, "r = 3", max_fit_docs // 2)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -107,11 +108,11 @@ def train(docs: DataFrame, labels: DataFrame, word_bits: int = 17, pair_bits: in
         for whole in batches:
             for batch in slices(whole, "text"):
                 f = features(batch.column("text"), held.value)
-                yield pa.RecordBatch.from_arrays([batch.column("toxic"), *[pa.array(f[:, i]) for i in range(1, N_FEATURES)]], names=["toxic", "a", "b", "c"])
+                yield pa.RecordBatch.from_arrays([batch.column("toxic"), *[pa.array(f[:, i]) for i in range(1, N_FEATURES)]], names=["toxic", "a", "b", "c", "d"])
 
-    seen = fit_rows.mapInArrow(measure, "toxic int, a double, b double, c double").toPandas().sort_values(["a", "b", "c", "toxic"])
+    seen = fit_rows.mapInArrow(measure, "toxic int, a double, b double, c double, d double").toPandas().sort_values(["a", "b", "c", "d", "toxic"])
     rate = float((labels.filter("toxic > 0").count() + 1) / (labels.filter("toxic IS NOT NULL").count() + 2))
-    model["fit"] = _logistic(seen[["a", "b", "c"]].to_numpy(), (seen["toxic"] > 0).to_numpy(), rate)
+    model["fit"] = _logistic(seen[["a", "b", "c", "d"]].to_numpy(), (seen["toxic"] > 0).to_numpy(), rate)
     return model
 
 
@@ -130,7 +131,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, rate: float, ridge: float = 1e-2) ->
 
 
 def features(texts: pa.Array, model: dict) -> np.ndarray:
-    """Per document: 1, mean difference per word, strongest line, strongest stretch of a line per word."""
+    """Per document: 1, mean difference per word, strongest line by mean and by clear differences, all clear differences."""
     s = Slots(texts, model["word_bits"], model["pair_bits"])
     b, out = s.batch, np.zeros((s.batch.n, N_FEATURES))
     out[:, 0] = 1
@@ -138,10 +139,9 @@ def features(texts: pa.Array, model: dict) -> np.ndarray:
         return out
     logs = []
     for k in (0, 1):
-        uni, context = model["unigram"][k][s.word], model["contexts"][k][s.context]
-        mass = np.where(context > 0, np.maximum(model["pairs"][k][s.pair] - DISCOUNT, 0) / np.maximum(context, 1), 0)
-        freed = np.where(context > 0, DISCOUNT / np.sqrt(np.maximum(context, 1)), 1)
-        logs.append(np.log(np.minimum(mass, 1) * (1 - freed) + freed * uni + 1e-12))
+        context = np.maximum(model["contexts"][k][s.context], 1)
+        mass = np.maximum(model["pairs"][k][s.pair] - DISCOUNT, 0) / context
+        logs.append(np.log(np.minimum(mass, 1) + model["freed"][k][s.context] * model["unigram"][k][s.word] + 1e-12))
     gain = np.clip(logs[0] - logs[1], -6, 6)
     lines = np.cumsum(b.data == 10)
     line = lines[b.starts] + b.doc
@@ -155,6 +155,7 @@ def features(texts: pa.Array, model: dict) -> np.ndarray:
     out[:, 1] = np.bincount(b.doc, gain, minlength=b.n) / (words + 4)
     np.maximum.at(out[:, 2], of, mean_line)
     np.maximum.at(out[:, 3], of, strong)
+    out[:, 4] = np.log1p(np.bincount(b.doc, np.maximum(gain - 2, 0), minlength=b.n))
     return out
 
 
