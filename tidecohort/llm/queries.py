@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tidecohort.llm import langid, mixing, quality, secrets, sql, toxicity, warc
+from tidecohort.llm import langid, minhash, mixing, quality, secrets, sql, toxicity, warc
 from tidecohort.llm.common import table
 
 QUERIES = {
     "op1_secret_scan": lambda spark, sf_dir: secrets.report(table(spark, sf_dir, "documents")),
+    "op2_near_dedup": lambda spark, sf_dir: minhash.groups(table(spark, sf_dir, "documents")),
     "op4_quality_rules": lambda spark, sf_dir: quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op5_warc": lambda spark, sf_dir: warc.round_trip(table(spark, sf_dir, "pages")),
     "op7_mixing": lambda spark, sf_dir: mixing.mix(table(spark, sf_dir, "documents")),
