@@ -1,13 +1,46 @@
-"""The training-data pipeline over ``documents``: each stage works on all rows that its predecessor kept."""
+"""The training-data pipeline over ``documents``: each stage works on all rows that its predecessor kept.
+
+Quality rules drop documents, near-dedup leaves one document of each group, decontamination drops documents that hold a test
+item, the secret scan replaces secrets by a mask, and mixing reports how often the mix takes each remaining document.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidecohort.llm import mixing, secrets
+from tidecohort.llm import decontam, minhash, mixing, quality, secrets
 from tidecohort.llm.common import materialize, table
 
-STAGES: list = []
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep(docs, table(spark, sf_dir, "labels"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash.keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secrets.redact(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("secret_scan", secret_scan),
+    ("mix_sources", mix_sources),
+]
+
+#: The fitted line labels, signatures and alignments have no SQL; tests compare the stages with brute force instead.
 ORACLE_SQL = None
 
 
@@ -16,4 +49,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir) if STAGES else docs
+    return STAGES[-1][1](spark, docs, sf_dir)

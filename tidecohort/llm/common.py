@@ -61,7 +61,8 @@ def add_struct(docs: DataFrame, name: str, fields: T.StructType, annotate: Calla
 def struct_array(fields: T.StructType, columns: list) -> pa.StructArray:
     """A struct array of the given Spark fields from one array per field."""
     types = {T.LongType: pa.int64(), T.IntegerType: pa.int32(), T.DoubleType: pa.float64(), T.BooleanType: pa.bool_(), T.StringType: pa.string(), T.BinaryType: pa.binary()}
-    arrays = [pa.array(c, types[type(f.dataType)]) for f, c in zip(fields, columns, strict=True)]
+    kind = lambda t: pa.list_(types[type(t.elementType)]) if isinstance(t, T.ArrayType) else types[type(t)]
+    arrays = [pa.array(c, kind(f.dataType)) for f, c in zip(fields, columns, strict=True)]
     return pa.StructArray.from_arrays(arrays, names=fields.names)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidecohort.llm import langid, minhash, mixing, quality, secrets, sql, toxicity, warc
+from tidecohort.llm import decontam, langid, minhash, mixing, quality, secrets, sql, toxicity, warc
 from tidecohort.llm.common import table
 
 QUERIES = {
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_warc": lambda spark, sf_dir: warc.round_trip(table(spark, sf_dir, "pages")),
     "op7_mixing": lambda spark, sf_dir: mixing.mix(table(spark, sf_dir, "documents")),
     "op8_toxicity": lambda spark, sf_dir: toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
+    "op9_decontamination": lambda spark, sf_dir: decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
     "op10_language_id": lambda spark, sf_dir: langid.report(table(spark, sf_dir, "documents")),
 }
 
