@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidecohort.llm import decontam, langid, minhash, mixing, quality, secrets, sql, toxicity, warc
+from tidecohort.llm import decontam, langid, minhash, mixing, quality, secrets, sql, substrings, toxicity, warc
 from tidecohort.llm.common import table
 
 QUERIES = {
@@ -10,6 +10,7 @@ QUERIES = {
     "op2_near_dedup": lambda spark, sf_dir: minhash.groups(table(spark, sf_dir, "documents")),
     "op4_quality_rules": lambda spark, sf_dir: quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op5_warc": lambda spark, sf_dir: warc.round_trip(table(spark, sf_dir, "pages")),
+    "op6_suffix_dedup": lambda spark, sf_dir: substrings.report(table(spark, sf_dir, "documents")),
     "op7_mixing": lambda spark, sf_dir: mixing.mix(table(spark, sf_dir, "documents")),
     "op8_toxicity": lambda spark, sf_dir: toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op9_decontamination": lambda spark, sf_dir: decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
