@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tidecohort.llm import decontam, langid, minhash, mixing, quality, secrets, sql, substrings, toxicity, warc
+from tidecohort.llm import chat, decontam, langid, minhash, mixing, quality, secrets, sql, substrings, toxicity, warc
 from tidecohort.llm.common import table
 
 QUERIES = {
     "op1_secret_scan": lambda spark, sf_dir: secrets.report(table(spark, sf_dir, "documents")),
     "op2_near_dedup": lambda spark, sf_dir: minhash.groups(table(spark, sf_dir, "documents")),
+    "op3_chat_format": lambda spark, sf_dir: chat.repair(table(spark, sf_dir, "conversations")),
     "op4_quality_rules": lambda spark, sf_dir: quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op5_warc": lambda spark, sf_dir: warc.round_trip(table(spark, sf_dir, "pages")),
     "op6_suffix_dedup": lambda spark, sf_dir: substrings.report(table(spark, sf_dir, "documents")),
