@@ -9,12 +9,17 @@ share a bucket. With 80 registers in 20 bands of 4, a pair at J_P = 0.8 meets in
 Texts with the same words are one class first (smallest doc_id represents it). Candidate links between classes are then
 verified by the exact J_P of both texts, in two rounds that lose no verified pair of a bucket:
 
-1. Every class links to the smallest class of its bucket, by way of salted sub-buckets so that no bucket meets in one task.
-   Verified links are merged into components.
+1. Every class is compared with the smallest class of its bucket (a join that adaptive execution splits for crowded
+   buckets) and, in crowded buckets, with the next two classes in a random order of salted parts of the bucket. Verified
+   links are merged into components; in a large group of mutual near copies this already connects almost all of it.
 2. In buckets that still hold several components, every class outside the bucket's largest component is compared with all
-   classes of other components. Pairs inside one component could not change the result and are not made.
+   classes of other components; pairs inside one component could not change the result. Small buckets list these pairs. A
+   crowded bucket is dealt into blocks of about ``BLOCK`` classes; each pair of blocks is one small task that compares
+   signatures, then texts, and emits only the links it verifies, so no pairs are written out however large the group is.
+   A pair that shares several buckets is compared in the first of them only.
 
-Components come from min-label propagation with pointer jumping over tables in the shared folder; nothing is collected.
+Before texts are read, pairs whose signatures agree in too few registers for 0.8 (50 of 80, four standard deviations below
+the mean) are left out. Components come from min-label propagation with pointer jumping over tables in the shared folder; nothing is collected.
 
 Defined results: null and word-less texts are groups of their own; rows that share a doc_id are one document, near to
 another when any of its texts is; rows with null doc_id keep a null group; an empty table gives an empty result; extra
@@ -33,6 +38,10 @@ from tidecohort.llm.common import add_struct, materialize, struct_array
 from tidecohort.llm.vectext import Batch, mix, shingles, slices
 
 SHINGLE = 5
+#: Buckets with more classes than this are compared by blocks.
+CROWD = 50
+BLOCK = 200
+NEIGHBOURS = 2
 U = np.uint64
 
 
@@ -61,6 +70,15 @@ class Shingled:
         at = np.flatnonzero(new)
         self.n, self.words = b.n, counts
         self.hash, self.doc, self.weight = hashes[at], doc[at], np.diff(np.append(at, len(doc)))
+        self.bounds = np.searchsorted(self.doc, np.arange(self.n + 1))
+
+    def own(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Shingles and weights of one text."""
+        part = slice(self.bounds[i], self.bounds[i + 1])
+        return self.hash[part], self.weight[part]
+
+    def pair(self, i: int, j: int) -> float:
+        return probability_jaccard(*self.own(i), *self.own(j))
 
 
 def _uniform(x: np.ndarray) -> np.ndarray:
@@ -88,49 +106,62 @@ def signatures(s: Shingled, registers: int) -> np.ndarray:
     return winner.reshape(s.n, registers)
 
 
+def probability_jaccard(ha: np.ndarray, wa: np.ndarray, hb: np.ndarray, wb: np.ndarray) -> float:
+    """Exact J_P of two weighted sets: over common shingles i, the sum of 1 / sum_j max(a_j/a_i, b_j/b_i)."""
+    _, ia, ib = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
+    if not len(ia):
+        return 0.0
+    if (wa == 1).all() and (wb == 1).all():
+        return len(ia) / (len(ha) + len(hb) - len(ia))
+    x, y = wa[ia].astype(float), wb[ib].astype(float)
+    only_a, only_b = wa.sum() - x.sum(), wb.sum() - y.sum()
+    order = np.argsort(x / y, kind="stable")
+    x, y = x[order], y[order]
+    ratio = x / y
+    sum_x, sum_y = np.concatenate([[0], np.cumsum(x)]), np.concatenate([[0], np.cumsum(y)])
+    cut = np.searchsorted(ratio, ratio, "right")
+    total = (only_a + sum_x[-1] - sum_x[cut]) / x + (only_b + sum_y[cut]) / y
+    return float((1 / total).sum())
+
+
 def similarity(a: Shingled, b: Shingled) -> np.ndarray:
     """Exact probability Jaccard of the i-th texts of both."""
-    out = np.zeros(a.n)
-    ends_a, ends_b = np.searchsorted(a.doc, np.arange(a.n + 1)), np.searchsorted(b.doc, np.arange(b.n + 1))
-    for i in range(a.n):
-        ha, wa = a.hash[ends_a[i] : ends_a[i + 1]], a.weight[ends_a[i] : ends_a[i + 1]].astype(float)
-        hb, wb = b.hash[ends_b[i] : ends_b[i + 1]], b.weight[ends_b[i] : ends_b[i + 1]].astype(float)
-        _, ia, ib = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
-        if not len(ia):
-            continue
-        if (wa == 1).all() and (wb == 1).all():
-            out[i] = len(ia) / (len(ha) + len(hb) - len(ia))
-            continue
-        # For a common shingle i the term is 1 / sum_j max(a_j/a_i, b_j/b_i); with r = a/b it is a prefix sum by ratio.
-        x, y = wa[ia], wb[ib]
-        only_a, only_b = wa.sum() - x.sum(), wb.sum() - y.sum()
-        order = np.argsort(x / y, kind="stable")
-        x, y = x[order], y[order]
-        ratio = x / y
-        sum_x, sum_y = np.concatenate([[0], np.cumsum(x)]), np.concatenate([[0], np.cumsum(y)])
-        cut = np.searchsorted(ratio, ratio, "right")
-        total = (only_a + sum_x[-1] - sum_x[cut]) / x + (only_b + sum_y[cut]) / y
-        out[i] = (1 / total).sum()
-    return out
+    return np.array([probability_jaccard(*a.own(i), *b.own(i)) for i in range(a.n)])
 
 
 def classes(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(doc_id, same: identity of the word sequence or null without words, buckets: one hash per band)."""
-    fields = T.StructType([T.StructField("same", T.BinaryType()), T.StructField("buckets", T.BinaryType())])
+    """(doc_id, same: identity of the word sequence or null without words, buckets: one hash per band, sketch: a byte per register)."""
+    fields = T.StructType([T.StructField("same", T.BinaryType()), T.StructField("buckets", T.BinaryType()), T.StructField("sketch", T.BinaryType())])
 
     def sign(batch: pa.RecordBatch) -> pa.StructArray:
         s = Shingled(batch.column("text"))
-        grid = signatures(s, bands * rows).reshape(s.n, bands, rows)
+        winners = signatures(s, bands * rows)
+        grid, sketch = winners.reshape(s.n, bands, rows), (mix(winners) & U(255)).astype(np.uint8)
         out = np.full((s.n, bands), 0, U)
         with np.errstate(over="ignore"):
             out += mix(np.arange(bands, dtype=U) + U(77))
             for r in range(rows):
                 out = mix(out * U(31) + grid[:, :, r])
         same = [a.tobytes() + b.tobytes() if n else None for a, b, n in zip(s.sequence, s.second, s.words, strict=True)]
-        return struct_array(fields, [same, [x.tobytes() for x in out]])
+        return struct_array(fields, [same, [x.tobytes() for x in out], [x.tobytes() for x in sketch]])
 
     signed = add_struct(docs.filter("doc_id IS NOT NULL").select("doc_id", "text"), "signature", fields, sign)
-    return signed.select("doc_id", "signature.same", "signature.buckets")
+    return signed.select("doc_id", "signature.same", "signature.buckets", "signature.sketch")
+
+
+def _likely(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose signatures agree in about as many registers as the threshold asks, less four deviations."""
+    of = lambda name: reps.select(F.col("id").alias(name), F.col("sketch").alias(f"of_{name}"))
+
+    def agree(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("of_a", "of_b"))
+            if batch.num_rows:
+                registers = x.shape[1]
+                least = registers * threshold - 4 * np.sqrt(registers * threshold * (1 - threshold))
+                yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(1) >= least))
+
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "of_a", "of_b").mapInArrow(agree, "a long, b long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -148,6 +179,63 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     return both.mapInArrow(compare, "a long, b long").distinct()
 
 
+def _across(placed: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ids with one key and different components; of a key's largest component only with the others."""
+    sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("key").agg(F.count("*").alias("kinds"), F.max_by("component", F.struct("n", "component")).alias("largest")).filter("kinds > 1")
+    placed = placed.join(mixed.select("key", "largest"), "key")
+    outside = placed.filter("component <> largest").select("key", F.col("id").alias("x"), F.col("component").alias("cx"))
+    across = outside.join(placed, "key").filter("cx <> component AND (component = largest OR x < id)")
+    return across.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b"))
+
+
+def _blocked(placed: DataFrame, reps: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Verified links (a, b) between components of crowded buckets; placed has bucket, band, id, n, component."""
+    sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("k"))
+    largest = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("k", "component")).alias("largest"))
+    rows = placed.join(largest, "bucket").withColumn("parts", F.expr(f"cast(n div {BLOCK} + 1 as int)"))
+    rows = rows.withColumns({"part": F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"), "outside": F.col("component") != F.col("largest")})
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    common = ["bucket", "band", "id", "component"]
+    left = rows.filter("outside").select(*common, F.col("part").alias("p"), every.alias("q"), F.lit(True).alias("left"), "outside")
+    taken = left.select("bucket", "p").distinct()
+    right = rows.join(taken, "bucket").select(*common, "p", F.col("part").alias("q"), F.lit(False).alias("left"), "outside")
+    own = placed.select("id").distinct()
+    payload = texts.join(own, F.col("doc_id") == F.col("id")).select(F.col("id").alias("of"), "text").join(reps.select("id", "sketch", "buckets").dropDuplicates(["id"]), F.col("of") == F.col("id")).drop("id")
+    dealt = left.union(right).join(payload, F.col("id") == F.col("of")).drop("of")
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks().sort_by([("id", "ascending"), ("text", "ascending")])
+        side = np.asarray(table.column("left"))
+        ids, component, outside = (np.asarray(table.column(c)) for c in ("id", "component", "outside"))
+        sketch, buckets = (np.frombuffer(b"".join(table.column(c).to_pylist()), kind).reshape(len(ids), -1) for c, kind in (("sketch", np.uint8), ("buckets", U)))
+        shingled = Shingled(table.column("text"))
+        band, registers = int(table.column("band")[0].as_py()), sketch.shape[1]
+        least = registers * threshold - 4 * np.sqrt(registers * threshold * (1 - threshold))
+        head = {int(c): int(c) for c in np.unique(component)}
+
+        def top(c):
+            while head[c] != c:
+                head[c] = head[head[c]]
+                c = head[c]
+            return c
+
+        found, others = ([], []), np.flatnonzero(~side)
+        for x in np.flatnonzero(side):
+            near = others[(component[others] != component[x]) & (~outside[others] | (ids[others] > ids[x]))]
+            near = near[(sketch[near] == sketch[x]).sum(1) >= least]
+            near = near[(buckets[near] == buckets[x]).argmax(1) == band]
+            for y in near:
+                cx, cy = top(int(component[x])), top(int(component[y]))
+                if cx != cy and shingled.pair(x, y) >= threshold - 1e-12:
+                    head[max(cx, cy)] = min(cx, cy)
+                    found[0].append(int(min(ids[x], ids[y])))
+                    found[1].append(int(max(ids[x], ids[y])))
+        return pa.table({"a": pa.array(found[0], pa.int64()), "b": pa.array(found[1], pa.int64())})
+
+    return dealt.groupBy("bucket", "p", "q").applyInArrow(compare, "a long, b long").distinct()
+
+
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(id, component): smallest id reachable over ``links`` (a, b), by min-label rounds with pointer jumping."""
     both = materialize(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct())
@@ -164,44 +252,42 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
             return nodes.join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
-def groups(docs: DataFrame, threshold: float = 0.8, bands: int = 20, rows: int = 4, salts: int = 64) -> DataFrame:
-    """(doc_id, class_id, group_id, links): identical-words class and near-duplicate group of each row, as smallest doc_ids.
-
-    ``links`` counts the verified links of the row's class to other classes.
-    """
+def groups(docs: DataFrame, threshold: float = 0.8, bands: int = 20, rows: int = 4) -> DataFrame:
+    """(doc_id, class_id, group_id): identical-words class and near-duplicate group of each row, as smallest doc_ids."""
     signed = materialize(classes(docs, bands, rows))
-    reps = signed.filter("same IS NOT NULL").groupBy("same").agg(F.min("doc_id").alias("id"), F.first("buckets").alias("buckets"))
+    reps = signed.filter("same IS NOT NULL").groupBy("same").agg(F.min("doc_id").alias("id"), F.first("buckets").alias("buckets"), F.first("sketch").alias("sketch"))
     reps = materialize(reps)
     nodes = reps.select("id").distinct()
     width = 8
-    hits = reps.select("id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.conv(F.hex(F.substring("buckets", i * width + 1, F.lit(width))), 16, -10).cast("long"))).alias("bucket"))
-    hits = hits.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
-    crowded = hits.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    hits = materialize(hits.join(crowded.select("bucket"), "bucket", "left_semi"))
-
-    near = hits.withColumn("hub", F.min("id").over(Window.partitionBy("bucket", "salt")))
-    hubs = near.select("bucket", "hub").distinct().withColumn("top", F.min("hub").over(Window.partitionBy("bucket")))
-    stars = near.select(F.col("hub").alias("a"), F.col("id").alias("b")).union(hubs.select(F.col("top").alias("a"), F.col("hub").alias("b")))
-    pairs = stars.filter("a < b").distinct()
+    hits = reps.select("id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.conv(F.hex(F.substring("buckets", i * width + 1, F.lit(width))), 16, -10).cast("long"))).alias("band", "bucket"))
+    hits = materialize(hits)
+    crowded = materialize(hits.groupBy("bucket").agg(F.min("id").alias("top"), F.count("*").alias("n")).filter("n > 1"))
+    hits = materialize(hits.join(crowded, "bucket"))
+
+    sketches = reps.groupBy("id").agg(F.first("sketch").alias("sketch"))
+    stars = hits.filter("id > top").select(F.col("top").alias("a"), F.col("id").alias("b"))
+    part = F.pmod(F.xxhash64("id"), F.expr(f"n div {CROWD} + 1")).cast("int")
+    beside = Window.partitionBy("bucket", "part").orderBy(F.xxhash64("bucket", "id"), "id")
+    crowded_hits = hits.filter(F.col("n") > CROWD).withColumn("part", part)
+    chains = crowded_hits.select("id", F.array(*[F.lead("id", i).over(beside) for i in range(1, NEIGHBOURS + 1)]).alias("after")).select("id", F.explode("after").alias("next")).filter("next <> id")
+    chains = chains.select(F.least("id", "next").alias("a"), F.greatest("id", "next").alias("b"))
+    pairs = materialize(_likely(stars.union(chains).distinct(), sketches, threshold))
     texts = docs.select("doc_id", "text").filter("doc_id IS NOT NULL")
     links = materialize(_verified(pairs, texts, threshold))
 
     parts = materialize(components(nodes, links))
-    placed = hits.join(parts, "id").select("bucket", "id", "component")
-    sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("bucket").agg(F.count("*").alias("kinds"), F.max_by("component", F.struct("n", "component")).alias("largest")).filter("kinds > 1")
-    placed = placed.join(mixed.select("bucket", "largest"), "bucket")
-    outside = placed.filter("component <> largest").select("bucket", F.col("id").alias("x"), F.col("component").alias("cx"))
-    across = outside.join(placed, "bucket").filter("cx <> component AND (component = largest OR x < id)")
-    more = across.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = materialize(_verified(more, texts, threshold))
-    links = links.union(more)
+    placed = hits.select("bucket", "band", "id", "n").join(parts, "id")
+    kinds = placed.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most").select("bucket")
+    placed = materialize(placed.join(kinds, "bucket", "left_semi"))
+    few = _across(placed.filter(F.col("n") <= CROWD).select(F.col("bucket").alias("key"), "id", "component"))
+    more = _likely(few.distinct().join(pairs, ["a", "b"], "left_anti"), sketches, threshold)
+    crowds = _blocked(placed.filter(F.col("n") > CROWD), reps, texts, threshold)
+    links = links.union(materialize(_verified(more, texts, threshold))).union(materialize(crowds))
     parts = components(nodes, links)
-    degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("id")).agg(F.count("*").alias("links"))
-    reps = reps.select("same", "id").join(parts, "id").join(degree, "id", "left").select(F.col("same").alias("of"), F.col("id").alias("class_id"), F.col("component").alias("group_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
-    worded = signed.filter("same IS NOT NULL").join(reps, F.col("same") == F.col("of")).select("doc_id", "class_id", "group_id", "links")
-    alone = signed.filter("same IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("group_id"), F.lit(0).cast("long").alias("links"))
-    nameless = docs.filter("doc_id IS NULL").select("doc_id", *[F.lit(None).cast("long").alias(c) for c in ("class_id", "group_id", "links")])
+    reps = reps.select("same", "id").join(parts, "id").select(F.col("same").alias("of"), F.col("id").alias("class_id"), F.col("component").alias("group_id"))
+    worded = signed.filter("same IS NOT NULL").join(reps, F.col("same") == F.col("of")).select("doc_id", "class_id", "group_id")
+    alone = signed.filter("same IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("group_id"))
+    nameless = docs.filter("doc_id IS NULL").select("doc_id", *[F.lit(None).cast("long").alias(c) for c in ("class_id", "group_id")])
     return worded.unionByName(alone).unionByName(nameless)
 
 
