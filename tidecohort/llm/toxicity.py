@@ -8,7 +8,7 @@ log-likelihood; the document's mean difference and its strongest line become a p
 rows that the counts did not use (remainder 3).
 
 Words and bigrams are counted by hash slot (``word_bits``, ``pair_bits``), so the model that is broadcast has a fixed size
-(48 MB with the defaults) however large the corpus is. Class counts come from a bounded sample of labelled rows
+(14 MB with the defaults) however large the corpus is. Class counts come from a bounded sample of labelled rows
 (``docs_per_class`` of remainders 0 and 1 for each class), the logistic fit from at most ``max_fit_docs``.
 
 Defined results: null and word-less texts get the score of the base rate alone; without labelled rows of both classes every
@@ -78,8 +78,8 @@ def _labelled(docs: DataFrame, labels: DataFrame, rule: str, per_class: int) ->
     return docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("of")).select(F.coalesce("text", F.lit("")).alias("text"), "toxic")
 
 
-def train(docs: DataFrame, labels: DataFrame, word_bits: int = 20, pair_bits: int = 21, docs_per_class: int = 10_000, max_fit_docs: int = 4000) -> dict | None:
-    """Both models, their shared backoff and the logistic fit; None without labelled rows of both classes."""
+def train(docs: DataFrame, labels: DataFrame, word_bits: int = 18, pair_bits: int = 20, docs_per_class: int = 10_000, max_fit_docs: int = 4000) -> dict | None:
+    """Both models and their shared backoff (broadcast) and the logistic fit; None without labelled rows of both classes."""
     counted = _slot_counts(_labelled(docs, labels, "r < 2", docs_per_class), word_bits, pair_bits, True).toPandas()
     corpus = docs.filter(remainder() != 2).select(F.coalesce("text", F.lit("")).alias("text"), F.lit(0).alias("toxic"))
     shared = _slot_counts(corpus, word_bits, pair_bits, False).toPandas()
@@ -100,7 +100,7 @@ def train(docs: DataFrame, labels: DataFrame, word_bits: int = 20, pair_bits: in
     total, left = words.sum(1, keepdims=True), np.maximum(words - DISCOUNT, 0)
     unigram = left / total + (1 - left.sum(1, keepdims=True) / total) * background
     freed = np.where(contexts > 0, 1 - kept / np.maximum(contexts, 1), 1)
-    model = {"word_bits": word_bits, "pair_bits": pair_bits, "unigram": unigram.astype(np.float32), "contexts": contexts, "freed": freed.astype(np.float32), "pairs": pairs, "fit": None}
+    model = {"word_bits": word_bits, "pair_bits": pair_bits, "unigram": unigram.astype(np.float32), "contexts": contexts, "freed": freed.astype(np.float32), "pairs": pairs}
     fit_rows = _labelled(docs, labels, "r = 3", max_fit_docs // 2)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -112,8 +112,8 @@ def train(docs: DataFrame, labels: DataFrame, word_bits: int = 20, pair_bits: in
 
     seen = fit_rows.mapInArrow(measure, "toxic int, a double, b double, c double, d double").toPandas().sort_values(["a", "b", "c", "d", "toxic"])
     rate = float((labels.filter("toxic > 0").count() + 1) / (labels.filter("toxic IS NOT NULL").count() + 2))
-    model["fit"] = _logistic(seen[["a", "b", "c", "d"]].to_numpy(), (seen["toxic"] > 0).to_numpy(), rate)
-    return model
+    fit = _logistic(seen[["a", "b", "c", "d"]].to_numpy(), (seen["toxic"] > 0).to_numpy(), rate)
+    return {"shared": held, "fit": fit}
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, rate: float, ridge: float = 1e-2) -> np.ndarray:
@@ -161,13 +161,11 @@ def features(texts: pa.Array, model: dict) -> np.ndarray:
 
 def annotate(docs: DataFrame, model: dict | None) -> DataFrame:
     """``docs`` with the struct column ``toxicity``: score."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def judge(batch: pa.RecordBatch) -> pa.StructArray:
-        model = shared.value
         if model is None:
             return struct_array(FIELDS, [np.zeros(batch.num_rows)])
-        z = features(batch.column("text"), model) @ model["fit"]
+        z = features(batch.column("text"), model["shared"].value) @ model["fit"]
         return struct_array(FIELDS, [1 / (1 + np.exp(-np.clip(z, -30, 30)))])
 
     return add_struct(docs, "toxicity", FIELDS, judge)
