@@ -2,6 +2,23 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
 FLAGSHIP = "window_plan_budget"
+
+
+def query(name: str, sql: str | None = None):
+    """Register a function (spark, sf_dir) -> DataFrame; ``sql`` is its DuckDB twin where SQL can express it."""
+
+    def add(function):
+        QUERIES[name] = function
+        if sql:
+            ORACLES[name] = sql
+        return function
+
+    return add
+
+
+from tidecohort.plans import analytics, cohorts, features, signals  # noqa: E402, F401
