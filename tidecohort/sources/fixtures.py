@@ -101,10 +101,10 @@ SQL = {
     "spans": """spans AS (SELECT '/corpus/' || o_custkey || '/s001/' || o_orderkey || '.edf' AS path, l_linenumber * 60 + l_discount * 100 AS start,
   l_linenumber * 60 + l_discount * 100 + l_quantity / 5 AS stop, CASE WHEN l_returnflag = 'R' AND l_quantity >= 49 THEN 'seiz' WHEN l_linestatus = 'F' AND l_tax >= 0.07 THEN 'bad' END AS kind
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE (l_returnflag = 'R' AND l_quantity >= 49) OR (l_linestatus = 'F' AND l_tax >= 0.07))""",
-    "signals": """signals AS (SELECT vec_id, CAST(vec_id % 40 AS VARCHAR) AS subject, label >= 5 AS y, list_transform(embedding, v -> CAST(v AS DOUBLE)) AS x FROM embeddings)""",
+    "signals": """signals AS (SELECT vec_id, CAST(vec_id % 40 AS VARCHAR) AS subject, label >= 5 AS y, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x FROM embeddings)""",
     "psd": """psd AS (SELECT CAST(vec_id AS VARCHAR) AS path, CAST(vec_id % 40 AS VARCHAR) AS subject, CAST(label >= 5 AS INTEGER) AS cls,
   [250.0::DOUBLE, 256.0::DOUBLE, 400.0::DOUBLE, 1000.0::DOUBLE][1 + vec_id % 4] AS rate, CAST(1000 + vec_id AS BIGINT) AS n_times,
-  list_transform(embedding, v -> CAST(v AS DOUBLE) * CAST(v AS DOUBLE) * CAST(1 + vec_id * 7 % 17 AS DOUBLE) + CAST(1e-9 AS DOUBLE)) AS p FROM embeddings)""",
+  list_transform(embedding, lambda v: CAST(v AS DOUBLE) * CAST(v AS DOUBLE) * CAST(1 + vec_id * 7 % 17 AS DOUBLE) + CAST(1e-9 AS DOUBLE)) AS p FROM embeddings)""",
     "components": """components AS (SELECT CAST(vec_id // 8 AS VARCHAR) AS path, CAST(vec_id % 8 AS INTEGER) AS ic, CAST(embedding[1] AS DOUBLE) * CAST(0.35 AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) * CAST(0.35 AS DOUBLE) AS y,
   CAST(embedding[3] AS DOUBLE) * CAST(0.35 AS DOUBLE) AS z, least(abs(CAST(embedding[4] AS DOUBLE)) * 100, CAST(100 AS DOUBLE)) AS gof,
   CASE WHEN label < 5 THEN ' Brain' WHEN label < 7 THEN 'other ' ELSE 'Muscle' END AS label, abs(CAST(embedding[5] AS DOUBLE)) * 3 % 1 AS prob FROM embeddings)""",
