@@ -1 +1,132 @@
+"""Queries over convolution features, kernel rankings, scaling and models."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from tidecohort.operators import features, metrics, models
+from tidecohort.plans.registry import query
+from tidecohort.plans.signals import four_channels
+from tidecohort.sources.fixtures import ctes, kernel_counts, psd, signals, table
+
+SHARE_SQL = "s AS (SELECT *, CAST(value AS DOUBLE) / sum(value) OVER (PARTITION BY cls, dilation, diff, grp) AS share FROM kernel_counts)"
+DISC_SQL = SHARE_SQL + ", f AS (SELECT dilation, diff, grp, kernel, coalesce(max(share) FILTER (cls = 1), 0) AS a, coalesce(max(share) FILTER (cls = 0), 0) AS b FROM s GROUP BY ALL)"
+
+
+@query("within_group_share", ctes("kernel_counts") + ", " + SHARE_SQL + " SELECT cls, dilation, diff, grp, kernel, round(share, 9) AS share FROM s")
+def within_group_share(spark, d):
+    return features.within_group(kernel_counts(spark, d)).select("cls", *features.SLOT, F.round("share", 9).alias("share"))
+
+
+@query("top_kernels", ctes("kernel_counts") + " SELECT dilation, diff, grp, kernel, CAST(sum(value) AS BIGINT) AS value FROM kernel_counts GROUP BY ALL ORDER BY value DESC, dilation, diff, grp, kernel LIMIT 20")
+def top_kernels(spark, d):
+    total = kernel_counts(spark, d).groupBy(*features.SLOT).agg(F.sum("value").alias("value"))
+    return features.top(total, F.col("value"), 20)
+
+
+for _metric, _sql in (("difference", "a - b"), ("ratio", "(a + 1e-6::DOUBLE) / (b + 1e-6::DOUBLE)"), ("logodds", "ln((a + 1e-6::DOUBLE) / (1 - a + 1e-6::DOUBLE)) - ln((b + 1e-6::DOUBLE) / (1 - b + 1e-6::DOUBLE))")):
+    query(f"discriminative_{_metric}", ctes("kernel_counts") + ", " + DISC_SQL + f" SELECT dilation, diff, grp, kernel, round({_sql}, 6) AS score, {_sql} >= {1 if _metric == 'ratio' else 0} AS favours_a FROM f")(
+        lambda spark, d, m=_metric: features.discriminative(kernel_counts(spark, d), 1, 0, m).select(*features.SLOT, F.round("score", 6).alias("score"), "favours_a")
+    )
+
+
+@query("discriminative_per_class", ctes("kernel_counts") + ", " + DISC_SQL + " SELECT dilation, diff, grp, kernel, round(a - b, 9) AS score, a - b >= 0 AS favours_a FROM f QUALIFY row_number() OVER (PARTITION BY a - b >= 0 ORDER BY round(abs(a - b), 12) DESC, dilation, diff, grp, kernel) <= 5")
+def discriminative_per_class(spark, d):
+    rows = features.discriminative(kernel_counts(spark, d), 1, 0)
+    place = F.row_number().over(Window.partitionBy("favours_a").orderBy(F.round("strength", 12).desc(), *features.SLOT))
+    return rows.withColumn("place", place).filter("place <= 5").select(*features.SLOT, F.round("score", 9).alias("score"), "favours_a")
+
+
+@query("kernels_by_weight", ctes("kernel_counts") + " SELECT dilation, diff, grp, kernel, round(sum(abs(w)), 6) AS weight FROM (SELECT dilation, diff, grp, kernel, sin(value) * (1 + cls) AS w FROM kernel_counts) GROUP BY ALL")
+def kernels_by_weight(spark, d):
+    columns = kernel_counts(spark, d).withColumn("w", F.sin("value") * (1 + F.col("cls")))
+    return columns.groupBy(*features.SLOT).agg(F.round(F.sum(F.abs("w")), 6).alias("weight"))
+
+
+KERNELS_SQL = "k AS (SELECT vec_id, CAST(pow(2, vec_id % 3) AS INTEGER) AS dilation, CAST(vec_id % 2 AS INTEGER) AS diff, x[1:9] AS w FROM signals)"
+RESPONSE_SQL = "sqrt(pow(list_sum(list_transform(range(0, 9), lambda j: w[j + 1] * cos(2 * pi() / 250 * f * dilation * j))), 2) + pow(list_sum(list_transform(range(0, 9), lambda j: w[j + 1] * sin(2 * pi() / 250 * f * dilation * j))), 2)) * CASE WHEN diff = 1 THEN 2 * abs(sin(pi() / 250 * f)) ELSE 1 END"
+
+
+def kernels(spark, d):
+    return signals(spark, d).select("vec_id", F.pow(F.lit(2), F.col("vec_id") % 3).cast("int").alias("dilation"), (F.col("vec_id") % 2).cast("int").alias("diff"), F.slice("x", 1, 9).alias("weights"))
+
+
+@query("kernel_response", ctes("signals") + ", " + KERNELS_SQL + f", g AS (SELECT *, unnest([0.0::DOUBLE, 5.0::DOUBLE, 12.5::DOUBLE, 40.0::DOUBLE]) AS f FROM k) SELECT vec_id, f, round({RESPONSE_SQL}, 6) AS h FROM g")
+def kernel_response(spark, d):
+    rows = kernels(spark, d).withColumn("f", F.explode(F.array(*[F.lit(v) for v in (0.0, 5.0, 12.5, 40.0)])))
+    return rows.select("vec_id", "f", F.round(features.response(F.col("weights"), F.col("f"), 250.0, F.col("dilation"), F.col("diff")), 6).alias("h"))
+
+
+@query("kernel_peaks", ctes("signals") + ", " + KERNELS_SQL + f", g AS (SELECT *, i * (CASE WHEN diff = 1 THEN 125.0::DOUBLE ELSE 125.0::DOUBLE / dilation END) / 256 AS f FROM k, unnest(range(257)) AS u(i)), h AS (SELECT vec_id, f, {RESPONSE_SQL} AS h FROM g) SELECT vec_id, round(sum(h * f) / sum(h), 4) AS centroid_hz FROM h GROUP BY vec_id")
+def kernel_peaks(spark, d):
+    return features.peaks(kernels(spark, d), 250.0).select("vec_id", F.round("centroid_hz", 4).alias("centroid_hz"))
+
+
+@query("peak_histogram", "SELECT CAST(least(floor(value / 10), 9) AS BIGINT) AS bin, event_type, count(*) AS n FROM events WHERE value BETWEEN 0 AND 100 GROUP BY 1, 2")
+def peak_histogram(spark, d):
+    rows = table(spark, d, "events").filter("value BETWEEN 0 AND 100")
+    return rows.groupBy(F.least(F.floor(F.col("value") / 10), F.lit(9)).alias("bin"), "event_type").agg(F.count("*").alias("n"))
+
+
+@query("kernel_sensitivity", ctes("signals") + ", " + KERNELS_SQL + f", g AS (SELECT *, i * 2.0::DOUBLE AS f FROM k, unnest(range(20)) AS u(i)), h AS (SELECT f, sum(vec_id % 7 * pow({RESPONSE_SQL}, 2)) AS s FROM g GROUP BY f) SELECT f, round(s / max(s) OVER (), 6) AS sensitivity FROM h")
+def kernel_sensitivity(spark, d):
+    rows = kernels(spark, d).withColumn("f", F.explode(F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: i * F.lit(2.0))))
+    h = features.response(F.col("weights"), F.col("f"), 250.0, F.col("dilation"), F.col("diff"))
+    summed = rows.groupBy("f").agg(F.sum(F.col("vec_id") % 7 * F.pow(h, F.lit(2))).alias("s"))
+    return summed.select("f", F.round(F.col("s") / F.max("s").over(Window.partitionBy()), 6).alias("sensitivity"))
+
+
+@query("scaler_statistics", ctes("psd") + ", v AS (SELECT i - 1 AS k, sqrt(greatest(p[i] - 0.01::DOUBLE, 0)) AS v FROM psd, unnest(range(1, 65)) AS u(i)) SELECT CAST(k AS INTEGER) AS k, round(avg(v), 6) AS mean, round(stddev_samp(v) + pow(avg(CAST(v = 0 AS DOUBLE)), 4) + 1e-8::DOUBLE, 6) AS std FROM v GROUP BY k")
+def scaler_statistics(spark, d):
+    rows = psd(spark, d).select(F.transform("p", lambda v: v - F.lit(0.01)).alias("features"))
+    return models.scaler_statistics(rows).select("k", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+
+
+def windows(spark, d):
+    return signals(spark, d).select(F.col("vec_id").alias("window_id"), "subject", F.col("y").cast("int").alias("y"), four_channels().alias("x"))
+
+
+def bank():
+    return features.Bank(16, 4, kernels=4, groups=4)
+
+
+@query("convolution_features")
+def convolution_features(spark, d):
+    return features.transform(windows(spark, d), bank())
+
+
+@query("kernel_win_counts")
+def kernel_win_counts(spark, d):
+    counted = features.win_counts(windows(spark, d), bank())
+    return counted.withColumn("magnitude", F.round("magnitude", 4))
+
+
+@query("bag_features")
+def bag_features(spark, d):
+    parts = signals(spark, d).select((F.col("vec_id") / 4).cast("long").alias("window_id"), "x")
+    return features.bag_features(parts, features.Bank(64, 1, kernels=4, groups=2)).withColumns({c: F.round(c, 4) for c in ("mean", "most", "std")})
+
+
+def scored(spark, d):
+    featured = features.transform(windows(spark, d), bank()).join(windows(spark, d).drop("x"), "window_id")
+    scaled = models.scale(featured, models.scaler_statistics(featured))
+    model = models.fit_logistic(scaled, c=0.1, most_steps=30)
+    return models.decision(model, scaled).select("window_id", "subject", "y", "s")
+
+
+@query("model_performance")
+def model_performance(spark, d):
+    """Train-set metrics of windows and subjects for the convolution features under logistic regression."""
+    s = scored(spark, d)
+    whole = metrics.subject_scores(s)
+    row = lambda df, level: metrics.classification(df, []).withColumn("level", F.lit(level))
+    return row(s, "window").unionByName(row(whole, "subject"))
+
+
+@query("ridge_performance")
+def ridge_performance(spark, d):
+    rows = psd(spark, d).select(F.col("path").cast("long").alias("window_id"), "subject", F.col("cls").alias("y"), F.transform("p", lambda v: F.log(v)).alias("features"))
+    return metrics.classification(models.decision(models.fit_ridge(rows), rows), [])
+
 
