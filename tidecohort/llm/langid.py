@@ -72,7 +72,7 @@ def train(docs: DataFrame, docs_per_lang: int = 1000, max_langs: int = 200) -> d
 
     counts = rows.mapInArrow(count, "n int, h long, number int, c long").groupBy("n", "h", "number").agg(F.sum("c").alias("c"))
     seen = F.sum("c").over(Window.partitionBy("n", "h"))
-    table = counts.withColumn("seen", seen).filter("n > 0 OR seen > 1").drop("seen").toPandas()
+    table = counts.withColumn("seen", seen).filter("n > 0 OR seen > 1").drop("seen").toArrow().to_pandas()
     model = {"langs": langs}
     for n in range(LONGEST + 1):
         own = table[table["n"] == n]

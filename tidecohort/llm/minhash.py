@@ -4,7 +4,7 @@ A text is a multiset of five-word shingles (texts of one to four words are one s
 shingle that arrives first in an exponential race whose rates are the shingles' weights; two texts agree in a register with
 their probability Jaccard similarity J_P. Arrivals of a shingle come in increasing order and stop as soon as one exceeds the
 largest register, so most shingles draw only a few numbers. Registers are cut into bands; texts that agree in a whole band
-share a bucket. With 80 registers in 20 bands of 4, a pair at J_P = 0.8 meets in no bucket with probability 3e-5.
+share a bucket. With 120 registers in 24 bands of 5, a pair at J_P = 0.8 meets in no bucket with probability 7e-5.
 
 Texts with the same words are one class first (smallest doc_id represents it). Candidate links between classes are then
 verified by the exact J_P of both texts, in two rounds that lose no verified pair of a bucket:
@@ -18,8 +18,8 @@ verified by the exact J_P of both texts, in two rounds that lose no verified pai
    signatures, then texts, and emits only the links it verifies, so no pairs are written out however large the group is.
    A pair that shares several buckets is compared in the first of them only.
 
-Before texts are read, pairs whose signatures agree in too few registers for 0.8 (50 of 80, four standard deviations below
-the mean) are left out. Components come from min-label propagation with pointer jumping over tables in the shared folder; nothing is collected.
+Before texts are read, pairs whose signatures agree in too few registers for 0.8 (four standard deviations below the
+mean) are left out. Components come from min-label propagation with pointer jumping over tables in the shared folder; nothing is collected.
 
 Defined results: null and word-less texts are groups of their own; rows that share a doc_id are one document, near to
 another when any of its texts is; rows with null doc_id keep a null group; an empty table gives an empty result; extra
@@ -42,6 +42,8 @@ SHINGLE = 5
 CROWD = 50
 BLOCK = 200
 NEIGHBOURS = 2
+#: At most so many ids (16 MB) are broadcast.
+BROADCAST_IDS = 2_000_000
 U = np.uint64
 
 
@@ -149,6 +151,13 @@ def classes(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     return signed.select("doc_id", "signature.same", "signature.buckets", "signature.sketch")
 
 
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id is listed; a list of up to ``BROADCAST_IDS`` ids is broadcast, so texts stay in place."""
+    ids = materialize(ids.select(F.col("id").alias("listed")))
+    few = ids.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("listed"), "left_semi")
+
+
 def _likely(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose signatures agree in about as many registers as the threshold asks, less four deviations."""
     of = lambda name: reps.select(F.col("id").alias(name), F.col("sketch").alias(f"of_{name}"))
@@ -252,7 +261,7 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
             return nodes.join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
-def groups(docs: DataFrame, threshold: float = 0.8, bands: int = 20, rows: int = 4) -> DataFrame:
+def groups(docs: DataFrame, threshold: float = 0.8, bands: int = 24, rows: int = 5) -> DataFrame:
     """(doc_id, class_id, group_id): identical-words class and near-duplicate group of each row, as smallest doc_ids."""
     signed = materialize(classes(docs, bands, rows))
     reps = signed.filter("same IS NOT NULL").groupBy("same").agg(F.min("doc_id").alias("id"), F.first("buckets").alias("buckets"), F.first("sketch").alias("sketch"))
@@ -272,7 +281,7 @@ def groups(docs: DataFrame, threshold: float = 0.8, bands: int = 20, rows: int =
     chains = crowded_hits.select("id", F.array(*[F.lead("id", i).over(beside) for i in range(1, NEIGHBOURS + 1)]).alias("after")).select("id", F.explode("after").alias("next")).filter("next <> id")
     chains = chains.select(F.least("id", "next").alias("a"), F.greatest("id", "next").alias("b"))
     pairs = materialize(_likely(stars.union(chains).distinct(), sketches, threshold))
-    texts = docs.select("doc_id", "text").filter("doc_id IS NOT NULL")
+    texts = materialize(_only(docs.select("doc_id", "text"), hits.select("id").distinct()))
     links = materialize(_verified(pairs, texts, threshold))
 
     parts = materialize(components(nodes, links))

@@ -33,7 +33,7 @@ from tidecohort.llm.common import materialize
 from tidecohort.llm.vectext import Batch, slices
 
 U = np.uint64
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 4 << 20
 STRETCHES = "doc_id long, row long, undecided boolean, stretches binary"
 RECORD = np.dtype([("g", "u1", 5), ("left", "u1", 3), ("right", "u1", 3), ("whole", "u1", 4), ("doc", "<u2"), ("at", "<u4"), ("n", "u1"), ("lead", "u1")])
 

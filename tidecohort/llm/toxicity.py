@@ -25,11 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidecohort.llm.common import add_struct, bounded_sample, remainder, struct_array
+from tidecohort.llm.common import add_struct, bounded_sample, materialize, remainder, struct_array
 from tidecohort.llm.vectext import NO_LETTER, Batch, mix, slices
 
 #: Counts up to this are rare: they are discounted away and left to the shared counts.
 DISCOUNT = 4.0
+#: A word is clearly toxic when its log-likelihoods differ by more than this.
+CLEAR = 2.0
 FIELDS = T.StructType([T.StructField("score", T.DoubleType())])
 N_FEATURES = 5
 
@@ -80,18 +82,25 @@ def _labelled(docs: DataFrame, labels: DataFrame, rule: str, per_class: int) ->
 
 def train(docs: DataFrame, labels: DataFrame, word_bits: int = 18, pair_bits: int = 20, docs_per_class: int = 10_000, max_fit_docs: int = 4000) -> dict | None:
     """Both models and their shared backoff (broadcast) and the logistic fit; None without labelled rows of both classes."""
-    counted = _slot_counts(_labelled(docs, labels, "r < 2", docs_per_class), word_bits, pair_bits, True).toPandas()
+    counted = materialize(_slot_counts(_labelled(docs, labels, "r < 2", docs_per_class), word_bits, pair_bits, True))
     corpus = docs.filter(remainder() != 2).select(F.coalesce("text", F.lit("")).alias("text"), F.lit(0).alias("toxic"))
-    shared = _slot_counts(corpus, word_bits, pair_bits, False).toPandas()
-    words, contexts, kept, pairs = (np.zeros((2, 1 << bits), np.float32) for bits in (word_bits, word_bits, word_bits, pair_bits))
-    context, slot = counted["context"].to_numpy(), counted["slot"].to_numpy()
-    single, pair = context < 0, context >= 0
-    for k, kind in enumerate(("toxic", "ordinary")):
-        c = counted[kind].to_numpy().astype(np.float32)
-        words[k, slot[single]] = c[single]
-        np.add.at(pairs[k], slot[pair], c[pair])
-        np.add.at(contexts[k], context[pair], c[pair])
-        np.add.at(kept[k], context[pair], np.maximum(c[pair] - DISCOUNT, 0))
+    shared = _slot_counts(corpus, word_bits, pair_bits, False).select("slot", "ordinary").toArrow().to_pandas()
+    kinds = ("toxic", "ordinary")
+
+    def table(rows: DataFrame, slot: str, bits: int) -> np.ndarray:
+        """Both classes' values by slot; as many as there are slots at most."""
+        found = rows.select(F.col(slot).alias("slot"), *kinds).toArrow()
+        out = np.zeros((2, 1 << bits), np.float32)
+        for k, kind in enumerate(kinds):
+            np.add.at(out[k], np.asarray(found["slot"]), np.asarray(found[kind]).astype(np.float32))
+        return out
+
+    pair = counted.filter("context >= 0")
+    beyond = [F.sum(F.greatest(F.col(k) - F.lit(DISCOUNT), F.lit(0.0))).alias(k) for k in kinds]
+    words = table(counted.filter("context < 0"), "slot", word_bits)
+    contexts = table(pair.groupBy("context").agg(*[F.sum(k).alias(k) for k in kinds]), "context", word_bits)
+    kept = table(pair.groupBy("context").agg(*beyond), "context", word_bits)
+    pairs = table(pair.filter((F.col("toxic") > DISCOUNT) | (F.col("ordinary") > DISCOUNT)), "slot", pair_bits)
     if not words.any(1).all():
         return None
     background = np.full(1 << word_bits, 0.5)
@@ -110,7 +119,7 @@ def train(docs: DataFrame, labels: DataFrame, word_bits: int = 18, pair_bits: in
                 f = features(batch.column("text"), held.value)
                 yield pa.RecordBatch.from_arrays([batch.column("toxic"), *[pa.array(f[:, i]) for i in range(1, N_FEATURES)]], names=["toxic", "a", "b", "c", "d"])
 
-    seen = fit_rows.mapInArrow(measure, "toxic int, a double, b double, c double, d double").toPandas().sort_values(["a", "b", "c", "d", "toxic"])
+    seen = fit_rows.mapInArrow(measure, "toxic int, a double, b double, c double, d double").toArrow().to_pandas().sort_values(["a", "b", "c", "d", "toxic"])
     rate = float((labels.filter("toxic > 0").count() + 1) / (labels.filter("toxic IS NOT NULL").count() + 2))
     fit = _logistic(seen[["a", "b", "c", "d"]].to_numpy(), (seen["toxic"] > 0).to_numpy(), rate)
     return {"shared": held, "fit": fit}
@@ -148,14 +157,14 @@ def features(texts: pa.Array, model: dict) -> np.ndarray:
     _, line = np.unique(line, return_inverse=True)
     n_line = np.bincount(line)
     mean_line = np.bincount(line, gain) / (n_line + 4)
-    strong = np.bincount(line, np.maximum(gain - 2, 0)) / (n_line + 4)
+    strong = np.bincount(line, np.maximum(gain - CLEAR, 0)) / (n_line + 4)
     of = np.zeros(len(n_line), np.int64)
     of[line] = b.doc
     words = np.bincount(b.doc, minlength=b.n)
     out[:, 1] = np.bincount(b.doc, gain, minlength=b.n) / (words + 4)
     np.maximum.at(out[:, 2], of, mean_line)
     np.maximum.at(out[:, 3], of, strong)
-    out[:, 4] = np.log1p(np.bincount(b.doc, np.maximum(gain - 2, 0), minlength=b.n))
+    out[:, 4] = np.log1p(np.bincount(b.doc, np.maximum(gain - CLEAR, 0), minlength=b.n))
     return out
 
 
