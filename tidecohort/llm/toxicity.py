@@ -120,7 +120,8 @@ def train(docs: DataFrame, labels: DataFrame, word_bits: int = 18, pair_bits: in
                 yield pa.RecordBatch.from_arrays([batch.column("toxic"), *[pa.array(f[:, i]) for i in range(1, N_FEATURES)]], names=["toxic", "a", "b", "c", "d"])
 
     seen = fit_rows.mapInArrow(measure, "toxic int, a double, b double, c double, d double").toArrow().to_pandas().sort_values(["a", "b", "c", "d", "toxic"])
-    rate = float((labels.filter("toxic > 0").count() + 1) / (labels.filter("toxic IS NOT NULL").count() + 2))
+    learned = labels.filter(F.col("toxic").isNotNull() & (remainder() != 2)).agg(F.count_if(F.col("toxic") > 0).alias("toxic"), F.count("*").alias("rows")).first()
+    rate = (learned["toxic"] + 1) / (learned["rows"] + 2)
     fit = _logistic(seen[["a", "b", "c", "d"]].to_numpy(), (seen["toxic"] > 0).to_numpy(), rate)
     return {"shared": held, "fit": fit}
 
