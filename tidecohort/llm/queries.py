@@ -18,4 +18,4 @@ QUERIES = {
     "op10_language_id": lambda spark, sf_dir: langid.report(table(spark, sf_dir, "documents")),
 }
 
-ORACLES: dict[str, str] = {"op7_mixing": sql.MIXING}
+ORACLES: dict[str, str] = {"op5_warc": sql.WARC, "op7_mixing": sql.MIXING}

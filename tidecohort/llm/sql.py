@@ -36,3 +36,16 @@ SELECT r.doc_id, r.size, r.source_size, r.target,
   CAST(r.size * (r.whole + floor(r.fraction * r.rank + c.start) - floor(r.fraction * (r.rank - 1) + c.start)) AS BIGINT) AS taken
 FROM ranked r JOIN chosen c ON r.source IS NOT DISTINCT FROM c.source
 """
+
+WARC = r"""
+WITH digests AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages
+), firsts AS (
+  SELECT h, min(page_id) AS first_id FROM digests GROUP BY h
+)
+SELECT d.page_id, CAST(d.payload_bytes AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((CAST('0x' || substr(d.h, CAST(1 + 5 * (i // 4) AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31) AS BIGINT), 1)), '') AS payload_digest,
+  CASE WHEN f.first_id IS NULL OR f.first_id = d.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN f.first_id = d.page_id THEN NULL ELSE f.first_id END AS refers_to, TRUE AS verified
+FROM digests d JOIN firsts f ON d.h = f.h
+"""
