@@ -58,6 +58,11 @@ def add_struct(docs: DataFrame, name: str, fields: T.StructType, annotate: Calla
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, fields)]))
 
 
+def shielded(docs: DataFrame, *used: str) -> DataFrame:
+    """``docs`` with every column but the used ones renamed by place, so that no name clashes with a working column."""
+    return docs.toDF(*[c if c in used else f"__{i}" for i, c in enumerate(docs.columns)])
+
+
 def struct_array(fields: T.StructType, columns: list) -> pa.StructArray:
     """A struct array of the given Spark fields from one array per field."""
     types = {T.LongType: pa.int64(), T.IntegerType: pa.int32(), T.DoubleType: pa.float64(), T.BooleanType: pa.bool_(), T.StringType: pa.string(), T.BinaryType: pa.binary()}

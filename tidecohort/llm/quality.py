@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidecohort.llm.common import add_struct, bounded_sample, struct_array
+from tidecohort.llm.common import add_struct, bounded_sample, shielded, struct_array
 from tidecohort.llm.vectext import Batch, shingles
 
 FIELDS = T.StructType([T.StructField(n, T.LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [T.StructField("base_failed", T.BooleanType()), T.StructField("content_share", T.DoubleType()), T.StructField("kept", T.BooleanType())])
@@ -246,5 +246,4 @@ def keep(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The documents that the rules keep, with their own columns."""
     columns = docs.columns
     model = train(docs, labels, **options)
-    plain = docs.toDF(*[f"c{i}" if c == "quality" else c for i, c in enumerate(columns)])
-    return annotate(plain, model).filter("quality.kept").drop("quality").toDF(*columns)
+    return annotate(shielded(docs, "doc_id", "text"), model).filter("quality.kept").drop("quality").toDF(*columns)

@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidecohort.llm.common import shielded
+
 # The base patterns.
 ASSIGN_HEAD = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
 ASSIGN = ASSIGN_HEAD + r"([A-Za-z0-9+/_.=-]+)"
@@ -152,7 +154,7 @@ def report(docs: DataFrame, **options) -> DataFrame:
 
 def redact(docs: DataFrame, mask: str = "[SECRET]", **options) -> DataFrame:
     """``docs`` with every found span replaced by ``mask`` (overlapping spans by one); ``n_chars`` follows where present."""
-    found = scan(docs, **options)
+    found = scan(shielded(docs, "doc_id", "text", "n_chars"), **options)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     text = F.col("text")
 
@@ -164,4 +166,4 @@ def redact(docs: DataFrame, mask: str = "[SECRET]", **options) -> DataFrame:
     out = found.withColumn("text", F.when(F.size("secrets") > 0, done).otherwise(text))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.size("secrets") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return out.drop("secrets").toDF(*docs.columns)
