@@ -1,0 +1,271 @@
+"""Secret scans, quality rules, decontamination, mixing, toxicity and language ID against brute force or held-out accuracy."""
+
+import hashlib
+import re
+import zlib
+
+import duckdb
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pytest
+
+from tidecohort.llm import decontam, langid, mixing, quality, queries, secrets, toxicity
+from tidecohort.llm.vectext import Batch
+
+SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+DOC = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def table(spark, name, sf_dir=SMALL):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def texts(spark, *values):
+    return spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(values)], DOC)
+
+
+def base_secrets(text):
+    text, found = text or "", []
+    assign = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']? *[:=] *["']?""", re.I | re.A)
+    whole = re.compile(assign.pattern + r"([A-Za-z0-9+/_.=-]+)", re.I | re.A)
+    found += [(m.start(), 0, m.end()) for m in whole.finditer(text) if len(m[1]) >= 6]
+    found += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    found += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 24]
+    return sorted(found)
+
+
+def test_base_secrets_equal_brute_force(spark):
+    extra = ["", None, "héé password: 'abcdef' 𝛼 token=short api_key=0123456789abcdef01234567", "AKIA" + "A" * 15, "AKIA" + "Z9" * 8 + "!", "f" * 23, "f" * 24 + "g" + "0" * 30, "SECRET\" = \"x.y=z-_/+", "tokentoken=abcdef=token:zzzzzz"]
+    docs = table(spark, "documents").union(texts(spark, *extra))
+    rows = secrets.report(docs).toPandas()
+    source = docs.toPandas()
+    assert len(rows) == len(source)
+    key = lambda frame: sorted(frame.itertuples(index=False), key=str)
+    expected = []
+    for i, text in zip(source["doc_id"], source["text"], strict=True):
+        found = base_secrets(text)
+        listed = ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in found)
+        expected.append((i, *[sum(k == n for _, k, _ in found) for n in range(3)], hashlib.sha256(listed.encode()).hexdigest()))
+    names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256"]
+    assert key(rows[names]) == key(pd.DataFrame(expected, columns=names))
+    for r in rows.itertuples():
+        listed = [x for x in r.spans.split(",") if x]
+        base = [x for x in listed if not x.startswith("random")]
+        assert hashlib.sha256(",".join(base).encode()).hexdigest() == r.base_sha256
+        assert listed == sorted(listed, key=lambda x: (int(x.split(":")[1]), secrets.KINDS.index(x.split(":")[0])))
+
+
+def test_battery_tells_random_tokens_from_words(spark):
+    rng = np.random.default_rng(5)
+    token = lambda letters, n: "".join(rng.choice(list(letters), n))
+    random = [token(secrets.ALPHABETS[a], 40) for a in ("base36", "base62", "base64", "HEX", "base32") for _ in range(20)]
+    plain = ["internationalisation_of_things", "src/main/java/org/Example1", "aaaaaaaaaaaaaaaaaaaaaaaa1", "1234567890123456789012", "ABCABCABCABCABCABCABC2"]
+    rows = secrets.report(texts(spark, *[f"see {t} here" for t in random + plain])).toPandas().sort_values("doc_id")
+    assert rows["n_random"].head(len(random)).mean() > 0.85
+    assert rows["n_random"].tail(len(plain)).sum() == 0
+
+
+def test_redaction_masks_overlapping_spans_and_keeps_clashing_columns(spark):
+    docs = texts(spark, "a token=abcdef0123456789abcdef012345 b", "plain", None, "").selectExpr("*", "1 AS secrets", "2 AS _assign", "3 AS c1")
+    out = {r.doc_id: r for r in secrets.redact(docs).collect()}
+    assert secrets.redact(docs).columns == docs.columns
+    assert out[0].text == "a [SECRET] b" and out[0].n_chars == len("a [SECRET] b")
+    assert (out[1].text, out[2].text, out[3].text) == ("plain", None, "") and (out[1].secrets, out[1]._assign, out[1].c1) == (1, 2, 3)
+
+
+def base_quality(text):
+    text = text or ""
+    words = WORD.findall(text)
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    seen = {w for w in windows if windows.count(w) > 1} if len(windows) < 400 else {w for w, n in pd.Series(windows).value_counts().items() if n > 1}
+    repeated = {i + j for i, w in enumerate(windows) if w in seen for j in range(3)}
+    n, r = len(words), len(repeated)
+    return (n, sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), r, n < 50 or 100 * r > 50 * n)
+
+
+def test_quality_base_equals_brute_force(spark):
+    docs = table(spark, "documents").union(texts(spark, None, "", " \n\t ", "é é\né é\n x\n x\n", "a b c a b c\n\n# | $", "one\vtwo\x85three four"))
+    rows = quality.report(docs, table(spark, "labels")).toPandas()
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    expected = [(i, *base_quality(t)) for i, t in docs.select("doc_id", "text").collect()]
+    assert sorted(rows[["doc_id", *names]].itertuples(index=False, name=None)) == sorted(expected)
+    assert not rows[rows["base_failed"]]["kept"].any()
+    assert (rows[~rows["base_failed"]]["kept"] == (rows[~rows["base_failed"]]["content_share"] >= 0.5)).all()
+
+
+def test_viterbi_equals_enumeration():
+    rng = np.random.default_rng(2)
+    model = {"weights": rng.normal(size=(2, 3)), "moves": rng.normal(size=(2, 2))}
+    doc = np.repeat([0, 1, 2], [1, 6, 4])
+    x = rng.normal(size=(len(doc), 3))
+    found, scores = quality.viterbi(x, doc, model), x @ model["weights"].T
+    for d in range(3):
+        at = np.flatnonzero(doc == d)
+        value = lambda y: sum(scores[i, s] for i, s in zip(at, y, strict=True)) + sum(model["moves"][a, b] for a, b in zip(y, y[1:]))  # noqa: E731, B023
+        best = max((tuple((n >> i) & 1 for i in range(len(at))) for n in range(2 ** len(at))), key=value)
+        assert tuple(found[at]) == best
+
+
+def test_crf_fit_learns_and_empty_labels_leave_the_base_rules(spark):
+    rng = np.random.default_rng(3)
+    y = (rng.random(400) < 0.5).astype(int)
+    x = np.column_stack([np.ones(400), y + 0.3 * rng.normal(size=400)])
+    doc = np.repeat(np.arange(40), 10)
+    assert (quality.viterbi(x, doc, quality.fit(x, doc, y)) == y).mean() > 0.9
+    rows = quality.report(table(spark, "documents"), table(spark, "labels").limit(0)).toPandas()
+    assert (rows["kept"] == ~rows["base_failed"]).all()
+
+
+def test_quality_keeps_good_documents(spark):
+    rows = quality.report(table(spark, "documents", MIDDLE), table(spark, "labels", MIDDLE)).toPandas().merge(table(spark, "labels", MIDDLE).toPandas(), on="doc_id")
+    fair = rows[~rows["base_failed"]]
+    assert fair[fair["quality"] == 1]["kept"].mean() > 0.95
+
+
+def naive_alignment(item, passage):
+    rows = [[0] * (len(passage) + 1)]
+    for w in item:
+        row = [0]
+        for j, v in enumerate(passage):
+            row.append(max(0, rows[-1][j] + (decontam.MATCH if v == w else decontam.MISMATCH), rows[-1][j + 1] + decontam.GAP, row[j] + decontam.GAP))
+        rows.append(row)
+    return max(map(max, rows)) / (decontam.MATCH * len(item))
+
+
+def test_alignment_equals_the_textbook_table():
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        item, passage = rng.integers(0, 6, rng.integers(1, 12)), rng.integers(0, 6, rng.integers(1, 25))
+        assert decontam.align(item, passage) == pytest.approx(naive_alignment(item, passage))
+
+
+def test_decontamination_equals_aligning_everything(spark):
+    docs, bench = table(spark, "documents"), table(spark, "benchmark")
+    found = {(r.doc_id, r.item_id): r.score for r in decontam.report(docs, bench).collect()}
+    d, i = docs.select("doc_id", "text").toPandas(), bench.toPandas()
+    words = lambda series: (lambda b, h: [h[b.first[k] : b.first[k + 1]] for k in range(b.n)])(*decontam._words(pa.array(series, pa.string())))
+    whole = {}
+    for doc_id, passage in zip(d["doc_id"], words(d["text"]), strict=True):
+        for item_id, item in zip(i["item_id"], words(i["text"]), strict=True):
+            if len(np.intersect1d(item, passage)) * 2 >= len(np.unique(item)) and (score := decontam.align(item, passage)) >= 0.5:
+                whole[doc_id, item_id] = score
+    assert found.keys() == whole.keys()
+    assert all(found[k] == pytest.approx(whole[k]) for k in whole)
+
+
+def test_decontamination_finds_edited_copies(spark):
+    bench = table(spark, "benchmark").limit(8).toPandas()
+    rng, planted = np.random.default_rng(6), []
+    filler = " ".join(f"filler{k}" for k in range(300))
+    for text in bench["text"]:
+        words = text.split()
+        for at in rng.choice(len(words), max(1, len(words) // 12), replace=False):
+            words[at] = "changed"
+        planted.append(f"{filler} {' '.join(words)} {filler}")
+    items = spark.createDataFrame(bench).union(spark.createDataFrame([(900, None), (901, "")], "item_id long, text string"))
+    docs = texts(spark, *planted, filler, None, "").selectExpr("*", "1 AS leaks")
+    found = {r.doc_id for r in decontam.report(docs, items).collect()}
+    assert found == set(range(len(planted)))
+    left = decontam.clean(docs, items)
+    assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == set(range(len(planted), len(planted) + 3))
+    assert decontam.clean(docs, items.limit(0)).count() == docs.count()
+    small_blocks = decontam.report(docs, items, block_bytes=1)
+    assert {tuple(r) for r in small_blocks.collect()} == {tuple(r) for r in decontam.report(docs, items).collect()}
+
+
+def test_mixing_equals_sql_and_comes_near_its_targets(spark):
+    for sf_dir in (SMALL, MIDDLE):
+        rows = queries.QUERIES["op7_mixing"](spark, sf_dir).toPandas().sort_values("doc_id").reset_index(drop=True)
+        duck = duckdb.connect()
+        duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+        theirs = duck.sql(queries.ORACLES["op7_mixing"]).df().sort_values("doc_id").reset_index(drop=True)[list(rows.columns)]
+        pd.testing.assert_frame_equal(rows, theirs, check_dtype=False)
+        assert (rows["taken"] <= 2 * rows["size"]).all() and (rows["taken"] % rows["size"].clip(lower=1) == 0).all()
+        source = table(spark, "documents", sf_dir).select("doc_id", "source").toPandas()
+        by = rows.merge(source, on="doc_id").groupby("source").agg(taken=("taken", "sum"), target=("target", "first"), size=("source_size", "first"), most=("size", "max"))
+        assert ((by["taken"] - by["target"]).abs() <= by["most"]).all()
+        assert by["target"].to_dict() == pytest.approx(filled({k: int(v) for k, v in by["size"].items()}))
+
+
+def filled(sizes):
+    """Water-filling by repeated resharing."""
+    names, capped = sorted(sizes), {}
+    weight = {n: (5, 2, 1)[i % 3] for i, n in enumerate(names)}
+    while True:
+        free = [n for n in names if n not in capped]
+        left = 1.5 * sum(sizes.values()) - sum(capped.values())
+        share = {n: left * weight[n] / sum(weight[m] for m in free) for n in free}
+        over = {n: 2.0 * sizes[n] for n in free if share[n] >= 2 * sizes[n]}
+        if not over:
+            return capped | share
+        capped |= over
+
+
+def test_mixing_edges(spark):
+    rows = [(0, "a b c", "en", "x", 1), (1, None, "en", None, 1), (2, "w " * 100, "en", None, 1), (3, "", "en", "empty", 1), (4, "z", None, "x", None), (4, "z", None, "x", None)]
+    docs = spark.createDataFrame(rows, DOC).selectExpr("*", "1 AS size", "2 AS key", "3 AS rank")
+    out = mixing.mix(docs).toPandas()
+    assert len(out) == 6 and out.columns.tolist() == ["doc_id", "size", "source_size", "target", "taken"]
+    assert out[out["doc_id"].isin([1, 3])]["taken"].sum() == 0
+    assert mixing.mix(docs.limit(0)).count() == 0
+    assert mixing.mix(docs).toPandas().sort_values(["doc_id", "taken"]).values.tolist() == out.sort_values(["doc_id", "taken"]).values.tolist()
+
+
+def auc(score, label):
+    rank = pd.Series(score).rank()
+    n = label.sum()
+    return (rank[label.values].sum() - n * (n + 1) / 2) / (n * (len(label) - n))
+
+
+def test_toxicity_on_held_out_documents(spark):
+    docs, labels = table(spark, "documents", "/root/testdata/sf0.1"), table(spark, "labels", "/root/testdata/sf0.1")
+    rows = toxicity.report(docs, labels).toPandas()
+    assert (rows["held_out"] == [zlib.crc32(str(i).encode()) % 4 == 2 for i in rows["doc_id"]]).all()
+    assert rows["score"].between(0, 1).all() and (rows["predicted"] == (rows["score"] >= 0.3)).all()
+    known = rows[rows["held_out"]].merge(labels.toPandas(), on="doc_id").reset_index(drop=True)
+    assert auc(known["score"], known["toxic"] == 1) > 0.9
+    hit = (known["predicted"] == 1) & (known["toxic"] == 1)
+    assert hit.sum() / max((known["predicted"] == 1).sum(), 1) > 0.6 and hit.sum() / (known["toxic"] == 1).sum() > 0.6
+
+
+def test_toxicity_labels_of_held_out_rows_do_not_matter(spark):
+    docs, labels = table(spark, "documents", MIDDLE), table(spark, "labels", MIDDLE)
+    turned = labels.withColumn("toxic", toxicity.F.when(toxicity.remainder() == 2, 1 - labels["toxic"]).otherwise(labels["toxic"]))
+    score = lambda l: toxicity.report(docs, l).orderBy("doc_id").toPandas()["score"]
+    assert np.allclose(score(labels), score(turned))
+
+
+def test_toxicity_edges(spark):
+    docs = table(spark, "documents").limit(20).union(texts(spark, None, "", "12 34")).selectExpr("*", "1 AS score", "2 AS toxic")
+    assert toxicity.report(docs, table(spark, "labels").limit(0)).toPandas()["score"].eq(0).all()
+    assert toxicity.report(docs.limit(0), table(spark, "labels")).count() == 0
+    assert toxicity.report(docs, table(spark, "labels")).toPandas()["score"].between(0, 1).all()
+
+
+def test_language_on_held_out_documents(spark):
+    docs = table(spark, "documents", MIDDLE)
+    rows = langid.report(docs).toPandas().merge(docs.toPandas(), on="doc_id")
+    known = rows[rows["held_out"] & rows["lang"].notna() & (rows["lang_pred"] != "und")]
+    assert (known["lang_pred"] == known["lang"]).mean() > 0.95
+    assert rows["score"].between(0, 1).all()
+
+
+def test_language_backs_off_word_first(spark):
+    rows = [(i, t, lang, "s", 0) for i, (t, lang) in enumerate([("der hund bellt", "de"), ("der hund schläft", "de"), ("the dog barks", "en"), ("the dog sleeps", "en")] * 12)]
+    docs = spark.createDataFrame(rows, DOC)
+    model = langid.train(docs)
+    asked = texts(spark, "der hund", "the dog", "hundert", "sleepsy", "12 34 !", "", None, "жжж").selectExpr("*", "1 AS language")
+    out = {r.doc_id: r.language for r in langid.annotate(asked, model).collect()}
+    assert [out[i].lang_pred for i in range(7)] == ["de", "en", "de", "en", "und", "und", "und"]
+    assert out[7].lang_pred in ("de", "en") and out[6].score == 0
+    assert langid.report(docs.limit(0)).count() == 0
+    assert {r.lang_pred for r in langid.report(asked.drop("language").withColumn("lang", langid.F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+def test_words_split_at_ascii_blanks_only():
+    b = Batch(pa.array(["a b c\x0bd", None, "", " x "]))
+    b.words()
+    assert np.bincount(b.doc, minlength=4).tolist() == [3, 0, 0, 1]
