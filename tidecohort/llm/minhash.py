@@ -10,8 +10,8 @@ Texts with the same words are one class first (smallest doc_id represents it). C
 verified by the exact J_P of both texts, in two rounds that lose no verified pair of a bucket:
 
 1. Every class is compared with the smallest class of its bucket (a join that adaptive execution splits for crowded
-   buckets) and, in crowded buckets, with the next two classes in a random order of salted parts of the bucket. Verified
-   links are merged into components; in a large group of mutual near copies this already connects almost all of it.
+   buckets) and, in the largest of its crowded buckets, with the next two classes in a random order of salted parts of the
+   bucket. Verified links are merged into components; in a large group of mutual near copies this connects almost all of it.
 2. In buckets that still hold several components, every class outside the bucket's largest component is compared with all
    classes of other components; pairs inside one component could not change the result. Small buckets list these pairs. A
    crowded bucket is dealt into blocks of about ``BLOCK`` classes; each pair of blocks is one small task that compares
@@ -42,6 +42,8 @@ SHINGLE = 5
 CROWD = 50
 BLOCK = 200
 NEIGHBOURS = 2
+#: Of a class's crowded buckets, so many of the largest take part in the first round's random neighbours.
+CROWDS = 4
 #: At most so many ids (16 MB) are broadcast.
 BROADCAST_IDS = 2_000_000
 U = np.uint64
@@ -277,7 +279,9 @@ def groups(docs: DataFrame, threshold: float = 0.8, bands: int = 24, rows: int =
     stars = hits.filter("id > top").select(F.col("top").alias("a"), F.col("id").alias("b"))
     part = F.pmod(F.xxhash64("id"), F.expr(f"n div {CROWD} + 1")).cast("int")
     beside = Window.partitionBy("bucket", "part").orderBy(F.xxhash64("bucket", "id"), "id")
-    crowded_hits = hits.filter(F.col("n") > CROWD).withColumn("part", part)
+    largest = F.slice(F.sort_array(F.collect_set(F.struct("n", "bucket")), asc=False), 1, CROWDS)
+    crowded_hits = hits.filter(F.col("n") > CROWD).groupBy("id").agg(largest.alias("largest"))
+    crowded_hits = crowded_hits.select("id", F.explode("largest").alias("hit")).select("id", "hit.n", "hit.bucket").withColumn("part", part)
     chains = crowded_hits.select("id", F.array(*[F.lead("id", i).over(beside) for i in range(1, NEIGHBOURS + 1)]).alias("after")).select("id", F.explode("after").alias("next")).filter("next <> id")
     chains = chains.select(F.least("id", "next").alias("a"), F.greatest("id", "next").alias("b"))
     pairs = materialize(_likely(stars.union(chains).distinct(), sketches, threshold))
@@ -291,8 +295,10 @@ def groups(docs: DataFrame, threshold: float = 0.8, bands: int = 24, rows: int =
     few = _across(placed.filter(F.col("n") <= CROWD).select(F.col("bucket").alias("key"), "id", "component"))
     more = _likely(few.distinct().join(pairs, ["a", "b"], "left_anti"), sketches, threshold)
     crowds = _blocked(placed.filter(F.col("n") > CROWD), reps, texts, threshold)
-    links = links.union(materialize(_verified(more, texts, threshold))).union(materialize(crowds))
-    parts = components(nodes, links)
+    found = materialize(_verified(more, texts, threshold).union(crowds))
+    ends = found.join(parts.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a").join(parts.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b")
+    merged = components(parts.select(F.col("component").alias("id")).distinct(), ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")).filter("a <> b").distinct())
+    parts = parts.join(merged.select(F.col("id").alias("component"), F.col("component").alias("group")), "component").select("id", F.col("group").alias("component"))
     reps = reps.select("same", "id").join(parts, "id").select(F.col("same").alias("of"), F.col("id").alias("class_id"), F.col("component").alias("group_id"))
     worded = signed.filter("same IS NOT NULL").join(reps, F.col("same") == F.col("of")).select("doc_id", "class_id", "group_id")
     alone = signed.filter("same IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("group_id"))
