@@ -53,15 +53,29 @@ class Slots:
         self.pair = (pair >> np.uint64(64 - pair_bits)).astype(np.int64)
 
 
-def _slot_counts(rows: DataFrame, word_bits: int, pair_bits: int, pairs: bool) -> DataFrame:
+def _word_counts(rows: DataFrame, word_bits: int) -> DataFrame:
+    """(slot, n): how often the words of each slot occur; a task adds up its texts in one array of fixed size."""
+
+    def count(batches):
+        n = np.zeros(1 << word_bits, np.int64)
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                n += np.bincount(Slots(batch.column("text"), word_bits, word_bits).word, minlength=1 << word_bits)
+        slot = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(n[slot])], names=["slot", "n"])
+
+    return rows.mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+
+
+def _class_counts(rows: DataFrame, word_bits: int, pair_bits: int) -> DataFrame:
     """(context, slot, toxic, ordinary): summed counts of words (context -1) and of bigrams; rows have text and toxic."""
 
     def count(batches):
         for whole in batches:
-            for batch in slices(whole, "text", 8 << 20):
+            for batch in slices(whole, "text"):
                 s = Slots(batch.column("text"), word_bits, pair_bits)
                 toxic = np.asarray(batch.column("toxic"))[s.batch.doc] > 0
-                for context, slot in [(np.full(s.n, -1), s.word), (s.context, s.pair)][: 1 + pairs]:
+                for context, slot in ((np.full(s.n, -1), s.word), (s.context, s.pair)):
                     key = np.where(toxic, 1, 0) | (slot << 1) | ((context + 1) << (pair_bits + 1))
                     found, counts = np.unique(key, return_counts=True)
                     good, zero = (found & 1) > 0, np.zeros(len(found), np.int64)
@@ -82,9 +96,9 @@ def _labelled(docs: DataFrame, labels: DataFrame, rule: str, per_class: int) ->
 
 def train(docs: DataFrame, labels: DataFrame, word_bits: int = 18, pair_bits: int = 20, docs_per_class: int = 10_000, max_fit_docs: int = 4000) -> dict | None:
     """Both models and their shared backoff (broadcast) and the logistic fit; None without labelled rows of both classes."""
-    counted = materialize(_slot_counts(_labelled(docs, labels, "r < 2", docs_per_class), word_bits, pair_bits, True))
-    corpus = docs.filter(remainder() != 2).select(F.coalesce("text", F.lit("")).alias("text"), F.lit(0).alias("toxic"))
-    shared = _slot_counts(corpus, word_bits, pair_bits, False).select("slot", "ordinary").toArrow().to_pandas()
+    counted = materialize(_class_counts(_labelled(docs, labels, "r < 2", docs_per_class), word_bits, pair_bits))
+    corpus = docs.filter(remainder() != 2).select(F.coalesce("text", F.lit("")).alias("text"))
+    shared = _word_counts(corpus, word_bits).toArrow().to_pandas()
     kinds = ("toxic", "ordinary")
 
     def table(rows: DataFrame, slot: str, bits: int) -> np.ndarray:
@@ -104,7 +118,7 @@ def train(docs: DataFrame, labels: DataFrame, word_bits: int = 18, pair_bits: in
     if not words.any(1).all():
         return None
     background = np.full(1 << word_bits, 0.5)
-    background[shared["slot"].to_numpy()] += shared["ordinary"].to_numpy()
+    background[shared["slot"].to_numpy()] += shared["n"].to_numpy()
     background /= background.sum()
     total, left = words.sum(1, keepdims=True), np.maximum(words - DISCOUNT, 0)
     unigram = left / total + (1 - left.sum(1, keepdims=True) / total) * background
