@@ -6,8 +6,8 @@ only those that can still matter become suffixes:
 1. *Runs.* Of every 50-byte string the leftmost smallest ``gram``-byte hash is its anchor. Neighbouring strings with the same
    anchor form a run (about 17 strings, whose bytes are one stretch of text). Equal strings have equal anchors at equal
    offsets, so only runs with the same anchor can share a string. Runs go to hash buckets as packed arrays. Equal runs are
-   settled in the bucket: all but those of the smallest doc_id are covered. A run that shares its anchor, and the bytes of
-   one side of it, with a different run of another document is undecided.
+   settled in the bucket: all but those of the smallest doc_id are covered. A string of another run is undecided when a run
+   of another document shares the anchor and the bytes around it, as far as hashes at quarters of the margin tell.
 2. *Suffixes.* The strings of undecided runs, read back from the documents, are the suffixes to sort (by their leading 50
    bytes, all that matters here). Spark samples splitters and range-partitions them by leading bytes; doc_id and offset break
    ties, so a string that occurs in a third of all documents is spread over many buckets. Each bucket is sorted by multikey
@@ -35,7 +35,8 @@ from tidecohort.llm.vectext import Batch, slices
 U = np.uint64
 BUCKET_BYTES = 4 << 20
 STRETCHES = "doc_id long, row long, undecided boolean, stretches binary"
-RECORD = np.dtype([("g", "u1", 5), ("left", "u1", 3), ("right", "u1", 3), ("whole", "u1", 4), ("doc", "<u2"), ("at", "<u4"), ("n", "u1"), ("lead", "u1")])
+SIDES = ("left_1", "left_2", "left_3", "right_1", "right_2", "right_3")
+RECORD = np.dtype([("g", "u1", 5), *[(side, "u1", 2) for side in SIDES], ("whole", "u1", 4), ("doc", "<u2"), ("at", "<u4"), ("n", "u1"), ("lead", "u1")])
 
 
 def runs(b: Batch, length: int, gram: int) -> dict[str, np.ndarray]:
@@ -59,10 +60,17 @@ def runs(b: Batch, length: int, gram: int) -> dict[str, np.ndarray]:
     begins[1:] &= changed | ~inside[:-1]
     ends[:-1] &= changed | ~inside[1:]
     low, high = np.flatnonzero(begins), np.flatnonzero(ends)
-    p, half = anchor[low], (length - gram) // 2
+    p = anchor[low]
     doc = np.searchsorted(b.offsets, low, "right") - 1
     clip = lambda x: np.clip(x, b.offsets[doc], b.offsets[doc + 1])
-    return {"g": hashes[p], "left": b.hashes(clip(p - half), p + gram), "right": b.hashes(p, clip(p + gram + half)), "whole": b.hashes(low, high + length), "doc": doc, "at": low - b.offsets[doc], "n": high - low + 1, "lead": p - low}
+    sides = {f"left_{i}": b.hashes(clip(p - e), p + gram) for i, e in enumerate(extents(length, gram), 1)}
+    sides |= {f"right_{i}": b.hashes(p, clip(p + gram + e)) for i, e in enumerate(extents(length, gram), 1)}
+    return {"g": hashes[p], **sides, "whole": b.hashes(low, high + length), "doc": doc, "at": low - b.offsets[doc], "n": high - low + 1, "lead": p - low}
+
+
+def extents(length: int, gram: int) -> tuple[int, int, int]:
+    """Quarter, half and three quarters of the bytes of a string that its anchor leaves."""
+    return (length - gram) // 4, (length - gram) // 2, 3 * (length - gram) // 4
 
 
 def _pack(values: np.ndarray, width: int) -> np.ndarray:
@@ -94,7 +102,7 @@ def _deal(docs: DataFrame, buckets: int, length: int, gram: int) -> DataFrame:
                     own = order[bounds[k] : bounds[k + 1]] if bounds is not None else order[np.searchsorted(bucket[order], k) : np.searchsorted(bucket[order], k, "right")]
                     used, short = np.unique(r["doc"][own], return_inverse=True)
                     records = np.zeros(len(own), RECORD)
-                    for name, width in (("g", 5), ("left", 3), ("right", 3), ("whole", 4)):
+                    for name, width in (("g", 5), *[(side, 2) for side in SIDES], ("whole", 4)):
                         records[name] = _pack(r[name][own], width)
                     records["doc"], records["at"], records["n"], records["lead"] = short, r["at"][own], r["n"][own], r["lead"][own]
                     out[0].append(int(k))
@@ -147,23 +155,26 @@ def _stretches(ids, rows, at, n, undecided: bool) -> pd.DataFrame:
 
 def settle(length: int, gram: int):
     """The function that settles one bucket of runs: covered stretches and undecided ones."""
-    half = (length - gram) // 2
+    one, two, three = extents(length, gram)
+    # Bytes before the anchor (from, below) of a string, and the sides that equal strings must share then.
+    zones = ((three, length, ("left_3",)), (two, three, ("left_2", "right_1")), (one, two, ("left_1", "right_2")), (0, one, ("right_3",)))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         parts = [_read_records(d, r) for d, r in zip(frame["docs"], frame["records"], strict=True)]
-        g, left, right, whole = (np.concatenate([_unpack(p[c]) for p in parts]) for c in ("g", "left", "right", "whole"))
-        ids, rows, at, n, lead = (np.concatenate([p[c] for p in parts]).astype(np.int64) for c in ("id", "row", "at", "n", "lead"))
-        same = left | (right << U(24))
-        order = np.lexsort((ids, whole, same, g))
-        g, left, right, whole, same, ids, rows, at, n, lead = (x[order] for x in (g, left, right, whole, same, ids, rows, at, n, lead))
-        first = _groups(g, same, whole, n, lead)
-        smallest = ids[np.flatnonzero(first)][np.cumsum(first) - 1]
-        covered = ids > smallest
-        out = [_stretches(ids[covered], rows[covered], at[covered], n[covered], False)]
-        g, left, right, ids, rows, at, n, lead = (x[~covered] for x in (g, left, right, ids, rows, at, n, lead))
-        before = np.clip(lead - half + 1, 0, n)  # strings that start at least half the margin before the anchor
-        for mask, start, count in ((_several(ids, left, g) & (before > 0), at, before), (_several(ids, right, g) & (before < n), at + before, n - before)):
-            out.append(_stretches(ids[mask], rows[mask], start[mask], count[mask], True))
+        c = {k: np.concatenate([_unpack(p[k]) for p in parts]) for k in ("g", *SIDES, "whole")}
+        c |= {k: np.concatenate([p[k] for p in parts]).astype(np.int64) for k in ("id", "row", "at", "n", "lead")}
+        left, right = (c[f"{x}_1"] | (c[f"{x}_2"] << U(16)) | (c[f"{x}_3"] << U(32)) for x in ("left", "right"))
+        order = np.lexsort((c["id"], c["whole"], right, left, c["g"]))
+        c, left, right = {k: v[order] for k, v in c.items()}, left[order], right[order]
+        first = _groups(c["g"], left, right, c["whole"], c["n"], c["lead"])
+        covered = c["id"] > c["id"][np.flatnonzero(first)][np.cumsum(first) - 1]
+        out = [_stretches(c["id"][covered], c["row"][covered], c["at"][covered], c["n"][covered], False)]
+        c = {k: v[~covered] for k, v in c.items()}
+        for least, below, sides in zones:
+            start, end = np.clip(c["lead"] - below + 1, 0, c["n"]), np.clip(c["lead"] - least + 1, 0, c["n"])
+            own = {k: v[end > start] for k, v in (c | {"start": c["at"] + start, "count": end - start}).items()}
+            own = (lambda mask, own=own: {k: v[mask] for k, v in own.items()})(_several(own["id"], *[own[x] for x in sides], own["g"]))
+            out.append(_stretches(own["id"], own["row"], own["start"], own["count"], True))
         return pd.concat(out, ignore_index=True)
 
     return run
@@ -194,7 +205,13 @@ def multikey_order(strings: np.ndarray) -> np.ndarray:
 
 
 def _sorted_buckets(suffixes: DataFrame, length: int) -> DataFrame:
-    """The range partitions as packed sorted rows: (bucket, strings, ids, rows, places), one row per bucket piece."""
+    """What the sorted range partitions find.
+
+    For each bucket a head row (first and last string, smallest doc_id of each), the members of its first string as stretches
+    with ``edge`` true, and the covered ones among the others with ``edge`` false.
+    """
+    kinds = (("bucket", pa.int32()), ("first", pa.binary()), ("last", pa.binary()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("edge", pa.bool_()), ("doc_id", pa.int64()), ("row", pa.int64()), ("stretches", pa.binary()))
+    schema = pa.schema(list(kinds))
 
     def run(batches):
         tables = [b for b in batches if b.num_rows]
@@ -206,47 +223,39 @@ def _sorted_buckets(suffixes: DataFrame, length: int) -> DataFrame:
         by_id = np.lexsort((places, rows, ids))
         order = by_id[multikey_order(strings[by_id])]
         strings, ids, rows, places = strings[order], ids[order], rows[order], places[order]
-        bucket = TaskContext.get().partitionId()
-        yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in (strings, ids, rows, places)], pa.array([strings[0].tobytes()], pa.binary()), pa.array([strings[-1].tobytes()], pa.binary()), pa.array([int(ids[np.flatnonzero((strings == strings[-1]).all(1))[0]])])], names=["bucket", "strings", "ids", "rows", "places", "first", "last", "last_id"])
-
-    return suffixes.mapInArrow(run, "bucket int, strings binary, ids binary, rows binary, places binary, first binary, last binary, last_id long")
-
-
-def _carried(buckets: DataFrame) -> dict[int, tuple[bytes, int]]:
-    """For each bucket whose first string also ends an earlier bucket: that string and its smallest doc_id there."""
-    out, last, smallest = {}, None, None
-    for r in sorted(buckets.select("bucket", "first", "last", "last_id").collect(), key=lambda r: r["bucket"]):
-        if last is not None and bytes(r["first"]) == last:
-            out[r["bucket"]] = (last, smallest)
-            if bytes(r["last"]) == last:
-                continue
-        last, smallest = bytes(r["last"]), r["last_id"]
+        new = np.ones(len(ids), bool)
+        new[1:] = (strings[1:] != strings[:-1]).any(1)
+        starts, of = np.flatnonzero(new), np.cumsum(new) - 1
+        smallest, bucket = ids[starts], TaskContext.get().partitionId()
+        head = [[bucket], [strings[0].tobytes()], [strings[-1].tobytes()], [int(smallest[0])], [int(smallest[-1])], [None], [None], [None], [None]]
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(head, kinds, strict=True)], schema=schema)
+        for edge, mask in ((True, of == 0), (False, (of > 0) & (ids > smallest[of]))):
+            found = _stretches(ids[mask], rows[mask], places[mask], np.ones(int(mask.sum()), np.int64), False)
+            n = len(found)
+            columns = [[bucket] * n, *[[None] * n] * 4, [edge] * n, found["doc_id"], found["row"], found["stretches"]]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(columns, kinds, strict=True)], schema=schema)
+
+    return suffixes.mapInArrow(run, "bucket int, first binary, last binary, first_id long, last_id long, edge boolean, doc_id long, row long, stretches binary")
+
+
+def _edges(found: DataFrame) -> list[tuple[int, int]]:
+    """For each bucket the smallest doc_id of its first string, which earlier buckets may end with. One head row a bucket."""
+    out, last, smallest = [], None, None
+    for r in sorted(found.filter("first IS NOT NULL").select("bucket", "first", "last", "first_id", "last_id").collect(), key=lambda r: r["bucket"]):
+        least = min(r["first_id"], smallest) if last == r["first"] else r["first_id"]
+        out.append((r["bucket"], least))
+        last, smallest = r["last"], least if r["last"] == r["first"] else r["last_id"]
     return out
 
 
 def covered_suffixes(suffixes: DataFrame, length: int, partitions: int) -> DataFrame:
     """Covered strings among (suffix, doc_id, row, at), as stretches."""
     dealt = suffixes.repartitionByRange(partitions, "suffix", "doc_id", "row", "at")
-    buckets = materialize(_sorted_buckets(dealt, length))
-    carried = _carried(buckets)
-
-    def run(batches):
-        for batch in batches:
-            for r in batch.to_pylist():
-                strings = np.frombuffer(r["strings"], np.uint8).reshape(-1, length)
-                ids, rows, places = (np.frombuffer(r[c], np.int64) for c in ("ids", "rows", "places"))
-                new = np.ones(len(ids), bool)
-                new[1:] = (strings[1:] != strings[:-1]).any(1)
-                starts = np.flatnonzero(new)
-                smallest = ids[starts]
-                if r["bucket"] in carried:
-                    smallest = smallest.copy()
-                    smallest[0] = min(smallest[0], carried[r["bucket"]][1])
-                covered = ids > smallest[np.cumsum(new) - 1]
-                found = _stretches(ids[covered], rows[covered], places[covered], np.ones(int(covered.sum()), np.int64), False)
-                yield pa.RecordBatch.from_pandas(found, schema=pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("undecided", pa.bool_()), ("stretches", pa.binary())]), preserve_index=False)
-
-    return buckets.select("bucket", "strings", "ids", "rows", "places").mapInArrow(run, STRETCHES)
+    found = materialize(_sorted_buckets(dealt, length))
+    smallest = found.sparkSession.createDataFrame(_edges(found), "of int, smallest long")
+    edges = found.filter("edge").join(smallest, F.col("bucket") == F.col("of")).filter("doc_id > smallest")
+    columns = ["doc_id", "row", F.lit(False).alias("undecided"), "stretches"]
+    return found.filter("NOT edge").select(*columns).union(edges.select(*columns))
 
 
 def find(docs: DataFrame, length: int = 50, gram: int = 16) -> DataFrame:
