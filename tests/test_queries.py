@@ -3,6 +3,8 @@
 import os
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 
 from tidecohort.plans import registry
@@ -12,7 +14,7 @@ DATA = "/root/testdata/sf0.001"
 
 def rows(frame):
     names = sorted(frame.columns)
-    return sorted((tuple(None if v != v else v for v in r) for r in frame[names].itertuples(index=False)), key=str)
+    return sorted((tuple(None if v is pd.NA or v is pd.NaT or isinstance(v, (float, np.floating)) and v != v else v for v in r) for r in frame[names].itertuples(index=False)), key=str)
 
 
 @pytest.fixture(scope="module")

@@ -67,8 +67,8 @@ def best_threshold(scores: DataFrame) -> DataFrame:
     total = scores.agg(F.sum("y").alias("p"), F.count("*").alias("k"), F.max("s").alias("top"))
     last = total.select((F.col("top") + F.lit(1e-6)).alias("threshold"), F.col("p").alias("pos_below"), F.col("k").alias("below"))
     every = cuts.union(last).join(F.broadcast(total))
-    sensitivity = (F.col("p") - F.col("pos_below")).cast("double") / F.col("p")
-    specificity = (F.col("below") - F.col("pos_below")).cast("double") / (F.col("k") - F.col("p"))
+    sensitivity = (F.col("p") - F.col("pos_below")).cast("double") / F.nullif(F.col("p"), F.lit(0))
+    specificity = (F.col("below") - F.col("pos_below")).cast("double") / F.nullif(F.col("k") - F.col("p"), F.lit(0))
     scored = every.select("threshold", "p", "k", ((sensitivity + specificity) / 2).alias("b"))
     best = F.max_by(F.struct("threshold", "b"), F.struct("b", -F.col("threshold")))
     one = (F.max("p") == 0) | (F.max("p") == F.max("k"))
