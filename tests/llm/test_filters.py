@@ -176,6 +176,19 @@ def test_decontamination_finds_edited_copies(spark):
     assert {tuple(r) for r in small_blocks.collect()} == {tuple(r) for r in decontam.report(docs, items).collect()}
 
 
+def test_decontamination_finds_an_edited_copy_that_is_common(spark):
+    words = [f"item{k}" for k in range(40)]
+    edited = " ".join("changed" if k % 6 == 5 else w for k, w in enumerate(words))
+    values = [f"before {edited} after" if i % 100 == 0 else f"ordinary text {i}" for i in range(2000)]
+    items = spark.createDataFrame([(7, " ".join(words)), (None, "a b c d e f")], "item_id long, text string")
+    docs = texts(spark, *values, "x a b c d e f y")
+    found = decontam.report(docs, items).toPandas()
+    assert set(found.loc[found["item_id"] == 7, "doc_id"]) == set(range(0, 2000, 100))
+    assert found.loc[found["item_id"] == 7, "score"].unique() == pytest.approx([decontam.align(*(lambda b, h: (h[:40], h[40:]))(*decontam._words(pa.array([" ".join(words), edited]))))])
+    assert found.loc[found["item_id"].isna(), "doc_id"].tolist() == [2000]
+    assert decontam.clean(docs, items).count() == 1980
+
+
 def test_mixing_equals_sql_and_comes_near_its_targets(spark):
     for sf_dir in (SMALL, MIDDLE):
         rows = queries.QUERIES["op7_mixing"](spark, sf_dir).toPandas().sort_values("doc_id").reset_index(drop=True)
