@@ -258,6 +258,22 @@ def test_toxicity_edges(spark):
     assert toxicity.report(docs, table(spark, "labels")).toPandas()["score"].between(0, 1).all()
 
 
+def toy_corpus(spark, bad="vile", good="kind"):
+    """400 labelled documents, every other one toxic."""
+    docs = texts(spark, *[f"the {bad if i % 2 else good} word {'rant' if i % 2 else 'note'} of day" for i in range(400)])
+    return docs, spark.createDataFrame([(i, 1, i % 2) for i in range(400)], "doc_id long, quality int, toxic int")
+
+
+def test_toxicity_tells_words_with_like_hashes_apart(spark):
+    letters = [chr(97 + i) for i in range(26)]
+    words = pa.array([f"{a}{b}{c}{d}{e}" for a in letters[:8] for b in letters for c in letters for d in letters for e in letters[:16]] + ["vile"])
+    b = Batch(words)
+    slot = b.hashes(b.offsets[:-1], b.offsets[1:]) >> np.uint64(46)
+    like, other = words[int(np.flatnonzero(slot[:-1] == slot[-1])[0])].as_py(), words[int(np.flatnonzero(slot != slot[-1])[0])].as_py()
+    score = lambda good: toxicity.report(*toy_corpus(spark, good=good)).orderBy("doc_id").toPandas()["score"]
+    np.testing.assert_allclose(score(like), score(other))
+
+
 def test_language_on_held_out_documents(spark):
     docs = table(spark, "documents", MIDDLE)
     rows = langid.report(docs).toPandas().merge(docs.toPandas(), on="doc_id")

@@ -7,9 +7,11 @@ class knows costs both models the same. Every line gets the length-normalised di
 log-likelihood; the document's mean difference and its strongest line become a probability by a logistic fit on labelled
 rows that the counts did not use (remainder 3).
 
-Words and bigrams are counted by hash slot (``word_bits``, ``pair_bits``), so the model that is broadcast has a fixed size
-(14 MB with the defaults) however large the corpus is. Class counts come from a bounded sample of labelled rows
-(``docs_per_class`` of remainders 0 and 1 for each class), the logistic fit from at most ``max_fit_docs``.
+Words and bigrams are counted by their whole 64-bit hash. The shared counts are a table with a row for each word of the
+corpus. Words that neither class holds cost both models the same shared factor, so only words and bigrams with class evidence
+are broadcast, with the shared counts of these words: as many as the labelled sample has. Class counts come from a bounded
+sample of labelled rows (``docs_per_class`` of remainders 0 and 1 for each class), the logistic fit from at most
+``max_fit_docs``.
 
 Defined results: null and word-less texts get the score of the base rate alone; without labelled rows of both classes every
 score is 0; rows labelled both ways count as toxic; repeated rows are judged alike; extra columns are ignored by ``report``
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidecohort.llm.common import add_struct, bounded_sample, materialize, remainder, struct_array
-from tidecohort.llm.vectext import NO_LETTER, Batch, mix, slices
+from tidecohort.llm.vectext import NO_LETTER, Batch, lookup, mix, slices
 
 #: Counts up to this are rare: they are discounted away and left to the shared counts.
 DISCOUNT = 4.0
@@ -36,54 +38,47 @@ FIELDS = T.StructType([T.StructField("score", T.DoubleType())])
 N_FEATURES = 5
 
 
-class Slots:
-    """Word and bigram slots of a batch of texts."""
+class Words:
+    """Word hashes of a batch of texts, the hash of the word before each (0 at the start) and the hash of both."""
 
-    def __init__(self, texts: pa.Array, word_bits: int, pair_bits: int):
+    def __init__(self, texts: pa.Array):
         b = Batch(pc.utf8_lower(texts))
         b.words(NO_LETTER)
-        h = b.word_hashes()
-        before = np.zeros(len(h), np.uint64)
-        before[1:] = np.where(b.doc[1:] == b.doc[:-1], h[:-1], 0)
+        self.word = b.word_hashes()
+        self.batch, self.n = b, len(self.word)
+        self.context = np.zeros(self.n, np.uint64)
+        self.context[1:] = np.where(b.doc[1:] == b.doc[:-1], self.word[:-1], 0)
         with np.errstate(over="ignore"):
-            pair = mix(before * np.uint64(3) + h)
-        self.batch, self.n = b, len(h)
-        self.word = (h >> np.uint64(64 - word_bits)).astype(np.int64)
-        self.context = (before >> np.uint64(64 - word_bits)).astype(np.int64)
-        self.pair = (pair >> np.uint64(64 - pair_bits)).astype(np.int64)
+            self.pair = mix(self.context * np.uint64(3) + self.word)
 
 
-def _word_counts(rows: DataFrame, word_bits: int) -> DataFrame:
-    """(slot, n): how often the words of each slot occur; a task adds up its texts in one array of fixed size."""
+def _corpus_counts(rows: DataFrame) -> DataFrame:
+    """(word, n): how often each word occurs; one row for each word of the corpus."""
 
     def count(batches):
-        n = np.zeros(1 << word_bits, np.int64)
         for whole in batches:
             for batch in slices(whole, "text"):
-                n += np.bincount(Slots(batch.column("text"), word_bits, word_bits).word, minlength=1 << word_bits)
-        slot = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(n[slot])], names=["slot", "n"])
+                word, n = np.unique(Words(batch.column("text")).word, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], names=["word", "n"])
 
-    return rows.mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _class_counts(rows: DataFrame, word_bits: int, pair_bits: int) -> DataFrame:
-    """(context, slot, toxic, ordinary): summed counts of words (context -1) and of bigrams; rows have text and toxic."""
+def _class_counts(rows: DataFrame) -> DataFrame:
+    """(pair, context, word, toxic, ordinary): how often both classes hold each bigram; rows have text and toxic."""
 
     def count(batches):
         for whole in batches:
             for batch in slices(whole, "text"):
-                s = Slots(batch.column("text"), word_bits, pair_bits)
-                toxic = np.asarray(batch.column("toxic"))[s.batch.doc] > 0
-                for context, slot in ((np.full(s.n, -1), s.word), (s.context, s.pair)):
-                    key = np.where(toxic, 1, 0) | (slot << 1) | ((context + 1) << (pair_bits + 1))
-                    found, counts = np.unique(key, return_counts=True)
-                    good, zero = (found & 1) > 0, np.zeros(len(found), np.int64)
-                    columns = [((found >> (pair_bits + 1)) - 1).astype(np.int32), ((found >> 1) & ((1 << pair_bits) - 1)).astype(np.int32), np.where(good, counts, zero), np.where(good, zero, counts)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["context", "slot", "toxic", "ordinary"])
+                w = Words(batch.column("text"))
+                toxic = np.asarray(batch.column("toxic"))[w.batch.doc] > 0
+                found, first, of = np.unique(w.pair, return_index=True, return_inverse=True)
+                counts = [np.bincount(of[kind], minlength=len(found)) for kind in (toxic, ~toxic)]
+                columns = [*[x.view(np.int64) for x in (found, w.context[first], w.word[first])], *counts]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["pair", "context", "word", "toxic", "ordinary"])
 
-    out = rows.mapInArrow(count, "context int, slot int, toxic long, ordinary long")
-    return out.groupBy("context", "slot").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    out = rows.mapInArrow(count, "pair long, context long, word long, toxic long, ordinary long")
+    return out.groupBy("pair", "context", "word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, rule: str, per_class: int) -> DataFrame:
@@ -94,50 +89,56 @@ def _labelled(docs: DataFrame, labels: DataFrame, rule: str, per_class: int) ->
     return docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("of")).select(F.coalesce("text", F.lit("")).alias("text"), "toxic")
 
 
-def train(docs: DataFrame, labels: DataFrame, word_bits: int = 18, pair_bits: int = 20, docs_per_class: int = 10_000, max_fit_docs: int = 4000) -> dict | None:
+def _collect(rows: DataFrame, key: str, values: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of ``key`` and, for each value, an array that has one more element: the 0 of absent keys."""
+    found = rows.select(key, *values).toArrow()
+    keys = np.asarray(found[key]).view(np.uint64)
+    order = np.argsort(keys)
+    out = np.zeros((len(values), len(keys) + 1), np.float32)
+    for i, value in enumerate(values):
+        out[i, :-1] = np.asarray(found[value])[order]
+    return keys[order], out
+
+
+def train(docs: DataFrame, labels: DataFrame, docs_per_class: int = 10_000, max_fit_docs: int = 4000) -> dict | None:
     """Both models and their shared backoff (broadcast) and the logistic fit; None without labelled rows of both classes."""
-    counted = materialize(_class_counts(_labelled(docs, labels, "r < 2", docs_per_class), word_bits, pair_bits))
+    counted = materialize(_class_counts(_labelled(docs, labels, "r < 2", docs_per_class)))
+    kinds = ["toxic", "ordinary"]
+    summed = [F.sum(k).alias(k) for k in kinds]
     corpus = docs.filter(remainder() != 2).select(F.coalesce("text", F.lit("")).alias("text"))
-    shared = _word_counts(corpus, word_bits).toArrow().to_pandas()
-    kinds = ("toxic", "ordinary")
-
-    def table(rows: DataFrame, slot: str, bits: int) -> np.ndarray:
-        """Both classes' values by slot; as many as there are slots at most."""
-        found = rows.select(F.col(slot).alias("slot"), *kinds).toArrow()
-        out = np.zeros((2, 1 << bits), np.float32)
-        for k, kind in enumerate(kinds):
-            np.add.at(out[k], np.asarray(found["slot"]), np.asarray(found[kind]).astype(np.float32))
-        return out
-
-    pair = counted.filter("context >= 0")
-    beyond = [F.sum(F.greatest(F.col(k) - F.lit(DISCOUNT), F.lit(0.0))).alias(k) for k in kinds]
-    words = table(counted.filter("context < 0"), "slot", word_bits)
-    contexts = table(pair.groupBy("context").agg(*[F.sum(k).alias(k) for k in kinds]), "context", word_bits)
-    kept = table(pair.groupBy("context").agg(*beyond), "context", word_bits)
-    pairs = table(pair.filter((F.col("toxic") > DISCOUNT) | (F.col("ordinary") > DISCOUNT)), "slot", pair_bits)
-    if not words.any(1).all():
+    nothing = [F.lit(0).cast("long").alias(k) for k in kinds]
+    both = _corpus_counts(corpus).select("word", "n", *nothing).union(counted.select("word", F.lit(0).cast("long"), *kinds))
+    words = materialize(both.groupBy("word").agg(F.sum("n").alias("n"), *summed))
+    all_words = words.agg(F.sum("n").alias("n"), F.count("*").alias("types"), *summed).first()
+    if not all_words["toxic"] or not all_words["ordinary"]:
         return None
-    background = np.full(1 << word_bits, 0.5)
-    background[shared["slot"].to_numpy()] += shared["n"].to_numpy()
-    background /= background.sum()
-    total, left = words.sum(1, keepdims=True), np.maximum(words - DISCOUNT, 0)
-    unigram = left / total + (1 - left.sum(1, keepdims=True) / total) * background
-    freed = np.where(contexts > 0, 1 - kept / np.maximum(contexts, 1), 1)
-    model = {"word_bits": word_bits, "pair_bits": pair_bits, "unigram": unigram.astype(np.float32), "contexts": contexts, "freed": freed.astype(np.float32), "pairs": pairs}
+    beyond = [F.sum(F.greatest(F.col(k) - F.lit(DISCOUNT), F.lit(0.0))).alias(f"{k}_left") for k in kinds]
+    word_keys, found = _collect(words.filter("toxic + ordinary > 0"), "word", ["n", *kinds])
+    context_keys, held = _collect(counted.groupBy("context").agg(*summed, *beyond), "context", [*kinds, *[f"{k}_left" for k in kinds]])
+    pair_keys, pairs = _collect(counted.filter((F.col("toxic") > DISCOUNT) | (F.col("ordinary") > DISCOUNT)), "pair", kinds)
+    # A word that neither class holds has the same background in both models, so any value serves.
+    background = np.append((found[0, :-1].astype(float) + 0.5) / (all_words["n"] + 0.5 * all_words["types"]), 1.0)
+    total, left = found[1:].sum(1, keepdims=True, dtype=float), np.maximum(found[1:] - DISCOUNT, 0)
+    unigram = left / total + (1 - left.sum(1, keepdims=True, dtype=float) / total) * background
+    freed = np.where(held[:2] > 0, 1 - held[2:] / np.maximum(held[:2], 1), 1)
+    model = {
+        "words": word_keys, "unigram": unigram, "pair_keys": pair_keys, "pairs": pairs,
+        "context_keys": context_keys, "contexts": held[:2], "freed": freed.astype(np.float32),
+    }
     fit_rows = _labelled(docs, labels, "r = 3", max_fit_docs // 2)
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def measure(batches):
         for whole in batches:
             for batch in slices(whole, "text"):
-                f = features(batch.column("text"), held.value)
+                f = features(batch.column("text"), shared.value)
                 yield pa.RecordBatch.from_arrays([batch.column("toxic"), *[pa.array(f[:, i]) for i in range(1, N_FEATURES)]], names=["toxic", "a", "b", "c", "d"])
 
     seen = fit_rows.mapInArrow(measure, "toxic int, a double, b double, c double, d double").toArrow().to_pandas().sort_values(["a", "b", "c", "d", "toxic"])
     learned = labels.filter(F.col("toxic").isNotNull() & (remainder() != 2)).agg(F.count_if(F.col("toxic") > 0).alias("toxic"), F.count("*").alias("rows")).first()
     rate = (learned["toxic"] + 1) / (learned["rows"] + 2)
     fit = _logistic(seen[["a", "b", "c", "d"]].to_numpy(), (seen["toxic"] > 0).to_numpy(), rate)
-    return {"shared": held, "fit": fit}
+    return {"shared": shared, "fit": fit}
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, rate: float, ridge: float = 1e-2) -> np.ndarray:
@@ -156,16 +157,16 @@ def _logistic(x: np.ndarray, y: np.ndarray, rate: float, ridge: float = 1e-2) ->
 
 def features(texts: pa.Array, model: dict) -> np.ndarray:
     """Per document: 1, mean difference per word, strongest line by mean and by clear differences, all clear differences."""
-    s = Slots(texts, model["word_bits"], model["pair_bits"])
+    s = Words(texts)
     b, out = s.batch, np.zeros((s.batch.n, N_FEATURES))
     out[:, 0] = 1
     if not s.n:
         return out
     logs = []
+    word, context, pair = lookup(model["words"], s.word), lookup(model["context_keys"], s.context), lookup(model["pair_keys"], s.pair)
     for k in (0, 1):
-        context = np.maximum(model["contexts"][k][s.context], 1)
-        mass = np.maximum(model["pairs"][k][s.pair] - DISCOUNT, 0) / context
-        logs.append(np.log(np.minimum(mass, 1) + model["freed"][k][s.context] * model["unigram"][k][s.word] + 1e-12))
+        mass = np.maximum(model["pairs"][k][pair] - DISCOUNT, 0) / np.maximum(model["contexts"][k][context], 1)
+        logs.append(np.log(mass + model["freed"][k][context] * model["unigram"][k][word]))
     gain = np.clip(logs[0] - logs[1], -6, 6)
     lines = np.cumsum(b.data == 10)
     line = lines[b.starts] + b.doc
