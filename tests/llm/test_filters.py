@@ -274,6 +274,34 @@ def test_toxicity_tells_words_with_like_hashes_apart(spark):
     np.testing.assert_allclose(score(like), score(other))
 
 
+def test_toxicity_equals_kneser_ney_by_brute_force(spark):
+    values = ["a b a c", "a b d", "vile b", "a c a c e", "kind b e", *[f"{c} e {c} b d" for c in "fghijklmno"]] * 4
+    docs = texts(spark, *values)
+    labels = spark.createDataFrame([(i, 1, int(i % 5 < 3)) for i in range(len(values))], "doc_id long, quality int, toxic int")
+    model = toxicity.train(docs, labels)["shared"].value
+    bigrams = lambda keep: [x for i, t in enumerate(values) if keep(i, zlib.crc32(str(i).encode()) % 4) for x in zip(["", *t.split()], t.split())]  # noqa: E731, B905
+    corpus = set(bigrams(lambda i, r: r != 2))
+    vocabulary = {w for _, w in corpus}
+    shared = {w: (sum(x[1] == w for x in corpus) + 0.5) / (len(corpus) + 0.5 * len(vocabulary)) for w in vocabulary}
+
+    for k, toxic in enumerate((True, False)):
+        seen = bigrams(lambda i, r, toxic=toxic: r < 2 and (i % 5 < 3) == toxic)
+        n = {x: seen.count(x) for x in seen}
+        contexts = {w: sum(x[1] == w for x in n) for w in vocabulary}
+        left = lambda c: max(c - toxicity.DISCOUNT, 0)
+        back = {w: left(c) / len(n) + (1 - sum(map(left, contexts.values())) / len(n)) * shared[w] for w, c in contexts.items()}
+        assert max(contexts.values()) > toxicity.DISCOUNT
+        assert sum(back.values()) == pytest.approx(1)
+        for text in set(values):
+            w = toxicity.Words(pa.array([text]))
+            at = [toxicity.lookup(model[key], x) for key, x in (("words", w.word), ("context_keys", w.context), ("pair_keys", w.pair))]
+            ours = model["pairs"][k][at[2]] / np.maximum(model["contexts"][k][at[1]], 1) + model["freed"][k][at[1]] * model["unigram"][k][at[0]]
+            for before, word, p in zip(["", *text.split()], text.split(), ours):  # noqa: B905
+                held = [c for x, c in n.items() if x[0] == before]
+                expected = (left(n.get((before, word), 0)) + (sum(held) - sum(map(left, held))) * back[word]) / sum(held) if held else back[word]
+                assert p == pytest.approx(expected, rel=1e-5)
+
+
 def test_language_on_held_out_documents(spark):
     docs = table(spark, "documents", MIDDLE)
     rows = langid.report(docs).toPandas().merge(docs.toPandas(), on="doc_id")

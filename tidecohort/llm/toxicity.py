@@ -1,9 +1,11 @@
 """Toxicity by class-conditional Kneser-Ney language models.
 
 Two word-bigram models, one of toxic and one of ordinary documents, use interpolated Kneser-Ney smoothing: discounted bigram
-counts back off to discounted unigram counts of the class, and those to unigram counts that both classes share. The shared
-counts are gathered from all documents that are not held out, so they follow the corpus; a rare expression that neither
-class knows costs both models the same. Every line gets the length-normalised difference of its toxic and ordinary
+counts back off to discounted continuation counts of the class (in how many distinct contexts a word occurs), and those to
+continuation counts that both classes share. The discount is not that of Kneser and Ney, which is below 1: it is ``DISCOUNT``,
+so what a class holds that often or less is no evidence; the README has the figures for both. The shared counts are gathered
+from all documents that are not held out, so they follow the corpus; a rare expression that neither class knows costs both
+models the same. Every line gets the length-normalised difference of its toxic and ordinary
 log-likelihood; the document's mean difference and its strongest line become a probability by a logistic fit on labelled
 rows that the counts did not use (remainder 3).
 
@@ -20,6 +22,8 @@ and passed through by ``annotate``.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -32,6 +36,8 @@ from tidecohort.llm.vectext import NO_LETTER, Batch, lookup, mix, slices
 
 #: Counts up to this are rare: they are discounted away and left to the shared counts.
 DISCOUNT = 4.0
+#: Rounds in which the distinct bigrams of the corpus are found.
+ROUNDS = 4
 #: A word is clearly toxic when its log-likelihoods differ by more than this.
 CLEAR = 2.0
 FIELDS = T.StructType([T.StructField("score", T.DoubleType())])
@@ -52,16 +58,22 @@ class Words:
             self.pair = mix(self.context * np.uint64(3) + self.word)
 
 
-def _corpus_counts(rows: DataFrame) -> DataFrame:
-    """(word, n): how often each word occurs; one row for each word of the corpus."""
+def _continuations(rows: DataFrame) -> DataFrame:
+    """(word, n): in how many distinct contexts each word of the corpus occurs; every round deals out a share of the bigrams, so that disk stays low."""
 
-    def count(batches):
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                word, n = np.unique(Words(batch.column("text")).word, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], names=["word", "n"])
+    def bigrams(of: int):
+        def find(batches):
+            for whole in batches:
+                for batch in slices(whole, "text"):
+                    w = Words(batch.column("text"))
+                    mine = w.pair % np.uint64(ROUNDS) == of
+                    pair, first = np.unique(w.pair[mine], return_index=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (pair, w.word[mine][first])], names=["pair", "word"])
+
+        return rows.mapInArrow(find, "pair long, word long").distinct()
 
-    return rows.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    parts = [materialize(bigrams(of).groupBy("word").agg(F.count("*").alias("n"))) for of in range(ROUNDS)]
+    return reduce(DataFrame.union, parts).groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _class_counts(rows: DataFrame) -> DataFrame:
@@ -104,25 +116,27 @@ def train(docs: DataFrame, labels: DataFrame, docs_per_class: int = 10_000, max_
     """Both models and their shared backoff (broadcast) and the logistic fit; None without labelled rows of both classes."""
     counted = materialize(_class_counts(_labelled(docs, labels, "r < 2", docs_per_class)))
     kinds = ["toxic", "ordinary"]
-    summed = [F.sum(k).alias(k) for k in kinds]
+    contexts = [F.count_if(F.col(k) > 0).alias(k) for k in kinds]
     corpus = docs.filter(remainder() != 2).select(F.coalesce("text", F.lit("")).alias("text"))
     nothing = [F.lit(0).cast("long").alias(k) for k in kinds]
-    both = _corpus_counts(corpus).select("word", "n", *nothing).union(counted.select("word", F.lit(0).cast("long"), *kinds))
-    words = materialize(both.groupBy("word").agg(F.sum("n").alias("n"), *summed))
-    all_words = words.agg(F.sum("n").alias("n"), F.count("*").alias("types"), *summed).first()
+    both = _continuations(corpus).select("word", "n", *nothing)
+    both = both.union(counted.groupBy("word").agg(*contexts).select("word", F.lit(0).cast("long"), *kinds))
+    words = materialize(both.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n", *kinds)]))
+    all_words = words.agg(F.sum("n").alias("n"), F.count("*").alias("types"), *[F.sum(k).alias(k) for k in kinds]).first()
     if not all_words["toxic"] or not all_words["ordinary"]:
         return None
-    beyond = [F.sum(F.greatest(F.col(k) - F.lit(DISCOUNT), F.lit(0.0))).alias(f"{k}_left") for k in kinds]
+    sums = [F.sum(k).alias(f"{k}_sum") for k in kinds]
+    spare = [F.sum(F.least(F.col(k).cast("double"), F.lit(DISCOUNT))).alias(f"{k}_freed") for k in kinds]
     word_keys, found = _collect(words.filter("toxic + ordinary > 0"), "word", ["n", *kinds])
-    context_keys, held = _collect(counted.groupBy("context").agg(*summed, *beyond), "context", [*kinds, *[f"{k}_left" for k in kinds]])
+    context_keys, held = _collect(counted.groupBy("context").agg(*sums, *spare), "context", [f"{k}_{x}" for x in ("sum", "freed") for k in kinds])
     pair_keys, pairs = _collect(counted.filter((F.col("toxic") > DISCOUNT) | (F.col("ordinary") > DISCOUNT)), "pair", kinds)
     # A word that neither class holds has the same background in both models, so any value serves.
     background = np.append((found[0, :-1].astype(float) + 0.5) / (all_words["n"] + 0.5 * all_words["types"]), 1.0)
     total, left = found[1:].sum(1, keepdims=True, dtype=float), np.maximum(found[1:] - DISCOUNT, 0)
     unigram = left / total + (1 - left.sum(1, keepdims=True, dtype=float) / total) * background
-    freed = np.where(held[:2] > 0, 1 - held[2:] / np.maximum(held[:2], 1), 1)
+    freed = np.where(held[:2] > 0, held[2:] / np.maximum(held[:2], 1), 1)
     model = {
-        "words": word_keys, "unigram": unigram, "pair_keys": pair_keys, "pairs": pairs,
+        "words": word_keys, "unigram": unigram, "pair_keys": pair_keys, "pairs": np.maximum(pairs - DISCOUNT, 0),
         "context_keys": context_keys, "contexts": held[:2], "freed": freed.astype(np.float32),
     }
     fit_rows = _labelled(docs, labels, "r = 3", max_fit_docs // 2)
@@ -165,7 +179,7 @@ def features(texts: pa.Array, model: dict) -> np.ndarray:
     logs = []
     word, context, pair = lookup(model["words"], s.word), lookup(model["context_keys"], s.context), lookup(model["pair_keys"], s.pair)
     for k in (0, 1):
-        mass = np.maximum(model["pairs"][k][pair] - DISCOUNT, 0) / np.maximum(model["contexts"][k][context], 1)
+        mass = model["pairs"][k][pair] / np.maximum(model["contexts"][k][context], 1)
         logs.append(np.log(mass + model["freed"][k][context] * model["unigram"][k][word]))
     gain = np.clip(logs[0] - logs[1], -6, 6)
     lines = np.cumsum(b.data == 10)
