@@ -1,160 +1,237 @@
 """Toxicity by class-conditional Kneser-Ney language models.
 
-Two word-bigram models, one of toxic and one of ordinary documents, use interpolated Kneser-Ney smoothing: discounted bigram
-counts back off to discounted continuation counts of the class (in how many distinct contexts a word occurs), and those to
-continuation counts that both classes share. The discount is not that of Kneser and Ney, which is below 1: it is ``DISCOUNT``,
-so what a class holds that often or less is no evidence; the README has the figures for both. The shared counts are gathered
-from all documents that are not held out, so they follow the corpus; a rare expression that neither class knows costs both
-models the same. Every line gets the length-normalised difference of its toxic and ordinary
-log-likelihood; the document's mean difference and its strongest line become a probability by a logistic fit on labelled
-rows that the counts did not use (remainder 3).
-
-Words and bigrams are counted by their whole 64-bit hash. The shared counts are a table with a row for each word of the
-corpus. Words that neither class holds cost both models the same shared factor, so only words and bigrams with class evidence
-are broadcast, with the shared counts of these words: as many as the labelled sample has. Class counts come from a bounded
-sample of labelled rows (``docs_per_class`` of remainders 0 and 1 for each class), the logistic fit from at most
-``max_fit_docs``.
+Two models spell words byte by byte, one as toxic and one as ordinary documents do: interpolated Kneser-Ney over the last
+``ORDER`` bytes of a lower-cased word and its edges. The highest order holds counts; the orders below hold continuation counts
+(before how many distinct bytes an n-gram occurs; n-grams at the edge of a word, which nothing precedes, keep their counts).
+Discounts are estimated for each order from counts of counts and lie below 1 for an n-gram seen once. Orders above ``SHARED``
+belong to each class; from ``SHARED`` downwards both classes back off to the same continuation counts, gathered from all
+documents that are not held out, so a rare expression costs both models the same until a class shows how it goes on. A word
+that training never saw is judged by the parts that it shares with toxic or ordinary words.
+
+A document is the length-normalised difference of its toxic and ordinary log-likelihood, as a whole and for its strongest
+line, with the excess of clearly toxic words; a logistic fit on labelled rows that the counts did not use (remainder 3) turns
+these into a probability.
+
+N-grams of up to seven bytes are exact keys: the bytes themselves and their number in one long. Class counts come from a
+bounded sample of labelled rows (remainders 0 and 1, at most ``docs_per_class`` and ``bytes_per_class``), the fit from at most
+``max_fit_docs``. The counts of the corpus are tables that Spark groups; only those of n-grams that a class can distinguish
+are broadcast, so what is broadcast is as large as the n-grams of the sample: where neither class holds an n-gram, its
+shared probability cancels.
 
 Defined results: null and word-less texts get the score of the base rate alone; without labelled rows of both classes every
-score is 0; rows labelled both ways count as toxic; repeated rows are judged alike; extra columns are ignored by ``report``
-and passed through by ``annotate``.
+score is 0; rows labelled both ways count as toxic; repeated rows are judged alike; an empty table gives an empty result;
+rows with a null doc_id are scored, and count as not held out as the empty id is; extra columns are ignored by ``report`` and
+passed through by ``annotate``.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidecohort.llm.common import add_struct, bounded_sample, materialize, remainder, struct_array
-from tidecohort.llm.vectext import NO_LETTER, Batch, lookup, mix, slices
-
-#: Counts up to this are rare: they are discounted away and left to the shared counts.
-DISCOUNT = 4.0
-#: Rounds in which the distinct bigrams of the corpus are found.
-ROUNDS = 4
+from tidecohort.llm.vectext import NO_LETTER, Batch, lookup, slices
+
+U = np.uint64
+#: Longest n-gram in bytes; with the number of its bytes it fills a long.
+ORDER = 7
+#: Orders up to this have one table of continuation counts for both classes.
+SHARED = 3
+#: The edge of a word.
+EDGE = 32
 #: A word is clearly toxic when its log-likelihoods differ by more than this.
 CLEAR = 2.0
+KINDS = ("toxic", "ordinary")
 FIELDS = T.StructType([T.StructField("score", T.DoubleType())])
-N_FEATURES = 5
+N_FEATURES = 6
 
 
 class Words:
-    """Word hashes of a batch of texts, the hash of the word before each (0 at the start) and the hash of both."""
+    """Word positions of a batch of texts; ``distinct`` are the places of one word of each spelling, ``which`` maps words to them."""
 
     def __init__(self, texts: pa.Array):
         b = Batch(pc.utf8_lower(texts))
         b.words(NO_LETTER)
-        self.word = b.word_hashes()
-        self.batch, self.n = b, len(self.word)
-        self.context = np.zeros(self.n, np.uint64)
-        self.context[1:] = np.where(b.doc[1:] == b.doc[:-1], self.word[:-1], 0)
-        with np.errstate(over="ignore"):
-            self.pair = mix(self.context * np.uint64(3) + self.word)
+        self.batch, self.n = b, len(b.starts)
+        _, self.distinct, self.which = np.unique(b.word_hashes(), return_index=True, return_inverse=True)
+
+    def spelled(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(bytes with an edge on both sides, owner: index into ``distinct``, place in the word) of the distinct words."""
+        starts, sizes = self.batch.starts[self.distinct], (self.batch.ends - self.batch.starts)[self.distinct] + 2
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        place = np.arange(len(owner)) - (np.cumsum(sizes) - sizes)[owner]
+        edge = (place == 0) | (place == sizes[owner] - 1)
+        at = np.where(edge, 0, starts[owner] + place - 1)
+        return np.where(edge, EDGE, self.batch.data[at]).astype(U), owner, place
 
 
-def _continuations(rows: DataFrame) -> DataFrame:
-    """(word, n): in how many distinct contexts each word of the corpus occurs; every round deals out a share of the bigrams, so that disk stays low."""
+def grams(symbols: np.ndarray, n: int) -> np.ndarray:
+    """Keys of the n-grams that end at each symbol: their bytes, and n in the highest byte."""
+    key = np.full(len(symbols), U(n) << U(56))
+    for k in range(min(n, len(symbols))):
+        key[k:] |= symbols[: len(symbols) - k] << U(8 * k)
+    return key
 
-    def bigrams(of: int):
-        def find(batches):
-            for whole in batches:
-                for batch in slices(whole, "text"):
-                    w = Words(batch.column("text"))
-                    mine = w.pair % np.uint64(ROUNDS) == of
-                    pair, first = np.unique(w.pair[mine], return_index=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (pair, w.word[mine][first])], names=["pair", "word"])
 
-        return rows.mapInArrow(find, "pair long, word long").distinct()
+def _suffix(key: Column, n: int) -> Column:
+    """The n-gram without its first byte."""
+    return key.bitwiseAND(F.lit((1 << 8 * (n - 1)) - 1)).bitwiseOR(F.lit((n - 1) << 56))
 
-    parts = [materialize(bigrams(of).groupBy("word").agg(F.count("*").alias("n"))) for of in range(ROUNDS)]
-    return reduce(DataFrame.union, parts).groupBy("word").agg(F.sum("n").alias("n"))
 
+def _context(key: Column, n: int) -> Column:
+    """The n-gram without its last byte."""
+    return F.shiftright(key.bitwiseAND(F.lit((1 << 56) - 1)), 8).bitwiseOR(F.lit((n - 1) << 56))
 
-def _class_counts(rows: DataFrame) -> DataFrame:
-    """(pair, context, word, toxic, ordinary): how often both classes hold each bigram; rows have text and toxic."""
+
+def counted(rows: DataFrame, order: int, weights: list[str]) -> DataFrame:
+    """(key, *weights): counts of the n-grams of the highest order and of the shorter ones at the edge of a word.
+
+    ``rows`` has ``text`` and, for each weight, a column that says how much one occurrence in the row counts.
+    """
 
     def count(batches):
         for whole in batches:
             for batch in slices(whole, "text"):
                 w = Words(batch.column("text"))
-                toxic = np.asarray(batch.column("toxic"))[w.batch.doc] > 0
-                found, first, of = np.unique(w.pair, return_index=True, return_inverse=True)
-                counts = [np.bincount(of[kind], minlength=len(found)) for kind in (toxic, ~toxic)]
-                columns = [*[x.view(np.int64) for x in (found, w.context[first], w.word[first])], *counts]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["pair", "context", "word", "toxic", "ordinary"])
-
-    out = rows.mapInArrow(count, "pair long, context long, word long, toxic long, ordinary long")
-    return out.groupBy("pair", "context", "word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+                symbols, owner, place = w.spelled()
+                factor = [np.asarray(batch.column(c)).astype(np.int64) for c in weights]
+                often = [np.bincount(w.which, f[w.batch.doc], minlength=len(w.distinct)).astype(np.int64) for f in factor]
+                at_edge = [np.flatnonzero(place == n - 1) for n in range(2, order)]
+                places = np.concatenate([*at_edge, np.flatnonzero(place >= order - 1)])
+                keys = np.concatenate([*[grams(symbols, n)[at] for n, at in zip(range(2, order), at_edge, strict=True)], grams(symbols, order)[place >= order - 1]])
+                found, of = np.unique(keys, return_inverse=True)
+                sums = [np.bincount(of, o[owner[places]], minlength=len(found)).astype(np.int64) for o in often]
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), *[pa.array(s) for s in sums]], names=["key", *weights])
+
+    out = rows.mapInArrow(count, ", ".join(f"{c} long" for c in ("key", *weights)))
+    return out.groupBy("key").agg(*[F.sum(c).alias(c) for c in weights])
+
+
+def _of_order(table: DataFrame, n: int) -> DataFrame:
+    return table.filter(F.shiftright("key", 56) == n)
+
+
+def continued(above: DataFrame, edges: DataFrame, n: int, weights: list[str]) -> DataFrame:
+    """(key, *weights) of order ``n``: continuation counts from the n-grams of the order above, counts at the edge of a word."""
+    follow = above.select(_suffix(F.col("key"), n + 1).alias("key"), *[(F.col(c) > 0).cast("long").alias(c) for c in weights])
+    both = follow.unionByName(_of_order(edges, n).select("key", *weights)) if n > 1 else follow
+    return both.groupBy("key").agg(*[F.sum(c).alias(c) for c in weights])
+
+
+def discounts(table: DataFrame, weights: list[str]) -> list[tuple[float, float, float]]:
+    """For each weight the discounts of counts 1, 2 and above, from the numbers of n-grams seen once to four times."""
+    seen = table.agg(*[F.count_if(F.col(c) == i).alias(f"{c}_{i}") for c in weights for i in (1, 2, 3, 4)]).first()
+    out = []
+    for c in weights:
+        n = [0, *[seen[f"{c}_{i}"] for i in (1, 2, 3, 4)]]
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5
+        rule = [i - (i + 1) * y * n[i + 1] / n[i] if n[i] else i * y for i in (1, 2, 3)]
+        out.append(tuple(min(max(d, 0.05), i - 0.05) for i, d in enumerate(rule, 1)))
+    return out
 
 
-def _labelled(docs: DataFrame, labels: DataFrame, rule: str, per_class: int) -> DataFrame:
-    """(text, toxic) of at most ``per_class`` labelled documents of each class; their ids are broadcast."""
-    known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).withColumn("r", remainder()).filter(rule)
-    ids = bounded_sample(known.filter("toxic > 0"), "doc_id", per_class).union(bounded_sample(known.filter("toxic <= 0"), "doc_id", per_class))
-    ids = ids.select(F.col("doc_id").alias("of"), "toxic")
-    return docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("of")).select(F.coalesce("text", F.lit("")).alias("text"), "toxic")
+def _level(table: DataFrame, n: int, weights: list[str]) -> tuple[DataFrame, DataFrame]:
+    """What an order of a model is made of: (key, count less discount) and (context, total, discounted share)."""
+    spare = [F.when(F.col(c) <= 0, 0.0).when(F.col(c) == 1, d[0]).when(F.col(c) == 2, d[1]).otherwise(d[2]) for c, d in zip(weights, discounts(table, weights), strict=True)]
+    kept = table.select("key", *[(F.col(c) - s).alias(f"{c}_left") for c, s in zip(weights, spare, strict=True)], *[F.col(c).alias(f"{c}_all") for c in weights], *[s.alias(f"{c}_spare") for c, s in zip(weights, spare, strict=True)])
+    sums = [F.sum(f"{c}_all").cast("double").alias(f"{c}_total") for c in weights] + [F.sum(f"{c}_spare").alias(f"{c}_freed") for c in weights]
+    contexts = kept.groupBy(_context(F.col("key"), n).alias("context")).agg(*sums)
+    return kept.select("key", *[f"{c}_left" for c in weights]), contexts
 
 
-def _collect(rows: DataFrame, key: str, values: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of ``key`` and, for each value, an array that has one more element: the 0 of absent keys."""
-    found = rows.select(key, *values).toArrow()
-    keys = np.asarray(found[key]).view(np.uint64)
-    order = np.argsort(keys)
-    out = np.zeros((len(values), len(keys) + 1), np.float32)
+def _collect(rows: DataFrame, key: str) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys and the other columns (one row a column) with one element more: the 0 of absent keys."""
+    found = rows.toArrow()
+    keys = np.asarray(found[key]).view(U)
+    order, values = np.argsort(keys), [c for c in rows.columns if c != key]
+    out = np.zeros((len(values), len(keys) + 1))
     for i, value in enumerate(values):
         out[i, :-1] = np.asarray(found[value])[order]
     return keys[order], out
 
 
-def train(docs: DataFrame, labels: DataFrame, docs_per_class: int = 10_000, max_fit_docs: int = 4000) -> dict | None:
+def _probability(level: tuple, keys: np.ndarray, n: int, below: np.ndarray, kind: int = 0, kinds: int = 1) -> np.ndarray:
+    """Interpolated probability of the n-grams ``keys`` from one order and the probability ``below`` of their suffixes."""
+    (held, left), (contexts, sums) = level
+    context = lookup(contexts, ((keys & U((1 << 56) - 1)) >> U(8)) | (U(n - 1) << U(56)))
+    total, freed = sums[kind][context], sums[kinds + kind][context]
+    there = np.maximum(total, 1)
+    return np.where(total > 0, left[kind][lookup(held, keys)] / there + freed / there * below, below)
+
+
+def _sample(docs: DataFrame, labels: DataFrame, rule: str, per_class: int, most_bytes: int) -> DataFrame:
+    """(text, toxic, ordinary) of at most ``per_class`` labelled documents of each class and about ``most_bytes`` of text.
+
+    Documents come in the order of a hash of their id; their ids and sizes, as many as the bound says, are broadcast.
+    """
+    known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).withColumn("r", remainder()).filter(rule)
+    ids = bounded_sample(known.filter("toxic > 0"), "doc_id", per_class).union(bounded_sample(known.filter("toxic <= 0"), "doc_id", per_class))
+    ids = materialize(ids.select(F.col("doc_id").alias("of"), (F.col("toxic") > 0).alias("toxic")))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), F.col("doc_id") == F.col("of"))
+    sizes = rows.groupBy("of", "toxic").agg(F.sum(F.octet_length("text")).alias("size"))
+    before = F.sum("size").over(Window.partitionBy("toxic").orderBy(F.xxhash64(F.col("of").cast("string")), "of").rowsBetween(Window.unboundedPreceding, -1))
+    fit = materialize(sizes.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < most_bytes).select(F.col("of").alias("fits")))
+    chosen = rows.join(F.broadcast(fit), F.col("of") == F.col("fits"), "left_semi")
+    return chosen.select("text", F.col("toxic").cast("long").alias("toxic"), (~F.col("toxic")).cast("long").alias("ordinary"))
+
+
+def train(docs: DataFrame, labels: DataFrame, docs_per_class: int = 10_000, bytes_per_class: int = 64 << 20, max_fit_docs: int = 4000) -> dict | None:
     """Both models and their shared backoff (broadcast) and the logistic fit; None without labelled rows of both classes."""
-    counted = materialize(_class_counts(_labelled(docs, labels, "r < 2", docs_per_class)))
-    kinds = ["toxic", "ordinary"]
-    contexts = [F.count_if(F.col(k) > 0).alias(k) for k in kinds]
-    corpus = docs.filter(remainder() != 2).select(F.coalesce("text", F.lit("")).alias("text"))
-    nothing = [F.lit(0).cast("long").alias(k) for k in kinds]
-    both = _continuations(corpus).select("word", "n", *nothing)
-    both = both.union(counted.groupBy("word").agg(*contexts).select("word", F.lit(0).cast("long"), *kinds))
-    words = materialize(both.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n", *kinds)]))
-    all_words = words.agg(F.sum("n").alias("n"), F.count("*").alias("types"), *[F.sum(k).alias(k) for k in kinds]).first()
-    if not all_words["toxic"] or not all_words["ordinary"]:
+    kinds = list(KINDS)
+    edges = materialize(counted(_sample(docs, labels, "r < 2", docs_per_class, bytes_per_class), ORDER, kinds))
+    if edges.isEmpty() or not all(edges.agg(*[F.sum(k).alias(k) for k in kinds]).first()):
         return None
-    sums = [F.sum(k).alias(f"{k}_sum") for k in kinds]
-    spare = [F.sum(F.least(F.col(k).cast("double"), F.lit(DISCOUNT))).alias(f"{k}_freed") for k in kinds]
-    word_keys, found = _collect(words.filter("toxic + ordinary > 0"), "word", ["n", *kinds])
-    context_keys, held = _collect(counted.groupBy("context").agg(*sums, *spare), "context", [f"{k}_{x}" for x in ("sum", "freed") for k in kinds])
-    pair_keys, pairs = _collect(counted.filter((F.col("toxic") > DISCOUNT) | (F.col("ordinary") > DISCOUNT)), "pair", kinds)
-    # A word that neither class holds has the same background in both models, so any value serves.
-    background = np.append((found[0, :-1].astype(float) + 0.5) / (all_words["n"] + 0.5 * all_words["types"]), 1.0)
-    total, left = found[1:].sum(1, keepdims=True, dtype=float), np.maximum(found[1:] - DISCOUNT, 0)
-    unigram = left / total + (1 - left.sum(1, keepdims=True, dtype=float) / total) * background
-    freed = np.where(held[:2] > 0, held[2:] / np.maximum(held[:2], 1), 1)
-    model = {
-        "words": word_keys, "unigram": unigram, "pair_keys": pair_keys, "pairs": np.maximum(pairs - DISCOUNT, 0),
-        "context_keys": context_keys, "contexts": held[:2], "freed": freed.astype(np.float32),
-    }
-    fit_rows = _labelled(docs, labels, "r = 3", max_fit_docs // 2)
+    model, above = {}, _of_order(edges, ORDER)
+    for n in range(ORDER, SHARED, -1):
+        if n < ORDER:
+            above = materialize(continued(above, edges, n, kinds))
+        held, contexts = _level(above, n, kinds)
+        model[n] = (_collect(held, "key"), _collect(contexts, "context"))
+    asked = above.select(_suffix(F.col("key"), SHARED + 1).alias("asked")).union(_of_order(edges, SHARED).select(F.col("key").alias("asked"))).distinct()
+    model["base_keys"], model["base"] = shared_backoff(docs, asked)
+    fit_rows = _sample(docs, labels, "r = 3", max_fit_docs // 2, bytes_per_class)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def measure(batches):
         for whole in batches:
             for batch in slices(whole, "text"):
                 f = features(batch.column("text"), shared.value)
-                yield pa.RecordBatch.from_arrays([batch.column("toxic"), *[pa.array(f[:, i]) for i in range(1, N_FEATURES)]], names=["toxic", "a", "b", "c", "d"])
+                yield pa.RecordBatch.from_arrays([batch.column("toxic"), *[pa.array(f[:, i]) for i in range(1, N_FEATURES)]], names=["toxic", *names])
 
-    seen = fit_rows.mapInArrow(measure, "toxic int, a double, b double, c double, d double").toArrow().to_pandas().sort_values(["a", "b", "c", "d", "toxic"])
+    names = [f"f{i}" for i in range(1, N_FEATURES)]
+    seen = fit_rows.select("text", "toxic").mapInArrow(measure, "toxic long, " + ", ".join(f"{c} double" for c in names)).toArrow().to_pandas().sort_values([*names, "toxic"])
     learned = labels.filter(F.col("toxic").isNotNull() & (remainder() != 2)).agg(F.count_if(F.col("toxic") > 0).alias("toxic"), F.count("*").alias("rows")).first()
     rate = (learned["toxic"] + 1) / (learned["rows"] + 2)
-    fit = _logistic(seen[["a", "b", "c", "d"]].to_numpy(), (seen["toxic"] > 0).to_numpy(), rate)
+    fit = _logistic(seen[names].to_numpy(), (seen["toxic"] > 0).to_numpy(), rate)
     return {"shared": shared, "fit": fit}
 
 
+def shared_backoff(docs: DataFrame, asked: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Probability of each of the asked n-grams of order ``SHARED`` by continuation counts of all documents not held out.
+
+    The n-grams of the corpus stay tables; those asked for and the shorter ones they need reach the driver.
+    """
+    corpus = docs.filter(remainder() != 2).select(F.coalesce("text", F.lit("")).alias("text"), F.lit(1).cast("long").alias("n"))
+    edges = materialize(counted(corpus, SHARED + 1, ["n"]))
+    above, levels, wanted = _of_order(edges, SHARED + 1), {}, materialize(asked)
+    needed = wanted
+    for n in range(SHARED, 0, -1):
+        above = materialize(continued(above, edges, n, ["n"]))
+        held, contexts = _level(above, n, ["n"])
+        here = needed.select(_context(F.col("asked"), n).alias("of")).distinct()
+        levels[n] = (_collect(held.join(needed, F.col("key") == F.col("asked"), "left_semi"), "key"), _collect(contexts.join(here, F.col("context") == F.col("of"), "left_semi"), "context"))
+        needed = needed.select(_suffix(F.col("asked"), n).alias("asked")).distinct() if n > 1 else needed
+    keys = np.sort(np.asarray(wanted.toArrow()["asked"]).view(U))
+    out = np.full(len(keys), 1 / 256)
+    for n in range(1, SHARED + 1):
+        out = _probability(levels[n], (keys & U((1 << 8 * n) - 1)) | (U(n) << U(56)), n, out)
+    return keys, np.append(out, 1.0)
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, rate: float, ridge: float = 1e-2) -> np.ndarray:
     """Newton steps on the penalised likelihood; rows weigh so that classes have their share of the corpus."""
     x = np.column_stack([np.ones(len(x)), x])
@@ -169,32 +246,47 @@ def _logistic(x: np.ndarray, y: np.ndarray, rate: float, ridge: float = 1e-2) ->
     return theta
 
 
+def log_likelihoods(words: Words, model: dict) -> list[np.ndarray]:
+    """For both classes the log-likelihood of each distinct word.
+
+    The first ``SHARED`` bytes of a word cost both classes the same and are left out, as are shared factors that cancel.
+    """
+    symbols, owner, place = words.spelled()
+    keys = {n: grams(symbols, n) for n in range(SHARED, ORDER + 1)}
+    told = place >= SHARED
+    base = np.append(model["base"][:-1], 1.0)[lookup(model["base_keys"], keys[SHARED][told])]
+    out = []
+    for kind in range(len(KINDS)):
+        p = np.ones(len(symbols))
+        p[told] = base
+        for n in range(SHARED + 1, ORDER + 1):
+            at = place >= n - 1
+            p[at] = _probability(model[n], keys[n][at], n, p[at], kind, len(KINDS))
+        out.append(np.bincount(owner, np.log(p), minlength=len(words.distinct)))
+    return out
+
+
 def features(texts: pa.Array, model: dict) -> np.ndarray:
-    """Per document: 1, mean difference per word, strongest line by mean and by clear differences, all clear differences."""
-    s = Words(texts)
-    b, out = s.batch, np.zeros((s.batch.n, N_FEATURES))
+    """Per document: 1, mean difference per word, strongest line by mean and by clear words, all clear words: their log and per word."""
+    w = Words(texts)
+    b, out = w.batch, np.zeros((w.batch.n, N_FEATURES))
     out[:, 0] = 1
-    if not s.n:
+    if not w.n:
         return out
-    logs = []
-    word, context, pair = lookup(model["words"], s.word), lookup(model["context_keys"], s.context), lookup(model["pair_keys"], s.pair)
-    for k in (0, 1):
-        mass = model["pairs"][k][pair] / np.maximum(model["contexts"][k][context], 1)
-        logs.append(np.log(mass + model["freed"][k][context] * model["unigram"][k][word]))
-    gain = np.clip(logs[0] - logs[1], -6, 6)
+    toxic, ordinary = log_likelihoods(w, model)
+    gain = np.clip(toxic - ordinary, -20, 20)[w.which]
     lines = np.cumsum(b.data == 10)
-    line = lines[b.starts] + b.doc
-    _, line = np.unique(line, return_inverse=True)
+    _, line = np.unique(lines[b.starts] + b.doc, return_inverse=True)
     n_line = np.bincount(line)
-    mean_line = np.bincount(line, gain) / (n_line + 4)
-    strong = np.bincount(line, np.maximum(gain - CLEAR, 0)) / (n_line + 4)
+    excess = np.maximum(gain - CLEAR, 0)
     of = np.zeros(len(n_line), np.int64)
     of[line] = b.doc
     words = np.bincount(b.doc, minlength=b.n)
     out[:, 1] = np.bincount(b.doc, gain, minlength=b.n) / (words + 4)
-    np.maximum.at(out[:, 2], of, mean_line)
-    np.maximum.at(out[:, 3], of, strong)
-    out[:, 4] = np.log1p(np.bincount(b.doc, np.maximum(gain - CLEAR, 0), minlength=b.n))
+    np.maximum.at(out[:, 2], of, np.bincount(line, gain) / (n_line + 4))
+    np.maximum.at(out[:, 3], of, np.bincount(line, excess) / (n_line + 4))
+    total = np.bincount(b.doc, excess, minlength=b.n)
+    out[:, 4], out[:, 5] = np.log1p(total), total / (words + 4)
     return out
 
 

@@ -1,8 +1,9 @@
 """Vectorised text primitives: whole Arrow batches of texts as flat byte, word and hash arrays.
 
-A batch of texts is one byte buffer. Every substring hash is a difference of prefix sums of ``table[byte] * base**i``
-(modulo 2**64) shifted back to position 0 and mixed, so words, shingles and k-grams of any position cost a few array
-operations and no Python loop. Work is done per batch; long batches are split by bytes so that memory stays bounded.
+A batch of texts is one byte buffer. Words and lines, which do not overlap, are hashed by an inner product of their bytes'
+random numbers with a random number for each place (modulo 2**64): no pattern of bytes cancels, as it can in a polynomial.
+Short substrings that do overlap (k-grams) get a polynomial by prefix sums. Both cost a few array operations and no Python
+loop. Work is done per batch; long batches are split by bytes so that memory stays bounded.
 """
 
 from __future__ import annotations
@@ -76,8 +77,24 @@ class Batch:
         self.first = np.searchsorted(self.starts, self.offsets)
         self.doc = np.repeat(np.arange(self.n), np.diff(self.first))
 
+    def segment_hashes(self, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
+        """64-bit hash of each of the byte ranges [start, end), which come in order and do not overlap; salts are independent."""
+        if not len(starts):
+            return np.zeros(0, _U)
+        sizes = ends - starts
+        inside = np.zeros(len(self.data) + 1, np.int64)
+        begins = starts[sizes > 0]
+        place = np.arange(len(self.data))
+        inside[begins] = begins - np.concatenate([[0], begins[:-1]])
+        place = place - np.cumsum(inside[:-1])
+        sums = np.zeros(len(self.data) + 1, _U)
+        with np.errstate(over="ignore"):
+            weights = mix(np.arange(int(sizes.max()) + 1, dtype=_U) + _U(salt << 40)) | _U(1)
+            np.cumsum(_TABLE[self.data] * weights[np.minimum(place, len(weights) - 1)], out=sums[1:])
+            return mix(sums[ends] - sums[starts] + mix(sizes.astype(_U)))
+
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """64-bit hash of each byte range [start, end)."""
+        """64-bit hash of each of the byte ranges [start, end); ranges may overlap and should be short (see above)."""
         if self._sums is None:
             n = len(self.data)
             sums = np.zeros(n + 1, _U)
@@ -87,8 +104,8 @@ class Batch:
         with np.errstate(over="ignore"):
             return mix((self._sums[ends] - self._sums[starts]) * _power("inverse", _INVERSE, len(self.data) + 1)[starts])
 
-    def word_hashes(self) -> np.ndarray:
-        return self.hashes(self.starts, self.ends)
+    def word_hashes(self, salt: int = 0) -> np.ndarray:
+        return self.segment_hashes(self.starts, self.ends, salt)
 
 
 def shingles(hashes: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
