@@ -3,6 +3,7 @@
 import hashlib
 import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -258,48 +259,90 @@ def test_toxicity_edges(spark):
     assert toxicity.report(docs, table(spark, "labels")).toPandas()["score"].between(0, 1).all()
 
 
-def toy_corpus(spark, bad="vile", good="kind"):
-    """400 labelled documents, every other one toxic."""
-    docs = texts(spark, *[f"the {bad if i % 2 else good} word {'rant' if i % 2 else 'note'} of day" for i in range(400)])
-    return docs, spark.createDataFrame([(i, 1, i % 2) for i in range(400)], "doc_id long, quality int, toxic int")
-
-
-def test_toxicity_tells_words_with_like_hashes_apart(spark):
-    letters = [chr(97 + i) for i in range(26)]
-    words = pa.array([f"{a}{b}{c}{d}{e}" for a in letters[:8] for b in letters for c in letters for d in letters for e in letters[:16]] + ["vile"])
-    b = Batch(words)
-    slot = b.hashes(b.offsets[:-1], b.offsets[1:]) >> np.uint64(46)
-    like, other = words[int(np.flatnonzero(slot[:-1] == slot[-1])[0])].as_py(), words[int(np.flatnonzero(slot != slot[-1])[0])].as_py()
-    score = lambda good: toxicity.report(*toy_corpus(spark, good=good)).orderBy("doc_id").toPandas()["score"]
-    np.testing.assert_allclose(score(like), score(other))
+def test_ngram_keys_are_the_bytes_themselves():
+    w = toxicity.Words(pa.array(["Idiöt x", "x", None]))
+    symbols, owner, place = w.spelled()
+    keys = toxicity.grams(symbols, 4)
+    spell = {bytes(int(k) >> 8 * i & 255 for i in (3, 2, 1, 0)) for k in keys[place >= 3]}
+    assert spell == {b" idi", b"idi\xc3", b"di\xc3\xb6", b"i\xc3\xb6t", b"\xc3\xb6t "} and {int(k) >> 56 for k in keys} == {4}
+    assert len(w.distinct) == 2 and w.which.tolist()[1] == w.which.tolist()[2]
+
+
+def spelled_counts(values):
+    """n-gram counts of words, as the highest order and word edges hold them."""
+    out = Counter()
+    for text in values:
+        for word in re.findall(r"[^\x00-\x40\x5b-\x60\x7b-\x7f]+", (text or "").lower()):
+            full = b" " + word.encode() + b" "
+            out.update(full[max(0, at - toxicity.ORDER + 1) : at + 1] for at in range(1, len(full)))
+    return out
+
+
+class KneserNey:
+    """Textbook modified Kneser-Ney in dictionaries; orders up to ``shared`` come from another such model."""
+
+    def __init__(self, values, order=toxicity.ORDER, below=None, shared=0):
+        top, self.levels, self.below, self.shared, self.order = Counter(), {}, below, shared, order
+        for gram, n in spelled_counts(values).items():
+            top[gram[-order:] if len(gram) > order or not gram.startswith(b" ") else gram] += n
+        for n in range(order, shared, -1):
+            here = Counter({g: c for g, c in top.items() if len(g) == n}) if n == order or n > 1 else Counter()
+            if n < order:
+                here.update(Counter(g[1:] for g in previous))
+            seen = [sum(c == i for c in here.values()) for i in range(5)]
+            y = seen[1] / (seen[1] + 2 * seen[2]) if seen[1] else 0.5
+            cut = [min(max(i - (i + 1) * y * seen[i + 1] / seen[i] if seen[i] else i * y, 0.05), i - 0.05) for i in (1, 2, 3)]
+            self.levels[n], previous = (here, {g: cut[min(c, 3) - 1] for g, c in here.items()}), here
+
+    def p(self, gram):
+        n = len(gram)
+        if not n:
+            return 1 / 256
+        if n <= self.shared:
+            return self.below.p(gram)
+        here, cut = self.levels[n]
+        lower = self.p(gram[1:])
+        held = [g for g in here if g[:-1] == gram[:-1]]
+        if not held:
+            return lower
+        return (here[gram] - cut[gram] if gram in here else 0) / sum(here[g] for g in held) + sum(cut[g] for g in held) / sum(here[g] for g in held) * lower
 
 
 def test_toxicity_equals_kneser_ney_by_brute_force(spark):
-    values = ["a b a c", "a b d", "vile b", "a c a c e", "kind b e", *[f"{c} e {c} b d" for c in "fghijklmno"]] * 4
+    rng = np.random.default_rng(12)
+    parts = ["low", "ei", "schaft", "ung", "stra", "ver", "kind", "é"]
+    values = [" ".join("".join(rng.choice(parts, rng.integers(1, 4))) for _ in range(rng.integers(1, 9))) for _ in range(50)] + [None, ""]
     docs = texts(spark, *values)
     labels = spark.createDataFrame([(i, 1, int(i % 5 < 3)) for i in range(len(values))], "doc_id long, quality int, toxic int")
     model = toxicity.train(docs, labels)["shared"].value
-    bigrams = lambda keep: [x for i, t in enumerate(values) if keep(i, zlib.crc32(str(i).encode()) % 4) for x in zip(["", *t.split()], t.split())]  # noqa: E731, B905
-    corpus = set(bigrams(lambda i, r: r != 2))
-    vocabulary = {w for _, w in corpus}
-    shared = {w: (sum(x[1] == w for x in corpus) + 0.5) / (len(corpus) + 0.5 * len(vocabulary)) for w in vocabulary}
-
-    for k, toxic in enumerate((True, False)):
-        seen = bigrams(lambda i, r, toxic=toxic: r < 2 and (i % 5 < 3) == toxic)
-        n = {x: seen.count(x) for x in seen}
-        contexts = {w: sum(x[1] == w for x in n) for w in vocabulary}
-        left = lambda c: max(c - toxicity.DISCOUNT, 0)
-        back = {w: left(c) / len(n) + (1 - sum(map(left, contexts.values())) / len(n)) * shared[w] for w, c in contexts.items()}
-        assert max(contexts.values()) > toxicity.DISCOUNT
-        assert sum(back.values()) == pytest.approx(1)
-        for text in set(values):
-            w = toxicity.Words(pa.array([text]))
-            at = [toxicity.lookup(model[key], x) for key, x in (("words", w.word), ("context_keys", w.context), ("pair_keys", w.pair))]
-            ours = model["pairs"][k][at[2]] / np.maximum(model["contexts"][k][at[1]], 1) + model["freed"][k][at[1]] * model["unigram"][k][at[0]]
-            for before, word, p in zip(["", *text.split()], text.split(), ours):  # noqa: B905
-                held = [c for x, c in n.items() if x[0] == before]
-                expected = (left(n.get((before, word), 0)) + (sum(held) - sum(map(left, held))) * back[word]) / sum(held) if held else back[word]
-                assert p == pytest.approx(expected, rel=1e-5)
+    of = lambda i: zlib.crc32(str(i).encode()) % 4
+    corpus = KneserNey([t for i, t in enumerate(values) if of(i) != 2], toxicity.SHARED + 1)
+    kinds = [KneserNey([t for i, t in enumerate(values) if of(i) < 2 and (i % 5 < 3) == toxic], below=corpus, shared=toxicity.SHARED) for toxic in (True, False)]
+    for text in {*values, "lowunseen kindly"} - {None, ""}:
+        w = toxicity.Words(pa.array([text]))
+        toxic, ordinary = toxicity.log_likelihoods(w, model)
+        for at, gain in zip(w.distinct, toxic - ordinary, strict=True):
+            full = b" " + w.batch.data[w.batch.starts[at] : w.batch.ends[at]].tobytes() + b" "
+            grams = [full[max(0, x - toxicity.ORDER + 1) : x + 1] for x in range(1, len(full))]
+            assert gain == pytest.approx(sum(np.log(kinds[0].p(g) / kinds[1].p(g)) for g in grams), abs=1e-6)
+
+
+def test_kneser_ney_is_a_distribution():
+    model = KneserNey(["aab abc aac", "abb cab"], 3)
+    symbols = set(b" abc")
+    for before in (b"", b" ", b" a", b"ab", b"ca", b"zz"):
+        assert sum(model.p(before + bytes([x])) for x in symbols) + (256 - len(symbols)) * model.p(before + b"!") == pytest.approx(1)
+
+
+def test_toxicity_catches_unseen_inflections_of_rare_expressions(spark):
+    rng = np.random.default_rng(4)
+    ends = ["a", "en", "ung", "lich", "o", "ist", "ar"]
+    plain = lambda: " ".join("".join(rng.choice(["mar", "tel", "son", "dri", "ka"], 2)) + str(rng.choice(ends)) for _ in range(40))
+    values = [plain() + (f" vexu{ends[i % 4]} " + plain() if i % 2 else "") for i in range(400)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(400)], "doc_id long, quality int, toxic int")
+    asked = [plain() + " vexuist " + plain(), plain() + " vexuaren", plain(), plain()]
+    score = toxicity.annotate(texts(spark, *asked), toxicity.train(texts(spark, *values), labels)).orderBy("doc_id").toPandas()["toxicity"]
+    assert min(score[0]["score"], score[1]["score"]) > 0.5 > max(score[2]["score"], score[3]["score"])
 
 
 def test_language_on_held_out_documents(spark):

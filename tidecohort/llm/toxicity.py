@@ -13,8 +13,8 @@ line, with the excess of clearly toxic words; a logistic fit on labelled rows th
 these into a probability.
 
 N-grams of up to seven bytes are exact keys: the bytes themselves and their number in one long. Class counts come from a
-bounded sample of labelled rows (remainders 0 and 1, at most ``docs_per_class`` and ``bytes_per_class``), the fit from at most
-``max_fit_docs``. The counts of the corpus are tables that Spark groups; only those of n-grams that a class can distinguish
+bounded sample of labelled rows (remainders 0 and 1, at most ``docs_per_class`` of up to ``max_train_bytes`` each), the fit from at
+most ``max_fit_docs``. The counts of the corpus are tables that Spark groups; only those of n-grams that a class can distinguish
 are broadcast, so what is broadcast is as large as the n-grams of the sample: where neither class holds an n-gram, its
 shared probability cancels.
 
@@ -29,7 +29,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,7 +40,7 @@ U = np.uint64
 #: Longest n-gram in bytes; with the number of its bytes it fills a long.
 ORDER = 7
 #: Orders up to this have one table of continuation counts for both classes.
-SHARED = 3
+SHARED = 2
 #: The edge of a word.
 EDGE = 32
 #: A word is clearly toxic when its log-likelihoods differ by more than this.
@@ -57,16 +57,17 @@ class Words:
         b = Batch(pc.utf8_lower(texts))
         b.words(NO_LETTER)
         self.batch, self.n = b, len(b.starts)
-        _, self.distinct, self.which = np.unique(b.word_hashes(), return_index=True, return_inverse=True)
+        self.hashes, self.distinct, self.which = np.unique(b.word_hashes(), return_index=True, return_inverse=True)
 
-    def spelled(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(bytes with an edge on both sides, owner: index into ``distinct``, place in the word) of the distinct words."""
-        starts, sizes = self.batch.starts[self.distinct], (self.batch.ends - self.batch.starts)[self.distinct] + 2
+    def spelled(self, chosen: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(bytes with an edge on both sides, owner: index into the chosen, place in the word) of the chosen distinct words."""
+        at = self.distinct[chosen]
+        starts, sizes = self.batch.starts[at], (self.batch.ends - self.batch.starts)[at] + 2
         owner = np.repeat(np.arange(len(sizes)), sizes)
         place = np.arange(len(owner)) - (np.cumsum(sizes) - sizes)[owner]
         edge = (place == 0) | (place == sizes[owner] - 1)
-        at = np.where(edge, 0, starts[owner] + place - 1)
-        return np.where(edge, EDGE, self.batch.data[at]).astype(U), owner, place
+        inner = np.where(edge, 0, starts[owner] + place - 1)
+        return np.where(edge, EDGE, self.batch.data[inner]).astype(U), owner, place
 
 
 def grams(symbols: np.ndarray, n: int) -> np.ndarray:
@@ -122,16 +123,17 @@ def continued(above: DataFrame, edges: DataFrame, n: int, weights: list[str]) ->
     return both.groupBy("key").agg(*[F.sum(c).alias(c) for c in weights])
 
 
+def _discount(seen: list[int]) -> tuple[float, float, float]:
+    n = [0, *seen]
+    y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5
+    rule = [i - (i + 1) * y * n[i + 1] / n[i] if n[i] else i * y for i in (1, 2, 3)]
+    return tuple(min(max(d, 0.05), i - 0.05) for i, d in enumerate(rule, 1))
+
+
 def discounts(table: DataFrame, weights: list[str]) -> list[tuple[float, float, float]]:
     """For each weight the discounts of counts 1, 2 and above, from the numbers of n-grams seen once to four times."""
     seen = table.agg(*[F.count_if(F.col(c) == i).alias(f"{c}_{i}") for c in weights for i in (1, 2, 3, 4)]).first()
-    out = []
-    for c in weights:
-        n = [0, *[seen[f"{c}_{i}"] for i in (1, 2, 3, 4)]]
-        y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5
-        rule = [i - (i + 1) * y * n[i + 1] / n[i] if n[i] else i * y for i in (1, 2, 3)]
-        out.append(tuple(min(max(d, 0.05), i - 0.05) for i, d in enumerate(rule, 1)))
-    return out
+    return [_discount([seen[f"{c}_{i}"] for i in (1, 2, 3, 4)]) for c in weights]
 
 
 def _level(table: DataFrame, n: int, weights: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -154,46 +156,58 @@ def _collect(rows: DataFrame, key: str) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], out
 
 
-def _probability(level: tuple, keys: np.ndarray, n: int, below: np.ndarray, kind: int = 0, kinds: int = 1) -> np.ndarray:
-    """Interpolated probability of the n-grams ``keys`` from one order and the probability ``below`` of their suffixes."""
+def _sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct sorted keys and the sums of the values (one row a kind) of each."""
+    found, of = np.unique(keys, return_inverse=True)
+    return found, np.stack([np.bincount(of, v, minlength=len(found)) for v in values])
+
+
+def class_levels(keys: np.ndarray, counts: np.ndarray) -> dict:
+    """The orders above ``SHARED`` of both classes from the n-grams that ``counted`` gives for the bounded sample."""
+    order_of, out, kinds = (keys >> U(56)).astype(int), {}, len(counts)
+    above, held = keys[order_of == ORDER], counts[:, order_of == ORDER]
+    for n in range(ORDER, SHARED, -1):
+        if n < ORDER:
+            follow = (above & U((1 << 8 * n) - 1)) | (U(n) << U(56))
+            above, held = _sums(np.concatenate([follow, keys[order_of == n]]), np.concatenate([held > 0, counts[:, order_of == n]], axis=1))
+        cut = np.stack([np.append(0.0, _discount([int((c == i).sum()) for i in (1, 2, 3, 4)])) for c in held])
+        spare = np.stack([cut[k][np.minimum(held[k], 3).astype(int)] for k in range(kinds)])
+        contexts, sums = _sums(((above & U((1 << 56) - 1)) >> U(8)) | (U(n - 1) << U(56)), np.concatenate([held, spare]))
+        order, wide = np.argsort(above), ((0, 0), (0, 1))
+        out[n] = (above[order], np.pad((held - spare)[:, order], wide)), (contexts, np.pad(sums, wide))
+    return out
+
+
+def _probability(level: tuple, keys: np.ndarray, n: int, below: np.ndarray) -> np.ndarray:
+    """Interpolated probability, by kind, of the n-grams ``keys`` from one order and the probability ``below`` of their suffixes."""
     (held, left), (contexts, sums) = level
-    context = lookup(contexts, ((keys & U((1 << 56) - 1)) >> U(8)) | (U(n - 1) << U(56)))
-    total, freed = sums[kind][context], sums[kinds + kind][context]
+    context, key = lookup(contexts, ((keys & U((1 << 56) - 1)) >> U(8)) | (U(n - 1) << U(56))), lookup(held, keys)
+    total, freed = np.split(sums[:, context], 2)
     there = np.maximum(total, 1)
-    return np.where(total > 0, left[kind][lookup(held, keys)] / there + freed / there * below, below)
+    return np.where(total > 0, (left[:, key] + freed * below) / there, below)
 
 
-def _sample(docs: DataFrame, labels: DataFrame, rule: str, per_class: int, most_bytes: int) -> DataFrame:
-    """(text, toxic, ordinary) of at most ``per_class`` labelled documents of each class and about ``most_bytes`` of text.
-
-    Documents come in the order of a hash of their id; their ids and sizes, as many as the bound says, are broadcast.
-    """
+def _sample(docs: DataFrame, labels: DataFrame, rule: str, per_class: int, max_train_bytes: int) -> DataFrame:
+    """(text, toxic, ordinary) of at most ``per_class`` labelled documents of each class, by a hash of their id; their ids are broadcast."""
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).withColumn("r", remainder()).filter(rule)
     ids = bounded_sample(known.filter("toxic > 0"), "doc_id", per_class).union(bounded_sample(known.filter("toxic <= 0"), "doc_id", per_class))
-    ids = materialize(ids.select(F.col("doc_id").alias("of"), (F.col("toxic") > 0).alias("toxic")))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), F.col("doc_id") == F.col("of"))
-    sizes = rows.groupBy("of", "toxic").agg(F.sum(F.octet_length("text")).alias("size"))
-    before = F.sum("size").over(Window.partitionBy("toxic").orderBy(F.xxhash64(F.col("of").cast("string")), "of").rowsBetween(Window.unboundedPreceding, -1))
-    fit = materialize(sizes.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < most_bytes).select(F.col("of").alias("fits")))
-    chosen = rows.join(F.broadcast(fit), F.col("of") == F.col("fits"), "left_semi")
+    ids = ids.select(F.col("doc_id").alias("of"), (F.col("toxic") > 0).alias("toxic"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.octet_length("text") <= max_train_bytes)
+    chosen = rows.join(F.broadcast(ids), F.col("doc_id") == F.col("of"))
     return chosen.select("text", F.col("toxic").cast("long").alias("toxic"), (~F.col("toxic")).cast("long").alias("ordinary"))
 
 
-def train(docs: DataFrame, labels: DataFrame, docs_per_class: int = 10_000, bytes_per_class: int = 64 << 20, max_fit_docs: int = 4000) -> dict | None:
+def train(docs: DataFrame, labels: DataFrame, docs_per_class: int = 10_000, max_train_bytes: int = 1 << 20, max_fit_docs: int = 4000) -> dict | None:
     """Both models and their shared backoff (broadcast) and the logistic fit; None without labelled rows of both classes."""
-    kinds = list(KINDS)
-    edges = materialize(counted(_sample(docs, labels, "r < 2", docs_per_class, bytes_per_class), ORDER, kinds))
-    if edges.isEmpty() or not all(edges.agg(*[F.sum(k).alias(k) for k in kinds]).first()):
+    rows = counted(_sample(docs, labels, "r < 2", docs_per_class, max_train_bytes), ORDER, list(KINDS)).toArrow()
+    keys, counts = np.asarray(rows["key"]).view(U), np.stack([np.asarray(rows[k]) for k in KINDS]).astype(float)
+    if not counts.any(1).all():
         return None
-    model, above = {}, _of_order(edges, ORDER)
-    for n in range(ORDER, SHARED, -1):
-        if n < ORDER:
-            above = materialize(continued(above, edges, n, kinds))
-        held, contexts = _level(above, n, kinds)
-        model[n] = (_collect(held, "key"), _collect(contexts, "context"))
-    asked = above.select(_suffix(F.col("key"), SHARED + 1).alias("asked")).union(_of_order(edges, SHARED).select(F.col("key").alias("asked"))).distinct()
+    model = class_levels(keys, counts)
+    told = [(k & U((1 << 8 * SHARED) - 1)) | (U(SHARED) << U(56)) for k in (model[SHARED + 1][0][0],)]
+    asked = np.unique(np.concatenate([*told, keys[keys >> U(56) == SHARED]]))
     model["base_keys"], model["base"] = shared_backoff(docs, asked)
-    fit_rows = _sample(docs, labels, "r = 3", max_fit_docs // 2, bytes_per_class)
+    fit_rows = _sample(docs, labels, "r = 3", max_fit_docs // 2, max_train_bytes)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def measure(batches):
@@ -210,26 +224,26 @@ def train(docs: DataFrame, labels: DataFrame, docs_per_class: int = 10_000, byte
     return {"shared": shared, "fit": fit}
 
 
-def shared_backoff(docs: DataFrame, asked: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def shared_backoff(docs: DataFrame, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Probability of each of the asked n-grams of order ``SHARED`` by continuation counts of all documents not held out.
 
-    The n-grams of the corpus stay tables; those asked for and the shorter ones they need reach the driver.
+    The n-grams of the corpus stay tables; those asked for, of which the sample has so many, and the shorter ones they need
+    reach the driver.
     """
     corpus = docs.filter(remainder() != 2).select(F.coalesce("text", F.lit("")).alias("text"), F.lit(1).cast("long").alias("n"))
     edges = materialize(counted(corpus, SHARED + 1, ["n"]))
-    above, levels, wanted = _of_order(edges, SHARED + 1), {}, materialize(asked)
-    needed = wanted
+    above, levels = _of_order(edges, SHARED + 1), {}
+    needed = F.broadcast(docs.sparkSession.createDataFrame(pa.table({"asked": pa.array(asked.view(np.int64))})))
     for n in range(SHARED, 0, -1):
         above = materialize(continued(above, edges, n, ["n"]))
         held, contexts = _level(above, n, ["n"])
-        here = needed.select(_context(F.col("asked"), n).alias("of")).distinct()
+        here = needed.select(_context(F.col("asked"), n).alias("of"))
         levels[n] = (_collect(held.join(needed, F.col("key") == F.col("asked"), "left_semi"), "key"), _collect(contexts.join(here, F.col("context") == F.col("of"), "left_semi"), "context"))
-        needed = needed.select(_suffix(F.col("asked"), n).alias("asked")).distinct() if n > 1 else needed
-    keys = np.sort(np.asarray(wanted.toArrow()["asked"]).view(U))
-    out = np.full(len(keys), 1 / 256)
+        needed = needed.select(_suffix(F.col("asked"), n).alias("asked")) if n > 1 else needed
+    out = np.full(len(asked), 1 / 256)
     for n in range(1, SHARED + 1):
-        out = _probability(levels[n], (keys & U((1 << 8 * n) - 1)) | (U(n) << U(56)), n, out)
-    return keys, np.append(out, 1.0)
+        out = _probability(levels[n], (asked & U((1 << 8 * n) - 1)) | (U(n) << U(56)), n, out)[0]
+    return asked, np.append(out, 1.0)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, rate: float, ridge: float = 1e-2) -> np.ndarray:
@@ -246,35 +260,48 @@ def _logistic(x: np.ndarray, y: np.ndarray, rate: float, ridge: float = 1e-2) ->
     return theta
 
 
-def log_likelihoods(words: Words, model: dict) -> list[np.ndarray]:
-    """For both classes the log-likelihood of each distinct word.
+class Judged:
+    """Log-likelihood differences of the words that a task has met, by hash; forgotten beyond ``most`` words."""
+
+    def __init__(self, most: int = 1 << 20):
+        self.most, self.keys, self.gains = most, np.zeros(0, U), np.zeros(1)
+
+    def of(self, words: Words, model: dict) -> np.ndarray:
+        """The difference of each distinct word of a batch."""
+        if len(self.keys) > self.most:
+            self.keys, self.gains = np.zeros(0, U), np.zeros(1)
+        new = np.flatnonzero(lookup(self.keys, words.hashes) < 0)
+        if len(new):
+            toxic, ordinary = log_likelihoods(words, model, new)
+            keys = np.concatenate([self.keys, words.hashes[new]])
+            order = np.argsort(keys, kind="stable")
+            self.keys, self.gains = keys[order], np.append(np.concatenate([self.gains[:-1], toxic - ordinary])[order], 0.0)
+        return self.gains[lookup(self.keys, words.hashes)]
+
+
+def log_likelihoods(words: Words, model: dict, chosen: np.ndarray | slice = slice(None)) -> list[np.ndarray]:
+    """For both classes the log-likelihood of each of the chosen distinct words.
 
     The first ``SHARED`` bytes of a word cost both classes the same and are left out, as are shared factors that cancel.
     """
-    symbols, owner, place = words.spelled()
-    keys = {n: grams(symbols, n) for n in range(SHARED, ORDER + 1)}
-    told = place >= SHARED
-    base = np.append(model["base"][:-1], 1.0)[lookup(model["base_keys"], keys[SHARED][told])]
-    out = []
-    for kind in range(len(KINDS)):
-        p = np.ones(len(symbols))
-        p[told] = base
-        for n in range(SHARED + 1, ORDER + 1):
-            at = place >= n - 1
-            p[at] = _probability(model[n], keys[n][at], n, p[at], kind, len(KINDS))
-        out.append(np.bincount(owner, np.log(p), minlength=len(words.distinct)))
-    return out
+    symbols, owner, place = words.spelled(chosen)
+    told = np.flatnonzero(place >= SHARED)
+    base = model["base"][lookup(model["base_keys"], grams(symbols, SHARED)[told])]
+    p = np.repeat(base[None], len(KINDS), axis=0)
+    for n in range(SHARED + 1, ORDER + 1):
+        at = np.flatnonzero(place[told] >= n - 1)
+        p[:, at] = _probability(model[n], grams(symbols, n)[told[at]], n, p[:, at])
+    return [np.bincount(owner[told], x, minlength=len(words.distinct[chosen])) for x in np.log(p)]
 
 
-def features(texts: pa.Array, model: dict) -> np.ndarray:
+def features(texts: pa.Array, model: dict, judged: Judged | None = None) -> np.ndarray:
     """Per document: 1, mean difference per word, strongest line by mean and by clear words, all clear words: their log and per word."""
     w = Words(texts)
     b, out = w.batch, np.zeros((w.batch.n, N_FEATURES))
     out[:, 0] = 1
     if not w.n:
         return out
-    toxic, ordinary = log_likelihoods(w, model)
-    gain = np.clip(toxic - ordinary, -20, 20)[w.which]
+    gain = np.clip((judged or Judged()).of(w, model), -20, 20)[w.which]
     lines = np.cumsum(b.data == 10)
     _, line = np.unique(lines[b.starts] + b.doc, return_inverse=True)
     n_line = np.bincount(line)
@@ -293,10 +320,12 @@ def features(texts: pa.Array, model: dict) -> np.ndarray:
 def annotate(docs: DataFrame, model: dict | None) -> DataFrame:
     """``docs`` with the struct column ``toxicity``: score."""
 
+    judged = Judged()
+
     def judge(batch: pa.RecordBatch) -> pa.StructArray:
         if model is None:
             return struct_array(FIELDS, [np.zeros(batch.num_rows)])
-        z = features(batch.column("text"), model["shared"].value) @ model["fit"]
+        z = features(batch.column("text"), model["shared"].value, judged) @ model["fit"]
         return struct_array(FIELDS, [1 / (1 + np.exp(-np.clip(z, -30, 30)))])
 
     return add_struct(docs, "toxicity", FIELDS, judge)
