@@ -5,14 +5,21 @@ only those that can still matter become suffixes:
 
 1. *Runs.* Of every 50-byte string the leftmost smallest ``gram``-byte hash is its anchor. Neighbouring strings with the same
    anchor form a run (about 17 strings, whose bytes are one stretch of text). Equal strings have equal anchors at equal
-   offsets, so only runs with the same anchor can share a string. Runs go to hash buckets as packed arrays. Equal runs are
-   settled in the bucket: all but those of the smallest doc_id are covered. A string of another run is undecided when a run
-   of another document shares the anchor and the bytes around it, as far as hashes at quarters of the margin tell.
+   offsets, so only runs with the same anchor can share a string. Of equal runs in one piece of text only that of the
+   smallest doc_id goes on (the bytes are compared); the others are covered. What is left goes to hash buckets as packed
+   arrays. Equal runs are settled in the bucket: all but those of the smallest doc_id are covered. A string of another run is
+   undecided when a run of another document shares the anchor and the bytes around it, as far as hashes at quarters of the
+   margin tell.
+   Anchors that a sample of the documents shows to be hot (more than an eighth of an even bucket, or one in ``RAREST`` of all
+   runs) go to no bucket, as their group would grow with the corpus: all their strings are undecided at once. The sample
+   decides only the way, not the result.
 2. *Suffixes.* The strings of undecided runs, read back from the documents, are the suffixes to sort (by their leading 50
    bytes, all that matters here). Spark samples splitters and range-partitions them by leading bytes; doc_id and offset break
    ties, so a string that occurs in a third of all documents is spread over many buckets. Each bucket is sorted by multikey
    quicksort on eight-byte characters. In sorted order the first suffix of a run of equal ones has the smallest doc_id, and
    the others with larger ids are covered; the first run of a bucket is compared with the last ones of the buckets before it.
+   There are at most ``MOST_RANGES`` buckets, or as many as the session has shuffle partitions; the driver sees the first
+   and last string of each.
 3. *Removal.* Covered stretches are joined to the documents and cut out.
 
 Defined results: null text is empty; strings shorter than ``length`` never match; repeated rows with one doc_id do not cover
@@ -30,10 +37,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidecohort.llm.common import materialize
-from tidecohort.llm.vectext import Batch, slices
+from tidecohort.llm.vectext import Batch, lookup, slices
 
 U = np.uint64
 BUCKET_BYTES = 4 << 20
+#: Range partitions of suffixes, unless the session asks for more shuffle partitions.
+MOST_RANGES = 20_000
+#: Bytes of text that tell which anchors are hot; at most ``RAREST`` anchors can be.
+SAMPLE_BYTES = 64 << 20
+RAREST = 100_000
 STRETCHES = "doc_id long, row long, undecided boolean, stretches binary"
 SIDES = ("left_1", "left_2", "left_3", "right_1", "right_2", "right_3")
 RECORD = np.dtype([("g", "u1", 5), *[(side, "u1", 2) for side in SIDES], ("whole", "u1", 4), ("doc", "<u2"), ("at", "<u4"), ("n", "u1"), ("lead", "u1")])
@@ -83,23 +95,75 @@ def _unpack(packed: np.ndarray) -> np.ndarray:
     return out.view(U).ravel()
 
 
-def _deal(docs: DataFrame, buckets: int, length: int, gram: int) -> DataFrame:
-    """(bucket, docs, records): packed runs of a stretch of documents for each hash bucket."""
+def _same_as_first(b: Batch, r: dict[str, np.ndarray], ids: np.ndarray, length: int) -> np.ndarray:
+    """Mask of the runs whose bytes equal those of a run of a smaller doc_id in the batch; hashes propose, bytes decide."""
+    with np.errstate(over="ignore"):
+        key = r["whole"] * U(0x9E3779B97F4A7C15) + (r["lead"].astype(U) << U(8)) + r["n"].astype(U)
+    own = ids[r["doc"]]
+    order = np.lexsort((own, key))
+    fresh = _groups(key[order])
+    first = np.empty(len(order), np.int64)
+    first[order] = order[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
+    twins = np.flatnonzero(own[first] < own)
+    wide = int(r["n"].max()) + length - 1
+    start = b.offsets[r["doc"]] + r["at"]
+    padded = np.concatenate([b.data, np.zeros(wide, np.uint8)])
+    view = np.lib.stride_tricks.sliding_window_view(padded, wide)
+    ends = np.arange(wide) >= (r["n"][twins] + length - 1)[:, None]
+    same = ((view[start[twins]] == view[start[first[twins]]]) | ends).all(1) & (r["n"][twins] == r["n"][first[twins]])
+    out = np.zeros(len(own), bool)
+    out[twins[same]] = True
+    return out
+
+
+def _hot_anchors(docs: DataFrame, size: int, buckets: int, length: int, gram: int) -> np.ndarray:
+    """Packed anchor hashes that occur in too many runs for one bucket, as far as a sample of about ``SAMPLE_BYTES`` shows."""
+    share = min(1.0, SAMPLE_BYTES / max(size, 1))
+    sampled = docs.filter(F.pmod(F.xxhash64("doc_id", "row", F.lit("hot")), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+
+    def count(batches):
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                b = Batch(batch.column("text"))
+                if r := runs(b, length, gram):
+                    keep = ~_same_as_first(b, r, np.asarray(batch.column("doc_id")), length)
+                    found, n = np.unique(r["g"][keep] & U((1 << 40) - 1), return_counts=True)
+                    # A piece of 2 MB holds a hot anchor of the whole sample more than once.
+                    keep = (n > 1) | (share >= 1)
+                    total = pa.array(np.append(n[keep], n.sum()).astype(np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.append(found[keep].astype(np.int64), -1)), total], names=["g", "n"])
+
+    counts = materialize(sampled.select("doc_id", "text").mapInArrow(count, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")))
+    everything = (counts.filter("g < 0").first() or {"n": 0})["n"]
+    least = max(everything / (8 * buckets), everything / RAREST, 32)
+    return np.array(sorted(r["g"] for r in counts.filter((F.col("g") >= 0) & (F.col("n") > least)).select("g").collect()), U)
+
+
+def _deal(docs: DataFrame, buckets: int, length: int, gram: int, hot: np.ndarray) -> DataFrame:
+    """(bucket, docs, records, decided): packed runs of a stretch of documents for each hash bucket.
+
+    Rows with ``decided`` have no records but what needs no bucket: covered runs and those of hot anchors.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def pack(batches):
         for whole in batches:
             for batch in slices(whole, "text"):
-                r = runs(Batch(batch.column("text")), length, gram)
+                b = Batch(batch.column("text"))
+                r = runs(b, length, gram)
                 if not r:
                     continue
                 ids = np.stack([np.asarray(batch.column("doc_id")), np.asarray(batch.column("row"))])
+                covered = _same_as_first(b, r, ids[0], length)
+                undecided = ~covered & (lookup(shared.value, r["g"] & U((1 << 40) - 1)) >= 0)
                 bucket = ((r["g"] >> U(40)) % U(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                bounds = np.searchsorted(bucket[order], np.arange(buckets + 1)) if buckets < len(order) else None
-                names = np.unique(bucket) if bounds is None else np.flatnonzero(np.diff(bounds))
-                out = ([], [], [])
-                for k in names:
-                    own = order[bounds[k] : bounds[k + 1]] if bounds is not None else order[np.searchsorted(bucket[order], k) : np.searchsorted(bucket[order], k, "right")]
+                known = np.flatnonzero(covered | undecided)
+                decided = np.stack([ids[0][r["doc"][known]], ids[1][r["doc"][known]], r["at"][known], r["n"][known], undecided[known]]).astype("<i8")
+                out = ([int(ids[1][0] % buckets)] if len(known) else [], [b""] if len(known) else [], [b""] if len(known) else [], [decided.tobytes()] if len(known) else [])
+                going = np.flatnonzero(~(covered | undecided))
+                order = going[np.argsort(bucket[going], kind="stable")]
+                names, starts = np.unique(bucket[order], return_index=True)
+                for k, own in zip(names, np.split(order, starts[1:]) if len(order) else (), strict=True):
                     used, short = np.unique(r["doc"][own], return_inverse=True)
                     records = np.zeros(len(own), RECORD)
                     for name, width in (("g", 5), *[(side, 2) for side in SIDES], ("whole", 4)):
@@ -108,9 +172,10 @@ def _deal(docs: DataFrame, buckets: int, length: int, gram: int) -> DataFrame:
                     out[0].append(int(k))
                     out[1].append(np.ascontiguousarray(ids[:, used]).tobytes())
                     out[2].append(b"".join(np.ascontiguousarray(records[f]).tobytes() for f in RECORD.names))
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], names=["bucket", "docs", "records"])
+                    out[3].append(b"")
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "docs", "records", "decided"])
 
-    return docs.mapInArrow(pack, "bucket long, docs binary, records binary")
+    return docs.mapInArrow(pack, "bucket long, docs binary, records binary, decided binary")
 
 
 def _read_records(ids: bytes, packed: bytes) -> dict[str, np.ndarray]:
@@ -160,6 +225,11 @@ def settle(length: int, gram: int):
     zones = ((three, length, ("left_3",)), (two, three, ("left_2", "right_1")), (one, two, ("left_1", "right_2")), (0, one, ("right_3",)))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
+        done = np.concatenate([np.frombuffer(x, "<i8").reshape(5, -1) for x in frame["decided"]], axis=1)
+        known = [_stretches(*done[:4, done[4] == k], bool(k)) for k in (0, 1)]
+        frame = frame[frame["records"].str.len() > 0]
+        if not len(frame):
+            return pd.concat(known, ignore_index=True)
         parts = [_read_records(d, r) for d, r in zip(frame["docs"], frame["records"], strict=True)]
         c = {k: np.concatenate([_unpack(p[k]) for p in parts]) for k in ("g", *SIDES, "whole")}
         c |= {k: np.concatenate([p[k] for p in parts]).astype(np.int64) for k in ("id", "row", "at", "n", "lead")}
@@ -168,7 +238,7 @@ def settle(length: int, gram: int):
         c, left, right = {k: v[order] for k, v in c.items()}, left[order], right[order]
         first = _groups(c["g"], left, right, c["whole"], c["n"], c["lead"])
         covered = c["id"] > c["id"][np.flatnonzero(first)][np.cumsum(first) - 1]
-        out = [_stretches(c["id"][covered], c["row"][covered], c["at"][covered], c["n"][covered], False)]
+        out = [*known, _stretches(c["id"][covered], c["row"][covered], c["at"][covered], c["n"][covered], False)]
         c = {k: v[~covered] for k, v in c.items()}
         for least, below, sides in zones:
             start, end = np.clip(c["lead"] - below + 1, 0, c["n"]), np.clip(c["lead"] - least + 1, 0, c["n"])
@@ -263,7 +333,7 @@ def find(docs: DataFrame, length: int = 50, gram: int = 16) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(partitions, -(-size // BUCKET_BYTES))
-    dealt = _deal(docs, buckets, length, gram)
+    dealt = _deal(docs, buckets, length, gram, _hot_anchors(docs, size, buckets, length, gram))
     settled = materialize(dealt.groupBy("bucket").applyInPandas(settle(length, gram), STRETCHES))
     asked = settled.filter("undecided").groupBy("doc_id", "row").agg(F.collect_list("stretches").alias("stretches"))
 
@@ -284,7 +354,7 @@ def find(docs: DataFrame, length: int = 50, gram: int = 16) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([suffix, pa.array(ids), pa.array(rows), pa.array(places)], names=["suffix", "doc_id", "row", "at"])
 
     undecided = docs.join(asked, ["doc_id", "row"]).select("doc_id", "row", "text", "stretches").mapInArrow(spell, "suffix binary, doc_id long, row long, at long")
-    sorted_out = covered_suffixes(undecided, length, buckets)
+    sorted_out = covered_suffixes(undecided, length, max(partitions, min(buckets, MOST_RANGES)))
     whole = settled.filter("NOT undecided").unionByName(sorted_out)
     return whole.groupBy("doc_id", "row").agg(F.collect_list("stretches").alias("stretches"))
 
