@@ -106,3 +106,72 @@ def encode_labels(rows: DataFrame) -> DataFrame:
     """``gender_code`` (M 0, F 1, else 2, null -1) and ``epilepsy_code`` (null -1)."""
     gender = F.when(F.col("gender").isNull(), -1).when(F.col("gender") == "M", 0).when(F.col("gender") == "F", 1).otherwise(2)
     return rows.withColumns({"gender_code": gender, "epilepsy_code": F.when(F.col("epilepsy").isNull(), -1).when(F.col("epilepsy"), 1).otherwise(0)})
+
+
+def targets(windows: DataFrame, by: str = "epilepsy") -> DataFrame:
+    """``target``: the place of the label among the sorted labels of all windows, null last."""
+    names = windows.select(by).distinct()
+    numbered = names.select(F.col(by).alias("of"), (F.row_number().over(Window.orderBy(F.col(by).asc_nulls_last())) - 1).cast("int").alias("target"))
+    return windows.join(F.broadcast(numbered), F.col(by).eqNullSafe(F.col("of"))).drop("of")
+
+
+def without_bad(windows: DataFrame, spans: DataFrame, too_many: DataFrame | None = None, drop_segments: bool = False, drop_seizures: bool = False) -> DataFrame:
+    """Windows of a finished plan without those that touch a bad or seizure span or belong to a recording beyond repair.
+
+    ``too_many`` (path) is given where channels are interpolated. Counts are not refilled; without flags nothing is dropped.
+    """
+    kinds = [k for k, on in (("bad", drop_segments), ("seiz", drop_seizures)) if on]
+    if kinds:
+        windows = overlapping(windows, spans.filter(F.col("kind").isin(*kinds)))
+    if too_many is not None:
+        windows = windows.join(too_many.select(F.col("path").alias("gone")), F.col("path") == F.col("gone"), "left_anti")
+    return windows
+
+
+def replay(recordings: DataFrame, manifests: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
+    """A plan from written manifests (path, start, end, split): one table of all splits, joined to the recordings.
+
+    Paths are compared normalised. Manifest rows whose path is gone are matched by the path below the corpus folder; this
+    second join sees only the rows that the first has left.
+    """
+    kept = without_excluded(recordings, excluded) if excluded is not None else recordings
+    rows = manifests.select(normalised("path").alias("wanted"), F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"), "split")
+    own = kept.withColumns({"whole": normalised("path"), "tail": F.regexp_extract(normalised("path"), r"([^/]+/[^/]+/[^/]+)$", 1)})
+    exact = rows.join(own, F.col("wanted") == F.col("whole")).drop("wanted", "whole", "tail")
+    left = rows.join(own.select("whole"), F.col("wanted") == F.col("whole"), "left_anti")
+    by_tail = left.join(own, F.regexp_extract("wanted", r"([^/]+/[^/]+/[^/]+)$", 1) == F.col("tail")).drop("wanted", "whole", "tail")
+    return exact.unionByName(by_tail)
+
+
+def data_module(
+    recordings: DataFrame, spans: DataFrame, length: float, stride: float, ratios: dict[str, float], cap: int | None = None, seed: int = 42, labels: DataFrame | None = None, keep: tuple[str, ...] = (), excluded: DataFrame | None = None,
+    only_seizure_free: bool = False, rate: float | None = None, too_many: DataFrame | None = None, drop_segments: bool = False, drop_seizures: bool = False,
+) -> DataFrame:
+    """The whole plan (one row a window: split, target, start, end): filters, windows, subject split, targets and drops."""
+    rows = seizure_free(recordings) if only_seizure_free else recordings
+    rows = without_excluded(rows, excluded) if excluded is not None else rows
+    rows = with_label(rows, labels, list(keep)) if labels is not None and keep else rows
+    rows = rows.filter(near(F.col("sfreq"), rate)) if rate else rows
+    subjects = rows.groupBy("subject").agg(F.bool_or("epilepsy").alias("epilepsy"))
+    plan = windows(rows, length, stride, cap, seed=seed).join(splits(subjects, ratios, seed), "subject").filter(F.col("split").isNotNull())
+    return without_bad(targets(plan), spans, too_many, drop_segments, drop_seizures)
+
+
+def permuted_files(recordings: DataFrame, limit: int, seed: int = 42) -> DataFrame:
+    """Samples mode: at most ``limit`` recordings in seeded order are kept before any window is planned."""
+    return recordings.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), "path")), "path").limit(limit)
+
+
+def dictionary_windows(recordings: DataFrame, length: float, per_subject: int = 10, seed: int = 42) -> DataFrame:
+    """The dictionary-learning view: windows of half the length that start at any sample, at most ``per_subject`` of a subject.
+
+    Starting points are drawn by hash, so that the plan is never listed sample by sample.
+    """
+    half = length / 2
+    n = window_count_samples(F.col("duration"), F.col("sfreq"), half, 1)
+    tried = recordings.withColumn("n", n).filter("n > 0").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(per_subject - 1))))
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), "path", F.col("draw").cast("string")))
+    placed = tried.withColumn("sample", F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") % F.col("n")).dropDuplicates(["path", "sample"])
+    first = F.row_number().over(Window.partitionBy("subject").orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), "path", F.col("sample").cast("string"))), "path", "sample"))
+    start = F.col("sample") / F.col("sfreq")
+    return placed.withColumn("position", first).filter(F.col("position") <= per_subject).select("subject", "path", "sample", start.alias("start"), (start + F.lit(half)).alias("end"))

@@ -122,7 +122,7 @@ def peaks(kernels: DataFrame, fs: float, points: int = 257) -> DataFrame:
     """``peak_hz`` and ``centroid_hz`` of each kernel: raw kernels up to fs / 2d, differenced ones up to fs / 2."""
     top = F.when(F.col("diff") == 1, F.lit(fs / 2)).otherwise(F.lit(fs / 2) / F.col("dilation"))
     grid = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: i * top / (points - 1))
-    curve = F.transform(grid, lambda f: F.struct(response(F.col("weights"), f, fs, F.col("dilation"), F.col("diff")).alias("h"), f.alias("f")))
+    curve = F.transform(grid, lambda f: F.struct(F.round(response(F.col("weights"), f, fs, F.col("dilation"), F.col("diff")), 9).alias("h"), f.alias("f")))
     drawn = kernels.withColumn("curve", curve)
     total = F.aggregate("curve", F.lit(0.0), lambda a, c: a + c["h"])
     moment = F.aggregate("curve", F.lit(0.0), lambda a, c: a + c["h"] * c["f"])
@@ -153,3 +153,41 @@ def discriminative(counts: DataFrame, a: int, b: int, metric: str = "difference"
 def top(rows: DataFrame, by: Column, n: int, keys: list[str] = SLOT) -> DataFrame:
     """The n first rows by a descending value; ties go by slot."""
     return rows.orderBy(by.desc(), *keys).limit(n)
+
+
+def decoded(flat: Column, dilations: tuple[int, ...], groups: int, kernels: int, representations: int = 2) -> dict[str, Column]:
+    """Slot of a feature column: the layout is dilation, representation, competition (soft, hard), group, kernel."""
+    per = groups * kernels
+    return {
+        "dilation": F.get(F.array(*[F.lit(x) for x in dilations]), F.floor(flat / (2 * per * representations)).cast("int")), "diff": (F.floor(flat / (2 * per)) % representations).cast("int"),
+        "grp": (F.floor(flat / kernels) % groups).cast("int"), "kernel": (flat % kernels).cast("int"),
+    }
+
+
+def by_weight(coefficients: DataFrame, dilations: tuple[int, ...], groups: int, kernels: int, combine: str = "sum", representations: int = 2) -> DataFrame:
+    """(slot, weight): absolute coefficients (k, coef and, where known, std) of a kernel's two columns, summed or the larger.
+
+    The number of columns must be that of the bank; another one means that the coefficients belong to other features.
+    """
+    size = F.abs("coef") * (F.col("std") if "std" in coefficients.columns else F.lit(1.0))
+    width = len(dilations) * representations * 2 * groups * kernels
+    checked = F.when(F.col("k") < width, F.col("k")).otherwise(F.raise_error(F.lit(f"more than {width} coefficients")).cast("int"))
+    rows = coefficients.select(checked.alias("k"), size.alias("w"))
+    fold = {"sum": F.sum, "max": F.max}[combine]
+    return rows.withColumns(decoded(F.col("k"), dilations, groups, kernels, representations)).groupBy(*SLOT).agg(fold("w").alias("weight"))
+
+
+def class_labels(rows: DataFrame, label: str = "y") -> DataFrame:
+    """The sorted distinct labels with their places."""
+    return rows.select(label).distinct().select(label, (F.row_number().over(Window.orderBy(label)) - 1).alias("place"))
+
+
+def sampling_rate(n_timepoints: int, minutes: float) -> float:
+    """Samples a second of windows of a known number of samples and minutes."""
+    return n_timepoints / (minutes * 60)
+
+
+def flat_coefficients(matrix) -> list[float]:
+    """One coefficient per feature: of the only row, or summed absolute values over the rows of several classes."""
+    rows = [list(map(float, r)) for r in matrix]
+    return rows[0] if len(rows) == 1 else [sum(abs(r[i]) for r in rows) for i in range(len(rows[0]))]

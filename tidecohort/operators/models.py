@@ -51,21 +51,9 @@ def fit_ridge(rows: DataFrame, alpha: float = 1.0):
     return LinearRegression(featuresCol="vector", regParam=alpha / data.count(), elasticNetParam=0.0, standardization=False).fit(data)
 
 
-def logistic_cv(rows: DataFrame, grid: list[float], folds: int = 3, by: str = "window_id", l1: bool = False):
-    """(c, mean balanced accuracy) of each strength over folds cut by the hash of ``by`` (a subject column keeps subjects whole)."""
-    from tidecohort.operators.metrics import classification
-
-    dealt = rows.withColumn("fold", F.pmod(F.xxhash64(F.col(by).cast("string")), F.lit(folds)))
-    out = []
-    for c in grid:
-        scores = [decision(fit_logistic(dealt.filter(F.col("fold") != k), c, l1), dealt.filter(F.col("fold") == k)) for k in range(folds)]
-        found = [classification(s, []).first()["balanced_accuracy"] for s in scores]
-        out.append((c, sum(found) / len(found)))
-    return out
-
-
 def decision(model, rows: DataFrame) -> DataFrame:
-    """``s``: the linear decision value of every row."""
-    weights = [float(v) for v in model.coefficients]
-    value = F.aggregate(F.zip_with("features", F.array(*[F.lit(w) for w in weights]), lambda v, w: v * w), F.lit(float(model.intercept)), lambda a, v: a + v)
-    return rows.withColumn("s", value)
+    """``s``: the linear decision value of every row; the coefficients are one broadcast row, however many."""
+    spark = rows.sparkSession
+    line = spark.createDataFrame([([float(v) for v in model.coefficients], float(model.intercept))], "__w array<double>, __b double")
+    value = F.aggregate(F.zip_with("features", "__w", lambda v, w: v * w), F.lit(0.0), lambda a, v: a + v) + F.col("__b")
+    return rows.join(F.broadcast(line)).withColumn("s", value).drop("__w", "__b")

@@ -126,30 +126,36 @@ def welch(x: np.ndarray, fs: float, nperseg: int) -> tuple[np.ndarray, np.ndarra
     return np.fft.rfftfreq(nperseg, 1 / fs), power
 
 
-def periodicity(x: np.ndarray, fs: float, fmin: float = 0.5, fmax: float = 6.0) -> tuple[float | None, float]:
-    """(fundamental Hz, strength) of a common period: peak of the channels' mean normalised autocorrelation.
+def autocorrelation(x: np.ndarray) -> np.ndarray:
+    """Biased autocorrelation of mean-free signals along the last axis, 1 at lag 0; silent signals give 0."""
+    n = x.shape[-1]
+    x = x - x.mean(-1, keepdims=True)
+    acf = np.fft.irfft(np.abs(np.fft.rfft(x, 2 * n)) ** 2, 2 * n)[..., :n]
+    energy = acf[..., :1]
+    return np.where(energy > 0, acf / np.where(energy > 0, energy, 1), 0.0)
+
 
-    A divisor of the peak's lag (5, 4, 3, 2) is preferred when its neighbourhood reaches 0.6 of the peak.
+def periodicity(x: np.ndarray, fs: float, fmin: float = 0.5, fmax: float = 6.0, parts: int = 5, enough: float = 0.6) -> tuple[float | None, float]:
+    """(fundamental Hz, strength) of a common period: peak of the channels' mean autocorrelation between two frequencies.
+
+    A comb with a shorter period peaks at every multiple of it. All whole fractions of the peak's lag (down to one of
+    ``parts``) are scored at once by the best of their three nearest lags; the shortest that holds ``enough`` of the peak wins.
     """
-    x = np.atleast_2d(x) - np.atleast_2d(x).mean(-1, keepdims=True)
-    n = x.shape[-1]
-    energy = (x**2).sum(-1)
-    x = x[energy > 0]
-    if not len(x):
+    acf = autocorrelation(np.atleast_2d(x))
+    acf = acf[acf[:, 0] > 0]
+    if not len(acf):
         return None, 0.0
-    acf = np.fft.irfft(np.abs(np.fft.rfft(x, 2 * n)) ** 2, 2 * n)[:, :n]
-    mean = (acf / acf[:, :1]).mean(0)
-    low, high = max(int(fs / fmax), 1), min(n, int(fs / fmin))
+    mean = acf.mean(0)
+    low, high = max(int(fs / fmax), 1), min(len(mean), int(fs / fmin))
     if high <= low:
         return None, 0.0
     lag = low + int(mean[low:high].argmax())
-    peak = mean[lag]
-    for k in (5, 4, 3, 2):
-        near = lag // k
-        if near >= low and mean[max(near - 1, 0) : near + 2].max() >= 0.6 * peak:
-            lag = max(near - 1, 0) + int(mean[max(near - 1, 0) : near + 2].argmax())
-            break
-    return fs / lag, float(peak)
+    around = np.rint(lag / np.arange(parts, 0, -1)).astype(int)[:, None] + np.arange(-1, 2)
+    around[-1] = lag
+    held = np.where((around >= 1) & (around < len(mean)), mean[np.clip(around, 0, len(mean) - 1)], -np.inf)
+    fits = (around[:, 1] >= low) & (held.max(1) >= enough * mean[lag])
+    first = int(np.flatnonzero(fits)[0]) if fits.any() else parts - 1
+    return fs / int(around[first, held[first].argmax()]), float(mean[lag])
 
 
 def spherical_weights(known: np.ndarray, wanted: np.ndarray, stiffness: int = 4, terms: int = 50) -> np.ndarray:
@@ -178,13 +184,13 @@ def spectra(signals: DataFrame, fs: float, nperseg: int) -> DataFrame:
     return signals.select("vec_id", "x").mapInPandas(run, "vec_id long, p array<double>")
 
 
-def periods(signals: DataFrame, fs: float) -> DataFrame:
-    """(vec_id, f0, strength, cardiac_like, flagged) of (vec_id, x)."""
+def periods(signals: DataFrame, fs: float, fmin: float = 0.5, fmax: float = 6.0) -> DataFrame:
+    """(vec_id, f0, strength, cardiac_like, flagged) of (vec_id, x); flagged is strong and not at the band's upper edge."""
 
     def run(batches):
         for frame in batches:
-            found = [periodicity(np.asarray(x, float), fs) for x in frame["x"]]
+            found = [periodicity(np.asarray(x, float), fs, fmin, fmax) for x in frame["x"]]
             f0, strength = [f for f, _ in found], [s for _, s in found]
-            yield pd.DataFrame({"vec_id": frame["vec_id"], "f0": f0, "strength": strength, "cardiac_like": [f is not None and 0.7 <= f <= 2.0 for f in f0], "flagged": [f is not None and s >= 0.5 and f < 0.92 * 6.0 for f, s in found]})
+            yield pd.DataFrame({"vec_id": frame["vec_id"], "f0": f0, "strength": strength, "cardiac_like": [f is not None and 0.7 <= f <= 2.0 for f in f0], "flagged": [f is not None and s >= 0.5 and f < 0.92 * fmax for f, s in found]})
 
     return signals.select("vec_id", "x").mapInPandas(run, "vec_id long, f0 double, strength double, cardiac_like boolean, flagged boolean")

@@ -79,10 +79,11 @@ def focused(spark, d):
     return rows.select("run", "model", "balanced_accuracy", F.row_number().over(Window.orderBy(F.desc("balanced_accuracy"), "run")).cast("long").alias("place"))
 
 
-@query("runs_pivot", ctes("runs") + " SELECT model, round(max(balanced_accuracy) FILTER (seed = 1), 6) AS seed_1, round(max(balanced_accuracy) FILTER (seed = 2), 6) AS seed_2 FROM runs WHERE feature = 'F' GROUP BY model")
+@query("runs_pivot", ctes("runs") + " SELECT model, feature, " + ", ".join(f"round(max(balanced_accuracy) FILTER (seed = {k}), 6) AS seed_{k}" for k in range(1, 7)) + " FROM runs GROUP BY model, feature")
 def runs_pivot(spark, d):
-    wide = runs(spark, d).filter("feature = 'F'").groupBy("model").pivot("seed", [1, 2]).agg(r6(F.max("balanced_accuracy")))
-    return wide.withColumnsRenamed({"1": "seed_1", "2": "seed_2"})
+    seeds = list(range(1, 7))
+    wide = runs(spark, d).groupBy("model", "feature").pivot("seed", seeds).agg(r6(F.max("balanced_accuracy")))
+    return wide.withColumnsRenamed({str(k): f"seed_{k}" for k in seeds})
 
 
 @query("describe_scores", ctes("scores") + " SELECT count(s) AS n, count(*) - count(s) AS nulls, round(avg(s), 6) AS mean, round(stddev_samp(s), 6) AS std, min(s) AS least, quantile_disc(s, 0.25) AS q25, quantile_disc(s, 0.5) AS q50, quantile_disc(s, 0.75) AS q75, max(s) AS most FROM scores")
@@ -203,13 +204,6 @@ def high_frequency(spark, d):
     return psd(spark, d).select("path", F.round(total(F.slice("p", 33, 64)) / (total(F.col("p")) + F.lit(1e-30)), 9).alias("hf"))
 
 
-@query("corpus_before_after", ctes("psd") + ",\n" + BINS_SQL + ", g AS (SELECT *, unnest(CASE WHEN CAST(path AS INTEGER) % 3 = 0 THEN ['all', 'affected'] ELSE ['all'] END) AS grp FROM b) SELECT grp, cls, k, count(*) AS n, round(avg(p), 9) AS raw, round(avg(p / 2), 9) AS repaired FROM g GROUP BY grp, cls, k")
-def before_after(spark, d):
-    grp = F.when(F.col("path").cast("int") % 3 == 0, F.array(F.lit("all"), F.lit("affected"))).otherwise(F.array(F.lit("all")))
-    rows = spectral.bins(psd(spark, d)).withColumn("grp", F.explode(grp))
-    return rows.groupBy("grp", "cls", "k").agg(F.count("*").alias("n"), F.round(F.avg("p"), 9).alias("raw"), F.round(F.avg(F.col("p") / 2), 9).alias("repaired"))
-
-
 @query("band_power", ctes("psd") + ",\n" + BINS_SQL + ", bands AS (SELECT unnest(['delta', 'theta', 'alpha', 'beta', 'gamma']) AS band, unnest([1.0, 4.0, 8.0, 13.0, 30.0]) AS lo, unnest([4.0, 8.0, 13.0, 30.0, 100.0]) AS hi) SELECT path, band, round(avg(p), 9) AS mean FROM b JOIN bands ON k * 0.5 BETWEEN lo AND hi GROUP BY path, band")
 def band_power(spark, d):
     bands = spark.createDataFrame(list(spectral.BANDS), "band string, lo double, hi double")
@@ -241,9 +235,9 @@ def comb_histogram(spark, d):
     return components(spark, d).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), F.count_if(F.col("label") == "Muscle").alias("flagged"))
 
 
-@query("stems_full_outer", "SELECT coalesce(a.s, b.s) AS stem, a.s IS NOT NULL AS has_segments, b.s IS NOT NULL AS has_spectrogram FROM (SELECT DISTINCT l_suppkey AS s FROM lineitem WHERE l_partkey % 3 = 0 AND l_linenumber = 1) a FULL JOIN (SELECT s_suppkey AS s FROM supplier WHERE s_suppkey % 2 = 0) b ON a.s = b.s")
+@query("stems_full_outer", "SELECT coalesce(a.s, b.s) AS stem, a.s IS NOT NULL AS has_segments, b.s IS NOT NULL AS has_spectrogram FROM (SELECT DISTINCT l_suppkey AS s FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 50) a FULL JOIN (SELECT s_suppkey AS s FROM supplier WHERE s_acctbal > 0) b ON a.s = b.s")
 def stems_full_outer(spark, d):
-    a = table(spark, d, "lineitem").filter("l_partkey % 3 = 0 AND l_linenumber = 1").select("l_suppkey").distinct()
-    b = table(spark, d, "supplier").filter("s_suppkey % 2 = 0").select("s_suppkey")
+    a = table(spark, d, "lineitem").filter("l_returnflag = 'R' AND l_quantity >= 50").select("l_suppkey").distinct()
+    b = table(spark, d, "supplier").filter("s_acctbal > 0").select("s_suppkey")
     joined = a.join(b, F.col("l_suppkey") == F.col("s_suppkey"), "full_outer")
     return joined.select(F.coalesce("l_suppkey", "s_suppkey").alias("stem"), F.col("l_suppkey").isNotNull().alias("has_segments"), F.col("s_suppkey").isNotNull().alias("has_spectrogram"))

@@ -139,9 +139,9 @@ def manifest_replay(spark, d):
     moved = F.when(F.col("idx") % 2 == 0, F.col("path")).otherwise(F.replace("path", F.lit("/corpus/"), F.lit("/elsewhere/corpus/")))
     manifest = cohort.windows(recordings(spark, d), LENGTH, STRIDE, 5).select("idx", moved.alias("listed"))
     tail = lambda c: F.regexp_extract(c, r"([^/]+/){3}[^/]+$", 0)
-    whole, short = rec.select(F.col("path").alias("p1"), F.col("duration").alias("d1")), rec.select(F.col("path").alias("p2"), F.col("duration").alias("d2"))
-    joined = manifest.join(whole, F.col("listed") == F.col("p1"), "left").join(short, tail("listed") == tail("p2"), "left")
-    return joined.select(F.coalesce("p1", "p2").alias("path"), "idx", F.coalesce("d1", "d2").alias("duration")).filter("path IS NOT NULL")
+    exact = manifest.join(rec, F.col("listed") == F.col("path")).select("path", "idx", "duration")
+    rest = manifest.join(rec.select(F.col("path").alias("found")), F.col("listed") == F.col("found"), "left_anti")
+    return exact.union(rest.join(rec, tail("listed") == tail("path")).select("path", "idx", "duration"))
 
 
 @query("pool_counts", ctes("rec") + " SELECT which, count(DISTINCT subject) AS subjects, count(DISTINCT (subject, year)) AS sessions, count(*) AS recordings FROM (SELECT *, unnest([CAST(epilepsy AS VARCHAR), 'all']) AS which FROM rec) GROUP BY which")
@@ -195,12 +195,6 @@ def seizure_spans(spark, d):
     return spans(spark, d).filter("kind = 'seiz'").select("path", F.round("start", 6).alias("start"), F.round("stop", 6).alias("stop"))
 
 
-@query("sidecar_json", "SELECT event_id, CAST(coalesce(json_extract(props, '$.k'), 0) AS BIGINT) AS k, coalesce(CAST(json_extract(props, '$.k') AS BIGINT) > 50, false) AS flagged FROM events")
-def sidecar_json(spark, d):
-    k = F.from_json("props", "k BIGINT")["k"]
-    return table(spark, d, "events").select("event_id", F.coalesce(k, F.lit(0)).alias("k"), F.coalesce(k > 50, F.lit(False)).alias("flagged"))
-
-
 @query("montage_channels", "SELECT 'tcp' AS montage, unnest(['FP1-F7', 'F7-T3', 'FP2-F8']) AS bipole, unnest(['EEG FP1-LE', 'EEG F7-LE', 'EEG FP2-LE']) AS pole_a, unnest(['EEG F7-LE', 'EEG T3-LE', 'EEG F8-LE']) AS pole_b")
 def montage_channels(spark, d):
     from tidecohort.sources.corpus import parse_montage
@@ -210,11 +204,12 @@ def montage_channels(spark, d):
     return parse_montage(rows).select("montage", "bipole", "pole_a", "pole_b")
 
 
-@query("common_channels", ctes("components") + " SELECT label FROM components WHERE CAST(path AS INTEGER) < 3 GROUP BY label HAVING count(DISTINCT path) = (SELECT count(DISTINCT path) FROM components WHERE CAST(path AS INTEGER) < 3)")
+@query("common_channels", ctes("components") + " SELECT ic AS channel, count(DISTINCT path) AS n FROM components GROUP BY ic HAVING count(DISTINCT path) = (SELECT count(DISTINCT path) FROM components)")
 def common_channels(spark, d):
-    rows = components(spark, d).filter(F.col("path").cast("int") < 3)
+    """Channels that every recording has."""
+    rows = components(spark, d).select("path", F.col("ic").alias("channel"))
     total = rows.agg(F.countDistinct("path").alias("total"))
-    return rows.groupBy("label").agg(F.countDistinct("path").alias("n")).join(F.broadcast(total), F.col("n") == F.col("total")).select("label")
+    return rows.groupBy("channel").agg(F.countDistinct("path").alias("n")).join(F.broadcast(total), F.col("n") == F.col("total")).select("channel", "n")
 
 
 @query("channel_names", "SELECT s_suppkey, CASE WHEN upper(name) = 'FP1' THEN 'Fp1' WHEN upper(name) = 'CZ' THEN 'Cz' WHEN upper(name) = 'T3' THEN 'T3' ELSE name END AS channel FROM (SELECT s_suppkey, trim(regexp_replace(regexp_replace(['EEG FP1-REF', 'cz-LE', 'EEG T3', 'EKG1-REF'][1 + s_suppkey % 4], '-(REF|LE)$', ''), '^EEG ', '')) AS name FROM supplier)")
@@ -223,10 +218,14 @@ def channel_names(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", scalars.canonical_channel(F.get(names, (F.col("s_suppkey") % 4).cast("int"))).alias("channel"))
 
 
-@query("electrode_regions", "SELECT s_suppkey, ['frontal_left', 'temporal_right', 'central_midline', 'posterior_left', 'central_midline', 'frontal_right', 'posterior_right'][1 + s_suppkey % 7] AS region FROM supplier")
+LOBE_SQL = "CASE regexp_extract(n, '^(FP|AF|FC|FT|TP|CP|PO|F|T|C|P|O)', 1) " + " ".join(f"WHEN '{p}' THEN '{place}'" for p, place in scalars.LOBES) + " ELSE 'central' END"
+ELECTRODES = ("Fp1", "T4", "Cz", "P3", "C3", "AF8", "O2", "EEG FP1-REF", "eeg t5-le", "FT9", "TP10", "CP3", "EEG EKG1-REF", "PO7", "Pz")
+
+
+@query("electrode_regions", f"SELECT s_suppkey, CASE WHEN k = '' OR lobe = 'central' THEN 'central_midline' ELSE lobe || '_' || CASE WHEN CAST(k AS INTEGER) % 2 = 1 THEN 'left' ELSE 'right' END END AS region FROM (SELECT s_suppkey, regexp_extract(n, '(\\d+)$', 1) AS k, {LOBE_SQL} AS lobe FROM (SELECT s_suppkey, regexp_replace(regexp_replace(upper({list(ELECTRODES)}[1 + s_suppkey % {len(ELECTRODES)}]), '-(REF|LE)$', ''), '^EEG ', '') AS n FROM supplier))")
 def electrode_regions(spark, d):
-    names = F.array(*[F.lit(x) for x in ("Fp1", "T4", "Cz", "P3", "C3", "AF8", "O2")])
-    return table(spark, d, "supplier").select("s_suppkey", scalars.electrode_region(F.get(names, (F.col("s_suppkey") % 7).cast("int"))).alias("region"))
+    names = F.array(*[F.lit(x) for x in ELECTRODES])
+    return table(spark, d, "supplier").select("s_suppkey", scalars.electrode_region(F.get(names, (F.col("s_suppkey") % len(ELECTRODES)).cast("int"))).alias("region"))
 
 
 REGION_SQL = "CASE WHEN z < 0.030 AND abs(x) > 0.035 THEN 'temporal_' || CASE WHEN x < 0 THEN 'left' ELSE 'right' END WHEN abs(x) < 0.015 THEN 'central_midline' WHEN y > 0.030 THEN 'frontal_' || CASE WHEN x < 0 THEN 'left' ELSE 'right' END WHEN y < -0.020 THEN 'posterior_' || CASE WHEN x < 0 THEN 'left' ELSE 'right' END ELSE 'central_midline' END"
@@ -251,9 +250,9 @@ def psd_variants(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", scalars.psd_variant(by(2), by(3), by(5), by(7), notch).alias("variant"))
 
 
-@query("union_of_sources", "SELECT kind, count(*) AS n FROM (SELECT 'a' AS kind, l_suppkey AS k FROM lineitem WHERE l_linenumber = 1 UNION ALL SELECT 'b', s_suppkey FROM supplier) GROUP BY kind")
+@query("union_of_sources", "SELECT kind, count(*) AS n FROM (SELECT 'a' AS kind, l_suppkey AS k FROM lineitem UNION ALL SELECT 'b', s_suppkey FROM supplier) GROUP BY kind")
 def union_of_sources(spark, d):
-    a = table(spark, d, "lineitem").filter("l_linenumber = 1").select(F.lit("a").alias("kind"), F.col("l_suppkey").alias("k"))
+    a = table(spark, d, "lineitem").select(F.lit("a").alias("kind"), F.col("l_suppkey").alias("k"))
     b = table(spark, d, "supplier").select(F.lit("b").alias("kind"), F.col("s_suppkey").alias("k"), F.lit(1).alias("extra"))
     return a.unionByName(b, allowMissingColumns=True).groupBy("kind").agg(F.count("*").alias("n"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidecohort.operators import features, metrics, models
+from tidecohort.operators import features, models
 from tidecohort.plans.registry import query
 from tidecohort.plans.signals import four_channels
 from tidecohort.sources.fixtures import ctes, kernel_counts, psd, signals, table
@@ -38,12 +38,6 @@ def discriminative_per_class(spark, d):
     return rows.withColumn("place", place).filter("place <= 5").select(*features.SLOT, F.round("score", 9).alias("score"), "favours_a")
 
 
-@query("kernels_by_weight", ctes("kernel_counts") + " SELECT dilation, diff, grp, kernel, round(sum(abs(w)), 6) AS weight FROM (SELECT dilation, diff, grp, kernel, sin(value) * (1 + cls) AS w FROM kernel_counts) GROUP BY ALL")
-def kernels_by_weight(spark, d):
-    columns = kernel_counts(spark, d).withColumn("w", F.sin("value") * (1 + F.col("cls")))
-    return columns.groupBy(*features.SLOT).agg(F.round(F.sum(F.abs("w")), 6).alias("weight"))
-
-
 KERNELS_SQL = "k AS (SELECT vec_id, CAST(pow(2, vec_id % 3) AS INTEGER) AS dilation, CAST(vec_id % 2 AS INTEGER) AS diff, x[1:9] AS w FROM signals)"
 RESPONSE_SQL = "sqrt(pow(list_sum(list_transform(range(0, 9), lambda j: w[j + 1] * cos(2 * pi() / 250 * f * dilation * j))), 2) + pow(list_sum(list_transform(range(0, 9), lambda j: w[j + 1] * sin(2 * pi() / 250 * f * dilation * j))), 2)) * CASE WHEN diff = 1 THEN 2 * abs(sin(pi() / 250 * f)) ELSE 1 END"
 
@@ -58,9 +52,9 @@ def kernel_response(spark, d):
     return rows.select("vec_id", "f", F.round(features.response(F.col("weights"), F.col("f"), 250.0, F.col("dilation"), F.col("diff")), 6).alias("h"))
 
 
-@query("kernel_peaks", ctes("signals") + ", " + KERNELS_SQL + f", g AS (SELECT *, i * (CASE WHEN diff = 1 THEN 125.0::DOUBLE ELSE 125.0::DOUBLE / dilation END) / 256 AS f FROM k, unnest(range(257)) AS u(i)), h AS (SELECT vec_id, f, {RESPONSE_SQL} AS h FROM g) SELECT vec_id, round(sum(h * f) / sum(h), 4) AS centroid_hz FROM h GROUP BY vec_id")
+@query("kernel_peaks", ctes("signals") + ", " + KERNELS_SQL + f", g AS (SELECT *, i * (CASE WHEN diff = 1 THEN 125.0::DOUBLE ELSE 125.0::DOUBLE / dilation END) / 256 AS f FROM k, unnest(range(257)) AS u(i)), h AS (SELECT vec_id, f, {RESPONSE_SQL} AS h FROM g), r AS (SELECT vec_id, f, round(h, 9) AS h FROM h) SELECT vec_id, round(max_by(f, (h, -f)), 6) AS peak_hz, round(sum(h * f) / sum(h), 4) AS centroid_hz FROM r GROUP BY vec_id")
 def kernel_peaks(spark, d):
-    return features.peaks(kernels(spark, d), 250.0).select("vec_id", F.round("centroid_hz", 4).alias("centroid_hz"))
+    return features.peaks(kernels(spark, d), 250.0).select("vec_id", F.round("peak_hz", 6).alias("peak_hz"), F.round("centroid_hz", 4).alias("centroid_hz"))
 
 
 @query("peak_histogram", "SELECT CAST(least(floor(value / 10), 9) AS BIGINT) AS bin, event_type, count(*) AS n FROM events WHERE value BETWEEN 0 AND 100 GROUP BY 1, 2")
@@ -106,27 +100,3 @@ def kernel_win_counts(spark, d):
 def bag_features(spark, d):
     parts = signals(spark, d).select((F.col("vec_id") / 4).cast("long").alias("window_id"), "x")
     return features.bag_features(parts, features.Bank(64, 1, kernels=4, groups=2)).withColumns({c: F.round(c, 4) for c in ("mean", "most", "std")})
-
-
-def scored(spark, d):
-    featured = features.transform(windows(spark, d), bank()).join(windows(spark, d).drop("x"), "window_id")
-    scaled = models.scale(featured, models.scaler_statistics(featured))
-    model = models.fit_logistic(scaled, c=0.1, most_steps=30)
-    return models.decision(model, scaled).select("window_id", "subject", "y", "s")
-
-
-@query("model_performance")
-def model_performance(spark, d):
-    """Train-set metrics of windows and subjects for the convolution features under logistic regression."""
-    s = scored(spark, d)
-    whole = metrics.subject_scores(s)
-    row = lambda df, level: metrics.classification(df, []).withColumn("level", F.lit(level))
-    return row(s, "window").unionByName(row(whole, "subject"))
-
-
-@query("ridge_performance")
-def ridge_performance(spark, d):
-    rows = psd(spark, d).select(F.col("path").cast("long").alias("window_id"), "subject", F.col("cls").alias("y"), F.transform("p", lambda v: F.log(v)).alias("features"))
-    return metrics.classification(models.decision(models.fit_ridge(rows), rows), [])
-
-

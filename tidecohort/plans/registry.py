@@ -21,4 +21,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from tidecohort.plans import analytics, cohorts, features, signals  # noqa: E402, F401
+from tidecohort.plans import analytics, cleaning, cohorts, features, planning, signals, training  # noqa: E402, F401

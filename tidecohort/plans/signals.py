@@ -26,10 +26,10 @@ def crop_window(spark, d):
     return signals(spark, d).select("vec_id", F.size(part(1.0, 5.0)).cast("long").alias("n"), F.round(total, 6).alias("total"), F.size(part(6.0, 8.0)).cast("long").alias("n_end"))
 
 
-@query("harmonise_length", ctes("signals") + " SELECT vec_id, CAST(80 AS BIGINT) AS n, round(list_sum(x), 6) AS total, CAST(0 AS DOUBLE) AS last FROM signals")
+@query("harmonise_length", ctes("signals") + ", l AS (SELECT vec_id, x, CASE WHEN vec_id % 2 = 0 THEN 80 ELSE 40 END AS n FROM signals) SELECT vec_id, len(f) AS n, round(list_sum(f), 6) AS total, round(f[-1], 6) AS last FROM (SELECT vec_id, list_transform(range(1, n + 1), lambda i: coalesce(x[i], 0)) AS f FROM l)")
 def harmonise_length(spark, d):
-    fitted = signal.fit_length(F.col("x"), 80)
-    return signals(spark, d).select("vec_id", F.size(fitted).cast("long").alias("n"), F.round(F.aggregate(fitted, F.lit(0.0), lambda a, v: a + v), 6).alias("total"), F.element_at(fitted, -1).alias("last"))
+    fitted = F.when(F.col("vec_id") % 2 == 0, signal.fit_length(F.col("x"), 80)).otherwise(signal.fit_length(F.col("x"), 40))
+    return signals(spark, d).select("vec_id", F.size(fitted).cast("long").alias("n"), F.round(F.aggregate(fitted, F.lit(0.0), lambda a, v: a + v), 6).alias("total"), F.round(F.element_at(fitted, -1), 6).alias("last"))
 
 
 def four_channels():
@@ -77,9 +77,22 @@ def regional_sums(spark, d):
     return kept.groupBy("path", region.alias("region")).agg(F.count("*").alias("n"), F.round(F.sum("gof"), 6).alias("total"))
 
 
-@query("welch_spectra")
+#: Hann weights of segments of 32 samples, and their squared sum times 64 Hz.
+WELCH_SQL = "hann AS (SELECT list(0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * j / 32) ORDER BY j) AS h, 64 * sum(pow(0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * j / 32), 2)) AS scale FROM range(32) AS r(j))"
+
+
+def welch_sql(of: str, name: str) -> str:
+    """A view (vec_id, k, p) of Welch spectra at 64 Hz of a view with signals of 64 samples."""
+    parts = f"{name}_parts AS (SELECT vec_id, s, x[1 + 16 * s : 32 + 16 * s] AS x FROM {of}, unnest(range(3)) AS u(s))"
+    tapered = f"{name}_tapered AS (SELECT vec_id, s, scale, list_transform(range(1, 33), lambda j: (x[j] - list_avg(x)) * h[j]) AS x FROM {name}_parts, hann)"
+    wave = lambda f: f"pow(list_sum(list_transform(range(0, 32), lambda j: x[j + 1] * {f}(2 * pi() * j * k / 32))), 2)"
+    return f"{parts}, {tapered}, {name} AS (SELECT vec_id, CAST(k AS INTEGER) AS k, avg(({wave('cos')} + {wave('sin')}) / scale) * CASE WHEN k IN (0, 16) THEN 1 ELSE 2 END AS p FROM {name}_tapered, unnest(range(17)) AS v(k) GROUP BY vec_id, k)"
+
+
+@query("welch_spectra", ctes("signals") + ", " + WELCH_SQL + ", " + welch_sql("signals", "w") + " SELECT vec_id, k, round(p, 7) AS p FROM w")
 def welch_spectra(spark, d):
-    return signal.spectra(signals(spark, d), 64.0, 32)
+    rows = signal.spectra(signals(spark, d), 64.0, 32)
+    return rows.select("vec_id", F.posexplode("p").alias("k", "p")).withColumn("p", F.round("p", 7))
 
 
 @query("periodicity")

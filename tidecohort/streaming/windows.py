@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 
 def event_stream(spark: SparkSession, folder: str, schema) -> DataFrame:
@@ -21,3 +23,31 @@ def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
     """(user_id, started, ended, n) of sessions that a pause of ``gap`` ends."""
     counted = events.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n"))
     return counted.select("user_id", F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "n")
+
+
+def sliding(events: DataFrame, length: str = "1 hour", step: str = "15 minutes") -> DataFrame:
+    """(user_id, started, n, total) over windows of a length that start every step; an event counts in each that holds it."""
+    counted = events.groupBy("user_id", F.window("ts", length, step).alias("w")).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return counted.select("user_id", F.col("w.start").alias("started"), "n", "total")
+
+
+RUNNING = "user_id long, n long, most double"
+
+
+def running(events: DataFrame) -> DataFrame:
+    """(user_id, n, most) after each batch of a stream: how many events a user has had, and their largest value.
+
+    The state is two numbers a user; events of a batch may come in any order.
+    """
+
+    def update(key, frames, state):
+        n, most = state.get if state.exists else (0, None)
+        for frame in frames:
+            n += len(frame)
+            top = frame["value"].max()
+            if pd.notna(top):
+                most = float(top) if most is None else max(most, float(top))
+        state.update((n, most))
+        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "most": [most]})
+
+    return events.groupBy("user_id").applyInPandasWithState(update, RUNNING, "n long, most double", "update", GroupStateTimeout.NoTimeout)
