@@ -3,21 +3,29 @@
 Base kinds, leftmost and non-overlapping within a kind: ``assign`` (a keyword assigned a value of six or more characters),
 ``access`` (an ``AKIA`` key of twenty or more characters) and ``hex`` (24 or more lower-case hexadecimal digits).
 
-The battery judges every other token of 20 or more key-alphabet characters that overlaps no base span. The token's encoding
-is inferred from its character classes (hexadecimal, base 32, lower-case alphanumeric, base 62, base 64; letters of one case
-are a word and have none). Under the hypothesis that the token is uniform over that alphabet, three statistics get p-values:
-chi-squared uniformity of the alphabet, the number of runs above and below the alphabet's middle, and the lag-1 serial
-correlation. Fisher's method combines them, and a Benjamini-Hochberg step over the text's tokens, weighted by token
-length (long tokens give firmer evidence), rejects those that are not random. Tokens that stay and carry 80 bits or more
-are reported as kind ``random``.
+The battery judges what base spans leave of every token of 20 or more key-alphabet characters: the whole token, or pieces of
+``PIECE`` characters and more where base spans cut it. The encoding is inferred from the character classes (hexadecimal, base
+32, lower-case alphanumeric, base 62, base 64; letters of one case are a word and have none). Four statistics tell how far
+the token is from uniform over that alphabet: chi-squared over its characters and over its classes (digits, vowels and
+consonants of either case, symbols), the number of runs above and below the alphabet's middle, and the lag-1 serial
+correlation. Fisher's method combines them.
+
+A finding is a token that looks more random than ordinary ones do. Its null hypothesis is ordinary text: identifiers, paths,
+constants and dates, made by rule from common words (``decoys``), tell how often an ordinary token of the same encoding and
+length reaches the statistic. Over these p-values the false discoveries among the reported tokens are held to ``q`` by a
+Benjamini-Hochberg step of its own for every encoding and band of lengths, over all tokens of the table; so what is reported
+of a short token depends on short tokens only. The counts behind it are a row for each encoding and band.
 
 Defined results: null text counts as empty; spans are code points, end exclusive; texts without findings have empty
-``spans`` and the digest of the empty string; repeated rows give repeated results; extra columns are ignored.
+``spans`` and the digest of the empty string; repeated rows give repeated results (each counts as a token of its own); rows
+with a null doc_id are scanned like others; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import functools
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidecohort.llm.common import shielded
@@ -43,6 +51,21 @@ ALPHABETS = {
     "base64url": UPPER + LOWER + DIGITS + "-_",
 }
 BLOCK = 64
+#: Least characters of a piece that base spans leave of a token.
+PIECE = 14
+#: Upper ends of the bands of lengths.
+BANDS = (19, 23, 27, 31, 39, 55)
+#: Shares of ordinary tokens at which the statistic's quantiles are kept.
+LEVELS = (0.001, 0.002, 0.005, 0.01, 0.02, 0.05)
+CLASSES = (DIGITS, "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "aeiou", "bcdfghjklmnpqrstvwxyz", "+/-_")
+#: Words of ordinary identifiers; those of the letters a to f also make hexadecimal ones.
+WORDS = (
+    "get set user name id from cache file path index value key data list map config load save read write open close start stop run test main src lib java org com http server client request response header body token count size "
+    "max min sum item node tree graph edge table row column query result error message event handler listener manager factory service controller model view template string number integer double float byte char array buffer "
+    "stream channel socket thread process task job queue stack heap memory disk network page image color font style layout window button label text input output system version build release update create delete remove find "
+    "search sort filter reduce merge split join group order by the and for with into over under access public private static final class interface method function return internationalization configuration"
+).split()
+HEX_WORDS = "face bead deed cafe decade added facade fade dead beef feed ace bed cab dab ebb".split()
 
 
 def _sum(values: Column) -> Column:
@@ -70,10 +93,10 @@ def _upper_tail(z: Column) -> Column:
 
 
 def _encoding(v: Column) -> Column:
-    """Name of the smallest alphabet that fits the token; null for words and mere numbers."""
+    """Name of the smallest alphabet that fits the token; null for words of one case and mere numbers."""
     has = lambda p: v.rlike(p)
     return (
-        F.when(~has("[0-9]") & (~has("[a-z]") | ~has("[A-Z]") | has("^[A-Z][a-z]+$") | has("[+/_-]")), None)
+        F.when(~has("[0-9]") & (~has("[a-z]") | ~has("[A-Z]") | has("^[A-Z][a-z]+$")), None)
         .when(~has("[A-Za-z]"), None)
         .when(has("^[0-9a-f]+$"), "hex")
         .when(has("^[0-9A-F]+$"), "HEX")
@@ -91,52 +114,163 @@ def _alphabet(encoding: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for pair in ALPHABETS.items() for x in pair]), encoding)
 
 
-def randomness_p(token: Column, encoding: Column) -> Column:
-    """Combined p-value of the battery, under uniformity over the encoding's alphabet; small means not random."""
-    alphabet = _alphabet(encoding)
-    size, n = F.length(alphabet).cast("double"), F.length(token).cast("double")
-    values = F.transform(F.split(token, ""), lambda c: (F.instr(alphabet, c) - 1).cast("double"))
-    squares = F.aggregate(F.transform(F.split(alphabet, ""), lambda a: F.length(token) - F.length(F.replace(token, a, F.lit("")))), F.lit(0).cast("double"), lambda s, x: s + x * x)
-    z_chi = (squares * size / n - n - (size - 1)) / F.sqrt(2 * (size - 1) * (n - 1) / n)
-    pairs = lambda f: F.aggregate(F.zip_with(F.slice(values, F.lit(1), F.size(values) - 1), F.slice(values, F.lit(2), F.size(values) - 1), f), F.lit(0.0), lambda s, x: s + x)
-    high = lambda x: x >= size / 2
-    z_runs = (pairs(lambda a, b: (high(a) != high(b)).cast("double")) - (n - 1) / 2) / F.sqrt((n - 1) / 4)
-    mean, variance = (size - 1) / 2, (size * size - 1) / 12
-    z_serial = pairs(lambda a, b: (a - mean) * (b - mean)) / variance / F.sqrt(n - 1)
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def departure(token: Column, encoding: Column) -> Column:
+    """How far a token is from uniform over the encoding's alphabet: half of Fisher's statistic of the battery."""
+    shares = {name: [len(set(alphabet) & set(letters)) / len(alphabet) for letters in CLASSES] for name, alphabet in ALPHABETS.items()}
+    table = F.create_map(*[x for name, own in shares.items() for x in (F.lit(name), F.array(*[F.lit(v) for v in own]))])
+    n = F.length(token).cast("double")
     clip = lambda p: F.greatest(p, F.lit(1e-30))
-    half = -(F.log(clip(_upper_tail(z_chi))) + F.log(clip(2 * _upper_tail(F.abs(z_runs)))) + F.log(clip(2 * _upper_tail(F.abs(z_serial)))))
-    half = F.greatest(half, F.lit(0.0))
-    return F.exp(-half) * (1 + half + half * half / 2)
 
+    def by_class(own: Column) -> Column:
+        terms, groups = F.lit(0.0), F.lit(-1.0)
+        for i, letters in enumerate(CLASSES):
+            expected = n * F.get(own, F.lit(i))
+            seen = (F.length(token) - F.length(F.translate(token, letters, ""))).cast("double")
+            terms = terms + F.when(expected > 0, F.pow(seen - expected, F.lit(2)) / expected).otherwise(F.lit(0.0))
+            groups = groups + (expected > 0).cast("double")
+        ninth = lambda g: F.lit(2.0) / (9 * g)
+        return _let(groups, lambda g: F.log(clip(_upper_tail((F.pow(terms / g, F.lit(1 / 3)) - (1 - ninth(g))) / F.sqrt(ninth(g))))))
+
+    def by_place(alphabet: Column) -> Column:
+        size = F.length(alphabet).cast("double")
+        squares = F.aggregate(F.transform(F.split(alphabet, ""), lambda a: F.length(token) - F.length(F.replace(token, a, F.lit("")))), F.lit(0.0), lambda s, x: s + x * x)
+        z_chi = (squares * size / n - n - (size - 1)) / F.sqrt(2 * (size - 1) * (n - 1) / n)
+        middle, variance = (size - 1) / 2, (size * size - 1) / 12
+        start = F.struct(F.lit(None).cast("double").alias("last"), F.lit(0.0).alias("runs"), F.lit(0.0).alias("product"))
+
+        def step(acc, c):
+            v = (F.instr(alphabet, c) - 1).cast("double") - middle
+            turned = ((acc["last"] >= 0) != (v >= 0)).cast("double")
+            return F.struct(v.alias("last"), (acc["runs"] + F.coalesce(turned, F.lit(0.0))).alias("runs"), (acc["product"] + F.coalesce(acc["last"] * v, F.lit(0.0))).alias("product"))
+
+        walked = F.aggregate(F.split(token, ""), start, step)
+        two_sided = lambda z: F.log(clip(F.least(F.lit(1.0), 2 * _upper_tail(F.abs(z)))))
+        return _let(walked, lambda w: F.log(clip(_upper_tail(z_chi))) + two_sided((w["runs"] - (n - 1) / 2) / F.sqrt((n - 1) / 4)) + two_sided(w["product"] / variance / F.sqrt(n - 1)))
+
+    return -(_let(F.element_at(table, encoding), by_class) + _let(_alphabet(encoding), by_place))
+
+
+def _band(length: Column) -> Column:
+    out = F.lit(len(BANDS))
+    for i, top in reversed(list(enumerate(BANDS))):
+        out = F.when(length <= top, F.lit(i)).otherwise(out)
+    return out
+
+
+def _cell(token: Column, encoding: Column) -> Column:
+    return F.concat(encoding, F.lit("/"), _band(F.length(token)).cast("string"))
+
+
+def decoys(spark, n: int = 40_000) -> DataFrame:
+    """(v): ordinary tokens by rule. Words are drawn by hash; a style joins them, changes their case and adds numbers."""
+    draw = lambda *salt: F.xxhash64("id", *[s if isinstance(s, Column) else F.lit(s) for s in salt])
+    pick = lambda words, i: F.get(F.array(*[F.lit(w) for w in words]), F.pmod(draw("word", i), F.lit(len(words))).cast("int"))
+    style = F.pmod(F.col("id"), F.lit(10))
+    upto = F.sequence(F.lit(1), F.pmod(draw("n"), F.lit(9)).cast("int") + 2)
+    words = F.transform(upto, lambda i: F.when(style >= 8, pick(HEX_WORDS, i)).otherwise(pick(WORDS, i)))
+    number = lambda salt, top: F.pmod(draw(salt), F.lit(top)).cast("string")
+    digits = F.transform(words, lambda w, i: F.when(F.pmod(draw("digit", i), F.lit(4)) == 0, F.concat(w, F.pmod(draw("which", i), F.lit(100)).cast("string"))).otherwise(w))
+    camel = F.transform(words, lambda w, i: F.when(i > 0, F.initcap(w)).otherwise(w))
+    joined = (
+        F.when(style == 0, F.array_join(camel, ""))
+        .when(style == 1, F.array_join(F.transform(digits, F.initcap), ""))
+        .when(style == 2, F.concat(F.array_join(camel, ""), number("tail", 10_000)))
+        .when(style == 3, F.concat(F.array_join(words, "/"), F.lit("/"), F.initcap(pick(WORDS, F.lit(50))), number("tail", 10)))
+        .when(style == 4, F.concat(F.array_join(F.transform(words, lambda w, i: F.when(i % 2 == 0, F.initcap(w)).otherwise(w)), "_"), F.lit("-"), number("tail", 100)))
+        .when(style == 5, F.array_join(digits, ""))
+        .when(style == 6, F.upper(F.array_join(digits, "")))
+        .when(style == 7, F.concat(F.array_join(camel, ""), F.lit("20"), F.lpad(number("date", 9_999_999), 7, "0")))
+        .when(style == 8, F.concat(F.array_join(F.slice(words, 1, 3), ""), F.lit("20"), F.lpad(number("date", 10_000), 4, "1"), F.array_join(F.slice(words, 4, 3), ""), number("tail", 10_000)))
+        .otherwise(F.upper(F.concat(F.array_join(F.slice(words, 1, 4), ""), number("tail", 10_000), F.array_join(F.slice(words, 5, 2), ""))))
+    )
+    return spark.range(n).select(joined.alias("v")).filter(F.length("v").between(PIECE, 120))
 
-def scan(docs: DataFrame, q: float = 0.05, min_bits: float = 80.0) -> DataFrame:
-    """``docs`` with ``secrets``: array of (s, e, k, v), base kinds and battery findings, by start and then kind.
 
-    ``q`` is the rate of random tokens that may be called ordinary; ``min_bits`` the least information of a finding.
+@functools.cache
+def ordinary_quantiles() -> dict[str, list[float]]:
+    """For each encoding and band the departures that so many ordinary tokens stay below; a row for each reaches the driver.
+
+    They follow from the constants above alone, so that one process computes them once.
     """
+    spark = SparkSession.active()
+    judged = decoys(spark).withColumn("enc", _encoding(F.col("v"))).filter("enc IS NOT NULL")
+    rows = judged.groupBy(_cell(F.col("v"), F.col("enc")).alias("cell"), "enc").agg(F.count("*").alias("n"), F.percentile(departure(F.col("v"), F.col("enc")), F.array(*[F.lit(x) for x in LEVELS])).alias("q")).collect()
+    return {r["cell"]: [q if r["n"] * level >= 1 else -1.0 for q, level in zip(r["q"], LEVELS, strict=True)] for r in rows}
+
+
+def _level(cell: Column, value: Column, quantiles: dict[str, list[float]]) -> Column:
+    """Index of the smallest level whose quantile the departure stays below; the number of levels where there is none.
+
+    A cell in which no ordinary token fell uses the median cell: all known quantiles' middle at each level.
+    """
+    if not quantiles:
+        return F.lit(len(LEVELS))
+    middle = [sorted(q[i] for q in quantiles.values())[len(quantiles) // 2] for i in range(len(LEVELS))]
+    table = F.create_map(*[x for c, q in sorted(quantiles.items()) for x in (F.lit(c), F.array(*[F.lit(v) for v in q]))])
+    limits = F.coalesce(F.element_at(table, cell), F.array(*[F.lit(v) for v in middle]))
+    return F.size(F.filter(limits, lambda limit: limit < value))
+
+
+def _pieces(token: Column, base: Column) -> Column:
+    """What the base spans, in order, leave of a token: itself, or pieces of ``PIECE`` characters or more."""
+    inside = F.filter(base, lambda b: (b["s"] < token["e"]) & (b["e"] > token["s"]))
+    starts = F.concat(F.array(token["s"]), F.transform(inside, lambda b: b["e"]))
+    ends = F.concat(F.transform(inside, lambda b: b["s"]), F.array(token["e"]))
+    # A span inside an earlier one must not reopen text: each piece starts after all spans so far.
+    reached = F.transform(starts, lambda x, i: F.array_max(F.slice(starts, F.lit(1), i + 1)))
+    cut = F.zip_with(reached, ends, lambda s, e: F.struct(s.alias("s"), e.alias("e"), token["k"].alias("k"), F.substring(token["v"], s - token["s"] + 1, F.greatest(e - s, F.lit(0))).alias("v")))
+    return F.when(F.size(inside) == 0, F.array(token)).otherwise(F.filter(cut, lambda p: p["e"] - p["s"] >= PIECE))
+
+
+def _judged(docs: DataFrame, min_bits: float, quantiles: dict[str, list[float]]) -> DataFrame:
+    """``docs`` with ``_base`` (base spans in order) and ``_judged`` (spans of tokens with their cell and level)."""
     text = F.coalesce(F.col("text"), F.lit(""))
+    nothing = F.array().cast("array<string>")
     hits = docs.withColumns({
         "_assign": F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(0)),
-        "_access": F.when(text.contains("AKIA"), F.regexp_extract_all(text, F.lit(ACCESS), F.lit(0))).otherwise(F.array().cast("array<string>")),
+        "_access": F.when(text.contains("AKIA"), F.regexp_extract_all(text, F.lit(ACCESS), F.lit(0))).otherwise(nothing),
         "_hex": F.regexp_extract_all(text, F.lit(HEX), F.lit(0)),
         "_token": F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)),
     })
     found = hits.withColumns({f"_{k}": _found(text, F.col(f"_{k}"), p, n) for k, p, n in (("assign", ASSIGN, "assign"), ("access", ACCESS, "access"), ("hex", HEX, "hex"), ("token", TOKEN, "random"))})
     long_value = lambda x: F.length(F.regexp_replace(x["v"], "^" + ASSIGN_HEAD, "")) >= 6
-    base = found.withColumn("_base", F.concat(F.filter("_assign", long_value), "_access", "_hex"))
-    fresh = F.filter("_token", lambda t: ~F.exists("_base", lambda b: (b["s"] < t["e"]) & (b["e"] > t["s"])))
-    judged = F.transform(fresh, lambda t: t.withField("enc", _encoding(t["v"])))
-    tested = base.withColumn("_judged", F.filter(judged, lambda t: t["enc"].isNotNull()))
-    tested = tested.withColumn("_judged", F.transform("_judged", lambda t: t.withField("p", randomness_p(t["v"], t["enc"]))))
-    m = F.size("_judged")
-    mean_length = F.aggregate("_judged", F.lit(0), lambda a, t: a + F.length(t["v"])) / m
-    weighted = tested.withColumn("_judged", F.transform("_judged", lambda t: t.withField("w", t["p"] * mean_length / F.length(t["v"]))))
-    order = F.array_sort(F.transform("_judged", lambda t: t["w"]))
-    last = F.aggregate(F.transform(order, lambda w, i: F.when(w <= F.lit(q) * (i + 1) / m, w).otherwise(F.lit(-1.0))), F.lit(-1.0), lambda a, w: F.greatest(a, w))
+    base = found.withColumn("_base", F.array_sort(F.concat(F.filter("_assign", long_value), "_access", "_hex")))
+    pieces = base.withColumn("_piece", F.flatten(F.transform("_token", lambda t: _pieces(t, F.col("_base")))))
     bits = lambda t: F.length(t["v"]) * F.log2(F.length(_alphabet(t["enc"])))
-    cut = weighted.withColumn("_last", last)
-    random = F.transform(F.filter("_judged", lambda t: (t["w"] > F.col("_last")) & (bits(t) >= min_bits)), lambda t: F.struct(t["s"], t["e"], t["k"], t["v"]))
-    return cut.withColumn("secrets", F.array_sort(F.concat("_base", random))).drop("_assign", "_access", "_hex", "_token", "_base", "_judged", "_last")
+    coded = pieces.withColumn("_judged", F.filter(F.transform("_piece", lambda t: t.withField("enc", _encoding(t["v"]))), lambda t: t["enc"].isNotNull()))
+    coded = coded.withColumn("_judged", F.filter("_judged", lambda t: bits(t) >= min_bits))
+    celled = coded.withColumn("_judged", F.transform("_judged", lambda t: t.withField("cell", _cell(t["v"], t["enc"])).withField("d", departure(t["v"], t["enc"]))))
+    return celled.withColumn("_judged", F.transform("_judged", lambda t: t.withField("level", _level(t["cell"], t["d"], quantiles)))).drop("_assign", "_access", "_hex", "_token", "_piece")
+
+
+def _cuts(judged: DataFrame, q: float) -> dict[str, int]:
+    """For each cell the highest level that a Benjamini-Hochberg step accepts; cells without one are missing."""
+    tokens = judged.select(F.explode("_judged").alias("t")).groupBy(F.col("t.cell").alias("cell"))
+    rows = tokens.agg(F.count("*").alias("n"), *[F.count_if(F.col("t.level") <= i).alias(f"l{i}") for i in range(len(LEVELS))]).collect()
+    accepted = {r["cell"]: [i for i, level in enumerate(LEVELS) if r[f"l{i}"] and r["n"] * level <= q * r[f"l{i}"]] for r in rows}
+    return {cell: max(levels) for cell, levels in accepted.items() if levels}
+
+
+def scan(docs: DataFrame, q: float = 0.05, min_bits: float = 80.0) -> DataFrame:
+    """``docs`` with ``secrets``: array of (s, e, k, v), base kinds and battery findings, by start and then kind.
+
+    ``q`` bounds the share of ordinary tokens among the findings of the battery; ``min_bits`` is the least information of one.
+    """
+    quantiles = ordinary_quantiles()
+    cuts = _cuts(_judged(docs.select("text"), min_bits, quantiles), q)
+    judged = _judged(docs, min_bits, quantiles)
+    if cuts:
+        limit = F.create_map(*[F.lit(x) for pair in sorted(cuts.items()) for x in pair])
+        kept = F.filter("_judged", lambda t: t["level"] <= F.coalesce(F.element_at(limit, t["cell"]), F.lit(-1)))
+    else:
+        kept = F.filter("_judged", lambda t: F.lit(False))
+    random = F.transform(kept, lambda t: F.struct(t["s"], t["e"], t["k"], t["v"]))
+    return judged.withColumn("secrets", F.array_sort(F.concat("_base", random))).drop("_base", "_judged")
 
 
 def _listed(spans: Column) -> Column:
