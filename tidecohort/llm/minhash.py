@@ -7,7 +7,7 @@ largest register, so most shingles draw only a few numbers. Registers are cut in
 share a bucket. With 120 registers in 24 bands of 5, a pair at J_P = 0.8 meets in no bucket with probability 7e-5.
 
 Texts with the same words are one class first (smallest doc_id represents it). Candidate links between classes are then
-verified by the exact J_P of both texts, in two rounds that lose no verified pair of a bucket:
+verified by the exact J_P of both texts, in two rounds that lose no pair of a bucket whose signatures agree enough:
 
 1. Every class is compared with the smallest class of its bucket (a join that adaptive execution splits for crowded
    buckets) and, in the largest of its crowded buckets, with the next two classes in a random order of salted parts of the
@@ -18,8 +18,11 @@ verified by the exact J_P of both texts, in two rounds that lose no verified pai
    signatures, then texts, and emits only the links it verifies, so no pairs are written out however large the group is.
    A pair that shares several buckets is compared in the first of them only.
 
+Joins by bucket take the few hottest buckets (of more than ``HOT`` classes, and of one in a million of all hits) from a
+broadcast, so that none is gathered in one task.
+
 Before texts are read, pairs whose signatures agree in too few registers for 0.8 (four standard deviations below the
-mean) are left out. Components come from min-label propagation with pointer jumping over tables in the shared folder; nothing is collected.
+mean) are left out: of pairs at exactly 0.8 that share a bucket this loses one in ten thousand. Components come from min-label propagation with pointer jumping over tables in the shared folder; nothing is collected.
 
 Defined results: null and word-less texts are groups of their own; rows that share a doc_id are one document, near to
 another when any of its texts is; rows with null doc_id keep a null group; an empty table gives an empty result; extra
@@ -34,13 +37,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidecohort.llm.common import add_struct, materialize, struct_array
+from tidecohort.llm.common import add_struct, discard, materialize, struct_array
 from tidecohort.llm.vectext import Batch, mix, shingles, slices
 
 SHINGLE = 5
 #: Buckets with more classes than this are compared by blocks.
 CROWD = 50
 BLOCK = 200
+#: Buckets with more classes than this may be broadcast in joins by bucket.
+HOT = 1000
 NEIGHBOURS = 2
 #: Of a class's crowded buckets, so many of the largest take part in the first round's random neighbours.
 CROWDS = 4
@@ -62,7 +67,8 @@ class Shingled:
             mixed = mix(words + mix(place.astype(U) + U(1)))
             sums = np.concatenate([[U(0)], np.cumsum(mixed)])
             self.sequence = mix((sums[b.first[1:]] - sums[b.first[:-1]]) ^ mix(counts.astype(U)))
-            sums = np.concatenate([[U(0)], np.cumsum(mix(mixed ^ U(0xA5A5A5A5A5A5A5A5)))])
+            # Other hashes of the words than those above, so that both halves of the identity differ independently.
+            sums = np.concatenate([[U(0)], np.cumsum(mix(b.word_hashes(salt=1) + mix(place.astype(U) + U(3))))])
             self.second = mix(sums[b.first[1:]] - sums[b.first[:-1]])
         hashes, doc = shingles(words, b.doc, k)
         short = np.flatnonzero((counts > 0) & (counts < k))
@@ -160,6 +166,14 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("listed"), "left_semi")
 
 
+def _on_bucket(rows: DataFrame, other: DataFrame, hot: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``other`` by bucket; what belongs to the listed hot buckets is broadcast and not shuffled."""
+    listed = F.broadcast(hot)
+    some = F.broadcast(other.join(listed, "bucket", "left_semi"))
+    rest = rows.join(listed, "bucket", "left_anti").join(other.join(listed, "bucket", "left_anti"), "bucket", how)
+    return rows.join(some, "bucket", how).unionByName(rest)
+
+
 def _likely(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose signatures agree in about as many registers as the threshold asks, less four deviations."""
     of = lambda name: reps.select(F.col("id").alias(name), F.col("sketch").alias(f"of_{name}"))
@@ -200,11 +214,11 @@ def _across(placed: DataFrame) -> DataFrame:
     return across.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b"))
 
 
-def _blocked(placed: DataFrame, reps: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+def _blocked(placed: DataFrame, hot: DataFrame, reps: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Verified links (a, b) between components of crowded buckets; placed has bucket, band, id, n, component."""
     sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("k"))
     largest = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("k", "component")).alias("largest"))
-    rows = placed.join(largest, "bucket").withColumn("parts", F.expr(f"cast(n div {BLOCK} + 1 as int)"))
+    rows = _on_bucket(placed, largest, hot).withColumn("parts", F.expr(f"cast(n div {BLOCK} + 1 as int)"))
     rows = rows.withColumns({"part": F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"), "outside": F.col("component") != F.col("largest")})
     every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     common = ["bucket", "band", "id", "component"]
@@ -251,14 +265,15 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(id, component): smallest id reachable over ``links`` (a, b), by min-label rounds with pointer jumping."""
     both = materialize(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct())
     linked = both.select(F.col("a").alias("id")).distinct()
-    labels = materialize(linked.select("id", F.col("id").alias("component")))
+    labels = last = materialize(linked.select("id", F.col("id").alias("component")))
     while True:
         near = both.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy("a").agg(F.min("component").alias("least")).withColumnRenamed("a", "id")
         hooked = labels.join(near, "id").select("id", "component", F.least("component", "least").alias("new"))
         jump = labels.select(F.col("id").alias("new"), F.col("component").alias("far"))
         moved = materialize(hooked.join(jump, "new").select("id", "component", F.least("new", "far").alias("new")))
         done = moved.filter("new < component").isEmpty()
-        labels = moved.select("id", F.col("new").alias("component"))
+        discard(last)
+        labels, last = moved.select("id", F.col("new").alias("component")), moved
         if done:
             return nodes.join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
@@ -273,7 +288,9 @@ def groups(docs: DataFrame, threshold: float = 0.8, bands: int = 24, rows: int =
     hits = reps.select("id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.conv(F.hex(F.substring("buckets", i * width + 1, F.lit(width))), 16, -10).cast("long"))).alias("band", "bucket"))
     hits = materialize(hits)
     crowded = materialize(hits.groupBy("bucket").agg(F.min("id").alias("top"), F.count("*").alias("n")).filter("n > 1"))
-    hits = materialize(hits.join(crowded, "bucket"))
+    most = crowded.agg(F.sum("n")).first()[0] or 0
+    hot = materialize(crowded.filter(F.col("n") > max(HOT, most // 1_000_000)).select("bucket"))
+    hits = materialize(_on_bucket(hits, crowded, hot))
 
     sketches = reps.groupBy("id").agg(F.first("sketch").alias("sketch"))
     stars = hits.filter("id > top").select(F.col("top").alias("a"), F.col("id").alias("b"))
@@ -291,10 +308,10 @@ def groups(docs: DataFrame, threshold: float = 0.8, bands: int = 24, rows: int =
     parts = materialize(components(nodes, links))
     placed = hits.select("bucket", "band", "id", "n").join(parts, "id")
     kinds = placed.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most").select("bucket")
-    placed = materialize(placed.join(kinds, "bucket", "left_semi"))
+    placed = materialize(_on_bucket(placed, kinds, hot, "left_semi"))
     few = _across(placed.filter(F.col("n") <= CROWD).select(F.col("bucket").alias("key"), "id", "component"))
     more = _likely(few.distinct().join(pairs, ["a", "b"], "left_anti"), sketches, threshold)
-    crowds = _blocked(placed.filter(F.col("n") > CROWD), reps, texts, threshold)
+    crowds = _blocked(placed.filter(F.col("n") > CROWD), hot, reps, texts, threshold)
     found = materialize(_verified(more, texts, threshold).union(crowds))
     ends = found.join(parts.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a").join(parts.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b")
     merged = components(parts.select(F.col("component").alias("id")).distinct(), ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")).filter("a <> b").distinct())
