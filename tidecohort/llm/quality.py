@@ -6,12 +6,13 @@ kept when at least ``min_content`` of its words stand in content lines and no ba
 than half of the words in three-word windows that occur twice in the text).
 
 The CRF is fitted on the driver by gradient ascent on the likelihood, over a bounded sample of labelled documents
-(``max_train_docs``). Labels are of whole documents, so lines of bad documents start as boilerplate and are relabelled
+(``max_train_docs``, none above ``max_train_bytes``). Labels are of whole documents, so lines of bad documents start as boilerplate and are relabelled
 between fits by the model itself, except that at least the worse half of a bad document stays boilerplate.
 
 Defined results: null and word-less texts have zeros everywhere, fail the base rule and are not kept; repeated rows are
-judged alike; without labelled documents of both kinds only the base rules decide; extra columns are passed through by
-``annotate`` and ``keep`` and ignored elsewhere.
+judged alike; of two labels with equal scores a line is boilerplate; without labelled documents of both kinds only the base
+rules decide; rows with a null doc_id are judged but never trained on; an empty table gives an empty result; extra columns
+are passed through by ``annotate`` and ``keep`` and ignored elsewhere.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidecohort.llm.common import add_struct, bounded_sample, shielded, struct_array
-from tidecohort.llm.vectext import Batch, shingles
+from tidecohort.llm.vectext import Batch, shingles, slices
 
 FIELDS = T.StructType([T.StructField(n, T.LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [T.StructField("base_failed", T.BooleanType()), T.StructField("content_share", T.DoubleType()), T.StructField("kept", T.BooleanType())])
 SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
@@ -64,7 +65,7 @@ class Lines:
         number = np.cumsum(has) - 1
         starts, ends, self.doc = starts[has], ends[has], line_doc[has]
         of_word, m = number[of_word] if len(of_word) else of_word, int(has.sum())
-        doubled = _not_first(b.hashes(starts, ends), self.doc)
+        doubled = _not_first(b.segment_hashes(starts, ends), b.segment_hashes(starts, ends, salt=1), self.doc)
 
         hashes = b.word_hashes()
         windows, window_doc = shingles(hashes, b.doc, 3)
@@ -184,23 +185,21 @@ def fit(x: np.ndarray, doc: np.ndarray, y: np.ndarray, rounds: int = 80, ridge:
     return {"weights": weights, "moves": moves}
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train_docs: int = 1200, passes: int = 2) -> dict | None:
+def train(docs: DataFrame, labels: DataFrame, max_train_docs: int = 1200, max_train_bytes: int = 1 << 17, passes: int = 2) -> dict | None:
     """The fitted CRF, or None without labelled documents of both kinds. Only features of the sample reach the driver."""
     known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     kinds = [bounded_sample(known.filter(rule), "doc_id", max_train_docs // 2) for rule in ("quality > 0", "quality <= 0")]
     sample = kinds[0].union(kinds[1]).select(F.col("doc_id").alias("of"), F.col("quality").cast("int").alias("good"))
-    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("of")).select("text", "good")
+    chosen = docs.select("doc_id", "text").filter(F.octet_length("text") <= max_train_bytes).join(F.broadcast(sample), F.col("doc_id") == F.col("of")).select("text", "good")
 
     def features(batches):
-        for batch in batches:
-            lines = Lines(batch.column("text"))
-            good = np.asarray(batch.column("good"))
-            blobs, counts = [], []
-            for d in range(lines.n):
-                own = lines.x[lines.doc == d].astype("<f4")
-                blobs.append(own.tobytes())
-                counts.append(len(own))
-            yield pa.RecordBatch.from_arrays([pa.array(good.tolist(), pa.int32()), pa.array(blobs, pa.binary())], names=["good", "x"])
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                lines = Lines(batch.column("text"))
+                edges = np.searchsorted(lines.doc, np.arange(lines.n + 1))
+                x = lines.x.astype("<f4")
+                blobs = [x[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("good"), pa.array(blobs, pa.binary())], names=["good", "x"])
 
     rows = chosen.mapInArrow(features, "good int, x binary").collect()
     rows = sorted((r for r in rows if r.x), key=lambda r: (r.good, bytes(r.x)))
