@@ -63,20 +63,24 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     return deflate.compress(whole) + deflate.flush()
 
 
-def with_references(pages: DataFrame, min_revisit_bytes: int = 0, salts: int = 32) -> DataFrame:
+def with_references(pages: DataFrame, min_revisit_bytes: int = 0, crowd: int = 10_000) -> DataFrame:
     """(page_id, url, html, refers_to): the page whose equal payload a page revisits, null for responses.
 
-    Digests with several pages are few columns wide; each is spread over ``salts`` so that a payload that a third of all
-    pages share is joined by many tasks.
+    Digests with several pages are few columns wide. Those with more than ``crowd`` pages (and more than one in 100,000 of all
+    such pages, so at most 100,000 digests) are broadcast, and their pages are dealt out evenly; the others are joined by digest.
     """
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
     digest = F.sha1(F.col("html").cast("binary"))
     firsts = rows.filter(F.octet_length("html") >= min_revisit_bytes).select("page_id", digest.alias("of")).groupBy("of").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 AND first IS NOT NULL")
-    firsts = firsts.select("of", "first", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("of_salt"))
-    salted = rows.withColumns({"digest": digest, "salt": F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int")})
-    joined = salted.join(firsts, (F.col("digest") == F.col("of")) & (F.col("salt") == F.col("of_salt")), "left")
-    refers = F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first"))
+    firsts = materialize(firsts)
+    least = max(crowd, (firsts.agg(F.sum("n")).first()[0] or 0) // 100_000)
+    hot = F.broadcast(firsts.filter(F.col("n") > least).select(F.col("of").alias("hot_of"), F.col("first").alias("hot_first")))
+    known = rows.withColumn("digest", digest).join(hot, F.col("digest") == F.col("hot_of"), "left")
+    spread = F.when(F.col("hot_first").isNull(), F.col("digest")).otherwise(F.concat(F.lit("~"), F.xxhash64("page_id", "url").cast("string")))
+    joined = known.withColumn("key", spread).join(firsts.filter(F.col("n") <= least), F.col("key") == F.col("of"), "left")
+    first = F.coalesce("hot_first", "first")
+    refers = F.when(~first.eqNullSafe(F.col("page_id")), first)
     return joined.select("page_id", "url", "html", refers.alias("refers_to"))
 
 
