@@ -7,10 +7,13 @@ until none is above its cap. The level has a closed form over sources ordered by
 Targets become whole repetitions of every document plus one more repetition of a fraction of the documents. The fraction is
 a seeded systematic sample: documents of a source are ranked by size, and every rank at which ``fraction * rank`` passes an
 integer is taken once more. Neighbours in rank have nearly equal sizes, so the words taken stay within about one document
-of the target; of sixteen starting points the nearest is used. Ranks come from cells (source, size band, salt) and a prefix sum over cell counts, so no task holds a source.
+of the target; of sixteen starting points the nearest is used. Ranks come from cells (source, size band, salt): prefix sums
+over the bands of a source, then over the salts of a band, so that no task holds a source or its cells.
 
 Defined results: null text has size 0; null source is a source of its own, last in order; a source without words has target
-0 and takes nothing; repeated rows are separate documents; an empty table gives an empty result. Extra columns are ignored.
+0 and takes nothing; repeated rows are separate documents; documents of equal size and digest rank by doc_id; rows with a
+null doc_id count like others; an empty table gives an empty result. Extra columns are ignored. All sources meet in one task
+when the level is computed: a row of four numbers for each.
 """
 
 from __future__ import annotations
@@ -59,8 +62,12 @@ def mix(docs: DataFrame, budget_share: float = 1.5, max_epochs: int = 2, weights
         .select("doc_id", "size", "source_size", "target", "whole", "fraction", "digest", F.coalesce(F.concat(F.lit("="), "source"), F.lit("-")).alias("key"), "band", "salt")
     )
     cell = ["key", "band", "salt"]
-    before = Window.partitionBy("key").orderBy("band", "salt").rowsBetween(Window.unboundedPreceding, -1)
-    cells = rows.groupBy(*cell).agg(F.count("*").alias("n")).select(*cell, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    upto = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    running = lambda *by: F.coalesce(F.sum("n").over(upto(*by)), F.lit(0))
+    cells = materialize(rows.groupBy(*cell).agg(F.count("*").alias("n")))
+    bands = cells.groupBy("key", "band").agg(F.sum("n").alias("n")).select("key", "band", running("key", "band").alias("below"))
+    inner = cells.select(*cell, running("key", "band", "salt").alias("inside"))
+    cells = inner.join(bands, ["key", "band"]).select(*cell, (F.col("below") + F.col("inside")).alias("before"))
     in_cell = F.row_number().over(Window.partitionBy(*cell).orderBy("size", "digest", "doc_id"))
     ranked = rows.withColumn("in_cell", in_cell).join(cells, cell).withColumn("rank", F.col("before") + F.col("in_cell"))
     ranked = materialize(ranked.select("key", "doc_id", "size", "source_size", "target", "whole", "fraction", "rank"))
