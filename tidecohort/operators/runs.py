@@ -22,7 +22,7 @@ def configurations(spark: SparkSession, root: str, name: str = "overrides.yaml",
 
     The files are lists (``- key=value``) and flat keys, which lines express; nothing else of YAML is read.
     """
-    text = lambda f: spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f).option("wholetext", True).text(root)
+    text = lambda f: spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f).text(root, wholetext=True)
     run = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col("_metadata.file_path"), "^[a-z]+:/+", "/"), r"(/\.[^/]+)?/[^/]+$", ""), "^" + root.rstrip("/") + "/?", "")
     lines = F.filter(F.transform(F.split("value", "\n"), lambda x: F.trim(F.regexp_replace(x, r"^\s*-\s*", ""))), lambda x: (x != "") & ~x.startswith("#"))
     given = text(name).select(run.alias("run"), lines.alias("o"))

@@ -39,7 +39,7 @@ def cached_listing(spark: SparkSession, root: str, cache: str) -> DataFrame:
 
 def sidecars(spark: SparkSession, root: str) -> DataFrame:
     """(path, bads, too_many, segments, seizures, periodic) of all sidecar files; broken ones come back empty."""
-    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*-bads.json").option("wholetext", True).text(root)
+    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*-bads.json").text(root, wholetext=True)
     parsed = rows.select(plain(F.regexp_replace("_metadata.file_path", r"-bads\.json$", ".edf")).alias("path"), F.from_json("value", SIDECAR).alias("s")).select("path", "s.*")
     empty = {"bads": "array<string>", "segments": "array<struct<start:double,stop:double>>", "seizures": "array<struct<start:double,stop:double>>"}
     return parsed.withColumns({c: F.coalesce(c, F.array().cast(t)) for c, t in empty.items()} | {"too_many": F.coalesce("too_many", F.lit(False))})
@@ -91,12 +91,12 @@ class Corpus:
 
     def windows(self, plan: DataFrame, channels: list[str] | None = None) -> DataFrame:
         """Windows of a plan (path, start, end, ...) with ``names`` and ``x``: only stretches that a window touches are joined."""
-        parts = edf.read_edf(self.spark, self.root, channels).withColumn("path", plain(F.col("path"))).withColumnRenamed("path", "of")
-        stop = F.col("start_s") + F.size("x") / F.col("sfreq")
+        parts = edf.read_edf(self.spark, self.root, channels).select(plain(F.col("path")).alias("of"), "channel", F.col("sfreq").alias("part_fs"), "start_s", F.col("x").alias("part"))
+        stop = F.col("start_s") + F.size("part") / F.col("part_fs")
         touching = plan.join(parts, (F.col("path") == F.col("of")) & (F.col("start_s") < F.col("end")) & (stop > F.col("start")))
         first = F.greatest(F.lit(0), F.bround((F.col("start") - F.col("start_s")) * F.col("part_fs")).cast("int"))
-        last = F.least(F.size("x"), F.bround((F.col("end") - F.col("start_s")) * F.col("part_fs")).cast("int"))
-        cut = touching.withColumn("part_fs", parts["sfreq"]).select(*[F.col(c) if c != "sfreq" else plan["sfreq"] for c in plan.columns], "channel", "start_s", F.slice("x", first + 1, last - first).alias("piece"))
+        last = F.least(F.size("part"), F.bround((F.col("end") - F.col("start_s")) * F.col("part_fs")).cast("int"))
+        cut = touching.select(*plan.columns, "channel", "start_s", F.slice("part", first + 1, last - first).alias("piece"))
         series = cut.groupBy(*plan.columns, "channel").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("start_s", "piece"))), lambda p: p["piece"])).alias("piece"))
         both = F.array_sort(F.collect_list(F.struct("channel", "piece")))
         return series.groupBy(*plan.columns).agg(both.alias("c")).select(*plan.columns, F.transform("c", lambda c: c["channel"]).alias("names"), F.transform("c", lambda c: c["piece"]).alias("x"))
