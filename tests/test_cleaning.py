@@ -141,3 +141,19 @@ def test_feature_columns_decode_to_their_slots(spark):
     assert len(weights) == 48 and {r.weight for r in weights} == {4.0}
     assert features.flat_coefficients([[1, -2]]) == [1.0, -2.0] and features.flat_coefficients([[1, -2], [3, 4]]) == [4.0, 6.0]
     assert features.sampling_rate(30720, 2) == 256.0
+
+
+@pytest.mark.parametrize("down", [False, True])
+def test_running_sums_over_parts_equal_one_pass(spark, down):
+    from tidecohort.operators import ordered
+
+    rng = np.random.default_rng(5)
+    values = np.round(rng.normal(size=3000), 2)
+    rows = spark.createDataFrame([(i, float(v), int(i % 3), int(i % 2)) for i, v in enumerate(values)], "id long, v double, w long, g int").repartition(7)
+    out = ordered.running(rows, "v", {"upto": "w"}, by=["g"], ties=["id"], descending=down).toPandas()
+    frame = out.sort_values(["g", "v", "id"], ascending=[True, not down, True])
+    assert (frame.groupby("g")["w"].cumsum() == frame["upto"]).all()
+    rank = ordered.ranked(rows, "v", "place", ["id"], down).toPandas().sort_values(["v", "id"], ascending=[not down, True])
+    assert rank["place"].tolist() == list(range(1, 3001))
+    lower = ordered.previous_value(rows.select("v").distinct(), "v", "lower").toPandas().sort_values("v")
+    assert lower["lower"].tolist()[1:] == lower["v"].tolist()[:-1] and np.isnan(lower["lower"].iloc[0])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidecohort.operators.ordered import previous_value, running
+
 
 def subject_scores(scores: DataFrame, threshold: float = 0.0) -> DataFrame:
     """(subject, s, y, n, predicted): mean score and first label of each subject; above the threshold is positive."""
@@ -15,12 +17,13 @@ def subject_scores(scores: DataFrame, threshold: float = 0.0) -> DataFrame:
 def ranking_metrics(scores: DataFrame, by: list[str]) -> DataFrame:
     """ROC-AUC and average precision per group, from one row per distinct score; null where a class is missing.
 
-    Scores are first summed up per distinct value, so the window over a group holds its distinct scores only.
+    Scores are first summed up per distinct value; running counts over range partitions of these tell what lies below each.
     """
     tied = scores.groupBy(*by, "s").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
-    up = Window.partitionBy(*by).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    down = Window.partitionBy(*by).orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    below = tied.withColumns({"neg_below": F.coalesce(F.sum("neg").over(up), F.lit(0)), "pos_to": F.sum("pos").over(down), "all_to": F.sum(F.col("pos") + F.col("neg")).over(down)})
+    tied = running(tied, "s", {"__pos": "pos", "__neg": "neg"}, by)
+    whole = tied.groupBy(*by).agg(F.sum("pos").alias("__p"), F.sum("neg").alias("__q"))
+    joined = tied.join(F.broadcast(whole)) if not by else tied.join(whole, by)
+    below = joined.withColumns({"neg_below": F.col("__neg") - F.col("neg"), "pos_to": F.col("__p") - F.col("__pos") + F.col("pos"), "all_to": F.col("__p") - F.col("__pos") + F.col("pos") + F.col("__q") - F.col("__neg") + F.col("neg")})
     wins = F.sum(F.col("pos").cast("double") * (F.col("neg_below") + F.col("neg") / 2))
     hits = F.sum(F.col("pos").cast("double") * F.col("pos_to") / F.col("all_to"))
     positive, negative = F.sum("pos"), F.sum("neg")
@@ -60,10 +63,8 @@ def best_threshold(scores: DataFrame) -> DataFrame:
     distinct scores. With one class the threshold is 0.
     """
     tied = scores.groupBy("s").agg(F.sum("y").alias("pos"), F.count("*").alias("n"))
-    order, before = Window.orderBy("s"), Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    upto = F.coalesce(F.sum("pos").over(before), F.lit(0)), F.coalesce(F.sum("n").over(before), F.lit(0))
-    lagged = F.lag("s").over(order)
-    cuts = tied.select(F.when(lagged.isNull(), F.col("s") - F.lit(1e-6)).otherwise((lagged + F.col("s")) / 2).alias("threshold"), upto[0].alias("pos_below"), upto[1].alias("below"))
+    stepped = previous_value(running(tied, "s", {"__pos": "pos", "__all": "n"}), "s", "lower")
+    cuts = stepped.select(F.when(F.col("lower").isNull(), F.col("s") - F.lit(1e-6)).otherwise((F.col("lower") + F.col("s")) / 2).alias("threshold"), (F.col("__pos") - F.col("pos")).alias("pos_below"), (F.col("__all") - F.col("n")).alias("below"))
     total = scores.agg(F.sum("y").alias("p"), F.count("*").alias("k"), F.max("s").alias("top"))
     last = total.select((F.col("top") + F.lit(1e-6)).alias("threshold"), F.col("p").alias("pos_below"), F.col("k").alias("below"))
     every = cuts.union(last).join(F.broadcast(total))

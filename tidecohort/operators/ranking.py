@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidecohort.operators.ordered import ranked
+
 METRICS = ("power", "roughness", "flatness")
 
 
@@ -27,11 +29,12 @@ def fused(rows: DataFrame, method: str, key: str = "path", metrics: tuple[str, .
         return rows.withColumn("anomaly", total(z))
     if method == "l2":
         return rows.withColumn("anomaly", F.sqrt(total([F.greatest(x, F.lit(0.0)) * F.greatest(x, F.lit(0.0)) for x in z])))
-    rank = lambda x, down: F.row_number().over(Window.orderBy(x.desc() if down else x.asc(), key))
-    if method == "borda":
-        return rows.withColumn("anomaly", total([(rank(x, False) - 1).cast("double") for x in z]))
-    if method == "rrf":
-        return rows.withColumn("anomaly", total([F.lit(1.0) / (F.lit(float(rrf_k)) + rank(x, True)) for x in z]))
+    if method in ("borda", "rrf"):
+        for i, m in enumerate(metrics):
+            rows = ranked(rows, f"z_{m}", f"__rank{i}", [key], descending=method == "rrf")
+        ranks = [F.col(f"__rank{i}") for i in range(len(z))]
+        each = [(r - 1).cast("double") for r in ranks] if method == "borda" else [F.lit(1.0) / (F.lit(float(rrf_k)) + r) for r in ranks]
+        return rows.withColumn("anomaly", total(each)).drop(*[f"__rank{i}" for i in range(len(z))])
     raise ValueError(f"unknown fusion method {method}")
 
 

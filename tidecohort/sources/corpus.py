@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,10 +18,21 @@ def listing(spark: SparkSession, root: str, pattern: str = "*.edf") -> DataFrame
 
 
 def headers(spark: SparkSession, root: str) -> DataFrame:
-    """(path, age, gender) from the first 88 bytes of every recording."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.edf").load(root)
-    field = F.decode(F.substring("content", 9, 80), "US-ASCII")
-    return files.select("path", scalars.header_age(field).alias("age"), scalars.header_gender(field).alias("gender"))
+    """(path, age, gender) from the first 88 bytes of every recording: files are listed by Spark and only their heads are read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.edf").load(root).select("path")
+
+    def heads(batches):
+        from tidecohort.sources.edf import open_file
+
+        for batch in batches:
+            fields = []
+            for path in batch.column("path").to_pylist():
+                with open_file(path) as file:
+                    fields.append(file.read(88)[8:].decode("latin-1"))
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(fields, pa.string())], names=["path", "field"])
+
+    field = F.col("field")
+    return files.mapInArrow(heads, "path string, field string").select("path", scalars.header_age(field).alias("age"), scalars.header_gender(field).alias("gender"))
 
 
 def parse_montage(lines: DataFrame) -> DataFrame:

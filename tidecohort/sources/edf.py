@@ -25,7 +25,7 @@ FILE_FIELDS = [("version", 8), ("patient", 80), ("recording", 80), ("date", 8),
 SIGNAL_FIELDS = [("label", 16), ("transducer", 80), ("dimension", 8), ("phys_min", 8), ("phys_max", 8), ("dig_min", 8), ("dig_max", 8), ("prefilter", 80), ("samples", 8), ("reserved", 32)]
 
 
-def _open(path: str):
+def open_file(path: str):
     from pyarrow import fs
 
     system, inner = fs.FileSystem.from_uri(path) if re.match(r"^[a-z0-9]+:/", path) else (fs.LocalFileSystem(), path)
@@ -66,7 +66,7 @@ class EdfReader(DataSourceReader):
             return [Records(p, 0, 0) for p in self.paths] or [Records("", 0, 0)]
         parts = []
         for path in self.paths:
-            with _open(path) as file:
+            with open_file(path) as file:
                 head, signals = read_header(file)
             size = max(2 * sum(int(n) for n in signals["samples"]), 1)
             step, n = max(1, self.bytes // size), int(head["n_records"])
@@ -76,7 +76,7 @@ class EdfReader(DataSourceReader):
     def read(self, partition):
         if not partition.path:
             return
-        with _open(partition.path) as file:
+        with open_file(partition.path) as file:
             head, signals = read_header(file)
             names, counts = signals["label"], [int(n) for n in signals["samples"]]
             seconds = float(head["record_s"]) or 1.0
