@@ -41,7 +41,8 @@ from tidecohort.llm.vectext import Batch, lookup, slices
 
 U = np.uint64
 BUCKET_BYTES = 4 << 20
-#: Range partitions of suffixes, unless the session asks for more shuffle partitions.
+#: Text for each range partition of suffixes; there are at most ``MOST_RANGES``, unless the session asks for more shuffle partitions.
+RANGE_BYTES = 16 << 20
 MOST_RANGES = 20_000
 #: Bytes of text that tell which anchors are hot; at most ``RAREST`` anchors can be.
 SAMPLE_BYTES = 64 << 20
@@ -128,8 +129,8 @@ def _hot_anchors(docs: DataFrame, size: int, buckets: int, length: int, gram: in
                 if r := runs(b, length, gram):
                     keep = ~_same_as_first(b, r, np.asarray(batch.column("doc_id")), length)
                     found, n = np.unique(r["g"][keep] & U((1 << 40) - 1), return_counts=True)
-                    # A piece of 2 MB holds a hot anchor of the whole sample more than once.
-                    keep = (n > 1) | (share >= 1)
+                    # An anchor that a piece of text holds once is not hot in it; the total counts all.
+                    keep = n > 1
                     total = pa.array(np.append(n[keep], n.sum()).astype(np.int64))
                     yield pa.RecordBatch.from_arrays([pa.array(np.append(found[keep].astype(np.int64), -1)), total], names=["g", "n"])
 
@@ -354,7 +355,7 @@ def find(docs: DataFrame, length: int = 50, gram: int = 16) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([suffix, pa.array(ids), pa.array(rows), pa.array(places)], names=["suffix", "doc_id", "row", "at"])
 
     undecided = docs.join(asked, ["doc_id", "row"]).select("doc_id", "row", "text", "stretches").mapInArrow(spell, "suffix binary, doc_id long, row long, at long")
-    sorted_out = covered_suffixes(undecided, length, max(partitions, min(buckets, MOST_RANGES)))
+    sorted_out = covered_suffixes(undecided, length, max(partitions, min(-(-size // RANGE_BYTES), MOST_RANGES)))
     whole = settled.filter("NOT undecided").unionByName(sorted_out)
     return whole.groupBy("doc_id", "row").agg(F.collect_list("stretches").alias("stretches"))
 
