@@ -157,3 +157,10 @@ def test_running_sums_over_parts_equal_one_pass(spark, down):
     assert rank["place"].tolist() == list(range(1, 3001))
     lower = ordered.previous_value(rows.select("v").distinct(), "v", "lower").toPandas().sort_values("v")
     assert lower["lower"].tolist()[1:] == lower["v"].tolist()[:-1] and np.isnan(lower["lower"].iloc[0])
+
+
+def test_band_lists():
+    from tidecohort.operators import spectral
+
+    assert [b[0] for b in spectral.band_list(edges=[8, 1, 4, 4])] == ["1-4", "4-8"]
+    assert spectral.band_list(top=20.0)[-1] == ("beta", 13.0, 20.0) and spectral.band_list(use=False, top=9.0) == [("full", 0.0, 9.0)]

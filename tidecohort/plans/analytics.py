@@ -241,3 +241,31 @@ def stems_full_outer(spark, d):
     b = table(spark, d, "supplier").filter("s_acctbal > 0").select("s_suppkey")
     joined = a.join(b, F.col("l_suppkey") == F.col("s_suppkey"), "full_outer")
     return joined.select(F.coalesce("l_suppkey", "s_suppkey").alias("stem"), F.col("l_suppkey").isNotNull().alias("has_segments"), F.col("s_suppkey").isNotNull().alias("has_spectrogram"))
+
+
+@query("recording_drilldown", ctes("psd") + ",\n" + BINS_SQL + " SELECT subject, path, k, round(p, 9) AS p FROM b UNION ALL SELECT subject, 'mean', k, round(sum(n_times * p) / sum(n_times), 9) FROM b GROUP BY subject, k")
+def recording_drilldown(spark, d):
+    return spectral.drilldown(psd(spark, d)).withColumn("p", F.round("p", 9))
+
+
+@query("custom_band_power", ctes("psd") + ",\n" + BINS_SQL + ", bands AS (SELECT unnest(['0.5-4', '4-12', '12-30']) AS band, unnest([0.5, 4.0, 12.0]) AS lo, unnest([4.0, 12.0, 30.0]) AS hi) SELECT path, band, round(avg(p), 9) AS mean FROM b JOIN bands ON k * 0.5 BETWEEN lo AND hi GROUP BY path, band")
+def custom_band_power(spark, d):
+    bands = spark.createDataFrame(spectral.band_list(edges=[12, 0.5, 4, 30, 4]), "band string, lo double, hi double")
+    return spectral.band_power(psd(spark, d), bands).withColumn("mean", F.round("mean", 9))
+
+
+@query("subject_highlights", ctes("psd") + ",\n" + BINS_SQL + """, sp AS (SELECT subject AS path, k, sum(n_times * p) / sum(n_times) AS p FROM b GROUP BY subject, k),
+l AS (SELECT path, k, p, 10 * log10(p + 1e-30::DOUBLE) AS lp FROM sp), g AS (SELECT path, k, p, lp - sum(lp) OVER (PARTITION BY path ORDER BY k ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) / 11 AS gap FROM l),
+m AS (SELECT path, round_even(10 * log10(sum(p) * 0.5::DOUBLE + 1e-30::DOUBLE), 2) AS power, round_even(sqrt(avg(gap * gap)), 3) AS roughness, round_even(exp(avg(ln(p + 1e-30::DOUBLE))) / (avg(p) + 1e-30::DOUBLE), 4) AS flatness, round(sum(p) FILTER (k >= 32) / (sum(p) + 1e-30::DOUBLE), 9) AS hf FROM g GROUP BY path),
+c AS (SELECT median(power) AS a, median(roughness) AS b, median(flatness) AS c, median(hf) AS d FROM m), w AS (SELECT median(abs(power - a)) AS a2, median(abs(roughness - b)) AS b2, median(abs(flatness - c)) AS c2, median(abs(hf - d)) AS d2 FROM m, c),
+z AS (SELECT path, abs(power - a) / (1.4826::DOUBLE * (a2 + 1e-30::DOUBLE)) + (roughness - b) / (1.4826::DOUBLE * (b2 + 1e-30::DOUBLE)) + abs(flatness - c) / (1.4826::DOUBLE * (c2 + 1e-30::DOUBLE)) + (hf - d) / (1.4826::DOUBLE * (d2 + 1e-30::DOUBLE)) AS anomaly FROM m, c, w)
+SELECT path AS subject, round(anomaly, 4) AS anomaly FROM z QUALIFY row_number() OVER (ORDER BY anomaly DESC, path) <= 10""")
+def subject_highlights(spark, d):
+    """The ten most anomalous subjects by power, roughness, flatness and the share above the middle frequency."""
+    whole = spectral.subject_psd(psd(spark, d).withColumn("cls", F.lit(0))).groupBy(F.col("subject").alias("path")).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "p"))), lambda b: b["p"]).alias("p"))
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, v: a + v)
+    hf = whole.select(F.col("path").alias("of"), F.round(total(F.slice("p", 33, 64)) / (total(F.col("p")) + F.lit(1e-30)), 9).alias("hf"))
+    rows = spectral.recording_metrics(whole).join(hf, F.col("path") == F.col("of")).drop("of")
+    names = ("power", "roughness", "flatness", "hf")
+    fused = ranking.fused(ranking.robust_z(rows, names), "l1", metrics=names)
+    return fused.orderBy(F.desc("anomaly"), "path").limit(10).select(F.col("path").alias("subject"), F.round("anomaly", 4).alias("anomaly"))

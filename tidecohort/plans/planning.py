@@ -104,3 +104,14 @@ def sql_functions(spark, d):
 
     scalars.register(spark)
     return components(spark, d).selectExpr("path", "ic", "tide_region(x, y, z) AS region", "tide_electrode_region(array('EEG FP1-REF', 'O2', 'FC3')[ic % 3]) AS electrode")
+
+
+MONTAGES = {"urgent": ["Fp1-F7", "F7-T3"], "high": ["Fp1-F7", "F7-T3", "T3-T5"], "medium": ["Fp2-F8"], "low": ["Fp2-F8", "F8-T4"], "not specified": ["Fp1-F7", "Fp2-F8"]}
+
+
+@query("window_channels", ctes("rec") + ",\n" + WINDOWS_SQL + ", m AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', {v})" for k, v in MONTAGES.items()) + ") AS t(montage, channels)) SELECT path, idx, montage, len(channels) AS n_channels, channels[1] AS first FROM placed JOIN m USING (montage) WHERE position < 20")
+def window_channels(spark, d):
+    """Planned windows with the channels of their recording's montage, a small table that is broadcast."""
+    montages = spark.createDataFrame(list(MONTAGES.items()), "of string, channels array<string>")
+    rows = cohort.windows(recordings(spark, d), LENGTH, STRIDE, CAP).join(F.broadcast(montages), F.col("montage") == F.col("of"))
+    return rows.select("path", "idx", "montage", F.size("channels").cast("long").alias("n_channels"), F.get("channels", F.lit(0)).alias("first"))
