@@ -24,9 +24,10 @@ broadcast, so that none is gathered in one task.
 Before texts are read, pairs whose signatures agree in too few registers for 0.8 (four standard deviations below the
 mean) are left out: of pairs at exactly 0.8 that share a bucket this loses one in ten thousand. Components come from min-label propagation with pointer jumping over tables in the shared folder; nothing is collected.
 
-Defined results: null and word-less texts are groups of their own; rows that share a doc_id are one document, near to
-another when any of its texts is; rows with null doc_id keep a null group; an empty table gives an empty result; extra
-columns are ignored by ``groups`` and kept by ``keep_one``.
+Defined results: null and word-less texts are groups of their own; rows that share a doc_id are one document (ids are meant
+to be unique: where such rows differ in text, candidates are sought by one of the texts, the one with the smallest
+signature); rows with null doc_id keep a null group; an empty table gives an empty result; extra columns are ignored by
+``groups`` and kept by ``keep_one``.
 """
 
 from __future__ import annotations
@@ -226,7 +227,7 @@ def _blocked(placed: DataFrame, hot: DataFrame, reps: DataFrame, texts: DataFram
     taken = left.select("bucket", "p").distinct()
     right = rows.join(taken, "bucket").select(*common, "p", F.col("part").alias("q"), F.lit(False).alias("left"), "outside")
     own = placed.select("id").distinct()
-    payload = texts.join(own, F.col("doc_id") == F.col("id")).select(F.col("id").alias("of"), "text").join(reps.select("id", "sketch", "buckets").dropDuplicates(["id"]), F.col("of") == F.col("id")).drop("id")
+    payload = texts.join(own, F.col("doc_id") == F.col("id")).select(F.col("id").alias("of"), "text").join(reps.groupBy("id").agg(F.min_by("buckets", "sketch").alias("buckets"), F.min("sketch").alias("sketch")), F.col("of") == F.col("id")).drop("id")
     dealt = left.union(right).join(payload, F.col("id") == F.col("of")).drop("of")
 
     def compare(table: pa.Table) -> pa.Table:
@@ -292,7 +293,7 @@ def groups(docs: DataFrame, threshold: float = 0.8, bands: int = 24, rows: int =
     hot = materialize(crowded.filter(F.col("n") > max(HOT, most // 1_000_000)).select("bucket"))
     hits = materialize(_on_bucket(hits, crowded, hot))
 
-    sketches = reps.groupBy("id").agg(F.first("sketch").alias("sketch"))
+    sketches = reps.groupBy("id").agg(F.min("sketch").alias("sketch"))
     stars = hits.filter("id > top").select(F.col("top").alias("a"), F.col("id").alias("b"))
     part = F.pmod(F.xxhash64("id"), F.expr(f"n div {CROWD} + 1")).cast("int")
     beside = Window.partitionBy("bucket", "part").orderBy(F.xxhash64("bucket", "id"), "id")
