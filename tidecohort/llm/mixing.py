@@ -65,7 +65,7 @@ def mix(docs: DataFrame, budget_share: float = 1.5, max_epochs: int = 2, weights
     upto = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
     running = lambda *by: F.coalesce(F.sum("n").over(upto(*by)), F.lit(0))
     cells = materialize(rows.groupBy(*cell).agg(F.count("*").alias("n")))
-    bands = cells.groupBy("key", "band").agg(F.sum("n").alias("n")).select("key", "band", running("key", "band").alias("below"))
+    bands = materialize(cells.groupBy("key", "band").agg(F.sum("n").alias("n"))).select("key", "band", running("key", "band").alias("below"))
     inner = cells.select(*cell, running("key", "band", "salt").alias("inside"))
     cells = inner.join(bands, ["key", "band"]).select(*cell, (F.col("below") + F.col("inside")).alias("before"))
     in_cell = F.row_number().over(Window.partitionBy(*cell).orderBy("size", "digest", "doc_id"))
