@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidecohort.llm import chat, decontam, langid, minhash, mixing, quality, secrets, sql, substrings, toxicity, warc
+from tidecohort.llm import chat, decontam, langid, linededup, minhash, mixing, quality, secrets, sql, substrings, toxicity, warc
 from tidecohort.llm.common import table
 
 QUERIES = {
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_toxicity": lambda spark, sf_dir: toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op9_decontamination": lambda spark, sf_dir: decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
     "op10_language_id": lambda spark, sf_dir: langid.report(table(spark, sf_dir, "documents")),
+    "op11_line_dedup": lambda spark, sf_dir: linededup.report(table(spark, sf_dir, "documents")),
 }
 
-ORACLES: dict[str, str] = {"op5_warc": sql.WARC, "op7_mixing": sql.MIXING}
+ORACLES: dict[str, str] = {"op5_warc": sql.WARC, "op7_mixing": sql.MIXING, "op11_line_dedup": sql.LINES}

@@ -49,3 +49,18 @@ SELECT d.page_id, CAST(d.payload_bytes AS BIGINT) AS payload_bytes,
   CASE WHEN f.first_id = d.page_id THEN NULL ELSE f.first_id END AS refers_to, TRUE AS verified
 FROM digests d JOIN firsts f ON d.h = f.h
 """
+
+LINES = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(doc_id, -9223372036854775808) AS id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), lines AS (
+  SELECT rid, doc_id, id, unnest(range(len(lines))) AS pos, unnest(lines) AS line FROM docs
+), keyed AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines
+), common AS (
+  SELECT key, max(id) AS keeper FROM keyed WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT id) >= 3
+), judged AS (
+  SELECT k.*, c.key IS NOT NULL AND k.id <> c.keeper AS gone FROM keyed k LEFT JOIN common c USING (key)
+)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256 FROM judged GROUP BY rid
+"""
