@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidecohort.llm import chat, decontam, langid, linededup, minhash, mixing, quality, secrets, sql, substrings, toxicity, warc
+from tidecohort.llm import chat, decontam, divergence, langid, linededup, minhash, mixing, quality, resample, secrets, sql, substrings, toxicity, warc
 from tidecohort.llm.common import table
 
 QUERIES = {
@@ -17,6 +17,8 @@ QUERIES = {
     "op9_decontamination": lambda spark, sf_dir: decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
     "op10_language_id": lambda spark, sf_dir: langid.report(table(spark, sf_dir, "documents")),
     "op11_line_dedup": lambda spark, sf_dir: linededup.report(table(spark, sf_dir, "documents")),
+    "op12_source_divergence": lambda spark, sf_dir: divergence.report(table(spark, sf_dir, "documents")),
+    "op13_importance_resampling": lambda spark, sf_dir: resample.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
 }
 
-ORACLES: dict[str, str] = {"op5_warc": sql.WARC, "op7_mixing": sql.MIXING, "op11_line_dedup": sql.LINES}
+ORACLES: dict[str, str] = {"op5_warc": sql.WARC, "op7_mixing": sql.MIXING, "op11_line_dedup": sql.LINES, "op12_source_divergence": sql.DIVERGENCE, "op13_importance_resampling": sql.RESAMPLING}
