@@ -155,7 +155,8 @@ def test_running_sums_over_parts_equal_one_pass(spark, down):
     assert (frame.groupby("g")["w"].cumsum() == frame["upto"]).all()
     rank = ordered.ranked(rows, "v", "place", ["id"], down).toPandas().sort_values(["v", "id"], ascending=[not down, True])
     assert rank["place"].tolist() == list(range(1, 3001))
-    lower = ordered.previous_value(rows.select("v").distinct(), "v", "lower").toPandas().sort_values("v")
+    lower = ordered.running(rows.select("v").distinct().withColumn("w", F.lit(1)), "v", {"n": "w"}, previous="lower").toPandas().sort_values("v")
+    assert lower["n"].tolist() == list(range(1, len(lower) + 1))
     assert lower["lower"].tolist()[1:] == lower["v"].tolist()[:-1] and np.isnan(lower["lower"].iloc[0])
 
 

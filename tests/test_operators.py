@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidecohort.functions import scalars
-from tidecohort.operators import cohort, features, metrics, models, ranking, signal
+from tidecohort.operators import cohort, features, metrics, ml, ranking, signal
 from tidecohort.sources import corpus
 from tidecohort.streaming import windows as streams
 
@@ -86,7 +86,7 @@ def test_bank_equals_a_hand_walk():
 
 def test_scaler_keeps_zeros(spark):
     rows = spark.createDataFrame([(1, [0.0, 4.0]), (2, [9.0, 16.0]), (3, [1.0, 0.0])], "id int, features array<double>")
-    out = {r["id"]: r["features"] for r in models.scale(rows, models.scaler_statistics(rows)).collect()}
+    out = {r["id"]: r["scaled"] for r in ml.SparseScaler().fit(rows).transform(rows).collect()}
     assert out[1][0] == 0 and out[3][1] == 0 and out[2][0] > 0
 
 

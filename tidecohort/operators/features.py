@@ -9,10 +9,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TAPS = 9
+#: Numbers of a block of responses that is held at once.
+BLOCK = 1 << 22
 
 
 class Bank:
@@ -34,28 +38,32 @@ class Bank:
         return len(self.dilations) * self.representations * 2 * self.groups * self.kernels
 
     def responses(self, x: np.ndarray, d: int, r: int) -> np.ndarray:
-        """(group, kernel, time) correlations of one signal (channels x time), zero-padded to its length."""
+        """(..., group, kernel, time) correlations of signals (..., channels, time), zero-padded to their length."""
         z = np.diff(x, axis=-1) if r else x
-        mixed = z[self.channels[d, r]].sum(1) if len(x) > 1 else np.repeat(z, self.groups, axis=0)
+        mixed = z[..., self.channels[d, r], :].sum(-2) if x.shape[-2] > 1 else np.repeat(z, self.groups, axis=-2)
         step, n = int(self.dilations[d]), z.shape[-1]
         pad = (TAPS - 1) * step // 2
-        padded = np.pad(mixed, ((0, 0), (pad, pad)))
-        taps = np.stack([padded[:, k * step : k * step + n] for k in range(TAPS)], axis=1)
-        return np.einsum("gkt,gtn->gkn", self.weights[d, r], taps)
+        padded = np.pad(mixed, [(0, 0)] * (mixed.ndim - 1) + [(pad, pad)])
+        taps = np.stack([padded[..., k * step : k * step + n] for k in range(TAPS)], axis=-2)
+        return np.einsum("gkt,...gtn->...gkn", self.weights[d, r], taps)
 
     def winners(self, x: np.ndarray):
-        """For each dilation and representation: soft sums and hard counts per group and kernel."""
+        """For each dilation and representation of signals (..., channels, time): soft sums and hard counts (..., group * kernel)."""
+        many, slots = int(np.prod(x.shape[:-2])), self.groups * self.kernels
+        slot = np.arange(many * self.groups).reshape(*x.shape[:-2], self.groups, 1) * self.kernels
         for d in range(len(self.dilations)):
             for r in range(self.representations):
                 a = self.responses(x, d, r)
-                top, low = a.argmax(1), a.argmin(1)
-                values = np.take_along_axis(a, top[:, None], 1)[:, 0]
-                slot = np.arange(self.groups)[:, None] * self.kernels
-                size = self.groups * self.kernels
-                yield d, r, np.bincount((slot + top).ravel(), values.ravel(), size), np.bincount((slot + low).ravel(), minlength=size)
+                top, low = a.argmax(-2), a.argmin(-2)
+                values = np.take_along_axis(a, top[..., None, :], -2)[..., 0, :]
+                shaped = lambda counts: counts.reshape(*x.shape[:-2], slots)  # noqa: E731, B023
+                yield d, r, shaped(np.bincount((slot + top).ravel(), values.ravel(), many * slots)), shaped(np.bincount((slot + low).ravel(), minlength=many * slots))
 
-    def features(self, x: np.ndarray) -> np.ndarray:
-        return np.concatenate([np.concatenate([soft, hard]) for _, _, soft, hard in self.winners(x)]).astype(np.float32)
+    def features(self, x: np.ndarray, kind: type = np.float32) -> np.ndarray:
+        """(..., width) features of signals (..., channels, time); stacks are taken in blocks of bounded size."""
+        if x.ndim > 2 and len(x) > (block := max(1, BLOCK // max(1, self.groups * TAPS * x.shape[-1]))):
+            return np.concatenate([self.features(x[i : i + block], kind) for i in range(0, len(x), block)])
+        return np.concatenate([np.concatenate([soft, hard], axis=-1) for _, _, soft, hard in self.winners(x)], axis=-1).astype(kind)
 
     def rows(self) -> list[tuple]:
         """(flat, dilation, diff, grp, kernel, weights) of every kernel."""
@@ -63,51 +71,100 @@ class Bank:
         return [(i, int(self.dilations[d]), int(r), int(g), int(k), self.weights[d, r, g, k].tolist()) for i, (d, r, g, k) in enumerate(flat)]
 
 
-def transform(windows: DataFrame, bank: Bank, key: str = "window_id") -> DataFrame:
-    """(key, features) of windows (key, x: channels of samples); the bank is a constant of the configuration's size."""
-    shared = windows.sparkSession.sparkContext.broadcast(bank)
+def stacks(windows: pa.Array):
+    """Places and samples (windows, channels, time) of an Arrow array of windows, one stack for each shape; nulls are left out."""
+    places = np.flatnonzero(np.asarray(windows.is_valid()))
+    channels = windows.flatten()
+    n_channels = np.asarray(pc.list_value_length(windows.drop_null())).astype(int)
+    lengths = np.asarray(pc.list_value_length(channels)).astype(int)
+    values = np.asarray(channels.flatten()).astype(float)
+    first = np.concatenate([[0], np.cumsum(n_channels)])
+    at = np.concatenate([[0], np.cumsum(lengths)])
+    shapes = [(c, *set(lengths[a : a + c].tolist())) for a, c in zip(first[:-1], n_channels, strict=True)]
+    for shape in dict.fromkeys(shapes):
+        if len(shape) != 2:
+            raise ValueError(f"a window of {shape[0]} channels has channels of lengths {sorted(shape[1:])}")
+        own = [i for i, s in enumerate(shapes) if s == shape]
+        yield places[own], np.stack([values[at[first[i]] : at[first[i + 1]]].reshape(shape) for i in own])
 
-    def run(batches):
-        for frame in batches:
-            yield pd.DataFrame({key: frame[key], "features": [shared.value.features(np.stack([np.asarray(c, float) for c in x])).tolist() for x in frame["x"]]})
 
-    return windows.select(key, "x").mapInPandas(run, f"{key} long, features array<float>")
+def feature_column(bank: Bank, strict: tuple[int, int] | None = None, exact: bool = False):
+    """A function from a column of windows to their features, in Arrow batches; a null window has null features.
+
+    ``strict`` is the only (channels, length) allowed. Features are single floats, or doubles with ``exact``.
+    """
+
+    @F.arrow_udf("array<double>" if exact else "array<float>")
+    def extract(windows: pa.Array) -> pa.Array:
+        out: list = [None] * len(windows)
+        for places, x in stacks(windows):
+            if strict and x.shape[1:] != strict:
+                raise ValueError(f"a window of {x.shape[1]} channels and {x.shape[2]} samples where {strict[0]} and {strict[1]} are asked for")
+            for place, row in zip(places, bank.features(x, np.float64 if exact else np.float32), strict=True):
+                out[place] = row
+        return pa.array(out, pa.list_(pa.float64() if exact else pa.float32()))
+
+    return extract
+
+
+def transform(windows: DataFrame, bank: Bank, key: str = "window_id", exact: bool = False) -> DataFrame:
+    """(key, features) of windows (key, x: channels of samples); the bank is a constant of the configuration's size."""
+    return windows.select(key, feature_column(bank, exact=exact)(F.col("x")).alias("features"))
 
 
 def win_counts(windows: DataFrame, bank: Bank, label: str = "y") -> DataFrame:
     """(cls, competition, dilation, diff, grp, kernel, frequency, magnitude): winners per class, partial sums per batch."""
-    shared = windows.sparkSession.sparkContext.broadcast(bank)
+    schema = "cls int, competition string, dilation int, diff int, grp int, kernel int, frequency long, magnitude double"
+    slots = bank.groups * bank.kernels
+    block = lambda x: max(1, BLOCK // max(1, bank.groups * TAPS * x.shape[-1]))
 
     def run(batches):
-        for frame in batches:
-            b, out = shared.value, []
-            for x, y in zip(frame["x"], frame[label], strict=True):
-                signal = np.stack([np.asarray(c, float) for c in x])
-                for d in range(len(b.dilations)):
-                    for r in range(b.representations):
-                        a = b.responses(signal, d, r)
-                        for name, at in (("max", a.argmax(1)), ("min", a.argmin(1))):
-                            values = np.abs(np.take_along_axis(a, at[:, None], 1)[:, 0])
-                            slot = (np.arange(b.groups)[:, None] * b.kernels + at).ravel()
-                            n, m = np.bincount(slot, minlength=b.groups * b.kernels), np.bincount(slot, values.ravel(), b.groups * b.kernels)
-                            out.append(pd.DataFrame({"cls": int(y), "competition": name, "dilation": int(b.dilations[d]), "diff": r, "grp": np.arange(len(n)) // b.kernels, "kernel": np.arange(len(n)) % b.kernels, "frequency": n, "magnitude": m}))
-            keys = ["cls", "competition", "dilation", "diff", "grp", "kernel"]
-            yield pd.concat(out).groupby(keys, as_index=False).sum()
-
-    counted = windows.select("x", F.col(label).cast("int").alias(label)).mapInPandas(run, "cls int, competition string, dilation int, diff int, grp int, kernel int, frequency long, magnitude double")
+        for batch in batches:
+            labels, sums = np.asarray(batch.column("y")), {}
+            for places, stack in stacks(batch.column("x")):
+                for start in range(0, len(stack), block(stack)):
+                    x, y = stack[start : start + block(stack)], labels[places[start : start + block(stack)]]
+                    for d, r in np.ndindex(len(bank.dilations), bank.representations):
+                        a = bank.responses(x, d, r)
+                        for name, at in (("max", a.argmax(-2)), ("min", a.argmin(-2))):
+                            values = np.abs(np.take_along_axis(a, at[..., None, :], -2)[..., 0, :])
+                            slot = np.arange(bank.groups)[:, None] * bank.kernels + at
+                            for c in np.unique(y):
+                                own = (slot[y == c].ravel(), values[y == c].ravel())
+                                old = sums.get((int(c), name, d, r), (0, 0))
+                                sums[int(c), name, d, r] = old[0] + np.bincount(own[0], minlength=slots), old[1] + np.bincount(own[0], own[1], slots)
+            frames = [
+                pd.DataFrame({"cls": c, "competition": name, "dilation": int(bank.dilations[d]), "diff": r, "grp": np.arange(slots) // bank.kernels, "kernel": np.arange(slots) % bank.kernels, "frequency": n, "magnitude": m})
+                for (c, name, d, r), (n, m) in sums.items()
+            ]
+            if frames:
+                kinds = [pa.int32(), pa.string(), *[pa.int32()] * 4, pa.int64(), pa.float64()]
+                whole = pd.concat(frames)
+                yield pa.RecordBatch.from_arrays([pa.array(whole[c].to_numpy(), k) for c, k in zip(whole, kinds, strict=True)], names=list(whole))
+
+    counted = windows.select("x", F.col(label).cast("int").alias("y")).mapInArrow(run, schema)
     return counted.groupBy("cls", "competition", "dilation", "diff", "grp", "kernel").agg(F.sum("frequency").alias("frequency"), F.sum("magnitude").alias("magnitude"))
 
 
 def bag_features(components: DataFrame, bank: Bank, key: str = "window_id") -> DataFrame:
-    """Mean, maximum and population deviation of univariate features over the non-zero components of each bag.
+    """(key, k, mean, most, std, n): univariate features pooled over the non-zero components of each bag; zeros for an empty bag.
 
-    Components are rows (key, ic, x); features are pooled element-wise, so no bag is gathered.
+    Components are rows (key, ic, x). A bag is one group of at most as many rows as a decomposition has components; vectors are
+    pooled whole, not feature by feature.
     """
-    rows = components.withColumn("x", F.array("x")).withColumn("row", F.monotonically_increasing_id())
-    energy = F.aggregate(F.get("x", F.lit(0)), F.lit(0.0), lambda a, v: a + F.abs(v))
-    featured = transform(rows.filter(energy > 0).withColumnRenamed(key, "bag").withColumn(key, F.col("bag")), bank, key)
-    long = featured.select(key, F.posexplode("features").alias("k", "v"))
-    return long.groupBy(key, "k").agg(F.avg("v").alias("mean"), F.max("v").alias("most"), F.stddev_pop("v").alias("std"), F.count("*").alias("n"))
+    energy = F.aggregate("x", F.lit(0.0), lambda a, v: a + F.abs(v))
+    rows = components.select(key, feature_column(bank, exact=True)(F.when(energy > 0, F.array("x"))).alias("f"), (energy > 0).alias("live"))
+    zero = F.transform(F.sequence(F.lit(1), F.lit(bank.width)), lambda _: F.lit(0.0))
+    gathered = rows.groupBy(key).agg(F.collect_list("f").alias("all"), F.count_if("live").alias("n"))
+    each = lambda merge: F.aggregate("all", zero, lambda a, f: F.zip_with(a, f, merge))
+    n = F.greatest(F.col("n"), F.lit(1))
+    pooled = gathered.select(
+        key, "n", F.transform(each(lambda a, v: a + v), lambda v: v / n).alias("mean"),
+        F.when(F.col("n") > 0, F.aggregate("all", F.get("all", F.lit(0)), lambda a, f: F.zip_with(a, f, lambda p, q: F.greatest(p, q)))).otherwise(zero).alias("most"), "all",
+    )
+    spread = F.aggregate("all", zero, lambda a, f: F.zip_with(a, F.zip_with(f, "mean", lambda v, m: (v - m) * (v - m)), lambda s, v: s + v))
+    long = pooled.select(key, "n", F.posexplode(F.arrays_zip("mean", "most", F.transform(spread, lambda v: F.sqrt(v / n)).alias("std"))).alias("k", "v"))
+    return long.select(key, "k", "v.mean", "v.most", "v.std", "n")
 
 
 def response(weights: Column, f: Column, fs: float, dilation: Column, diff: Column) -> Column:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidecohort.operators.ordered import previous_value, running
+from tidecohort.operators.ordered import running
+from tidecohort.operators.tables import stored
 
 
 def subject_scores(scores: DataFrame, threshold: float = 0.0) -> DataFrame:
@@ -19,9 +20,9 @@ def ranking_metrics(scores: DataFrame, by: list[str]) -> DataFrame:
 
     Scores are first summed up per distinct value; running counts over range partitions of these tell what lies below each.
     """
-    tied = scores.groupBy(*by, "s").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
-    tied = running(tied, "s", {"__pos": "pos", "__neg": "neg"}, by)
-    whole = tied.groupBy(*by).agg(F.sum("pos").alias("__p"), F.sum("neg").alias("__q"))
+    distinct = stored(scores.groupBy(*by, "s").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")))
+    tied = running(distinct, "s", {"__pos": "pos", "__neg": "neg"}, by)
+    whole = distinct.groupBy(*by).agg(F.sum("pos").alias("__p"), F.sum("neg").alias("__q"))
     joined = tied.join(F.broadcast(whole)) if not by else tied.join(whole, by)
     below = joined.withColumns({"neg_below": F.col("__neg") - F.col("neg"), "pos_to": F.col("__p") - F.col("__pos") + F.col("pos"), "all_to": F.col("__p") - F.col("__pos") + F.col("pos") + F.col("__q") - F.col("__neg") + F.col("neg")})
     wins = F.sum(F.col("pos").cast("double") * (F.col("neg_below") + F.col("neg") / 2))
@@ -37,8 +38,8 @@ def confusion(scores: DataFrame, by: list[str], threshold: float = 0.0) -> DataF
     return scores.groupBy(*by).agg(*[F.count_if(c).alias(n) for n, c in cells.items()])
 
 
-def classification(scores: DataFrame, by: list[str], threshold: float = 0.0) -> DataFrame:
-    """The nine metrics per group; F1 and precision are 0 without predictions, MCC and ranking metrics null without both classes."""
+def counted(scores: DataFrame, by: list[str], threshold: float = 0.0) -> DataFrame:
+    """Metrics of the confusion counts per group; F1 and precision are 0 without predictions, MCC is null without both classes."""
     c = confusion(scores, by, threshold)
     tp, fp, fn, tn = (F.col(n).cast("double") for n in ("tp", "fp", "fn", "tn"))
     share = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
@@ -47,13 +48,17 @@ def classification(scores: DataFrame, by: list[str], threshold: float = 0.0) ->
     root = F.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))
     both = (positive > 0) & (negative > 0)
     balanced = F.when(both, (sensitivity + specificity) / 2).otherwise(F.when(positive > 0, sensitivity).otherwise(specificity))
-    counted = c.select(
+    return c.select(
         *by, (positive + negative).cast("long").alias("n"), positive.cast("long").alias("n_pos"), negative.cast("long").alias("n_neg"), share(tp + tn, positive + negative).alias("accuracy"), balanced.alias("balanced_accuracy"),
         sensitivity.alias("sensitivity"), specificity.alias("specificity"), share(tp, tp + fp).alias("precision"), share(2 * tp, 2 * tp + fp + fn).alias("f1"), F.when(both, F.when(root > 0, (tp * tn - fp * fn) / root).otherwise(F.lit(0.0))).alias("mcc"),
     )
+
+
+def classification(scores: DataFrame, by: list[str], threshold: float = 0.0) -> DataFrame:
+    """The nine metrics per group: those of ``counted``, and the ranking metrics, null without both classes."""
     if not by:
-        return counted.crossJoin(F.broadcast(ranking_metrics(scores, by)))
-    return counted.join(ranking_metrics(scores, by), by)
+        return counted(scores, by, threshold).crossJoin(F.broadcast(ranking_metrics(scores, by)))
+    return counted(scores, by, threshold).join(ranking_metrics(scores, by), by)
 
 
 def best_threshold(scores: DataFrame) -> DataFrame:
@@ -62,10 +67,10 @@ def best_threshold(scores: DataFrame) -> DataFrame:
     Candidates are midpoints of distinct scores and one cut beyond either end. Counts at every cut are running sums over
     distinct scores. With one class the threshold is 0.
     """
-    tied = scores.groupBy("s").agg(F.sum("y").alias("pos"), F.count("*").alias("n"))
-    stepped = previous_value(running(tied, "s", {"__pos": "pos", "__all": "n"}), "s", "lower")
+    tied = stored(scores.groupBy("s").agg(F.sum("y").alias("pos"), F.count("*").alias("n")))
+    stepped = running(tied, "s", {"__pos": "pos", "__all": "n"}, previous="lower")
     cuts = stepped.select(F.when(F.col("lower").isNull(), F.col("s") - F.lit(1e-6)).otherwise((F.col("lower") + F.col("s")) / 2).alias("threshold"), (F.col("__pos") - F.col("pos")).alias("pos_below"), (F.col("__all") - F.col("n")).alias("below"))
-    total = scores.agg(F.sum("y").alias("p"), F.count("*").alias("k"), F.max("s").alias("top"))
+    total = tied.agg(F.sum("pos").alias("p"), F.sum("n").alias("k"), F.max("s").alias("top"))
     last = total.select((F.col("top") + F.lit(1e-6)).alias("threshold"), F.col("p").alias("pos_below"), F.col("k").alias("below"))
     every = cuts.union(last).join(F.broadcast(total))
     sensitivity = (F.col("p") - F.col("pos_below")).cast("double") / F.nullif(F.col("p"), F.lit(0))

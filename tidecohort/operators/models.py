@@ -1,33 +1,29 @@
-"""Sparse scaling and linear models over array features."""
+"""Sparse scaling over array features, and class weights."""
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import LinearRegression
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def scaler_statistics(rows: DataFrame, exponent: float = 4.0) -> DataFrame:
-    """(k, mean, std) per feature of square roots of clipped values; the deviation grows with the share of zeros."""
-    long = rows.select(F.posexplode("features").alias("k", "v")).withColumn("v", F.sqrt(F.greatest(F.col("v").cast("double"), F.lit(0.0))))
-    zeros = F.pow(F.avg((F.col("v") == 0).cast("double")), F.lit(exponent)) + F.lit(1e-8)
-    return long.groupBy("k").agg(F.avg("v").alias("mean"), (F.stddev_samp("v") + zeros).alias("std"))
-
+def scaler_arrays(rows: DataFrame, exponent: float = 4.0) -> DataFrame:
+    """One row (mean, std): arrays over the features of square roots of clipped values, summed up as whole vectors.
 
-def scale(rows: DataFrame, statistics: DataFrame, mask: bool = True) -> DataFrame:
-    """Scaled features; with ``mask`` zeros stay zero. The statistics are two arrays of the feature width."""
-    column = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("k", c))), lambda x: x[c]).alias(c)
-    arrays = statistics.agg(column("mean"), column("std"))
-    moments = F.arrays_zip(F.col("mean").alias("m"), F.col("std").alias("s"))
+    The deviation is that of a sample and grows with the share of zeros; it is null for a single row.
+    """
+    roots = F.transform("features", lambda v: F.sqrt(F.greatest(v.cast("double"), F.lit(0.0))))
+    found = rows.select(Summarizer.metrics("mean", "std", "numNonZeros", "count").summary(array_to_vector(roots)).alias("m")).select("m.*")
+    zeros = lambda k: F.pow(1 - k / F.col("count"), F.lit(exponent)) + F.lit(1e-8)
+    spread = F.zip_with(vector_to_array("std"), vector_to_array("numNonZeros"), lambda s, k: F.when(F.col("count") > 1, s + zeros(k)))
+    return found.select(vector_to_array("mean").alias("mean"), spread.alias("std"))
 
-    def one(v, z):
-        x = F.sqrt(F.greatest(v.cast("double"), F.lit(0.0)))
-        out = (x - z["m"]) / z["s"]
-        return F.when(x != 0, out).otherwise(F.lit(0.0)) if mask else out
 
-    return rows.join(F.broadcast(arrays)).withColumn("features", F.zip_with("features", moments, one)).drop("mean", "std")
+def scaler_statistics(rows: DataFrame, exponent: float = 4.0) -> DataFrame:
+    """(k, mean, std) per feature."""
+    zipped = scaler_arrays(rows, exponent).select(F.posexplode(F.arrays_zip("mean", "std")).alias("k", "z"))
+    return zipped.select("k", "z.mean", "z.std")
 
 
 def balanced(rows: DataFrame, label: str = "y") -> DataFrame:
@@ -36,24 +32,3 @@ def balanced(rows: DataFrame, label: str = "y") -> DataFrame:
     total = sizes.agg(F.sum("k").alias("n"))
     weights = sizes.join(F.broadcast(total)).select(F.col(label).alias("of"), (F.col("n") / (2 * F.col("k"))).alias("weight"))
     return rows.join(F.broadcast(weights), F.col(label) == F.col("of")).drop("of")
-
-
-def fit_logistic(rows: DataFrame, c: float = 1.0, l1: bool = False, most_steps: int = 100):
-    """Weighted logistic regression with penalty 1 / (c * total weight)."""
-    data = balanced(rows).withColumn("vector", array_to_vector("features")).withColumn("label", F.col("y").cast("double"))
-    weight = data.agg(F.sum("weight")).first()[0]
-    return LogisticRegression(featuresCol="vector", labelCol="label", weightCol="weight", regParam=1 / (c * weight), elasticNetParam=float(l1), standardization=False, maxIter=most_steps).fit(data)
-
-
-def fit_ridge(rows: DataFrame, alpha: float = 1.0):
-    """Ridge regression on targets of -1 and 1."""
-    data = rows.withColumn("vector", array_to_vector("features")).withColumn("label", F.col("y").cast("double") * 2 - 1)
-    return LinearRegression(featuresCol="vector", regParam=alpha / data.count(), elasticNetParam=0.0, standardization=False).fit(data)
-
-
-def decision(model, rows: DataFrame) -> DataFrame:
-    """``s``: the linear decision value of every row; the coefficients are one broadcast row, however many."""
-    spark = rows.sparkSession
-    line = spark.createDataFrame([([float(v) for v in model.coefficients], float(model.intercept))], "__w array<double>, __b double")
-    value = F.aggregate(F.zip_with("features", "__w", lambda v, w: v * w), F.lit(0.0), lambda a, v: a + v) + F.col("__b")
-    return rows.join(F.broadcast(line)).withColumn("s", value).drop("__w", "__b")

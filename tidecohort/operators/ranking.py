@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidecohort.operators.ordered import ranked
+from tidecohort.operators.ordered import ranks
+from tidecohort.operators.tables import stored
 
 METRICS = ("power", "roughness", "flatness")
 
 
 def robust_z(rows: DataFrame, metrics: tuple[str, ...] = METRICS, absolute: tuple[str, ...] = ("power", "flatness")) -> DataFrame:
-    """``z_<metric>``: distance from the median in units of the scaled median absolute deviation."""
+    """``z_<metric>``: distance from the median in units of the scaled median absolute deviation.
+
+    The metrics are stored before: medians, deviations and rows all read them.
+    """
+    rows = stored(rows)
     medians = rows.agg(*[F.median(m).alias(f"med_{m}") for m in metrics])
     centred = rows.join(F.broadcast(medians))
     deviations = centred.agg(*[F.median(F.abs(F.col(m) - F.col(f"med_{m}"))).alias(f"mad_{m}") for m in metrics])
@@ -30,10 +35,9 @@ def fused(rows: DataFrame, method: str, key: str = "path", metrics: tuple[str, .
     if method == "l2":
         return rows.withColumn("anomaly", F.sqrt(total([F.greatest(x, F.lit(0.0)) * F.greatest(x, F.lit(0.0)) for x in z])))
     if method in ("borda", "rrf"):
-        for i, m in enumerate(metrics):
-            rows = ranked(rows, f"z_{m}", f"__rank{i}", [key], descending=method == "rrf")
-        ranks = [F.col(f"__rank{i}") for i in range(len(z))]
-        each = [(r - 1).cast("double") for r in ranks] if method == "borda" else [F.lit(1.0) / (F.lit(float(rrf_k)) + r) for r in ranks]
+        rows = ranks(rows, {f"__rank{i}": f"z_{m}" for i, m in enumerate(metrics)}, [key], descending=method == "rrf")
+        places = [F.col(f"__rank{i}") for i in range(len(z))]
+        each = [(r - 1).cast("double") for r in places] if method == "borda" else [F.lit(1.0) / (F.lit(float(rrf_k)) + r) for r in places]
         return rows.withColumn("anomaly", total(each)).drop(*[f"__rank{i}" for i in range(len(z))])
     raise ValueError(f"unknown fusion method {method}")
 

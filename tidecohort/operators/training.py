@@ -1,20 +1,21 @@
-"""Training, validation and test over a split plan, and sweeps over seeds.
+"""Training, validation and test over a split plan, and sweeps over seeds, as Spark ML pipelines.
 
-Rows are windows (window_id, subject, split, y, features). Scaler and classifier see the training split, or training and
-validation together (``merge``); the threshold is 0 or, with ``calibrate``, the one with the best balanced accuracy over the
-subjects of the validation split. Everything but the fitted coefficients stays a DataFrame.
+Rows are windows (window_id, subject, split, y, and the input of the first stage). All stages see the training split, or
+training and validation together (``merge``); the threshold is 0 or, with ``calibrate``, the one with the best balanced accuracy
+over the subjects of the validation split. Everything but the fitted coefficients stays a DataFrame.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.ml.classification import LogisticRegressionModel
-from pyspark.ml.regression import LinearRegressionModel
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecohort.operators import metrics, models
+from tidecohort.operators import metrics, ml
+from tidecohort.operators.tables import stored
 
 #: Ten strengths from 1e-3 to 1e3.
 GRID = tuple(10.0 ** (-3 + 6 * k / 9) for k in range(10))
@@ -22,30 +23,32 @@ GRID = tuple(10.0 ** (-3 + 6 * k / 9) for k in range(10))
 
 @dataclass(frozen=True)
 class Fitted:
-    """A classifier with the scaler and the threshold that belong to it."""
+    """A pipeline of stages, scaler and classifier, with the threshold and the strength that belong to it."""
 
-    model: object
-    statistics: DataFrame
+    pipeline: PipelineModel
     threshold: float
     strength: float
+    by_strength: tuple[float, ...] = ()
 
     def save(self, path: str) -> None:
-        """Model, scaler and threshold as folders that ``load`` reads."""
-        self.model.write().overwrite().save(f"{path}/model")
-        self.statistics.write.mode("overwrite").parquet(f"{path}/scaler")
-        spark = self.statistics.sparkSession
-        spark.createDataFrame([(self.threshold, self.strength, type(self.model).__name__)], "threshold double, strength double, kind string").write.mode("overwrite").parquet(f"{path}/options")
+        """The pipeline as Spark ML saves it, and a row of options beside it; ``load`` reads both, in any session."""
+        self.pipeline.write().overwrite().save(f"{path}/pipeline")
+        row = [(self.threshold, self.strength, [float(v) for v in self.by_strength])]
+        SparkSession.getActiveSession().createDataFrame(row, "threshold double, strength double, by_strength array<double>").write.mode("overwrite").parquet(f"{path}/options")
 
 
 def load(spark: SparkSession, path: str) -> Fitted:
     options = spark.read.parquet(f"{path}/options").first()
-    kind = {c.__name__: c for c in (LogisticRegressionModel, LinearRegressionModel)}[options["kind"]]
-    return Fitted(kind.load(f"{path}/model"), spark.read.parquet(f"{path}/scaler"), options["threshold"], options["strength"])
+    return Fitted(ml.load_pipeline(spark, f"{path}/pipeline"), options["threshold"], options["strength"], tuple(options["by_strength"]))
 
 
 @dataclass(frozen=True)
 class Trainer:
-    """Options of a fit. Folds of the search are cut by ``fold_by``: windows as they come, or whole subjects."""
+    """Options of a fit. Folds of the search are cut by ``fold_by``: windows as they come, or whole subjects.
+
+    ``stages`` come before the scaler, whose input is a column ``features``. Of several strengths the one with the best mean
+    score over the folds is taken, the first of equals.
+    """
 
     kind: str = "logistic"
     l1: bool = False
@@ -56,42 +59,40 @@ class Trainer:
     merge: bool = True
     calibrate: bool = False
     most_steps: int = 100
+    stages: tuple = ()
+    parallelism: int = 4
 
-    def _fit(self, rows: DataFrame, strength: float):
-        if self.kind == "ridge":
-            return models.fit_ridge(rows, strength)
-        return models.fit_logistic(rows, strength, self.l1, self.most_steps)
+    def classifier(self):
+        return ml.BalancedRidge() if self.kind == "ridge" else ml.BalancedLogistic(l1=self.l1, maxIter=self.most_steps)
 
-    def search(self, rows: DataFrame) -> float:
-        """The strength with the best mean score over the folds; the first of equals."""
+    def search(self, rows: DataFrame):
+        """(model, strength, mean scores by strength) from stored rows with a column ``scaled``."""
+        fit = self.classifier()
         if len(self.grid) == 1:
-            return self.grid[0]
-        dealt = rows.withColumn("fold", F.pmod(F.xxhash64(F.col(self.fold_by).cast("string")), F.lit(self.folds)))
-        results = []
-        for strength in self.grid:
-            scored = [models.decision(self._fit(dealt.filter(F.col("fold") != k), strength), dealt.filter(F.col("fold") == k)) for k in range(self.folds)]
-            every = scored[0]
-            for more in scored[1:]:
-                every = every.unionByName(more)
-            found = metrics.classification(every.select("fold", "s", "y"), ["fold"]).agg(F.avg(self.scoring).alias("m")).first()["m"]
-            results.append((found if found is not None else -1.0, -len(results), strength))
-        return max(results)[2]
+            return fit.copy({fit.strength: self.grid[0]}).fit(rows), self.grid[0], ()
+        dealt, folds = ml.dealt(rows, self.fold_by, self.folds)
+        maps = ParamGridBuilder().addGrid(fit.strength, list(self.grid)).build()
+        found = CrossValidator(estimator=fit, estimatorParamMaps=maps, evaluator=ml.BinaryScore(metricName=self.scoring), numFolds=folds, foldCol="fold", parallelism=self.parallelism).fit(dealt)
+        scores = tuple(found.avgMetrics)
+        return found.bestModel, self.grid[scores.index(max(scores))], scores
 
     def fit(self, rows: DataFrame) -> Fitted:
-        """The pipeline fitted on the training rows of a plan."""
+        """The pipeline fitted on the training rows of a plan. Features and scaled features are computed and stored once."""
         seen = rows.filter(F.col("split").isin("train", "val") if self.merge else F.col("split") == "train")
-        statistics = models.scaler_statistics(seen)
-        scaled = models.scale(seen, statistics)
-        strength = self.search(scaled)
-        fitted = Fitted(self._fit(scaled, strength), statistics, 0.0, strength)
+        before = Pipeline(stages=list(self.stages)).fit(seen)
+        featured = stored(before.transform(seen).select("window_id", "subject", "y", "features"))
+        scaler = ml.SparseScaler().fit(featured)
+        model, strength, scores = self.search(stored(scaler.transform(featured).select("window_id", "subject", "y", "scaled")))
+        fitted = Fitted(PipelineModel([*before.stages, scaler, model]), 0.0, strength, scores)
         if self.calibrate:
             subjects = metrics.subject_scores(self.scores(fitted, rows.filter("split = 'val'")))
-            fitted = replace(fitted, threshold=float(metrics.best_threshold(subjects).first()["threshold"] or 0.0))
+            fitted = replace(fitted, threshold=float(metrics.best_threshold(stored(subjects)).first()["threshold"] or 0.0))
         return fitted
 
     def scores(self, fitted: Fitted, rows: DataFrame) -> DataFrame:
         """(window_id, subject, split, y, s) of windows under a fitted pipeline."""
-        return models.decision(fitted.model, models.scale(rows, fitted.statistics)).select("window_id", "subject", "split", "y", "s")
+        judged = fitted.pipeline.transform(rows)
+        return judged.select("window_id", "subject", "split", "y", ml.decision(judged).alias("s"))
 
     def test(self, fitted: Fitted, rows: DataFrame) -> DataFrame:
         """The metrics by split and level (window, subject) of all rows; subjects have the mean score of their windows."""
@@ -99,8 +100,13 @@ class Trainer:
 
 
 def evaluate(scores: DataFrame, threshold: float = 0.0) -> DataFrame:
-    """Metrics by split and level of stored scores (window_id, subject, split, y, s)."""
+    """Metrics by split and level of scores (window_id, subject, split, y, s).
+
+    Scores and means are stored before: counts and ranks must see the same values.
+    """
+    scores = stored(scores)
     means = scores.groupBy("split", "subject").agg(F.avg("s").alias("s"), F.min_by("y", "window_id").alias("y"))
+    means = stored(means)
     row = lambda df, level: metrics.classification(df, ["split"], threshold).withColumn("level", F.lit(level))
     return row(scores, "window").unionByName(row(means, "subject"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidecohort.functions import scalars
 from tidecohort.operators import metrics, ranking, spectral
-from tidecohort.plans.registry import query
+from tidecohort.plans.register import query
 from tidecohort.sources.fixtures import components, ctes, psd, recordings, runs, scores, table
 
 r6 = lambda c: F.round(c, 6)

@@ -8,7 +8,7 @@ from tidecohort.functions import scalars
 from tidecohort.operators import chain, detection, features, signal, spectral
 from tidecohort.plans.analytics import SUBJECT_SQL
 from tidecohort.plans.cohorts import REGION_SQL
-from tidecohort.plans.registry import query
+from tidecohort.plans.register import query
 from tidecohort.plans.signals import WELCH_SQL, four_channels, welch_sql
 from tidecohort.sources.builder import SIDECAR
 from tidecohort.sources.fixtures import components, ctes, psd, signals

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidecohort.functions import scalars
 from tidecohort.operators import cohort
-from tidecohort.plans.registry import query
+from tidecohort.plans.register import query
 from tidecohort.sources.fixtures import SQL, components, ctes, recordings, spans, table
 
 LENGTH, STRIDE, CAP = 120.0, 60.0, 20

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidecohort.operators import features, models
-from tidecohort.plans.registry import query
+from tidecohort.plans.register import query
 from tidecohort.plans.signals import four_channels
 from tidecohort.sources.fixtures import ctes, kernel_counts, psd, signals, table
 
@@ -85,18 +86,57 @@ def bank():
     return features.Bank(16, 4, kernels=4, groups=4)
 
 
-@query("convolution_features")
+def competition_sql(bank: features.Bank, source: str) -> str:
+    """The competing convolution as relations over ``win (vec_id, ch)``: kernels by taps, a winner and a loser each time.
+
+    Gives ``slots`` (all kernels with the competition), ``won`` (winners with their response) and ``lost``.
+    """
+    listed = ", ".join(
+        f"({dil}, {r}, {g}, {k}, {[float(v) for v in w]}::DOUBLE[], {bank.channels[d, r, g].tolist()})"
+        for d, dil in enumerate(bank.dilations.tolist()) for r, g, k in np.ndindex(*bank.weights.shape[1:4]) for w in [bank.weights[d, r, g, k]]
+    )
+    return f"""{source},
+kern AS (SELECT * FROM (VALUES {listed}) AS t(dil, r, g, k, w, c)),
+rep AS (SELECT vec_id, 0 AS r, ch FROM win UNION ALL SELECT vec_id, 1, list_transform(ch, lambda s: list_transform(range(1, len(s)), lambda i: s[i + 1] - s[i])) FROM win),
+mixed AS (SELECT vec_id, dil, r, g, k, w, len(ch[1]) AS n, list_transform(range(1, len(ch[1]) + 1), lambda t: list_sum(list_transform(CASE WHEN len(ch) > 1 THEN c ELSE [0] END, lambda q: ch[q + 1][t]))) AS m FROM rep JOIN kern USING (r)),
+times AS (SELECT *, unnest(range(1, n + 1)) AS t FROM mixed),
+resp AS (SELECT vec_id, dil, r, g, k, t, list_sum(list_transform(range(9), lambda j: CASE WHEN t + (j - 4) * dil BETWEEN 1 AND n THEN w[j + 1] * m[t + (j - 4) * dil] ELSE 0 END)) AS v FROM times),
+won AS (SELECT * FROM resp QUALIFY row_number() OVER (PARTITION BY vec_id, dil, r, g, t ORDER BY v DESC, k) = 1),
+lost AS (SELECT * FROM resp QUALIFY row_number() OVER (PARTITION BY vec_id, dil, r, g, t ORDER BY v, k) = 1),
+scored AS (SELECT vec_id, dil, r, 0 AS hard, g, k, sum(v) AS v FROM won GROUP BY ALL UNION ALL SELECT vec_id, dil, r, 1, g, k, count(*) FROM lost GROUP BY ALL),
+slots AS (SELECT DISTINCT dil, r, hard, g, k FROM kern, (SELECT unnest([0, 1]) AS hard)),
+dense AS (SELECT w.vec_id, s.*, coalesce(f.v, 0) AS v, row_number() OVER (PARTITION BY w.vec_id ORDER BY s.dil, s.r, s.hard, s.g, s.k) - 1 AS place
+  FROM win w CROSS JOIN slots s LEFT JOIN scored f ON f.vec_id = w.vec_id AND f.dil = s.dil AND f.r = s.r AND f.hard = s.hard AND f.g = s.g AND f.k = s.k)"""
+
+
+CHANNELS_SQL = "win AS (SELECT vec_id, y, [x[1:16], x[17:32], x[33:48], x[49:64]] AS ch FROM signals)"
+
+
+@query("convolution_features", ctes("signals") + ", " + competition_sql(bank(), CHANNELS_SQL) + " SELECT vec_id AS window_id, list(round(v, 6) ORDER BY place) AS features FROM dense GROUP BY vec_id")
 def convolution_features(spark, d):
-    return features.transform(windows(spark, d), bank())
+    """Soft and hard wins of every kernel; the SQL builds responses, winners and losers as relations."""
+    rows = features.transform(windows(spark, d), bank(), exact=True)
+    return rows.select("window_id", F.transform("features", lambda v: F.round(v, 6)).alias("features"))
 
 
-@query("kernel_win_counts")
+@query("kernel_win_counts", ctes("signals") + ", " + competition_sql(bank(), CHANNELS_SQL) + """, taken AS (SELECT vec_id, 0 AS hard, dil, r, g, k, v FROM won UNION ALL SELECT vec_id, 1, dil, r, g, k, v FROM lost),
+sums AS (SELECT w.y, t.hard, t.dil, t.r, t.g, t.k, count(*) AS n, sum(abs(t.v)) AS m FROM taken t JOIN win w USING (vec_id) GROUP BY ALL)
+SELECT CAST(c.y AS INTEGER) AS cls, CASE WHEN s.hard = 1 THEN 'min' ELSE 'max' END AS competition, CAST(s.dil AS INTEGER) AS dilation, CAST(s.r AS INTEGER) AS "diff", CAST(s.g AS INTEGER) AS grp, CAST(s.k AS INTEGER) AS kernel, coalesce(n, 0) AS frequency, round(coalesce(m, 0), 4) AS magnitude
+FROM (SELECT DISTINCT y FROM win) c CROSS JOIN slots s LEFT JOIN sums u ON u.y = c.y AND u.hard = s.hard AND u.dil = s.dil AND u.r = s.r AND u.g = s.g AND u.k = s.k""")
 def kernel_win_counts(spark, d):
     counted = features.win_counts(windows(spark, d), bank())
     return counted.withColumn("magnitude", F.round("magnitude", 4))
 
 
-@query("bag_features")
+BAG_BANK = features.Bank(64, 1, kernels=4, groups=2)
+BAG_SQL = "every AS (SELECT vec_id, vec_id // 4 AS bag, vec_id % 7 = 0 OR vec_id // 4 % 5 = 0 AS silent, x FROM signals), win AS (SELECT vec_id, bag, [x] AS ch FROM every WHERE NOT silent)"
+
+
+@query("bag_features", ctes("signals") + ", " + competition_sql(BAG_BANK, BAG_SQL) + f""", pooled AS (SELECT bag, place, avg(v) AS mean, max(v) AS most, stddev_pop(v) AS std, count(*) AS n FROM dense JOIN win USING (vec_id) GROUP BY ALL)
+SELECT b.bag AS window_id, CAST(u.k AS INTEGER) AS k, round(coalesce(mean, 0), 4) AS mean, round(coalesce(most, 0), 4) AS most, round(coalesce(std, 0), 4) AS std, coalesce(n, 0) AS n FROM (SELECT DISTINCT bag FROM every) b CROSS JOIN unnest(range({BAG_BANK.width})) AS u(k) LEFT JOIN pooled p ON p.bag = b.bag AND p.place = u.k""")
 def bag_features(spark, d):
-    parts = signals(spark, d).select((F.col("vec_id") / 4).cast("long").alias("window_id"), "x")
-    return features.bag_features(parts, features.Bank(64, 1, kernels=4, groups=2)).withColumns({c: F.round(c, 4) for c in ("mean", "most", "std")})
+    """Pooled features of bags of components; every seventh component is silent, and every fifth bag has no other."""
+    silent = (F.col("vec_id") % 7 == 0) | (F.col("bag") % 5 == 0)
+    parts = signals(spark, d).withColumn("bag", F.expr("vec_id div 4"))
+    parts = parts.select(F.col("bag").alias("window_id"), F.when(silent, F.transform("x", lambda v: F.lit(0.0))).otherwise(F.col("x")).alias("x"))
+    return features.bag_features(parts, BAG_BANK).withColumns({c: F.round(c, 4) for c in ("mean", "most", "std")})

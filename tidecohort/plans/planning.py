@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidecohort.functions import scalars
 from tidecohort.operators import cohort
 from tidecohort.plans.cohorts import CAP, EXCLUDED_SQL, LENGTH, RATIOS, SPLITS_SQL, STRIDE, WINDOWS_SQL, plan
-from tidecohort.plans.registry import query
+from tidecohort.plans.register import query
 from tidecohort.sources.fixtures import SQL, ctes, recordings, spans, table
 
 KEPT_SQL = "WITH " + SQL["rec"].replace("rec AS", "every AS", 1) + ",\n" + SQL["spans"] + ",\n" + EXCLUDED_SQL + ",\nrec AS (SELECT * FROM every WHERE path NOT IN (SELECT replace(replace(value, '/./', '/'), '//', '/') FROM excluded))"

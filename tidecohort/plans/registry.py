@@ -2,23 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tidecohort.plans import analytics, cleaning, cohorts, features, planning, signals, training  # noqa: F401
+from tidecohort.plans.register import ORACLES, QUERIES  # noqa: F401
 
-QUERIES: dict[str, Callable] = {}
-ORACLES: dict[str, str] = {}
 FLAGSHIP = "window_plan_budget"
-
-
-def query(name: str, sql: str | None = None):
-    """Register a function (spark, sf_dir) -> DataFrame; ``sql`` is its DuckDB twin where SQL can express it."""
-
-    def add(function):
-        QUERIES[name] = function
-        if sql:
-            ORACLES[name] = sql
-        return function
-
-    return add
-
-
-from tidecohort.plans import analytics, cleaning, cohorts, features, planning, signals, training  # noqa: E402, F401

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidecohort.functions import scalars
 from tidecohort.operators import signal
 from tidecohort.plans.cohorts import REGION_SQL
-from tidecohort.plans.registry import query
+from tidecohort.plans.register import query
 from tidecohort.sources.fixtures import components, ctes, signals
 
 
