@@ -151,7 +151,7 @@ def audited(seed, n=300):
 
 @pytest.mark.parametrize("seed", [1, 2])
 def test_divergence_equals_brute_force(spark, monkeypatch, seed):
-    monkeypatch.setattr(divergence, "HELD", 40)
+    monkeypatch.setattr(divergence, "HELD", 300)
     rows = audited(seed)
     found = divergence.report(frame(spark, rows).selectExpr("*", "1 AS term", "2 AS n", "3 AS p")).collect()
     assert sorted(tuple(r) for r in found) == diverging(rows)

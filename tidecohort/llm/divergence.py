@@ -4,10 +4,11 @@ Terms are ``[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+`` with A-Z lower-cased. A lang
 of its documents. A term with ``count`` of a group's N kept occurrences has p = 1 + floor(10^9 (count + 2) / (N + 2V)) there;
 two groups differ in it by f(p, q) = floor((p - q)^2 / (p + q)).
 
-1. One scan counts terms by (lang, source) with the number of documents they occur in. What a task has counted leaves it as
-   sorted runs whenever ``HELD`` entries have come together, so that a term has at most one record a run and source.
-2. Records are repartitioned by (lang, term) and sorted by (lang, term, source). A run-length scan adds up each run as it
-   streams by, and emits the terms that are kept with their sources and counts. A run may be long; it is never held.
+1. One scan numbers the terms of its texts and sorts (document, term) and then (lang, term, source) as integers, ``HELD`` words
+   at a time; run lengths give the documents and occurrences of a term. It leaves one record a term and language for each sort,
+   with its sources and their counts, so that a term has no more records than there are sorts, however common it is.
+2. Records are repartitioned by (lang, term) and sorted. A run-length scan adds up each run source by source as it streams by,
+   and emits the terms that are kept. Of a run that goes on no more than one count a source is held.
 3. Kept terms get p of their group and q of their language. Terms of a group are ranked by f where p > q.
 4. Sources of a language are compared as if no term occurred (V times f of the two smallest p), corrected for the terms that
    one of them holds (from the number of terms by p), and for the terms that both hold: a run-length scan over (lang, term)
@@ -22,7 +23,7 @@ result. Extra columns of any name are ignored. Groups are broadcast up to ``MOST
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +35,12 @@ from tidecohort.llm.common import materialize
 
 #: Bytes of terms once A-Z are lower-cased: a-z and all bytes of characters beyond ASCII.
 TERMS = re.compile(rb"[a-z\x80-\xff]+")
-HELD = 400_000
+HELD = 4_000_000
+MOST_TERMS = 1_000_000
 PIECE = 1 << 20
 MOST_GROUPS = 100_000
 MOST_PAIRS = 1_000_000
-COUNTS = "lang string, term string, source string, df long, n long"
+COUNTS = "lang string, term string, df long, sources array<string>, counts array<long>"
 KEPT = "lang string, term string, total long, sources array<string>, counts array<long>"
 SCALE = 1_000_000_000
 
@@ -55,34 +57,58 @@ def pieces(data: bytes):
     yield data[at:]
 
 
-def term_counts(docs: DataFrame) -> DataFrame:
-    """Partial (lang, term, source, df, n): sums over the documents that one task has seen since its last run."""
+class _Counted:
+    """Words of documents as numbers, until they are sorted and leave as one record a term and language."""
+
+    def __init__(self):
+        self.terms: dict[bytes, int] = defaultdict(lambda: len(self.terms))
+        self.groups: dict[tuple[str, str], int] = {}
+        self.codes, self.group, self.size = [], [], 0
+
+    def add(self, text: bytes, lang: str, source: str) -> None:
+        found = [np.fromiter(map(self.terms.__getitem__, words), np.int64, len(words)) for piece in pieces(text) for words in [TERMS.findall(piece)]]
+        self.codes.append(np.concatenate(found))
+        self.group.append(self.groups.setdefault((lang, source), len(self.groups)))
+        self.size += len(self.codes[-1])
+
+    def full(self) -> bool:
+        return self.size >= HELD or len(self.terms) >= MOST_TERMS
+
+    def records(self) -> pa.RecordBatch:
+        named = [np.unique(np.array([g[i] for g in self.groups], object), return_inverse=True) for i in (0, 1)]
+        (langs, lang_of), (sources, source_of) = [(list(names), place.astype(np.int64)) for names, place in named]
+        v, n_sources, group = max(len(self.terms), 1), max(len(sources), 1), np.array(self.group, np.int64)
+        lengths = np.array([len(c) for c in self.codes], np.int64)
+        words = np.concatenate([*self.codes, np.zeros(0, np.int64)]) + np.repeat(np.arange(len(group)), lengths) * v
+        words, occurrences = np.unique(words, return_counts=True)
+        of = group[words // v]
+        keys = (lang_of[of] * v + words % v) * n_sources + source_of[of]
+        order = np.argsort(keys, kind="stable")
+        keys, occurrences = keys[order], occurrences[order]
+        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+        counts, in_docs, keys = np.add.reduceat(occurrences, starts) if len(keys) else keys, np.diff(np.append(starts, len(keys))), keys[starts]
+        runs = keys // n_sources
+        heads = np.flatnonzero(np.concatenate([[True], runs[1:] != runs[:-1]])) if len(runs) else np.zeros(0, np.int64)
+        df = np.add.reduceat(in_docs, heads) if len(runs) else in_docs
+        offsets = pa.array(np.append(heads, len(runs)).astype(np.int32))
+        name = lambda names, at: pa.array(names, pa.string()).take(pa.array(at))
+        terms = pa.array(list(self.terms), pa.binary()).cast(pa.string()).take(pa.array(runs[heads] % v))
+        lists = [pa.ListArray.from_arrays(offsets, name(sources, keys % n_sources)), pa.ListArray.from_arrays(offsets, pa.array(counts.astype(np.int64)))]
+        return pa.RecordBatch.from_arrays([name(langs, runs[heads] // v), terms, pa.array(df.astype(np.int64)), *lists], names=["lang", "term", "df", "sources", "counts"])
+
 
-    def flush(held):
-        rows = sorted((lang, term, source, df, n) for (lang, source), (in_docs, counts) in held.items() for term, n in counts.items() for df in [in_docs[term]])
-        columns = list(zip(*rows, strict=True)) if rows else [()] * 5
-        text = [pa.array(columns[i], pa.binary()).cast(pa.string()) for i in range(3)]
-        return pa.RecordBatch.from_arrays([*text, pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.int64())], names=["lang", "term", "source", "df", "n"])
+def term_counts(docs: DataFrame) -> DataFrame:
+    """Partial (lang, term, df, sources, counts): sums over the documents that one task has seen since its last sort."""
 
     def run(batches):
-        held: dict = defaultdict(lambda: (Counter(), Counter()))
-        size = 0
+        held = _Counted()
         for batch in batches:
             for text, lang, source in zip(*[batch.column(c) for c in ("text", "lang", "source")], strict=True):
-                in_docs, counts = held[lang.as_py().encode(), source.as_py().encode()]
-                seen: set[bytes] = set()
-                size -= len(counts)
-                for piece in pieces(text.as_py().encode().lower()):
-                    found = TERMS.findall(piece)
-                    counts.update(found)
-                    seen.update(found)
-                in_docs.update(seen)
-                size += len(counts)
-                if size > HELD:
-                    yield flush(held)
-                    held.clear()
-                    size = 0
-        yield flush(held)
+                held.add(text.as_py().encode().lower(), lang.as_py(), source.as_py())
+                if held.full():
+                    yield held.records()
+                    held = _Counted()
+        yield held.records()
 
     empty = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
     return docs.select(empty("text"), empty("lang"), empty("source")).mapInArrow(run, COUNTS)
@@ -93,46 +119,49 @@ def _changes(column: pa.Array) -> np.ndarray:
     return np.asarray(pc.not_equal(column.slice(1), column.slice(0, len(column) - 1))).astype(bool)
 
 
+def _summed(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """One record a run of (lang, term), with the sums by source."""
+    lang, term = batch.column("lang"), batch.column("term")
+    new = np.concatenate([[True], _changes(lang) | _changes(term)])
+    starts = np.flatnonzero(new)
+    sizes = np.asarray(pc.list_value_length(batch.column("sources"))).astype(np.int64)
+    coded = batch.column("sources").flatten().dictionary_encode()
+    names = coded.dictionary
+    keys = np.repeat(np.cumsum(new) - 1, sizes) * max(len(names), 1) + np.asarray(coded.indices)
+    keys, place = np.unique(keys, return_inverse=True)
+    counts = np.zeros(len(keys), np.int64)
+    np.add.at(counts, place, np.asarray(batch.column("counts").flatten()))
+    runs = keys // max(len(names), 1)
+    offsets = pa.array(np.searchsorted(runs, np.arange(len(starts) + 1)).astype(np.int32))
+    heads = pa.array(starts)
+    lists = [pa.ListArray.from_arrays(offsets, names.take(pa.array(keys % max(len(names), 1)))), pa.ListArray.from_arrays(offsets, pa.array(counts))]
+    return pa.RecordBatch.from_arrays([lang.take(heads), term.take(heads), pa.array(np.add.reduceat(np.asarray(batch.column("df")), starts)), *lists], names=["lang", "term", "df", "sources", "counts"])
+
+
 def kept_terms(counted: DataFrame, min_docs: int) -> DataFrame:
     """(lang, term, total, sources, counts) of terms in at least ``min_docs`` documents of their language."""
 
-    def emit(lang, term, source, df, n):
-        """Rows of whole (lang, term) runs from rows that are distinct by (lang, term, source)."""
-        new = np.concatenate([[True], _changes(lang) | _changes(term)])
-        starts = np.flatnonzero(new)
-        kept = np.add.reduceat(df, starts) >= min_docs
-        stay = kept[np.cumsum(new) - 1]
-        sizes = np.diff(np.append(starts, len(df)))[kept]
-        offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-        rows = pa.array(np.flatnonzero(stay))
-        heads = pa.array(starts[kept])
-        lists = [pa.ListArray.from_arrays(offsets, source.take(rows)), pa.ListArray.from_arrays(offsets, pa.array(n[stay]))]
-        return pa.RecordBatch.from_arrays([lang.take(heads), term.take(heads), pa.array(np.add.reduceat(n, starts)[kept]), *lists], names=["lang", "term", "total", "sources", "counts"])
+    def kept(batch: pa.RecordBatch) -> pa.RecordBatch:
+        batch = batch.filter(pc.greater_equal(batch.column("df"), min_docs))
+        lists = batch.column("counts")
+        sizes = np.asarray(pc.list_value_length(lists)).astype(np.int64)
+        sums = np.concatenate([[0], np.cumsum(np.asarray(lists.flatten()))])
+        ends = np.cumsum(sizes)
+        total = sums[ends] - sums[ends - sizes]
+        return pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("term"), pa.array(total.astype(np.int64)), batch.column("sources"), lists], names=["lang", "term", "total", "sources", "counts"])
 
     def run(batches):
         held = None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            whole = pa.Table.from_batches([held, batch] if held is not None else [batch]).combine_chunks()
-            lang, term, source, df, n = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in whole.columns]
-            df, n = np.asarray(df), np.asarray(n)
-            by_term = _changes(lang) | _changes(term)
-            starts = np.flatnonzero(np.concatenate([[True], by_term | _changes(source)]))
-            heads = pa.array(starts)
-            lang, term, source = lang.take(heads), term.take(heads), source.take(heads)
-            df, n = np.add.reduceat(df, starts), np.add.reduceat(n, starts)
-            # The last run may go on in the next batch: a row a source of it is held.
-            edges = np.flatnonzero(np.concatenate([[True], _changes(lang) | _changes(term)]))
-            last = int(edges[-1])
-            held = pa.RecordBatch.from_arrays([lang.slice(last), term.slice(last), source.slice(last), pa.array(df[last:]), pa.array(n[last:])], names=["lang", "term", "source", "df", "n"])
-            if last:
-                yield emit(lang.slice(0, last), term.slice(0, last), source.slice(0, last), df[:last], n[:last])
+            if batch.num_rows:
+                whole = _summed(pa.concat_batches([held, batch]) if held is not None else batch)
+                # The last run may go on in the next batch.
+                held = whole.slice(whole.num_rows - 1)
+                yield kept(whole.slice(0, whole.num_rows - 1))
         if held is not None:
-            yield emit(*[held.column(i) for i in range(3)], np.asarray(held.column(3)), np.asarray(held.column(4)))
+            yield kept(held)
 
-    order = ["lang", "term", "source"]
-    return counted.repartition("lang", "term").sortWithinPartitions(*order).mapInArrow(run, KEPT)
+    return counted.repartition("lang", "term").sortWithinPartitions("lang", "term").mapInArrow(run, KEPT)
 
 
 def share(count: Column, n: Column, v: Column) -> Column:
