@@ -7,7 +7,7 @@ floor(1000 * ln((t + 1) * (S + buckets) / ((s + 1) * (T + buckets)))). A documen
 Gumbel noise from its id makes drawing the highest scores a weighted sample without replacement.
 
 1. One scan cuts the corpus into slices of about 8 MB of text. A slice lists its distinct features once, with totals, and holds
-   its documents as counts of positions in that list. Nothing else is read from the texts.
+   its documents as counts of positions in that list, packed. Nothing else is read from the texts.
 2. The lists of all slices and of the target are summed into one dictionary of distinct strings; each is hashed once, and
    buckets are sums over it. Gains are one row a bucket, which bounds their broadcast.
 3. Dictionary and slices meet by feature: a feature has at most one row a slice, however common it is, so no key is hot. The
@@ -37,7 +37,17 @@ from tidecohort.llm.vectext import slices
 #: Bytes of words once A-Z are lower-cased: digits, a-z, and all bytes of characters beyond ASCII.
 WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
 SLICE_BYTES = 8 << 20
-SLICE = "slice long, features array<string>, totals array<long>, ids array<string>, n_words array<int>, n_features array<int>, distinct array<int>, codes array<int>, counts array<int>"
+SLICE = "slice long, features array<string>, totals array<long>, ids array<string>, n_words array<int>, n_features array<int>, distinct array<int>, codes binary, counts binary"
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Small integers byte plane by byte plane, compressed: the upper planes are nearly all zeros."""
+    return pa.compress(values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, decompressed_size=4 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
 def features(text: str, max_n: int) -> tuple[int, list[bytes]]:
@@ -63,12 +73,18 @@ def sliced(rows: DataFrame, max_n: int) -> DataFrame:
             n_words.append(n)
             n_features.append(len(found))
             distinct.append(len(own))
-        places, counts = np.array(places, np.int32), np.array(counts, np.int32)
+        places, counts = np.array(places, np.int64), np.array(counts, np.int64)
         totals = np.bincount(places, counts, len(codes)).astype(np.int64)
+        # Common features get small numbers, which pack well.
+        by_total = np.argsort(-totals, kind="stable")
+        rank = np.empty_like(by_total)
+        rank[by_total] = np.arange(len(by_total))
+        names = pa.array(list(codes), pa.binary()).cast(pa.string()).take(pa.array(by_total))
         column = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
-        lists = [pa.array(list(codes), pa.binary()).cast(pa.string()), totals, piece.column("key"), n_words, n_features, distinct, places, counts]
-        kinds = [pa.string(), pa.int64(), pa.string(), *[pa.int32()] * 5]
-        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *[column(v, k) for v, k in zip(lists, kinds, strict=True)]], names=[c.split()[0] for c in SLICE.split(", ")])
+        lists = [names, totals[by_total], piece.column("key"), n_words, n_features, distinct]
+        kinds = [pa.string(), pa.int64(), pa.string(), *[pa.int32()] * 3]
+        binary = [pa.array([packed(v)], pa.binary()) for v in (rank[places], counts)]
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *[column(v, k) for v, k in zip(lists, kinds, strict=True)], *binary], names=[c.split()[0] for c in SLICE.split(", ")])
 
     def run(batches):
         number = TaskContext.get().partitionId() << 32
@@ -114,7 +130,8 @@ def weights(rows: DataFrame, target: DataFrame, max_n: int = 1, buckets: int = 1
                 of = lambda c: batch.column(c)[i].values  # noqa: E731, B023
                 ids, distinct = of("ids"), np.asarray(of("distinct"))
                 gains = np.asarray(of("gains")) if batch.column("gains")[i].is_valid else np.zeros(0, np.int64)
-                sums = np.concatenate([[0], np.cumsum(gains[np.asarray(of("codes"))] * np.asarray(of("counts")).astype(np.int64))]).astype(np.int64)
+                codes, counts = (unpacked(batch.column(c)[i].as_py(), int(distinct.sum())) for c in ("codes", "counts"))
+                sums = np.concatenate([[0], np.cumsum(gains[codes] * counts)]).astype(np.int64)
                 ends = np.cumsum(distinct)
                 weight = sums[ends] - sums[ends - distinct]
                 yield pa.RecordBatch.from_arrays([ids, pc.cast(of("n_words"), pa.int64()), pc.cast(of("n_features"), pa.int64()), pa.array(weight)], names=["key", "n_words", "n_features", "weight"])
