@@ -12,7 +12,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidecohort.functions import scalars
@@ -57,9 +58,33 @@ class Chain:
         bare = name.strip().upper().removeprefix("EEG ").removesuffix("-REF").removesuffix("-LE")
         return self.rename.get(bare, name.strip())
 
-    def apply(self, names: list[str], x: np.ndarray, bad: list[str] = (), too_many: bool = False) -> tuple[list[str], np.ndarray] | None:
-        """Names and samples of the processed window, or None where a step cannot be done."""
-        fs = self.fs
+    def attempt(self, names: list[str], x, bad: list[str] = (), too_many: bool = False, **options) -> tuple[list[str] | None, np.ndarray | None, bool]:
+        """Names, samples and True; or what ``failed`` gives where a step cannot be done."""
+        try:
+            data = np.stack([np.asarray(c, float) for c in x])
+            done = self.apply(list(names), data, list(bad) if bad is not None else [], too_many, **options)
+        except (ValueError, TypeError, np.linalg.LinAlgError):
+            done = None
+        if done is not None:
+            return *done, True
+        return self.failed(list(names) if names is not None else [], len(x[0]) if x is not None and len(x) and x[0] is not None else 0)
+
+    def failed(self, names: list[str], width: int) -> tuple[list[str] | None, np.ndarray | None, bool]:
+        """Zeros of the shape that the window would have, or nulls without ``zeros``."""
+        if not self.zeros:
+            return None, None, False
+        names = list(self.pick) or [f"{a}-{c}" for a, c in self.pairs] or names
+        return names, np.zeros((len(names), self.n_samples or width)), False
+
+    def apply(self, names: list[str], x: np.ndarray, bad: list[str] = (), too_many: bool = False, fs: float | None = None, margins: tuple[float, float] | None = None) -> tuple[list[str], np.ndarray] | None:
+        """Names and samples of the processed window, or None where a step cannot be done.
+
+        ``fs`` is the window's own rate where it is not the chain's; ``margins`` are the seconds it has at either side beyond
+        the window, where these differ from ``margin_s``.
+        """
+        fs = self.fs if fs is None else fs
+        if x.shape[-1] == 0:
+            return None
         if any(self.band):
             x = signal.fir_bandpass(x, fs, *self.band)
         if self.notch:
@@ -81,9 +106,8 @@ class Chain:
             if not set(self.pick) <= set(names):
                 return None
             names, x = list(self.pick), x[[names.index(n) for n in self.pick]]
-        if self.margin_s:
-            cut = int(round(self.margin_s * fs))
-            x = x[:, cut : x.shape[1] - cut]
+        left, right = (int(round(m * fs)) for m in margins or (self.margin_s, self.margin_s))
+        x = x[:, left : x.shape[1] - right]
         if self.n_samples is not None:
             x = np.pad(x[:, : self.n_samples], ((0, 0), (0, max(0, self.n_samples - x.shape[1]))))
         return names, x
@@ -110,19 +134,8 @@ def process(windows: DataFrame, chain: Chain, keys: list[str]) -> DataFrame:
 
     def run(batches):
         for frame in batches:
-            names, values, fine = [], [], []
-            for own, x, bad, many in zip(frame["names"], frame["x"], frame["bad"], frame["too_many"], strict=True):
-                try:
-                    data = np.stack([np.asarray(c, float) for c in x])
-                    done = chain.apply(list(own), data, list(bad), bool(many))
-                except (ValueError, TypeError, np.linalg.LinAlgError):
-                    done = None
-                fine.append(done is not None)
-                if done is None and chain.zeros:
-                    width = chain.n_samples or (len(x[0]) if x is not None and len(x) and x[0] is not None else 0)
-                    done = list(chain.pick) or [f"{a}-{c}" for a, c in chain.pairs] or list(own), np.zeros((len(chain.pick) or len(chain.pairs) or len(own), width))
-                names.append(done[0] if done else None)
-                values.append(done[1].tolist() if done else None)
+            found = [chain.attempt(own, x, bad, bool(many)) for own, x, bad, many in zip(frame["names"], frame["x"], frame["bad"], frame["too_many"], strict=True)]
+            names, values, fine = [f[0] for f in found], [None if f[1] is None else f[1].tolist() for f in found], [f[2] for f in found]
             yield pd.DataFrame({**{k: frame[k] for k in keys}, "names": names, "x": values, "ok": fine})
 
     schema = ", ".join([*[f"`{k}` {types[k]}" for k in keys], "names array<string>", "x array<array<double>>", "ok boolean"])
@@ -182,25 +195,90 @@ def regional_series(components: DataFrame, key: str = "path") -> DataFrame:
     return every.join(series, [key, "region"], "left").select(key, "region", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("x", F.array_repeat(F.lit(0.0), F.col("length"))).alias("x"))
 
 
-def spectrogram(windows: DataFrame, fs: float, seconds: float = 1.0, least: int = 64, taper: float = 0.25) -> DataFrame:
-    """(key columns, t, f, db) of signals (vec_id, x): half-overlapping Tukey-tapered segments of about ``seconds``."""
-    rows = windows.select("vec_id", "x")
+def aligned(names: Column, x: Column, wanted: Column, renames: Column | None = None) -> Column:
+    """Channels in the order of ``wanted`` (a decomposition's), renamed before, with the average reference over them.
+
+    Null where a wanted channel is missing. ``renames`` is a map as ``match_channels`` gives it.
+    """
+    own = names if renames is None else F.transform(names, lambda n: F.coalesce(renames[n], n))
+    place = lambda w: F.array_position(own, w).cast("int")
+    picked = F.transform(wanted, lambda w: F.get(x, place(w) - 1))
+    return F.when(F.forall(wanted, lambda w: place(w) > 0), signal.average_reference(picked))
+
+
+def component_bags(components: DataFrame, max_k: int, rank_by: str = "variance", sign: bool = True, key: str = "path") -> DataFrame:
+    """(key, n, names, x): the ``max_k`` first components of each key as a bag of fixed size, filled up with zeros.
+
+    ``components`` has (key, ic, topography, x) and ``prob`` where bags are ranked by it. With ``sign`` a component whose
+    strongest projection is negative is turned. Components rank by population variance or by ``prob``, ties by ic; a
+    decomposition bounds the group.
+    """
+    strongest = F.array_max(F.transform("topography", lambda v, i: F.struct(F.abs(v).alias("size"), (-i).alias("first"), v.alias("v"))))["v"]
+    rows = components.withColumn("x", F.when(F.lit(sign) & (strongest < 0), F.transform("x", lambda v: -v)).otherwise(F.col("x")))
+    n = F.size("x")
+    mean = F.aggregate("x", F.lit(0.0), lambda a, v: a + v) / n
+    variance = F.aggregate("x", F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean)) / n
+    rank = F.col("prob") if rank_by == "prob" and "prob" in components.columns else variance
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("rank"), "ic"))
+    kept = rows.withColumn("rank", rank).withColumn("place", place).filter(F.col("place") <= max_k)
+    bags = kept.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "x"))), lambda c: c["x"]).alias("bag"))
+    zeros = F.transform(F.get("bag", F.lit(0)), lambda _: F.lit(0.0))
+    return bags.select(key, F.size("bag").alias("n"), F.array(*[F.lit(f"ic_{i}") for i in range(max_k)]).alias("names"), F.slice(F.concat("bag", F.array_repeat(zeros, max_k)), 1, max_k).alias("x"))
+
+
+def spectrogram(windows: DataFrame, fs: float, seconds: float = 1.0, least: int = 64, taper: float = 0.25, keys: tuple[str, ...] = ("vec_id",), power: bool = False) -> DataFrame:
+    """(keys, t, f, db) of signals (keys, x): half-overlapping Tukey-tapered segments of about ``seconds``; ``p`` with ``power``.
+
+    Rows of one signal leave together; a batch is transformed signal by signal, as lengths may differ.
+    """
+    rows, value = windows.select(*keys, "x"), "p" if power else "db"
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "x"], "t double", "f double", f"{value} double"])
 
     def run(batches):
-        for frame in batches:
-            for key, x in zip(frame["vec_id"], frame["x"], strict=True):
-                x = np.asarray(x, float)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                x = np.asarray(batch.column("x")[i].values).astype(float)
                 n = min(max(least, int(seconds * fs)), len(x))
                 ramp = np.minimum(np.arange(n), np.arange(n)[::-1]) / max(taper * (n - 1) / 2, 1e-12)
                 window = np.where(ramp < 1, 0.5 * (1 - np.cos(np.pi * ramp)), 1.0)
                 starts = np.arange(0, len(x) - n + 1, max(n - n // 2, 1))
                 parts = np.stack([x[s : s + n] for s in starts])
-                power = np.abs(np.fft.rfft((parts - parts.mean(-1, keepdims=True)) * window)) ** 2 / (fs * (window**2).sum())
-                power[:, 1 : None if n % 2 else -1] *= 2
+                density = np.abs(np.fft.rfft((parts - parts.mean(-1, keepdims=True)) * window)) ** 2 / (fs * (window**2).sum())
+                density[:, 1 : None if n % 2 else -1] *= 2
                 times, freqs = (starts + n / 2) / fs, np.fft.rfftfreq(n, 1 / fs)
-                yield pd.DataFrame({"vec_id": key, "t": np.repeat(times, len(freqs)), "f": np.tile(freqs, len(times)), "db": 10 * np.log10(power.ravel() + 1e-20)})
+                out = density.ravel() if power else 10 * np.log10(density.ravel() + 1e-20)
+                own = [pa.array([batch.column(k)[i].as_py()] * len(out), batch.schema.field(k).type) for k in keys]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(np.repeat(times, len(freqs))), pa.array(np.tile(freqs, len(times))), pa.array(out)], names=[*keys, "t", "f", value])
 
-    return rows.mapInPandas(run, "vec_id long, t double, f double, db double")
+    return rows.mapInArrow(run, schema)
+
+
+def band_series(spectrograms: DataFrame, low: float, high: float, key: str = "path") -> DataFrame:
+    """(key, t, power): mean power of the bins of a band (ends included) over all channels, of (key, ..., t, f, p)."""
+    return spectrograms.filter(F.col("f").between(low, high)).groupBy(key, "t").agg(F.avg("p").alias("power"))
+
+
+def worst_channel(spectra: DataFrame, low: float, high: float, key: str = "path") -> DataFrame:
+    """(key, ch, energy): the channel with the most power in a band, of spectra (key, ch, f, p); the first of equals."""
+    energy = spectra.filter(F.col("f").between(low, high)).groupBy(key, "ch").agg(F.sum("p").alias("energy"))
+    best = energy.groupBy(key).agg(F.max_by(F.struct("ch", "energy"), F.struct("energy", -F.col("ch"))).alias("b"))
+    return best.select(key, "b.ch", "b.energy")
+
+
+def hot_segments(series: DataFrame, lengths: DataFrame, fs: float, seconds: float, hottest: int = 5, key: str = "path") -> DataFrame:
+    """(key, kind, place, start, power): the hottest segments of a band series and, as ``baseline``, the coldest.
+
+    Segments are whole tiles of ``seconds`` of a recording of ``lengths`` (key, n) samples; one tile alone gives no rows, and
+    with few tiles the coldest repeats. Ties go to the earlier tile.
+    """
+    tile = round(seconds * fs)
+    tiles = series.join(lengths, key).withColumn("tile", F.floor(F.round(F.col("t") * F.lit(fs), 6) / tile)).filter((F.col("tile") < F.floor(F.col("n") / tile)) & (F.col("n") >= 2 * tile))
+    means = tiles.groupBy(key, "tile").agg(F.avg("power").alias("power"))
+    of = Window.partitionBy(key)
+    ranked = means.withColumns({"hot": F.row_number().over(of.orderBy(F.desc("power"), "tile")), "cold": F.row_number().over(of.orderBy("power", F.desc("tile")))})
+    start = (F.col("tile") * F.lit(tile / fs)).alias("start")
+    hot = ranked.filter(F.col("hot") <= hottest).select(key, F.lit("hot").alias("kind"), F.col("hot").alias("place"), start, "power")
+    return hot.unionByName(ranked.filter("cold = 1").select(key, F.lit("baseline").alias("kind"), F.lit(1).alias("place"), start, "power"))
 
 
 def robust_scale(spectrogram: DataFrame, low: float = 0.05, high: float = 0.99) -> DataFrame:

@@ -78,13 +78,20 @@ def splits(subjects: DataFrame, ratios: dict[str, float], seed: int = 42) -> Dat
     """(subject, split): per label, subjects in seeded order cut at floors of the ratios; the rest goes to the last split."""
     order = Window.partitionBy("epilepsy").orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), "subject")), "subject")
     placed = subjects.select("subject", "epilepsy", F.row_number().over(order).alias("rank"), F.count("*").over(Window.partitionBy("epilepsy")).alias("of"))
-    names, edge, split = list(ratios), F.lit(0), F.lit(None).cast("string")
+    return cut(placed, ratios)
+
+
+def cut(placed: DataFrame, ratios: dict[str, float]) -> DataFrame:
+    """(subject, split) of subjects with their ``rank`` among ``of``: floors of the ratios in their order.
+
+    The rest goes to the last split where the ratios add up to 1, else to none.
+    """
+    names, edge = list(ratios), F.lit(0)
     conditions = []
     for name in names:
         edge = edge + F.floor(F.lit(float(ratios[name])) * F.col("of"))
         conditions.append((F.col("rank") <= edge, name))
-    rest = F.lit(names[-1]) if abs(sum(ratios.values()) - 1) < 1e-6 else split
-    out = rest
+    out = F.lit(names[-1]) if abs(sum(ratios.values()) - 1) < 1e-6 else F.lit(None).cast("string")
     for condition, name in reversed(conditions):
         out = F.when(condition, name).otherwise(out)
     return placed.select("subject", out.alias("split"))

@@ -85,7 +85,9 @@ class SparseScalerModel(Model, _ScalerParams, MLWritable, MLReadable):
         self.mean, self.std = mean, std
 
     def _transform(self, rows: DataFrame) -> DataFrame:
-        return rows.withColumn(self.getOutputCol(), array_to_vector(scaled(F.col(self.getInputCol()), self.mean, self.std, self.getOrDefault("mask"))))
+        out = F.col(self.getOutputCol())
+        arrays = rows.withColumn(self.getOutputCol(), scaled(F.col(self.getInputCol()), self.mean, self.std, self.getOrDefault("mask")))
+        return arrays.withColumn(self.getOutputCol(), F.when(out.isNotNull(), array_to_vector(out)))
 
     def write(self) -> MLWriter:
         return _ScalerWriter(self)
@@ -208,6 +210,8 @@ def dealt(rows: DataFrame, by: str, folds: int) -> tuple[DataFrame, int]:
     """``rows`` with ``fold``, cut by the hash of a column, and the number of folds that have rows (0 to that number - 1)."""
     raw = F.pmod(F.xxhash64(F.col(by).cast("string")), F.lit(folds))
     used = sorted(r[0] for r in rows.select(raw.alias("f")).distinct().collect())
+    if len(used) < 2:
+        raise ValueError(f"rows by {by} do not fill two folds")
     place = F.array_position(F.array(*[F.lit(f) for f in used]), raw) - 1
     return rows.withColumn("fold", place.cast("int")), len(used)
 

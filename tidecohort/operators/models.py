@@ -14,7 +14,7 @@ def scaler_arrays(rows: DataFrame, exponent: float = 4.0) -> DataFrame:
     The deviation is that of a sample and grows with the share of zeros; it is null for a single row.
     """
     roots = F.transform("features", lambda v: F.sqrt(F.greatest(v.cast("double"), F.lit(0.0))))
-    found = rows.select(Summarizer.metrics("mean", "std", "numNonZeros", "count").summary(array_to_vector(roots)).alias("m")).select("m.*")
+    found = rows.filter(F.col("features").isNotNull()).select(Summarizer.metrics("mean", "std", "numNonZeros", "count").summary(array_to_vector(roots)).alias("m")).select("m.*")
     zeros = lambda k: F.pow(1 - k / F.col("count"), F.lit(exponent)) + F.lit(1e-8)
     spread = F.zip_with(vector_to_array("std"), vector_to_array("numNonZeros"), lambda s, k: F.when(F.col("count") > 1, s + zeros(k)))
     return found.select(vector_to_array("mean").alias("mean"), spread.alias("std"))

@@ -13,7 +13,7 @@ from tidecohort.plans.signals import WELCH_SQL, four_channels, welch_sql
 from tidecohort.sources.builder import SIDECAR
 from tidecohort.sources.fixtures import components, ctes, psd, signals
 
-FS, TILE, PEAK = 16.0, 4, 1.5
+FS, TILE, PEAK = 16.0, 4, 0.5
 NAMES = ("EEG FP1-REF", "F7", "EEG T3-LE", "Cz")
 PAIRS = (("Fp1", "F7"), ("F7", "T3"), ("T3", "Cz"))
 total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, v: a + v)
@@ -46,20 +46,26 @@ def beyond_repair(spark, d):
     return detection.too_many(flags(spark, d)).select("path", "n_channels", F.size("bads").alias("n_bad"), "too_many")
 
 
-@query("bad_segments", ctes("signals") + ", " + FLAG_SQL + f""",
-peaks AS (SELECT path, ch, i // {TILE} AS tile, max(v) - min(v) AS peak FROM ch JOIN (SELECT path, ch FROM judged WHERE NOT bad) USING (path, ch) GROUP BY ALL),
-bad AS (SELECT DISTINCT path, tile FROM peaks WHERE peak > {PEAK} OR peak <= 0), isl AS (SELECT path, tile, tile - row_number() OVER (PARTITION BY path ORDER BY tile) AS island FROM bad)
-SELECT path, min(tile) * {TILE / FS}::DOUBLE AS start, (max(tile) + 1) * {TILE / FS}::DOUBLE AS stop FROM isl GROUP BY path, island""")
+SEGMENT_SQL = f"""peaks AS (SELECT path, ch, i // {TILE} AS tile, max(v) - min(v) AS peak FROM ch JOIN (SELECT path, ch FROM judged WHERE NOT bad) USING (path, ch) GROUP BY ALL),
+bad AS (SELECT DISTINCT path, tile FROM peaks WHERE peak > {PEAK} OR peak <= 0), isl AS (SELECT path, tile, tile - row_number() OVER (PARTITION BY path ORDER BY tile) AS island FROM bad),
+segments AS (SELECT path, min(tile) * {TILE / FS}::DOUBLE AS start, (max(tile) + 1) * {TILE / FS}::DOUBLE AS stop FROM isl GROUP BY path, island)"""
+
+
+@query("bad_segments", ctes("signals") + ", " + FLAG_SQL + ",\n" + SEGMENT_SQL + " SELECT path, start, stop FROM segments")
 def bad_segments(spark, d):
     return detection.bad_segments(channels(spark, d), flags(spark, d), FS, TILE, PEAK)
 
 
-@query("sidecar_json", ctes("signals") + ", " + FLAG_SQL + " SELECT path, CAST(count(*) FILTER (bad) AS INTEGER) AS n_bads, count(*) < 4 OR count(*) FILTER (bad) > CAST(0.3 AS DOUBLE) * count(*) AS too_many, 0 AS n_segments FROM judged GROUP BY path")
+@query("sidecar_json", ctes("signals") + ", " + FLAG_SQL + ",\n" + SEGMENT_SQL + """, n AS (SELECT path, count(*) AS n, round(sum(stop - start), 6) AS bad_s FROM segments GROUP BY path),
+r AS (SELECT path, CAST(count(*) FILTER (bad) AS INTEGER) AS n_bads, count(*) < 4 OR count(*) FILTER (bad) > CAST(0.3 AS DOUBLE) * count(*) AS too_many FROM judged GROUP BY path)
+SELECT path, n_bads, too_many, CAST(coalesce(n, 0) AS INTEGER) AS n_segments, coalesce(bad_s, 0) AS bad_s FROM r LEFT JOIN n USING (path)""")
 def sidecar_json(spark, d):
-    """Sidecars written as JSON and read again by their schema; what is missing is empty."""
-    written = detection.too_many(flags(spark, d)).select("path", F.to_json(F.struct("bads", "too_many")).alias("value"))
+    """Sidecars with their segments written as JSON and read again by their schema; what is missing is empty."""
+    segments = detection.bad_segments(channels(spark, d), flags(spark, d), FS, TILE, PEAK)
+    written = detection.sidecars(flags(spark, d), segments).select("path", F.to_json(F.struct("bads", "too_many", "segments")).alias("value"))
     read = written.select("path", F.from_json("value", SIDECAR).alias("s"))
-    return read.select("path", F.size("s.bads").alias("n_bads"), "s.too_many", F.coalesce(F.size("s.segments"), F.lit(0)).alias("n_segments"))
+    length = F.aggregate("s.segments", F.lit(0.0), lambda a, x: a + x["stop"] - x["start"])
+    return read.select("path", F.size("s.bads").alias("n_bads"), "s.too_many", F.size("s.segments").alias("n_segments"), F.round(length, 6).alias("bad_s"))
 
 
 @query("affected_recordings")
@@ -111,11 +117,6 @@ def before_after(spark, d):
     return bins.groupBy("grp", "cls", "k").agg(F.count("*").alias("n"), F.round(F.avg("z.p"), 7).alias("raw"), F.round(F.avg("z.q"), 7).alias("repaired"))
 
 
-@query("spectrograms")
-def spectrograms(spark, d):
-    return chain.spectrogram(signals(spark, d), 64.0, 0.25, 16).withColumn("db", F.round("db", 4))
-
-
 @query("spectrogram_scale")
 def spectrogram_scale(spark, d):
     return chain.robust_scale(chain.spectrogram(signals(spark, d), 64.0, 0.25, 16))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidecohort.functions import scalars
-from tidecohort.operators import cohort
+from tidecohort.operators import cohort, replayed
+from tidecohort.operators.tables import shared_dir
 from tidecohort.plans.cohorts import CAP, EXCLUDED_SQL, LENGTH, RATIOS, SPLITS_SQL, STRIDE, WINDOWS_SQL, plan
 from tidecohort.plans.register import query
 from tidecohort.sources.fixtures import SQL, ctes, recordings, spans, table
@@ -88,6 +91,26 @@ def running_counters(spark, d):
     return rows.select("event_id", "user_id", F.count("*").over(upto).alias("n"), F.round(F.max("value").over(upto), 6).alias("most"))
 
 
+@query("keyed_state", "SELECT user_id, count(*) AS n, round(max(value), 6) AS most, list_sort(list(DISTINCT event_type))[1] AS first_kind, count(*) FILTER (event_type = (SELECT min(event_type) FROM events)) AS n_first FROM events GROUP BY user_id")
+def keyed_state(spark, d):
+    """The last state of each user of a stream over all events, kept as value and map state of a stateful processor."""
+    from tidecohort.streaming import windows as streams
+
+    events = table(spark, d, "events")
+    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    rows = streams.last_state(streams.counters(stream), f"{shared_dir(spark)}/{uuid.uuid4().hex}")
+    least = events.agg(F.min("event_type").alias("least"))
+    kinds = F.array_sort(F.map_keys("kinds"))
+    return rows.join(F.broadcast(least)).select("user_id", "n", F.round("most", 6).alias("most"), F.get(kinds, F.lit(0)).alias("first_kind"), F.coalesce(F.col("kinds")[F.col("least")], F.lit(0)).alias("n_first"))
+
+
+@query("replayed_plan")
+def replayed_plan(spark, d):
+    """Windows and splits in the order of one seeded generator, replayed from the window counts of the subjects."""
+    rows = replayed.plan(recordings(spark, d), LENGTH, STRIDE, RATIOS, CAP)
+    return rows.select("split", "subject", "path", "idx", "position")
+
+
 @query("performance_table", ctes("runs") + " SELECT model, '| ' || model || ' | ' || CASE WHEN count(*) <= 1 OR stddev_samp(balanced_accuracy) IS NULL THEN printf('%.3f (n=1)', avg(balanced_accuracy)) ELSE printf('%.3f +/- %.3f', avg(balanced_accuracy), stddev_samp(balanced_accuracy)) END || ' |' AS line FROM runs GROUP BY model")
 def performance_table(spark, d):
     """A Markdown line for each model with the mean and deviation of its runs."""

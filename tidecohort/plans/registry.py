@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidecohort.plans import analytics, cleaning, cohorts, features, planning, signals, training  # noqa: F401
+from tidecohort.plans import analytics, cleaning, cohorts, detection, features, files, planning, signals, training  # noqa: F401
 from tidecohort.plans.register import ORACLES, QUERIES  # noqa: F401
 
 FLAGSHIP = "window_plan_budget"

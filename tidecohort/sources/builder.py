@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from tidecohort.functions import scalars
 from tidecohort.operators import cohort
-from tidecohort.sources import corpus, edf
+from tidecohort.operators.chain import Chain
+from tidecohort.operators.tables import stored
+from tidecohort.sources import corpus, edf, windows
 
 SIDECAR = "bads array<string>, too_many boolean, segments array<struct<start:double,stop:double>>, seizures array<struct<start:double,stop:double>>, periodic struct<f0:double,strength:double,flagged:boolean>"
 
@@ -90,13 +92,26 @@ class Corpus:
         return whole.select("path", "channel", "sfreq", F.flatten(F.transform("parts", lambda p: p["x"])).alias("x"), "measured")
 
     def windows(self, plan: DataFrame, channels: list[str] | None = None) -> DataFrame:
-        """Windows of a plan (path, start, end, ...) with ``names`` and ``x``: only stretches that a window touches are joined."""
-        parts = edf.read_edf(self.spark, self.root, channels).select(plain(F.col("path")).alias("of"), "channel", F.col("sfreq").alias("part_fs"), "start_s", F.col("x").alias("part"))
-        stop = F.col("start_s") + F.size("part") / F.col("part_fs")
-        touching = plan.join(parts, (F.col("path") == F.col("of")) & (F.col("start_s") < F.col("end")) & (stop > F.col("start")))
-        first = F.greatest(F.lit(0), F.bround((F.col("start") - F.col("start_s")) * F.col("part_fs")).cast("int"))
-        last = F.least(F.size("part"), F.bround((F.col("end") - F.col("start_s")) * F.col("part_fs")).cast("int"))
-        cut = touching.select(*plan.columns, "channel", "start_s", F.slice("part", first + 1, last - first).alias("piece"))
-        series = cut.groupBy(*plan.columns, "channel").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("start_s", "piece"))), lambda p: p["piece"])).alias("piece"))
-        both = F.array_sort(F.collect_list(F.struct("channel", "piece")))
-        return series.groupBy(*plan.columns).agg(both.alias("c")).select(*plan.columns, F.transform("c", lambda c: c["channel"]).alias("names"), F.transform("c", lambda c: c["piece"]).alias("x"))
+        """Windows of a plan (path, start, end, ...) with ``names`` and ``x``, channels in order of their names; a file is read once."""
+        rows = windows.processed(plan, Chain(fs=0.0, zeros=False, rename={}), plan.columns, channels=channels).filter("ok")
+        both = F.array_sort(F.arrays_zip("names", "x"))
+        return rows.select(*plan.columns, F.transform(both, lambda c: c["names"]).alias("names"), F.transform(both, lambda c: c["x"]).alias("x"))
+
+    def processed(self, plan: DataFrame, chain: Chain, keys: list[str], margin_s: float = 4.0) -> DataFrame:
+        """Windows of a plan through the chain, with the bad channels of the recordings' sidecars; ``ok`` tells which succeeded."""
+        found = sidecars(self.spark, self.root).select(F.col("path").alias("of"), F.col("bads").alias("bad"), "too_many")
+        known = plan.drop("bad", "too_many").join(found, F.col("path") == F.col("of"), "left").drop("of")
+        known = known.withColumn("too_many", F.coalesce("too_many", F.lit(False)))
+        return windows.processed(known, chain, keys, margin_s)
+
+    def whole_recordings(self, chain: Chain) -> DataFrame:
+        """Recordings that are not cut, through the chain, with age, gender and date; those that cannot be read are left out.
+
+        It is an error if none can be read.
+        """
+        rows = self.recordings().withColumns({"start": F.lit(0.0), "end": F.col("duration"), "measured": scalars.measured_on(F.col("year"))})
+        keys = ["path", "subject", "age", "gender", "measured", "epilepsy"]
+        found = stored(self.processed(rows.select(*keys, "start", "end"), chain, keys, 0.0).filter("ok").drop("ok"))
+        if found.isEmpty():
+            raise ValueError(f"no recording below {self.root} can be read")
+        return found

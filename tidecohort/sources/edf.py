@@ -1,20 +1,24 @@
 """Recordings in the European Data Format as a Spark data source.
 
 ``spark.read.format("edf")`` gives one row per channel and stretch of records; files are read through Arrow's file systems, so
-a path may lie in any store these know. A partition is a range of records of one file of about ``partition_bytes``; only the
-bytes of that range are read. ``header_only`` reads the headers alone: 256 bytes and 256 for each channel.
+a path may lie in any store these know. The driver only lists files with their sizes; headers are read where the samples are.
+A partition is an even share of the records of one file, of about ``partition_bytes``. Filters on ``path`` and ``channel`` (equal,
+in a list, prefix of a path) are pushed down: files and channels that are not asked for appear in no partition and no batch.
+``header_only`` reads the headers alone: 256 bytes and 256 for each channel.
 """
 
 from __future__ import annotations
 
 import re
 import struct
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, StringStartsWith
 
 from tidecohort.functions import scalars
 
@@ -32,6 +36,16 @@ def open_file(path: str):
     return system.open_input_file(inner)
 
 
+def save_file(path: str, data: bytes) -> None:
+    """Write a file where Arrow's file systems find it; folders are made, a file that is there is replaced."""
+    from pyarrow import fs
+
+    system, inner = fs.FileSystem.from_uri(path) if re.match(r"^[a-z0-9]+:/", path) else (fs.LocalFileSystem(), path)
+    system.create_dir(inner.rsplit("/", 1)[0], recursive=True)
+    with system.open_output_stream(inner) as out:
+        out.write(data)
+
+
 def _fields(raw: bytes, layout: list[tuple[str, int]], n: int = 1) -> dict:
     out, at = {}, 0
     for name, width in layout:
@@ -47,67 +61,120 @@ def read_header(file) -> tuple[dict, dict]:
     return head, _fields(file.read(256 * n), SIGNAL_FIELDS, n)
 
 
+class Recording:
+    """An open file: its header, and physical values of ranges of its records."""
+
+    def __init__(self, file):
+        self.file = file
+        self.head, signals = read_header(file)
+        self.names, self.dimensions = signals["label"], signals["dimension"]
+        self.counts = np.array([int(n) for n in signals["samples"]], int)
+        self.record_s = float(self.head["record_s"]) or 1.0
+        self.n_records, self.start = int(self.head["n_records"]), int(self.head["header_bytes"])
+        low, high, dig_low, dig_high = (np.array([float(v) for v in signals[k]]) for k in ("phys_min", "phys_max", "dig_min", "dig_max"))
+        span = dig_high - dig_low
+        self.scale = np.where(span != 0, (high - low) / np.where(span != 0, span, 1), 1.0)
+        self.low, self.dig_low = low, dig_low
+        self.offsets = np.concatenate([[0], np.cumsum(self.counts)])
+
+    def rate(self, i: int) -> float:
+        return self.counts[i] / self.record_s
+
+    def raw(self, first: int, last: int) -> np.ndarray:
+        """Digital samples (records, all signals) of the records [first, last), in one read."""
+        size = 2 * int(self.offsets[-1])
+        self.file.seek(self.start + first * size)
+        return np.frombuffer(self.file.read((last - first) * size), "<i2").reshape(-1, int(self.offsets[-1]))
+
+    def physical(self, raw: np.ndarray, i: int) -> np.ndarray:
+        own = raw[:, self.offsets[i] : self.offsets[i + 1]].astype(float).ravel()
+        return (own - self.dig_low[i]) * self.scale[i] + self.low[i]
+
+
 @dataclass
-class Records(InputPartition):
+class Share(InputPartition):
+    """Part ``k`` of ``n`` of a file's records, and the channels that are asked for (None: all)."""
+
     path: str
-    first: int
-    last: int
+    k: int
+    n: int
+    channels: tuple[str, ...] | None
 
 
 class EdfReader(DataSourceReader):
     def __init__(self, options):
         self.header_only = str(options.get("header_only", "false")).lower() == "true"
         self.bytes = int(options.get("partition_bytes", 64 << 20))
-        self.channels = {c for c in options.get("channels", "").split(",") if c}
-        self.paths = sorted(_listed(options.get("path", "")))
+        listed = [c for c in options.get("channels", "").split(",") if c]
+        self.channels: set[str] | None = set(listed) if listed else None
+        self.files = sorted(_listed(options.get("path", "")))
+        self.kept: list[Callable[[str], bool]] = []
+
+    def pushFilters(self, filters: list[Filter]):  # noqa: N802
+        """Takes filters on path and channel; gives back what Spark must still check."""
+        for f in filters:
+            if isinstance(f, IsNotNull) and f.attribute in (("path",), ("channel",)):
+                continue
+            if isinstance(f, EqualTo | In) and f.attribute in (("path",), ("channel",)):
+                wanted = set(f.value) if isinstance(f, In) else {f.value}
+                if f.attribute == ("channel",):
+                    self.channels = wanted if self.channels is None else self.channels & wanted
+                else:
+                    self.kept.append(wanted.__contains__)
+            elif isinstance(f, StringStartsWith) and f.attribute == ("path",):
+                self.kept.append(lambda path, prefix=f.value: path.startswith(prefix))
+            else:
+                yield f
 
     def partitions(self):
-        if self.header_only:
-            return [Records(p, 0, 0) for p in self.paths] or [Records("", 0, 0)]
+        channels = None if self.channels is None else tuple(sorted(self.channels))
         parts = []
-        for path in self.paths:
-            with open_file(path) as file:
-                head, signals = read_header(file)
-            size = max(2 * sum(int(n) for n in signals["samples"]), 1)
-            step, n = max(1, self.bytes // size), int(head["n_records"])
-            parts += [Records(path, k, min(k + step, n)) for k in range(0, n, step)]
-        return parts or [Records("", 0, 0)]
+        for path, size in self.files:
+            if all(keep(path) for keep in self.kept) and channels != ():
+                n = 1 if self.header_only else max(1, -(-size // self.bytes))
+                parts += [Share(path, k, n, channels) for k in range(n)]
+        return parts or [Share("", 0, 1, ())]
 
     def read(self, partition):
         if not partition.path:
             return
+        wanted = None if partition.channels is None else set(partition.channels)
         with open_file(partition.path) as file:
-            head, signals = read_header(file)
-            names, counts = signals["label"], [int(n) for n in signals["samples"]]
-            seconds = float(head["record_s"]) or 1.0
+            recording = Recording(file)
+            chosen = [i for i, name in enumerate(recording.names) if wanted is None or name in wanted]
             if self.header_only:
-                for i, name in enumerate(names):
-                    yield partition.path, head["patient"], head["recording"], f"{head['date']} {head['time']}", int(head["n_records"]), seconds, name, signals["dimension"][i], counts[i] / seconds
+                yield self._headers(partition.path, recording, chosen)
                 return
-            size = 2 * sum(counts)
-            file.seek(int(head["header_bytes"]) + partition.first * size)
-            raw = np.frombuffer(file.read((partition.last - partition.first) * size), "<i2").reshape(-1, sum(counts))
-        at = 0
-        for i, name in enumerate(names):
-            own = raw[:, at : at + counts[i]].astype(float).ravel()
-            at += counts[i]
-            if name == "EDF Annotations" or self.channels and name not in self.channels:
-                continue
-            low, high, dig_low, dig_high = (float(signals[k][i]) for k in ("phys_min", "phys_max", "dig_min", "dig_max"))
-            scale = (high - low) / (dig_high - dig_low) if dig_high != dig_low else 1.0
-            yield partition.path, name, counts[i] / seconds, partition.first * seconds, ((own - dig_low) * scale + low).tolist()
-
-
-def _listed(path: str) -> list[str]:
-    """The files at a path: itself, or all ``.edf`` files below a folder, hidden ones left out."""
+            chosen = [i for i in chosen if recording.names[i] != "EDF Annotations"]
+            first, last = (recording.n_records * k // partition.n for k in (partition.k, partition.k + 1))
+            if last > first and chosen:
+                raw = recording.raw(first, last)
+                for i in chosen:
+                    x = recording.physical(raw, i)
+                    columns = [pa.array([partition.path]), pa.array([recording.names[i]]), pa.array([recording.rate(i)]), pa.array([first * recording.record_s]), pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["path", "channel", "sfreq", "start_s", "x"])
+
+    @staticmethod
+    def _headers(path: str, recording: Recording, chosen: list[int]) -> pa.RecordBatch:
+        head, n = recording.head, len(chosen)
+        rows = {
+            "path": [path] * n, "patient": [head["patient"]] * n, "recording": [head["recording"]] * n, "started": [f"{head['date']} {head['time']}"] * n, "n_records": [recording.n_records] * n,
+            "record_s": [recording.record_s] * n, "channel": [recording.names[i] for i in chosen], "dimension": [recording.dimensions[i] for i in chosen], "sfreq": [recording.rate(i) for i in chosen],
+        }
+        kinds = [*[pa.string()] * 4, pa.int64(), pa.float64(), pa.string(), pa.string(), pa.float64()]
+        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(rows.values(), kinds, strict=True)], names=list(rows))
+
+
+def _listed(path: str) -> list[tuple[str, int]]:
+    """The files at a path with their sizes: itself, or all ``.edf`` files below a folder, hidden ones left out."""
     from pyarrow import fs
 
-    if path.endswith(".edf"):
-        return [path]
     scheme = re.match(r"^([a-z0-9]+:/{1,2})", path)
     system, inner = fs.FileSystem.from_uri(path) if scheme else (fs.LocalFileSystem(), path)
+    if path.endswith(".edf"):
+        return [(path, system.get_file_info(inner).size or 0)]
     found = system.get_file_info(fs.FileSelector(inner, recursive=True))
-    return [(scheme[1] if scheme else "") + f.path for f in found if f.is_file and f.path.endswith(".edf") and "/." not in f.path]
+    return [((scheme[1] if scheme else "") + f.path, f.size or 0) for f in found if f.is_file and f.path.endswith(".edf") and "/." not in f.path]
 
 
 class EdfDataSource(DataSource):
@@ -123,7 +190,9 @@ class EdfDataSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    """Make the format known, and let Spark push filters into Python data sources."""
     spark.dataSource.register(EdfDataSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
 def read_edf(spark: SparkSession, root: str, channels: list[str] | None = None) -> DataFrame:

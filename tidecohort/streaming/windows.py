@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 
 def event_stream(spark: SparkSession, folder: str, schema) -> DataFrame:
@@ -51,3 +52,64 @@ def running(events: DataFrame) -> DataFrame:
         yield pd.DataFrame({"user_id": [key[0]], "n": [n], "most": [most]})
 
     return events.groupBy("user_id").applyInPandasWithState(update, RUNNING, "n long, most double", "update", GroupStateTimeout.NoTimeout)
+
+
+KEPT = "user_id long, n long, most double, kinds map<string,long>"
+
+
+class Counters(StatefulProcessor):
+    """For each key: how many events, their largest value, and how many of each kind.
+
+    The two numbers are a value state, the kinds a map state; both end ``ttl_ms`` after the key's last event where that is set.
+    """
+
+    def __init__(self, ttl_ms: int | None = None):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.totals = handle.getValueState("totals", "n long, most double", self.ttl_ms)
+        self.kinds = handle.getMapState("kinds", "kind string", "n long", self.ttl_ms)
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        n, most = self.totals.get() if self.totals.exists() else (0, None)
+        counts: dict[str, int] = {}
+        for frame in rows:
+            n += len(frame)
+            top = frame["value"].max()
+            if pd.notna(top):
+                most = float(top) if most is None else max(most, float(top))
+            for kind, k in frame["event_type"].value_counts().items():
+                counts[kind] = counts.get(kind, 0) + int(k)
+        self.totals.update((n, most))
+        for kind, k in counts.items():
+            old = self.kinds.getValue((kind,))[0] if self.kinds.containsKey((kind,)) else 0
+            self.kinds.updateValue((kind,), (old + k,))
+        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "most": [most], "kinds": [{k[0]: v[0] for k, v in self.kinds.iterator()}]})
+
+    def close(self) -> None:
+        pass
+
+
+def counters(events: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """(user_id, n, most, kinds) after each batch of a stream, from keyed state in the state store.
+
+    With a time-to-live the stream runs on the clock and never ends by itself; without one it can read what is there and stop.
+    """
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return events.select("user_id", "value", "event_type").groupBy("user_id").transformWithStateInPandas(Counters(ttl_ms), KEPT, "Update", "None" if ttl_ms is None else "ProcessingTime")
+
+
+def last_state(stream: DataFrame, folder: str) -> DataFrame:
+    """The last row of every key once a stream (without time-to-live) has read all that is there.
+
+    Batches and checkpoint lie below ``folder``.
+    """
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batches/batch={number}")
+
+    query = stream.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    rows = stream.sparkSession.read.schema(f"{KEPT}, batch long").parquet(f"{folder}/batches")
+    names = [c for c in rows.columns if c not in ("user_id", "batch")]
+    return rows.groupBy("user_id").agg(F.max_by(F.struct(*names), "batch").alias("s")).select("user_id", "s.*")
