@@ -101,7 +101,7 @@ def test_filters_reach_the_partitions(spark, folder):
     reader = edf.EdfReader({"path": folder, "partition_bytes": str(1 << 20)})
     left = list(reader.pushFilters([edf.EqualTo(("channel",), "F7"), edf.In(("path",), (f"{folder}/r1.edf", f"{folder}/r2.edf")), edf.StringStartsWith(("path",), f"{folder}/r1"), edf.EqualTo(("sfreq",), 32.0)]))
     assert [f.attribute for f in left] == [("sfreq",)]
-    assert [(p.path, p.channels) for p in reader.partitions()] == [(f"{folder}/r1.edf", ("F7",))]
+    assert [(p.shares, p.channels) for p in reader.partitions()] == [(((f"{folder}/r1.edf", 0, 1),), ("F7",))]
     batches = list(reader.read(reader.partitions()[0]))
     assert len(batches) == 1 and batches[0].column("channel").to_pylist() == ["F7"] and np.allclose(batches[0].column("x")[0].as_py(), samples(1, 1), atol=0.06)
     rows = spark.read.format("edf").load(folder).filter("channel = 'F7' AND path LIKE '%r1.edf'")
@@ -112,7 +112,13 @@ def test_filters_reach_the_partitions(spark, folder):
 def test_driver_opens_no_file(spark, folder, monkeypatch):
     monkeypatch.setattr(edf, "open_file", lambda path: pytest.fail("opened"))
     parts = edf.EdfReader({"path": folder, "partition_bytes": "1000"}).partitions()
-    assert len(parts) > 3 and {p.path[-6:] for p in parts} == {"r0.edf", "r1.edf", "r2.edf"}
+    assert len(parts) > 3 and {path[-6:] for p in parts for path, _, _ in p.shares} == {"r0.edf", "r1.edf", "r2.edf"}
+
+
+def test_small_files_share_partitions():
+    parts = edf.packed([(f"f{i}", 1000) for i in range(640)] + [("big", 200 << 20)], 64 << 20)
+    assert 32 <= len(parts) <= 60 and [s for p in parts for s in p] == [(f"f{i}", 0, 1) for i in range(640)] + [("big", k, 4) for k in range(4)]
+    assert max(len(p) for p in parts) > 10 and edf.packed([], 10) == []
 
 
 def test_shares_of_a_file_make_the_whole(spark, folder):

@@ -2,7 +2,7 @@
 
 ``spark.read.format("edf")`` gives one row per channel and stretch of records; files are read through Arrow's file systems, so
 a path may lie in any store these know. The driver only lists files with their sizes; headers are read where the samples are.
-A partition is an even share of the records of one file, of about ``partition_bytes``. Filters on ``path`` and ``channel`` (equal,
+A partition holds even shares of files' records, ``partition_bytes`` together at most. Filters on ``path`` and ``channel`` (equal,
 in a list, prefix of a path) are pushed down: files and channels that are not asked for appear in no partition and no batch.
 ``header_only`` reads the headers alone: 256 bytes and 256 for each channel.
 """
@@ -91,16 +91,34 @@ class Recording:
         return (own - self.dig_low[i]) * self.scale[i] + self.low[i]
 
 
+#: What opening a file counts as when small files are packed into partitions, and how many partitions are wanted at least.
+OPEN_COST, LEAST_PARTITIONS = 4 << 20, 32
+
+
 @dataclass
-class Share(InputPartition):
-    """Part ``k`` of ``n`` of a file's records, and the channels that are asked for (None: all)."""
+class Shares(InputPartition):
+    """Shares (path, k, n) of files, each part ``k`` of ``n`` of a file's records, and the channels asked for (None: all)."""
 
-    path: str
-    k: int
-    n: int
+    shares: tuple[tuple[str, int, int], ...]
     channels: tuple[str, ...] | None
 
 
+def packed(files: list[tuple[str, int]], most_bytes: int, header_only: bool = False) -> list[tuple[tuple[str, int, int], ...]]:
+    """Files cut into shares of at most ``most_bytes``, small ones packed together as long as there are enough partitions."""
+    cost = lambda size: (0 if header_only else size) + OPEN_COST
+    target = min(most_bytes, max(OPEN_COST, sum(cost(size) for _, size in files) // LEAST_PARTITIONS))
+    out, held, room = [], [], target
+    for path, size in files:
+        n = 1 if header_only else max(1, -(-size // most_bytes))
+        for k in range(n):
+            if held and cost(size // n) > room:
+                out.append(tuple(held))
+                held, room = [], target
+            held.append((path, k, n))
+            room -= cost(size // n)
+    return [*out, tuple(held)] if held else out
+
+
 class EdfReader(DataSourceReader):
     def __init__(self, options):
         self.header_only = str(options.get("header_only", "false")).lower() == "true"
@@ -128,30 +146,24 @@ class EdfReader(DataSourceReader):
 
     def partitions(self):
         channels = None if self.channels is None else tuple(sorted(self.channels))
-        parts = []
-        for path, size in self.files:
-            if all(keep(path) for keep in self.kept) and channels != ():
-                n = 1 if self.header_only else max(1, -(-size // self.bytes))
-                parts += [Share(path, k, n, channels) for k in range(n)]
-        return parts or [Share("", 0, 1, ())]
+        files = [(path, size) for path, size in self.files if all(keep(path) for keep in self.kept)] if channels != () else []
+        return [Shares(shares, channels) for shares in packed(files, self.bytes, self.header_only)] or [Shares((), channels)]
 
     def read(self, partition):
-        if not partition.path:
-            return
         wanted = None if partition.channels is None else set(partition.channels)
-        with open_file(partition.path) as file:
-            recording = Recording(file)
-            chosen = [i for i, name in enumerate(recording.names) if wanted is None or name in wanted]
-            if self.header_only:
-                yield self._headers(partition.path, recording, chosen)
-                return
-            chosen = [i for i in chosen if recording.names[i] != "EDF Annotations"]
-            first, last = (recording.n_records * k // partition.n for k in (partition.k, partition.k + 1))
-            if last > first and chosen:
-                raw = recording.raw(first, last)
+        for path, k, n in partition.shares:
+            with open_file(path) as file:
+                recording = Recording(file)
+                chosen = [i for i, name in enumerate(recording.names) if wanted is None or name in wanted]
+                if self.header_only:
+                    yield self._headers(path, recording, chosen)
+                    continue
+                first, last = (recording.n_records * part // n for part in (k, k + 1))
+                chosen = [i for i in chosen if recording.names[i] != "EDF Annotations"] if last > first else []
+                raw = recording.raw(first, last) if chosen else None
                 for i in chosen:
                     x = recording.physical(raw, i)
-                    columns = [pa.array([partition.path]), pa.array([recording.names[i]]), pa.array([recording.rate(i)]), pa.array([first * recording.record_s]), pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x))]
+                    columns = [pa.array([path]), pa.array([recording.names[i]]), pa.array([recording.rate(i)]), pa.array([first * recording.record_s]), pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x))]
                     yield pa.RecordBatch.from_arrays(columns, names=["path", "channel", "sfreq", "start_s", "x"])
 
     @staticmethod
