@@ -76,11 +76,11 @@ class Chain:
         names = list(self.pick) or [f"{a}-{c}" for a, c in self.pairs] or names
         return names, np.zeros((len(names), self.n_samples or width)), False
 
-    def apply(self, names: list[str], x: np.ndarray, bad: list[str] = (), too_many: bool = False, fs: float | None = None, margins: tuple[float, float] | None = None) -> tuple[list[str], np.ndarray] | None:
+    def apply(self, names: list[str], x: np.ndarray, bad: list[str] = (), too_many: bool = False, fs: float | None = None, margins: tuple[float, float] | None = None, period_s: float | None = None) -> tuple[list[str], np.ndarray] | None:
         """Names and samples of the processed window, or None where a step cannot be done.
 
         ``fs`` is the window's own rate where it is not the chain's; ``margins`` are the seconds it has at either side beyond
-        the window, where these differ from ``margin_s``.
+        the window, where these differ from ``margin_s``; ``period_s`` is the period of its own artifact.
         """
         fs = self.fs if fs is None else fs
         if x.shape[-1] == 0:
@@ -94,8 +94,8 @@ class Chain:
         names = [self.canonical(n) for n in names]
         if self.interpolate and not too_many:
             x = interpolated(names, x, [self.canonical(b) for b in bad])
-        if self.artifact_period_s:
-            x = signal.subtract_average_artifact(x, fs, self.artifact_period_s)
+        if period := period_s or self.artifact_period_s:
+            x = signal.subtract_average_artifact(x, fs, period)
         if self.pairs:
             at = {n: i for i, n in enumerate(names)}
             formed = [(a, c) for a, c in self.pairs if a in at and c in at]

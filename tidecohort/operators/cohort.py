@@ -34,6 +34,26 @@ def near(a: F.Column, b: F.Column | float) -> F.Column:
     return F.abs(a - b) <= F.lit(1e-8) + F.lit(1e-5) * F.abs(b)
 
 
+def records(recordings: DataFrame, rate: float | None = None, only_seizure_free: bool = False, least_s: float | None = None, subject: str | None = None) -> DataFrame:
+    """(path, subject, epilepsy) of the recordings that a report is about."""
+    rows = recordings.filter(near(F.col("sfreq"), rate)) if rate is not None else recordings
+    rows = seizure_free(rows) if only_seizure_free else rows
+    rows = rows.filter(F.col("duration") >= least_s) if least_s is not None else rows
+    rows = rows.filter(F.col("subject") == subject) if subject is not None else rows
+    return rows.select("path", "subject", "epilepsy")
+
+
+def records_of_plan(windows: DataFrame) -> DataFrame:
+    """(path, subject, epilepsy) of the recordings of a plan, each once, with the values of its first window."""
+    first = F.min_by(F.struct("subject", "epilepsy"), F.struct("start", "end", "subject"))
+    return windows.groupBy("path").agg(first.alias("r")).select("path", "r.subject", "r.epilepsy")
+
+
+def by_subject(rows: DataFrame) -> DataFrame:
+    """(subject, epilepsy, paths): the distinct paths of a subject in order, and the label of the first."""
+    return rows.groupBy("subject").agg(F.min_by("epilepsy", "path").alias("epilepsy"), F.array_sort(F.collect_set("path")).alias("paths"))
+
+
 def window_count(duration: F.Column, length: float, stride: float) -> F.Column:
     return F.greatest(F.lit(0), F.floor((duration - F.lit(float(length))) / F.lit(float(stride))) + 1).cast("long")
 

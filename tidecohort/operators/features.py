@@ -248,3 +248,40 @@ def flat_coefficients(matrix) -> list[float]:
     """One coefficient per feature: of the only row, or summed absolute values over the rows of several classes."""
     rows = [list(map(float, r)) for r in matrix]
     return rows[0] if len(rows) == 1 else [sum(abs(r[i]) for r in rows) for i in range(len(rows[0]))]
+
+
+def bank_rows(spark, bank: Bank) -> DataFrame:
+    """(slot, weights) of every kernel of a bank."""
+    rows = [(d, r, g, k, w) for _, d, r, g, k, w in bank.rows()]
+    return spark.createDataFrame(rows, "dilation int, diff int, grp int, kernel int, weights array<double>")
+
+
+def peak_histogram(peaks: DataFrame, width: float, most: float) -> DataFrame:
+    """(bin, n, and the group columns of ``peaks``): kernels by peak frequency in bins of a width up to ``most`` Hz.
+
+    Edges run to the first multiple of the width that is not below ``most``; the last bin is closed, what lies outside is left out.
+    """
+    last = int(np.ceil(most / width)) - 1
+    inside = peaks.filter(F.col("peak_hz").between(0.0, (last + 1) * width))
+    groups = [c for c in ("ranking", "favours_a") if c in peaks.columns]
+    return inside.groupBy(*groups, F.least(F.floor(F.col("peak_hz") / width), F.lit(last)).alias("bin")).agg(F.count("*").alias("n"))
+
+
+def kernel_report(counts: DataFrame, coefficients: DataFrame | None, bank: Bank, fs: float, classes: tuple[int, int] = (1, 0), n: int = 20, by: str = "frequency", metric: str = "difference") -> DataFrame:
+    """(ranking, place, slot, score, favours_a, peak_hz, centroid_hz): the kernels that matter by three independent views.
+
+    ``overall`` ranks by wins, ``discriminative`` for each of two classes by the difference of their shares, ``classifier`` by
+    the absolute coefficients (k, coef, std) of a fitted model. ``counts`` is what ``win_counts`` gives.
+    """
+    spark = counts.sparkSession
+    values = counts.groupBy("cls", *SLOT).agg(F.sum(by).alias("value"))
+    place = lambda *part: Window.partitionBy(*part).orderBy(F.desc("strength"), *SLOT)
+    overall = values.groupBy(*SLOT).agg(F.sum("value").cast("double").alias("score")).withColumns({"strength": F.col("score"), "favours_a": F.lit(None).cast("boolean"), "ranking": F.lit("overall")})
+    told = discriminative(values, *classes, metric).select(*SLOT, "score", "strength", "favours_a", F.lit("discriminative").alias("ranking"))
+    every = overall.unionByName(told)
+    if coefficients is not None:
+        weighted = by_weight(coefficients, tuple(int(v) for v in bank.dilations), bank.groups, bank.kernels, representations=bank.representations)
+        every = every.unionByName(weighted.select(*SLOT, F.col("weight").alias("score"), F.col("weight").alias("strength"), F.lit(None).cast("boolean").alias("favours_a"), F.lit("classifier").alias("ranking")))
+    kept = every.withColumn("place", F.row_number().over(place("ranking", "favours_a"))).filter(F.col("place") <= n)
+    located = peaks(bank_rows(spark, bank), fs).drop("weights")
+    return kept.join(F.broadcast(located), SLOT).select("ranking", "place", *SLOT, "score", "favours_a", "peak_hz", "centroid_hz")

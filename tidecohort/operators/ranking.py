@@ -52,3 +52,9 @@ def top_per_rate(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 def best_of_duplicates(rows: DataFrame) -> DataFrame:
     """One row per path, the most anomalous."""
     return rows.groupBy("path").agg(F.max("anomaly").alias("anomaly"))
+
+
+def last_by_stem(rows: DataFrame, order: str = "line") -> DataFrame:
+    """(stem, anomaly): one row a file stem, the last one in the order of ``order``; rows of a path in several lists overwrite."""
+    stem = F.regexp_replace(F.regexp_extract("path", r"([^/]*)$", 1), r"\.[^.]*$", "")
+    return rows.withColumn("stem", stem).groupBy("stem").agg(F.max_by("anomaly", order).alias("anomaly"))

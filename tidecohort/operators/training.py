@@ -37,6 +37,13 @@ class Fitted:
         SparkSession.getActiveSession().createDataFrame(row, "threshold double, strength double, by_strength array<double>").write.mode("overwrite").parquet(f"{path}/options")
 
 
+def coefficients(spark: SparkSession, fitted: Fitted) -> DataFrame:
+    """(k, coef, std): a coefficient for each feature, with the deviation that the scaler divides it by."""
+    scaler, model = fitted.pipeline.stages[-2:]
+    rows = [(k, float(c), float(s)) for k, (c, s) in enumerate(zip(model.coefficients.toArray(), scaler.std, strict=True))]
+    return spark.createDataFrame(rows, "k int, coef double, std double")
+
+
 def load(spark: SparkSession, path: str) -> Fitted:
     options = spark.read.parquet(f"{path}/options").first()
     return Fitted(ml.load_pipeline(spark, f"{path}/pipeline"), options["threshold"], options["strength"], tuple(options["by_strength"]))

@@ -229,12 +229,6 @@ def hot_segments(spark, d):
     return pick("hot", "hot <= 5").union(pick("cold", "cold = 1"))
 
 
-@query("comb_histogram", "SELECT CASE WHEN gof < 20 THEN 'a <20' WHEN gof < 40 THEN 'b <40' WHEN gof < 60 THEN 'c <60' ELSE 'd rest' END AS bucket, count(*) AS n, count(*) FILTER (label = 'Muscle') AS flagged FROM (" + ctes("components") + " SELECT * FROM components) GROUP BY 1")
-def comb_histogram(spark, d):
-    bucket = F.when(F.col("gof") < 20, "a <20").when(F.col("gof") < 40, "b <40").when(F.col("gof") < 60, "c <60").otherwise("d rest")
-    return components(spark, d).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), F.count_if(F.col("label") == "Muscle").alias("flagged"))
-
-
 @query("stems_full_outer", "SELECT coalesce(a.s, b.s) AS stem, a.s IS NOT NULL AS has_segments, b.s IS NOT NULL AS has_spectrogram FROM (SELECT DISTINCT l_suppkey AS s FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 50) a FULL JOIN (SELECT s_suppkey AS s FROM supplier WHERE s_acctbal > 0) b ON a.s = b.s")
 def stems_full_outer(spark, d):
     a = table(spark, d, "lineitem").filter("l_returnflag = 'R' AND l_quantity >= 50").select("l_suppkey").distinct()
@@ -269,3 +263,10 @@ def subject_highlights(spark, d):
     names = ("power", "roughness", "flatness", "hf")
     fused = ranking.fused(ranking.robust_z(rows, names), "l1", metrics=names)
     return fused.orderBy(F.desc("anomaly"), "path").limit(10).select(F.col("path").alias("subject"), F.round("anomaly", 4).alias("anomaly"))
+
+
+@query("anomalies_by_stem", "SELECT l_suppkey || '_s' || l_linenumber AS stem, max_by(l_extendedprice, l_orderkey * 10 + l_linenumber) AS anomaly FROM lineitem GROUP BY l_suppkey, l_linenumber")
+def anomalies_by_stem(spark, d):
+    """One score for each file stem of several lists, the last one listed."""
+    rows = table(spark, d, "lineitem").select(F.format_string("/corpus/%d/%d_s%d.edf", "l_orderkey", "l_suppkey", "l_linenumber").alias("path"), F.col("l_extendedprice").alias("anomaly"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"))
+    return ranking.last_by_stem(rows)

@@ -11,6 +11,7 @@ from tidecohort.plans.cohorts import REGION_SQL
 from tidecohort.plans.register import query
 from tidecohort.plans.signals import WELCH_SQL, four_channels, welch_sql
 from tidecohort.sources.builder import SIDECAR
+from tidecohort.sources.corpus import comb_fundamentals
 from tidecohort.sources.fixtures import components, ctes, psd, signals
 
 FS, TILE, PEAK = 16.0, 4, 0.5
@@ -68,7 +69,31 @@ def sidecar_json(spark, d):
     return read.select("path", F.size("s.bads").alias("n_bads"), "s.too_many", F.size("s.segments").alias("n_segments"), F.round(length, 6).alias("bad_s"))
 
 
-@query("affected_recordings")
+#: The common period of a signal of 64 samples at 64 Hz: its autocorrelation's peak between 0.5 and 6 Hz, or a whole fraction of it.
+PERIOD_SQL = """c0 AS (SELECT vec_id, list_transform(x, lambda v: v - list_avg(x)) AS x FROM signals), acf AS (SELECT vec_id, list_transform(range(64), lambda l: list_sum(list_transform(range(1, 65 - l), lambda t: x[t] * x[t + l]))) AS a FROM c0),
+m AS (SELECT vec_id, list_transform(a, lambda v: v / a[1]) AS m FROM acf), t AS (SELECT vec_id, m, 9 + list_position(m[11:64], list_max(m[11:64])) AS lag FROM m),
+tries AS (SELECT vec_id, m, lag, p, q, CASE WHEN p = 1 THEN lag ELSE CAST(round_even(lag / p, 0) AS BIGINT) + q END AS place FROM t, unnest([5, 4, 3, 2, 1]) AS u(p), unnest([-1, 0, 1]) AS w(q)),
+best AS (SELECT vec_id, p, any_value(lag) AS lag, any_value(m[lag + 1]) AS top, max(CASE WHEN place BETWEEN 1 AND 63 THEN m[place + 1] END) AS held, max_by(place, (CASE WHEN place BETWEEN 1 AND 63 THEN m[place + 1] END, -q)) AS place FROM tries GROUP BY vec_id, p),
+fits AS (SELECT vec_id, any_value(top) AS strength, coalesce(max(p) FILTER ((CASE WHEN p = 1 THEN lag ELSE round_even(lag / p, 0) END) >= 10 AND held >= 0.6::DOUBLE * top), 1) AS p FROM best GROUP BY vec_id),
+periods AS (SELECT vec_id, 64.0::DOUBLE / place AS f0, strength, 64.0::DOUBLE / place BETWEEN 0.7::DOUBLE AND 2.0::DOUBLE AS cardiac_like, strength >= 0.5::DOUBLE AND 64.0::DOUBLE / place < 0.92::DOUBLE * 6 AS flagged FROM fits JOIN best USING (vec_id, p))"""
+
+
+@query("periodicity", ctes("signals") + ", " + PERIOD_SQL + " SELECT vec_id, round(f0, 6) AS f0, round(strength, 6) AS strength, cardiac_like, flagged FROM periods")
+def periodicity(spark, d):
+    """The common period of every signal, by autocorrelation."""
+    return signal.periods(signals(spark, d), 64.0).withColumns({c: F.round(c, 6) for c in ("f0", "strength")})
+
+
+@query("comb_histogram", ctes("signals") + ", " + PERIOD_SQL + ", f AS (SELECT f0 FROM periods WHERE strength >= 0.2::DOUBLE), e AS (SELECT unnest([0, 0.5, 0.7, 1, 1.25, 1.5, 2, 2.5, 3, 4]::DOUBLE[]) AS e) SELECT low, count(*) AS n FROM (SELECT (SELECT max(e) FROM e WHERE e <= f0) AS low FROM f) GROUP BY low UNION ALL SELECT NULL, count(*) FROM f")
+def comb_histogram(spark, d):
+    """Fundamentals of strong periodic artifacts, as sidecars keep them, by range."""
+    found = signal.periods(signals(spark, d), 64.0)
+    kept = found.select(F.struct("f0", "strength", (F.col("strength") >= 0.2).alias("flagged")).alias("periodic"))
+    written = kept.select(F.from_json(F.to_json(F.struct("periodic")), SIDECAR).alias("s")).select("s.*")
+    return comb_fundamentals(written)
+
+
+@query("affected_recordings", ctes("signals") + ", " + FLAG_SQL + ", " + PERIOD_SQL + ", r AS (SELECT path, count(*) FILTER (bad) AS n_bads, count(*) < 4 OR count(*) FILTER (bad) > CAST(0.3 AS DOUBLE) * count(*) AS too_many FROM judged GROUP BY path) SELECT path, (n_bads > 0 AND NOT too_many) OR (flagged AND f0 > 0 AND f0 <= 6) AS affected FROM r JOIN periods ON vec_id = path")
 def affected_recordings(spark, d):
     """Recordings that repair changes, by their flags and their periodic artifact."""
     found = signal.periods(signals(spark, d), 64.0).withColumnRenamed("vec_id", "path")
@@ -117,11 +142,6 @@ def before_after(spark, d):
     return bins.groupBy("grp", "cls", "k").agg(F.count("*").alias("n"), F.round(F.avg("z.p"), 7).alias("raw"), F.round(F.avg("z.q"), 7).alias("repaired"))
 
 
-@query("spectrogram_scale")
-def spectrogram_scale(spark, d):
-    return chain.robust_scale(chain.spectrogram(signals(spark, d), 64.0, 0.25, 16))
-
-
 KERNEL = (0.5, -0.25, 0.125, 0.75, -1.0, 0.25, -0.5, 0.0, 0.125)
 
 

@@ -195,13 +195,36 @@ def seizure_spans(spark, d):
     return spans(spark, d).filter("kind = 'seiz'").select("path", F.round("start", 6).alias("start"), F.round("stop", 6).alias("stop"))
 
 
-@query("montage_channels", "SELECT 'tcp' AS montage, unnest(['FP1-F7', 'F7-T3', 'FP2-F8']) AS bipole, unnest(['EEG FP1-LE', 'EEG F7-LE', 'EEG FP2-LE']) AS pole_a, unnest(['EEG F7-LE', 'EEG T3-LE', 'EEG F8-LE']) AS pole_b")
+@query("montage_channels", """WITH e AS (SELECT ['FP1', 'F7', 'T3', 'T5', 'O1', 'FP2', 'F8', 'T4', 'T6', 'O2'] AS names), l AS (SELECT s_nationkey AS n, s_suppkey AS k, names[1 + s_suppkey % 10] AS a, names[1 + (s_suppkey // 10 + 1 + s_suppkey) % 10] AS b FROM supplier, e WHERE s_suppkey % 5 <> 0)
+SELECT 'tcp_' || n AS montage, count(*) AS n_pairs, string_agg(a || '-' || b, ' ' ORDER BY k) AS bipoles, count(DISTINCT a) + count(DISTINCT b) FILTER (NOT EXISTS (SELECT 1 FROM l o WHERE o.n = l.n AND o.a = l.b)) AS n_electrodes FROM l GROUP BY n""")
 def montage_channels(spark, d):
-    from tidecohort.sources.corpus import parse_montage
-
-    lines = ["# comment", "montage = 9, X-Y: A -- B", "[Montage]", "", "montage =  0, FP1-F7: EEG FP1-LE  --  EEG F7-LE", "montage =  1, F7-T3: EEG F7-LE  --  EEG T3-LE", "montage =  2, FP2-F8: EEG FP2-LE  --  EEG F8-LE"]
-    rows = spark.createDataFrame([("tcp", i, v) for i, v in enumerate(lines)], "montage string, line int, value string")
-    return parse_montage(rows).select("montage", "bipole", "pole_a", "pole_b")
+    """Montage definitions written from suppliers, line by line, parsed: pairs after the mark, and the distinct electrodes."""
+    from tidecohort.sources.corpus import montage_electrodes, parse_montage
+
+    names = F.array(*[F.lit(n) for n in ("FP1", "F7", "T3", "T5", "O1", "FP2", "F8", "T4", "T6", "O2")])
+    k = F.col("s_suppkey")
+    a, b = F.get(names, (k % 10).cast("int")), F.get(names, ((F.floor(k / 10) + 1 + k) % 10).cast("int"))
+    montage = F.concat(F.lit("tcp_"), F.col("s_nationkey").cast("string")).alias("montage")
+    before = F.when(k % 5 == 0, -k - 1).otherwise(k + 1).alias("line")
+    pairs = table(spark, d, "supplier").select(montage, before, F.format_string("montage = %d, %s-%s: EEG %s-LE  --  EEG %s-LE", k, a, b, a, b).alias("value"))
+    marks = pairs.groupBy("montage").agg(F.lit(0).cast("long").alias("line")).withColumn("value", F.lit("[Montage]"))
+    notes = pairs.filter("line > 0").select("montage", "line", F.concat(F.lit("# "), "value").alias("value"))
+    parsed = parse_montage(pairs.unionByName(marks).unionByName(notes))
+    listed = parsed.groupBy("montage").agg(F.count("*").alias("n_pairs"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "bipole"))), lambda p: p["bipole"]), " ").alias("bipoles"))
+    return listed.join(montage_electrodes(parsed).select("montage", F.size("channels").cast("long").alias("n_electrodes")), "montage")
+
+
+@query("records_from_corpus", ctes("rec") + " SELECT subject, epilepsy, len(paths) AS n, paths[1] AS first FROM (SELECT subject, min_by(epilepsy, path) AS epilepsy, list_sort(list(DISTINCT path)) AS paths FROM rec WHERE abs(sfreq - 256) <= 1e-8::DOUBLE + 1e-5::DOUBLE * 256 AND n_seizure = 0 AND duration >= 600 GROUP BY subject)")
+def records_from_corpus(spark, d):
+    """Recordings of one rate without seizures and of ten minutes or more, by subject."""
+    rows = cohort.by_subject(cohort.records(recordings(spark, d), 256.0, True, 600.0))
+    return rows.select("subject", "epilepsy", F.size("paths").cast("long").alias("n"), F.get("paths", F.lit(0)).alias("first"))
+
+
+@query("records_from_windows", ctes("rec") + ",\n" + WINDOWS_SQL + " SELECT DISTINCT path, subject, epilepsy FROM placed WHERE position < 5")
+def records_from_windows(spark, d):
+    """The recordings of a window plan, each once."""
+    return cohort.records_of_plan(cohort.windows(recordings(spark, d), LENGTH, STRIDE, 5)).select("path", "subject", "epilepsy")
 
 
 @query("common_channels", ctes("components") + " SELECT ic AS channel, count(DISTINCT path) AS n FROM components GROUP BY ic HAVING count(DISTINCT path) = (SELECT count(DISTINCT path) FROM components)")

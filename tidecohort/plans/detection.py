@@ -70,6 +70,12 @@ def spectrograms(spark, d):
     return chain.spectrogram(signals(spark, d), 64.0, 0.25, 16).withColumn("db", F.round("db", 4))
 
 
+@query("spectrogram_scale", ctes("signals") + ", " + spectrogram_sql("signals") + ", db AS (SELECT vec_id, 10 * log10(p + 1e-20::DOUBLE) AS db FROM grams) SELECT vec_id, round(quantile_cont(db, 0.05), 4) AS lo, round(quantile_cont(db, 0.99), 4) AS hi FROM db GROUP BY vec_id")
+def spectrogram_scale(spark, d):
+    rows = chain.robust_scale(chain.spectrogram(signals(spark, d), 64.0, 0.25, 16))
+    return rows.withColumns({c: F.round(c, 4) for c in ("lo", "hi")})
+
+
 def channel_rows(spark, d):
     """(path, ch, x) of the recordings, one row a channel."""
     return recordings(spark, d).select("path", F.posexplode("x").alias("ch", "x"))

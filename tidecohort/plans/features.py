@@ -58,10 +58,11 @@ def kernel_peaks(spark, d):
     return features.peaks(kernels(spark, d), 250.0).select("vec_id", F.round("peak_hz", 6).alias("peak_hz"), F.round("centroid_hz", 4).alias("centroid_hz"))
 
 
-@query("peak_histogram", "SELECT CAST(least(floor(value / 10), 9) AS BIGINT) AS bin, event_type, count(*) AS n FROM events WHERE value BETWEEN 0 AND 100 GROUP BY 1, 2")
+@query("peak_histogram", ctes("signals") + ", " + KERNELS_SQL + f", g AS (SELECT *, i * (CASE WHEN diff = 1 THEN 125.0::DOUBLE ELSE 125.0::DOUBLE / dilation END) / 256 AS f FROM k, unnest(range(257)) AS u(i)), h AS (SELECT vec_id, f, round({RESPONSE_SQL}, 9) AS h FROM g), r AS (SELECT vec_id, max_by(f, (h, -f)) AS peak_hz FROM h GROUP BY vec_id) SELECT vec_id % 2 = 0 AS favours_a, CAST(least(floor(peak_hz / 12.5::DOUBLE), 7) AS BIGINT) AS bin, count(*) AS n FROM r JOIN signals USING (vec_id) WHERE peak_hz BETWEEN 0 AND 100 GROUP BY ALL")
 def peak_histogram(spark, d):
-    rows = table(spark, d, "events").filter("value BETWEEN 0 AND 100")
-    return rows.groupBy(F.least(F.floor(F.col("value") / 10), F.lit(9)).alias("bin"), "event_type").agg(F.count("*").alias("n"))
+    """Kernels by the frequency they answer to most, in bins of 12.5 Hz up to 100 Hz, for two groups of kernels."""
+    rows = features.peaks(kernels(spark, d), 250.0).withColumn("favours_a", F.col("vec_id") % 2 == 0)
+    return features.peak_histogram(rows, 12.5, 100.0).withColumn("bin", F.col("bin").cast("long"))
 
 
 @query("kernel_sensitivity", ctes("signals") + ", " + KERNELS_SQL + f", g AS (SELECT *, i * 2.0::DOUBLE AS f FROM k, unnest(range(20)) AS u(i)), h AS (SELECT f, sum(vec_id % 7 * pow({RESPONSE_SQL}, 2)) AS s FROM g GROUP BY f) SELECT f, round(s / max(s) OVER (), 6) AS sensitivity FROM h")

@@ -94,7 +94,3 @@ def welch_spectra(spark, d):
     rows = signal.spectra(signals(spark, d), 64.0, 32)
     return rows.select("vec_id", F.posexplode("p").alias("k", "p")).withColumn("p", F.round("p", 7))
 
-
-@query("periodicity")
-def periodicity(spark, d):
-    return signal.periods(signals(spark, d), 64.0)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidecohort.operators import cohort, features, ml, training
 from tidecohort.operators.tables import shared_dir
 from tidecohort.plans.analytics import METRIC_NAMES, METRICS_SQL, r6
+from tidecohort.plans.cleaning import FS
 from tidecohort.plans.cohorts import RATIOS
 from tidecohort.plans.features import windows
 from tidecohort.plans.register import query
@@ -75,6 +76,16 @@ def saved_model_scores(spark, d):
     return both.select("window_id", "subject", "split", F.round("s", 6).alias("s"), (F.abs(F.col("s") - F.col("loaded")) < 1e-9).alias("same"))
 
 
+@query("kernel_report")
+def kernel_report(spark, d):
+    """Kernels by wins, by difference of the classes and by the weights of a model fitted on them, with their frequencies."""
+    rows = raw_rows(spark, d)
+    fitted = training.Trainer(stages=(extractor(),), most_steps=20).fit(rows)
+    counts = features.win_counts(rows, extractor().bank())
+    found = features.kernel_report(counts, training.coefficients(spark, fitted), extractor().bank(), FS, n=10)
+    return found.withColumns({c: F.round(c, 6) for c in ("score", "peak_hz", "centroid_hz")})
+
+
 @query("seed_sweep")
 def seed_sweep(spark, d):
     """Test metrics for three seeds of the subject split, and fit."""

@@ -82,3 +82,26 @@ def write_new(rows: DataFrame, path: str, keys: list[str], partition: str | None
     writer = rows.write.mode("append")
     (writer.partitionBy(partition) if partition else writer).parquet(path)
     return rows
+
+
+def by_stem(spark: SparkSession, folder: str, suffix: str) -> DataFrame:
+    """(stem, file) of the files below a folder whose names end in a suffix; the stem is the name without it."""
+    names = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").load(folder).select(F.regexp_extract("path", r"([^/]*)$", 1).alias("file"))
+    return names.select(F.expr(f"substr(file, 1, length(file) - {len(suffix)})").alias("stem"), "file")
+
+
+def spectra(spark: SparkSession, path: str, variant: str = "psd") -> DataFrame:
+    """Spectra of one variant of a sink; only that variant's folder is read. Recordings without it are missing."""
+    return spark.read.parquet(path).filter(F.col("variant") == variant)
+
+
+#: Edges of the histogram of comb fundamentals (Hz); the last range has no upper end.
+COMB_EDGES = (0.0, 0.5, 0.7, 1.0, 1.25, 1.5, 2.0, 2.5, 3.0, 4.0)
+
+
+def comb_fundamentals(sidecars: DataFrame, edges: tuple[float, ...] = COMB_EDGES) -> DataFrame:
+    """(low, n) of flagged fundamentals in half-open ranges, and as ``low`` null how many recordings are flagged at all."""
+    flagged = sidecars.filter("periodic.flagged").select(F.col("periodic.f0").alias("f0"))
+    low = F.array_max(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e <= F.col("f0")))
+    ranges = flagged.filter(F.col("f0").isNotNull()).groupBy(low.alias("low")).agg(F.count("*").alias("n"))
+    return ranges.unionByName(flagged.agg(F.lit(None).cast("double").alias("low"), F.count("*").alias("n")))

@@ -84,3 +84,13 @@ def dipole_report(percentiles: DataFrame, regions: DataFrame, path: str) -> None
     """Percentiles of the fit and the components of each region."""
     percentiles.write.mode("overwrite").option("header", True).csv(f"{path}/percentiles")
     regions.write.mode("overwrite").option("header", True).csv(f"{path}/regions")
+
+
+def anomalies(rows: DataFrame, path: str) -> None:
+    """Ranked anomalies as CSV, the most anomalous first, over range partitions."""
+    rows.repartitionByRange(F.desc("anomaly"), "path").sortWithinPartitions(F.desc("anomaly"), "path").write.mode("overwrite").option("header", True).csv(path)
+
+
+def counts(rows: DataFrame, path: str) -> None:
+    """A table of counts by class as CSV."""
+    rows.write.mode("overwrite").option("header", True).csv(path)

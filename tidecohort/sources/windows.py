@@ -1,6 +1,6 @@
 """Windows of a plan straight from recordings: every byte of a file is read once, and each window leaves processed.
 
-A plan has a row a window (path, start, end in seconds, any key columns; ``bad`` and ``too_many`` where known). Windows of one
+A plan has a row a window (path, start, end in seconds, any key columns; ``bad``, ``too_many`` and ``period_s`` where known). Windows of one
 recording are dealt to one task, which opens the file once and moves through it with a buffer from the first sample that a
 later window needs to the last one the present window needs. Overlapping windows and the margins that filters want at either
 side come from that buffer. A task holds one window with its margins, never a recording.
@@ -56,9 +56,9 @@ def processed(plan: DataFrame, chain: Chain, keys: list[str], margin_s: float =
     recording is the least that a task gets. The rate is that of each file.
     """
     spark = plan.sparkSession
-    for name, default in (("bad", F.array().cast("array<string>")), ("too_many", F.lit(False))):
+    for name, default in (("bad", F.array().cast("array<string>")), ("too_many", F.lit(False)), ("period_s", F.lit(None).cast("double"))):
         plan = plan if name in plan.columns else plan.withColumn(name, default)
-    columns = list(dict.fromkeys(["start", "end", *keys, "bad", "too_many"]))
+    columns = list(dict.fromkeys(["start", "end", *keys, "bad", "too_many", "period_s"]))
     plan = stored(plan.select("path", *[c for c in columns if c != "path"]))
     size = plan.agg(F.sum(F.col("end") - F.col("start")).alias("s"), F.approx_count_distinct("path").alias("n")).first()
     tasks = max(1, min(size["n"], max(spark.sparkContext.defaultParallelism, int((size["s"] or 0) / seconds_per_task) + 1)))
@@ -74,7 +74,7 @@ def processed(plan: DataFrame, chain: Chain, keys: list[str], margin_s: float =
             with open_file(path) as file:
                 found = stretches(Recording(file), [(r["start"], r["end"]) for r in rows], margin_s, wanted)
                 for r, (names, fs, x, left, right) in zip(rows, found, strict=True):
-                    yield r, chain.attempt(names, x, r["bad"], bool(r["too_many"]), fs=fs, margins=(left, right))
+                    yield r, chain.attempt(names, x, r["bad"], bool(r["too_many"]), fs=fs, margins=(left, right), period_s=r["period_s"])
                     done += 1
         except (OSError, ValueError):  # no such file, or cut off: what could not be read has failed
             for r in rows[done:]:
