@@ -10,11 +10,21 @@ the token is from uniform over that alphabet: chi-squared over its characters an
 consonants of either case, symbols), the number of runs above and below the alphabet's middle, and the lag-1 serial
 correlation. Fisher's method combines them.
 
-A finding is a token that looks more random than ordinary ones do. Its null hypothesis is ordinary text: identifiers, paths,
-constants and dates, made by rule from common words (``decoys``), tell how often an ordinary token of the same encoding and
-length reaches the statistic. Over these p-values the false discoveries among the reported tokens are held to ``q`` by a
-Benjamini-Hochberg step of its own for every encoding and band of lengths, over all tokens of the table; so what is reported
-of a short token depends on short tokens only. The counts behind it are a row for each encoding and band.
+A finding is a token that looks more random than ordinary ones do, by two measures:
+
+* Letter predictability, learned from the table itself. Every distinct token, whatever its class, is cut into words at changes
+  of case and class; the letters of words, given the two before them, are counted over tokens (each token once, however often
+  it is copied). That model and a few bits for each word code a token; a token's own counts are left out. A code cannot shorten
+  a uniformly random token by ``spared`` bits or more but with a probability of 2 ** -spared, so that tokens which it shortens
+  that much are ordinary: identifiers and paths whose parts recur in the table, in any language and however abbreviated.
+* The battery's statistic against ordinary text: how often an ordinary token of the same encoding and length reaches it, by
+  tokens made by rule from common words (``decoys``) and by the table's own ordinary tokens, whichever reach it more often.
+  Over these p-values the false discoveries are held to ``q`` by a Benjamini-Hochberg step for every encoding and band of
+  lengths, over the tokens that are not ordinary by their letters.
+
+What is reported of a token thus depends on the table: an identifier whose parts occur nowhere else is judged by the battery
+alone, and may be reported in a small table and not in a larger one. The counts that reach the driver are bounded: 27 ** 3
+letter counts, and a row for each encoding and band.
 
 Defined results: null text counts as empty; spans are code points, end exclusive; texts without findings have empty
 ``spans`` and the digest of the empty string; repeated rows give repeated results (each counts as a token of its own); rows
@@ -24,11 +34,12 @@ with a null doc_id are scanned like others; an empty table gives an empty result
 from __future__ import annotations
 
 import functools
+import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecohort.llm.common import shielded
+from tidecohort.llm.common import materialize, shielded
 
 # The base patterns.
 ASSIGN_HEAD = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
@@ -57,6 +68,8 @@ PIECE = 14
 BANDS = (19, 23, 27, 31, 39, 55)
 #: Shares of ordinary tokens at which the statistic's quantiles are kept.
 LEVELS = (0.001, 0.002, 0.005, 0.01, 0.02, 0.05)
+#: Bits for the class and case of a word of a token.
+WORD_BITS = math.log2(5)
 CLASSES = (DIGITS, "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "aeiou", "bcdfghjklmnpqrstvwxyz", "+/-_")
 #: Words of ordinary identifiers; those of the letters a to f also make hexadecimal ones.
 WORDS = (
@@ -227,8 +240,8 @@ def _pieces(token: Column, base: Column) -> Column:
     return F.when(F.size(inside) == 0, F.array(token)).otherwise(F.filter(cut, lambda p: p["e"] - p["s"] >= PIECE))
 
 
-def _judged(docs: DataFrame, min_bits: float, quantiles: dict[str, list[float]]) -> DataFrame:
-    """``docs`` with ``_base`` (base spans in order) and ``_judged`` (spans of tokens with their cell and level)."""
+def _marked(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_base`` (base spans in order) and ``_piece`` (what they leave of tokens, with the encoding)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     nothing = F.array().cast("array<string>")
     hits = docs.withColumns({
@@ -241,36 +254,103 @@ def _judged(docs: DataFrame, min_bits: float, quantiles: dict[str, list[float]])
     long_value = lambda x: F.length(F.regexp_replace(x["v"], "^" + ASSIGN_HEAD, "")) >= 6
     base = found.withColumn("_base", F.array_sort(F.concat(F.filter("_assign", long_value), "_access", "_hex")))
     pieces = base.withColumn("_piece", F.flatten(F.transform("_token", lambda t: _pieces(t, F.col("_base")))))
-    bits = lambda t: F.length(t["v"]) * F.log2(F.length(_alphabet(t["enc"])))
-    coded = pieces.withColumn("_judged", F.filter(F.transform("_piece", lambda t: t.withField("enc", _encoding(t["v"]))), lambda t: t["enc"].isNotNull()))
-    coded = coded.withColumn("_judged", F.filter("_judged", lambda t: bits(t) >= min_bits))
-    celled = coded.withColumn("_judged", F.transform("_judged", lambda t: t.withField("cell", _cell(t["v"], t["enc"])).withField("d", departure(t["v"], t["enc"]))))
-    return celled.withColumn("_judged", F.transform("_judged", lambda t: t.withField("level", _level(t["cell"], t["d"], quantiles)))).drop("_assign", "_access", "_hex", "_token", "_piece")
+    return pieces.withColumn("_piece", F.transform("_piece", lambda t: t.withField("enc", _encoding(t["v"])))).drop("_assign", "_access", "_hex", "_token")
 
 
-def _cuts(judged: DataFrame, q: float) -> dict[str, int]:
-    """For each cell the highest level that a Benjamini-Hochberg step accepts; cells without one are missing."""
-    tokens = judged.select(F.explode("_judged").alias("t")).groupBy(F.col("t.cell").alias("cell"))
-    rows = tokens.agg(F.count("*").alias("n"), *[F.count_if(F.col("t.level") <= i).alias(f"l{i}") for i in range(len(LEVELS))]).collect()
-    accepted = {r["cell"]: [i for i, level in enumerate(LEVELS) if r[f"l{i}"] and r["n"] * level <= q * r[f"l{i}"]] for r in rows}
-    return {cell: max(levels) for cell, levels in accepted.items() if levels}
+def _words(token: Column) -> Column:
+    """A token's words: letters of one case, a capital with small letters, digits, or symbols."""
+    return F.regexp_extract_all(token, F.lit("[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+|[+/_-]+"), F.lit(0))
 
 
-def scan(docs: DataFrame, q: float = 0.05, min_bits: float = 80.0) -> DataFrame:
+def _letter_keys(word: Column) -> Column:
+    """For each letter of a word and its end: the number of the letter with the two before it, of 27 ** 3."""
+    codes = F.transform(F.split(F.lower(word), ""), lambda c: F.ascii(c) - 96)
+    padded = F.concat(F.array(F.lit(0), F.lit(0)), codes, F.array(F.lit(0)))
+    at = lambda i, k: F.get(padded, i + k)
+    return F.transform(F.sequence(F.lit(0), F.length(word)), lambda i: (at(i, 0) * 27 + at(i, 1)) * 27 + at(i, 2))
+
+
+def letter_costs(tokens: DataFrame) -> list[float]:
+    """Bits of each of 27 ** 3 letter contexts, learned from distinct tokens (v); a token's own count is left out.
+
+    Trigrams back off to bigrams, and these to a uniform letter. At most 27 ** 3 counts reach the driver.
+    """
+    letters = F.filter(_words(F.col("v")), lambda w: w.rlike("^[A-Za-z]"))
+    keys = tokens.select(F.explode(F.array_distinct(F.flatten(F.transform(letters, _letter_keys)))).alias("key"))
+    counts = {r["key"]: r["count"] for r in keys.groupBy("key").count().collect()}
+    three, context, two, one = [counts.get(k, 0) for k in range(27**3)], [0] * 27**2, [0] * 27**2, [0] * 27
+    for key, n in counts.items():
+        context[key // 27] += n
+        two[key % 27**2] += n
+        one[key // 27 % 27] += n
+    others = lambda n: max(n - 1, 0)
+    shorter = [(others(two[k]) + 1) / (others(one[k // 27]) + 27) for k in range(27**2)]
+    return [round(-math.log2((others(three[k]) + 4 * shorter[k % 27**2]) / (others(context[k // 27]) + 4)), 3) for k in range(27**3)]
+
+
+def spared_bits(token: Column, encoding: Column, costs: list[float]) -> Column:
+    """How many bits the learned code of words spares against a uniform draw from the encoding's alphabet."""
+    table = F.split(F.lit(",".join(map(str, costs))), ",").cast("array<double>")
+    add = lambda a, x: a + x
+    spelled = lambda w: F.aggregate(_letter_keys(w), F.lit(0.0), lambda a, k: a + F.get(table, k))
+    each = F.transform(_words(token), lambda w: F.lit(WORD_BITS) + F.when(w.rlike("^[A-Za-z]"), spelled(w)).when(w.rlike("^[0-9]"), F.length(w) * (1 + math.log2(10))).otherwise(F.length(w) * 3.0))
+    return F.length(token) * F.log2(F.length(_alphabet(encoding))) - F.aggregate(each, F.lit(0.0), add)
+
+
+class _Null:
+    """What is ordinary in a table: letter costs, quantiles of the battery by cell, and the level that each cell accepts."""
+
+    def __init__(self, pieces: DataFrame, q: float, min_bits: float, spared: float):
+        """``pieces`` is a stored table with ``_piece``; every distinct token is judged once."""
+        self.min_bits, self.spared = min_bits, spared
+        tokens = materialize(pieces.select(F.explode("_piece").alias("t")).groupBy(F.col("t.v").alias("v"), F.col("t.enc").alias("enc")).agg(F.count("*").alias("n")))
+        self.costs = letter_costs(tokens)
+        bits = F.length("v") * F.log2(F.length(_alphabet(F.col("enc"))))
+        able = tokens.filter(F.col("enc").isNotNull() & (bits >= min_bits))
+        judged = materialize(able.select("n", _cell(F.col("v"), F.col("enc")).alias("cell"), departure(F.col("v"), F.col("enc")).alias("d"), self._ordinary(F.col("v"), F.col("enc")).alias("ordinary")))
+        own = judged.filter("ordinary").groupBy("cell").agg(F.count("*").alias("n"), F.percentile("d", F.array(*[F.lit(x) for x in LEVELS])).alias("q")).collect()
+        self.quantiles = dict(ordinary_quantiles())
+        for r in own:
+            # The statistic is small where a token is random: the lower quantile is the stricter one.
+            there = self.quantiles.get(r["cell"])
+            mine = [x if r["n"] * level >= 1 else None for x, level in zip(r["q"], LEVELS, strict=True)]
+            if there is not None:
+                self.quantiles[r["cell"]] = [a if b is None else min(a, b) for a, b in zip(there, mine, strict=True)]
+        counted = judged.filter("NOT ordinary").groupBy("cell")
+        level = _level(F.col("cell"), F.col("d"), self.quantiles)
+        rows = counted.agg(F.sum("n").alias("n"), *[F.sum(F.when(level <= i, F.col("n")).otherwise(0)).alias(f"l{i}") for i in range(len(LEVELS))]).collect()
+        accepted = {r["cell"]: [i for i, p in enumerate(LEVELS) if r[f"l{i}"] and r["n"] * p <= q * r[f"l{i}"]] for r in rows}
+        self.cuts = {cell: max(levels) for cell, levels in accepted.items() if levels}
+
+    def _ordinary(self, v: Column, enc: Column) -> Column:
+        return spared_bits(v, enc, self.costs) >= self.spared
+
+    def found(self, pieces: Column) -> Column:
+        """The pieces that are findings, as spans (s, e, k, v)."""
+        if not self.cuts:
+            return F.array().cast("array<struct<s:int,e:int,k:int,v:string>>")
+        limit = F.create_map(*[F.lit(x) for pair in sorted(self.cuts.items()) for x in pair])
+        bits = lambda t: F.length(t["v"]) * F.log2(F.length(_alphabet(t["enc"])))
+        able = F.filter(pieces, lambda t: t["enc"].isNotNull() & (bits(t) >= self.min_bits))
+        celled = F.transform(able, lambda t: t.withField("cell", _cell(t["v"], t["enc"])))
+        random = F.filter(celled, lambda t: _level(t["cell"], departure(t["v"], t["enc"]), self.quantiles) <= F.coalesce(F.element_at(limit, t["cell"]), F.lit(-1)))
+        kept = F.filter(random, lambda t: ~self._ordinary(t["v"], t["enc"]))
+        return F.transform(kept, lambda t: F.struct(t["s"], t["e"], t["k"], t["v"]))
+
+
+def scan(docs: DataFrame, q: float = 0.05, min_bits: float = 80.0, spared: float = 10.0) -> DataFrame:
     """``docs`` with ``secrets``: array of (s, e, k, v), base kinds and battery findings, by start and then kind.
 
-    ``q`` bounds the share of ordinary tokens among the findings of the battery; ``min_bits`` is the least information of one.
+    ``q`` bounds the share of ordinary tokens among the findings of the battery, ``min_bits`` is the least information of one,
+    and what the table's letters shorten by ``spared`` bits is none. The texts are read twice: once for their tokens, which are
+    stored, and once for the spans.
     """
-    quantiles = ordinary_quantiles()
-    cuts = _cuts(_judged(docs.select("text"), min_bits, quantiles), q)
-    judged = _judged(docs, min_bits, quantiles)
-    if cuts:
-        limit = F.create_map(*[F.lit(x) for pair in sorted(cuts.items()) for x in pair])
-        kept = F.filter("_judged", lambda t: t["level"] <= F.coalesce(F.element_at(limit, t["cell"]), F.lit(-1)))
-    else:
-        kept = F.filter("_judged", lambda t: F.lit(False))
-    random = F.transform(kept, lambda t: F.struct(t["s"], t["e"], t["k"], t["v"]))
-    return judged.withColumn("secrets", F.array_sort(F.concat("_base", random))).drop("_base", "_judged")
+    null = _Null(materialize(_marked(docs.select("text")).select("_piece")), q, min_bits, spared)
+    return _with_secrets(_marked(docs), null)
+
+
+def _with_secrets(marked: DataFrame, null: _Null) -> DataFrame:
+    return marked.withColumn("secrets", F.array_sort(F.concat("_base", null.found(F.col("_piece"))))).drop("_base", "_piece")
 
 
 def _listed(spans: Column) -> Column:
@@ -278,9 +358,10 @@ def _listed(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["k"]), s["s"].cast("string"), s["e"].cast("string"))))
 
 
-def report(docs: DataFrame, **options) -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random) of each document."""
-    found = scan(docs.select("doc_id", "text"), **options)
+def report(docs: DataFrame, q: float = 0.05, min_bits: float = 80.0, spared: float = 10.0) -> DataFrame:
+    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random) of each document; its text is read once."""
+    stored = materialize(_marked(docs.select("doc_id", "text")).drop("text"))
+    found = _with_secrets(stored, _Null(stored, q, min_bits, spared))
     count = lambda k: F.size(F.filter("secrets", lambda s: s["k"] == KINDS.index(k))).cast("long").alias(f"n_{k}")
     base = F.filter("secrets", lambda s: s["k"] < KINDS.index("random"))
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("secrets")).alias("spans"), count("random"))
