@@ -186,6 +186,28 @@ def test_a_line_in_a_third_of_all_documents_goes_to_no_bucket(spark, monkeypatch
     assert sizes and max(per.values()) <= 200 / 4, "no anchor keeps a record for every document that holds the line"
 
 
+def test_a_line_once_in_every_piece_of_text_is_hot(spark):
+    """Equal runs of a piece leave one; an anchor with one run in each of many pieces must not fill a bucket either."""
+    rng = np.random.default_rng(9)
+    prose = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    line = prose(400)
+    rows = [(i, prose(60) + line + prose(60)) for i in range(48)]
+    docs = frame(spark, rows).selectExpr("doc_id", "text", "xxhash64(text) AS row").repartition(48, "doc_id")
+    size, buckets = sum(len(t) for _, t in rows), 4
+    hot = substrings._hot_anchors(docs, size, buckets * 40, 50, 16)
+    inside = substrings.runs(Batch(pa.array([line])), 50, 16)["g"] & np.uint64((1 << 40) - 1)
+    assert len(inside) > 10 and np.isin(inside, hot).mean() > 0.9
+    dealt = substrings._deal(docs, buckets, 50, 16, hot).collect()
+    per = {}
+    for r in dealt:
+        n = len(r.records) // substrings.RECORD.itemsize
+        for g in np.frombuffer(bytes(r.records)[: 5 * n], np.uint8).reshape(-1, 5):
+            per[bytes(g)] = per.get(bytes(g), 0) + 1
+    assert max(per.values()) <= substrings.LEAST_HITS
+    found = {r.doc_id: (r.n_removed, r.kept_sha256) for r in substrings.report(frame(spark, rows)).collect()}
+    assert found == cut(rows)
+
+
 def test_hot_buckets_of_near_copies_are_broadcast(spark, monkeypatch):
     monkeypatch.setattr(minhash, "HOT", 5)
     rng = np.random.default_rng(8)

@@ -10,9 +10,11 @@ only those that can still matter become suffixes:
    arrays. Equal runs are settled in the bucket: all but those of the smallest doc_id are covered. A string of another run is
    undecided when a run of another document shares the anchor and the bytes around it, as far as hashes at quarters of the
    margin tell.
-   Anchors that a sample of the documents shows to be hot (more than an eighth of an even bucket, or one in ``RAREST`` of all
-   runs) go to no bucket, as their group would grow with the corpus: all their strings are undecided at once. The sample
-   decides only the way, not the result.
+   Anchors that a sample of the documents shows to be hot (more than an eighth of an even bucket, and ``LEAST_HITS`` of the
+   sample) go to no bucket, as their group would grow with the corpus: all their strings are undecided at once. Every run of
+   the sample counts, also where equal runs of a piece leave one. The sample grows with the corpus (``SAMPLE_SHARE``), so that
+   the runs of an anchor that it misses have a limit of their own, about ``LEAST_HITS / SAMPLE_SHARE``, at any size. The
+   sample decides only the way, not the result.
 2. *Suffixes.* The strings of undecided runs, read back from the documents, are the suffixes to sort (by their leading 50
    bytes, all that matters here). Spark samples splitters and range-partitions them by leading bytes; doc_id and offset break
    ties, so a string that occurs in a third of all documents is spread over many buckets. Each bucket is sorted by multikey
@@ -44,9 +46,11 @@ BUCKET_BYTES = 4 << 20
 #: Text for each range partition of suffixes; there are at most ``MOST_RANGES``, unless the session asks for more shuffle partitions.
 RANGE_BYTES = 16 << 20
 MOST_RANGES = 20_000
-#: Bytes of text that tell which anchors are hot; at most ``RAREST`` anchors can be.
+#: Least bytes and least share of the text that tell which anchors are hot, and hits that make one hot: a sample of n runs has
+#: at most n / ``LEAST_HITS`` hot anchors.
 SAMPLE_BYTES = 64 << 20
-RAREST = 100_000
+SAMPLE_SHARE = 1e-5
+LEAST_HITS = 32
 STRETCHES = "doc_id long, row long, undecided boolean, stretches binary"
 SIDES = ("left_1", "left_2", "left_3", "right_1", "right_2", "right_3")
 RECORD = np.dtype([("g", "u1", 5), *[(side, "u1", 2) for side in SIDES], ("whole", "u1", 4), ("doc", "<u2"), ("at", "<u4"), ("n", "u1"), ("lead", "u1")])
@@ -118,8 +122,8 @@ def _same_as_first(b: Batch, r: dict[str, np.ndarray], ids: np.ndarray, length:
 
 
 def _hot_anchors(docs: DataFrame, size: int, buckets: int, length: int, gram: int) -> np.ndarray:
-    """Packed anchor hashes that occur in too many runs for one bucket, as far as a sample of about ``SAMPLE_BYTES`` shows."""
-    share = min(1.0, SAMPLE_BYTES / max(size, 1))
+    """Packed anchor hashes that occur in too many runs for one bucket, as far as a sample of the documents shows."""
+    share = min(1.0, max(SAMPLE_BYTES / max(size, 1), SAMPLE_SHARE))
     sampled = docs.filter(F.pmod(F.xxhash64("doc_id", "row", F.lit("hot")), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
 
     def count(batches):
@@ -129,14 +133,12 @@ def _hot_anchors(docs: DataFrame, size: int, buckets: int, length: int, gram: in
                 if r := runs(b, length, gram):
                     keep = ~_same_as_first(b, r, np.asarray(batch.column("doc_id")), length)
                     found, n = np.unique(r["g"][keep] & U((1 << 40) - 1), return_counts=True)
-                    # An anchor that a piece of text holds once is not hot in it; the total counts all.
-                    keep = n > 1
-                    total = pa.array(np.append(n[keep], n.sum()).astype(np.int64))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.append(found[keep].astype(np.int64), -1)), total], names=["g", "n"])
+                    total = pa.array(np.append(n, n.sum()).astype(np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.append(found.astype(np.int64), -1)), total], names=["g", "n"])
 
-    counts = materialize(sampled.select("doc_id", "text").mapInArrow(count, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")))
+    counts = materialize(sampled.select("doc_id", "text").mapInArrow(count, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).filter((F.col("g") < 0) | (F.col("n") > LEAST_HITS)))
     everything = (counts.filter("g < 0").first() or {"n": 0})["n"]
-    least = max(everything / (8 * buckets), everything / RAREST, 32)
+    least = max(everything / (8 * buckets), LEAST_HITS)
     return np.array(sorted(r["g"] for r in counts.filter((F.col("g") >= 0) & (F.col("n") > least)).select("g").collect()), U)
 
 
