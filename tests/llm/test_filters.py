@@ -274,6 +274,16 @@ def test_decontamination_finds_edited_copies(spark):
     assert {tuple(r) for r in small_blocks.collect()} == {tuple(r) for r in decontam.report(docs, items).collect()}
 
 
+def test_decontamination_in_many_blocks_equals_one(spark):
+    docs, items = table(spark, "documents"), table(spark, "benchmark")
+    found = lambda b: sorted(map(tuple, decontam.report(docs, items, block_bytes=b).collect()), key=str)
+    kept = lambda b: sorted((r.doc_id for r in decontam.clean(docs, items, block_bytes=b).collect()))
+    one = found(16 << 20)
+    assert one and found(9000) == one and kept(9000) == kept(16 << 20)
+    odd = docs.selectExpr("doc_id", "text", "1 AS leaks", "2 AS __gone").union(spark.createDataFrame([(None, None, 1, 2)], "doc_id long, text string, leaks int, __gone int"))
+    assert decontam.clean(odd, items, block_bytes=9000).columns == odd.columns and decontam.clean(odd, items, block_bytes=9000).filter("doc_id IS NULL").count() == 1
+
+
 def test_decontamination_finds_an_edited_copy_that_is_common(spark):
     words = [f"item{k}" for k in range(40)]
     edited = " ".join("changed" if k % 6 == 5 else w for k, w in enumerate(words))
