@@ -46,6 +46,7 @@ class Chain:
     target_fs: float | None = None
     interpolate: bool = False
     artifact_period_s: float | None = None
+    n_average: int = 21
     pairs: tuple[tuple[str, str], ...] = ()
     least_pairs: int = signal.LEAST_PAIRS
     pick: tuple[str, ...] = ()
@@ -95,7 +96,7 @@ class Chain:
         if self.interpolate and not too_many:
             x = interpolated(names, x, [self.canonical(b) for b in bad])
         if period := period_s or self.artifact_period_s:
-            x = signal.subtract_average_artifact(x, fs, period)
+            x = signal.subtract_average_artifact(x, fs, period, self.n_average)
         if self.pairs:
             at = {n: i for i, n in enumerate(names)}
             formed = [(a, c) for a, c in self.pairs if a in at and c in at]
@@ -195,6 +196,38 @@ def regional_series(components: DataFrame, key: str = "path") -> DataFrame:
     return every.join(series, [key, "region"], "left").select(key, "region", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("x", F.array_repeat(F.lit(0.0), F.col("length"))).alias("x"))
 
 
+def before_after(recordings: DataFrame, chain: Chain, nperseg: int, key: str = "path") -> DataFrame:
+    """(key, channel, k, f, raw, repaired): spectra in decibels of each channel before and after the chain.
+
+    ``recordings`` has (key, names, x), and ``bad``, ``too_many``, ``period_s`` and ``omit`` (spans in seconds) where known. Both
+    spectra leave out the segments that touch a bad span. Pairs, which have no counterpart before, and channels of a failed
+    chain have a null on the missing side.
+    """
+    for name, kind in (("bad", "array<string>"), ("too_many", "boolean"), ("period_s", "double"), ("omit", "array<struct<start:double,stop:double>>")):
+        recordings = recordings if name in recordings.columns else recordings.withColumn(name, F.lit(None).cast(kind))
+    kind = recordings.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                spans = [(s["start"], s["stop"]) for s in row["omit"] or []]
+                raw = np.stack([np.asarray(c, float) for c in row["x"]])
+                names, x, ok = chain.attempt(row["names"], raw, row["bad"], bool(row["too_many"]), period_s=row["period_s"])
+                sides = [([chain.canonical(n) for n in row["names"]], *signal.welch(raw, chain.fs, nperseg, spans))]
+                sides.append((names, *signal.welch(x, chain.target_fs or chain.fs, nperseg, spans)) if ok else ([], None, None))
+                found: dict = {}
+                for side, (own, freqs, power) in enumerate(sides):
+                    for i, name in enumerate(own):
+                        for k, (f, p) in enumerate(zip(freqs, power[i], strict=True)):
+                            found.setdefault((name, k, float(f)), [None, None])[side] = None if np.isnan(p) else float(10 * np.log10(p + 1e-20))
+                columns = [[row[key]] * len(found), *([list(c) for c in zip(*found, strict=True)] or [[], [], []]), [v[0] for v in found.values()], [v[1] for v in found.values()]]
+                kinds = [batch.schema.field(key).type, pa.string(), pa.int32(), pa.float64(), pa.float64(), pa.float64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[key, "channel", "k", "f", "raw", "repaired"])
+
+    wanted = recordings.select(key, "names", "x", "bad", "too_many", "period_s", "omit")
+    return wanted.mapInArrow(run, f"`{key}` {kind}, channel string, k int, f double, raw double, repaired double")
+
+
 def aligned(names: Column, x: Column, wanted: Column, renames: Column | None = None) -> Column:
     """Channels in the order of ``wanted`` (a decomposition's), renamed before, with the average reference over them.
 

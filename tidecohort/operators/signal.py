@@ -113,12 +113,17 @@ def resample(x: np.ndarray, fs: float, target: float) -> np.ndarray:
     return np.fft.irfft(spectrum, m) * (m / n)
 
 
-def welch(x: np.ndarray, fs: float, nperseg: int) -> tuple[np.ndarray, np.ndarray]:
-    """Welch density: Hann segments with half overlap, constant detrend, one-sided, mean over segments."""
+def welch(x: np.ndarray, fs: float, nperseg: int, omit: list[tuple[float, float]] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """Welch density: Hann segments with half overlap, constant detrend, one-sided, mean over segments.
+
+    Segments that touch a span of ``omit`` (seconds, end exclusive) are left out; NaN where none is left.
+    """
     nperseg = min(nperseg, x.shape[-1])
     window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(nperseg) / nperseg)
     step = nperseg - nperseg // 2
-    starts = np.arange(0, x.shape[-1] - nperseg + 1, step)
+    starts = [s for s in range(0, x.shape[-1] - nperseg + 1, step) if not any(s < b * fs and s + nperseg > a * fs for a, b in omit)]
+    if not starts:
+        return np.fft.rfftfreq(nperseg, 1 / fs), np.full((*x.shape[:-1], nperseg // 2 + 1), np.nan)
     parts = np.stack([x[..., s : s + nperseg] for s in starts], axis=-2)
     parts = (parts - parts.mean(-1, keepdims=True)) * window
     power = (np.abs(np.fft.rfft(parts)) ** 2).mean(-2) / (fs * (window**2).sum())
@@ -184,6 +189,12 @@ def spectra(signals: DataFrame, fs: float, nperseg: int) -> DataFrame:
     return signals.select("vec_id", "x").mapInPandas(run, "vec_id long, p array<double>")
 
 
+def stacked(channels: Column, n_channels: int, n: int) -> Column:
+    """A window as single floats of a stated shape, for a tensor of equal windows; null where it has another shape."""
+    fits = (F.size(channels) == n_channels) & F.forall(channels, lambda c: F.size(c) == n)
+    return F.when(fits, F.transform(channels, lambda c: c.cast("array<float>")))
+
+
 def periods(signals: DataFrame, fs: float, fmin: float = 0.5, fmax: float = 6.0) -> DataFrame:
     """(vec_id, f0, strength, cardiac_like, flagged) of (vec_id, x); flagged is strong and not at the band's upper edge."""
 

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidecohort.functions import sql
-from tidecohort.operators import chain, detection, signal
-from tidecohort.plans.cleaning import FS, NAMES, total
+from tidecohort.operators import chain, detection, features, signal
+from tidecohort.plans.cleaning import FS, NAMES, REPAIR_SQL, total
 from tidecohort.plans.features import CHANNELS_SQL, bank, competition_sql, windows
 from tidecohort.plans.register import query
 from tidecohort.plans.signals import WELCH_SQL, four_channels, welch_sql
-from tidecohort.sources.fixtures import ctes, signals
+from tidecohort.sources.fixtures import components, ctes, signals, table
 
 LEAST, SHARE, PEAK, MOST_Z = 0.25, 0.5, 0.5, 3.0
 
@@ -157,3 +157,49 @@ def sql_signal_steps(spark, d):
     sql.register(spark)
     rows = signals(spark, d).select("vec_id", "x", four_channels().alias("channels"))
     return spark.sql("SELECT vec_id, CAST(size(tide_crop(x, 1D, 5D, 8D)) AS BIGINT) AS n, round(aggregate(tide_crop(x, 1D, 5D, 8D), 0D, (a, v) -> a + v), 6) AS total, round(aggregate(tide_reference(channels)[0], 0D, (a, v) -> a + abs(v)), 6) AS referenced FROM {rows}", rows=rows)
+
+
+@query("recording_before_after", ctes("signals") + ", " + WELCH_SQL + ", " + REPAIR_SQL + ", " + welch_sql("signals", "a", 2) + ", " + welch_sql("repaired", "b", 2) + " SELECT a.vec_id AS path, 'Cz' AS channel, a.k, a.k * 2.0::DOUBLE AS f, round(10 * log10(a.p + 1e-20::DOUBLE), 4) AS raw, round(10 * log10(b.p + 1e-20::DOUBLE), 4) AS repaired FROM a JOIN b ON a.vec_id = b.vec_id AND a.k = b.k")
+def recording_before_after(spark, d):
+    """One channel's spectrum before and after artifact subtraction, without the segments that a bad span touches."""
+    omit = F.array(F.struct(F.lit(0.80).alias("start"), F.lit(0.85).alias("stop")))
+    rows = signals(spark, d).select(F.col("vec_id").alias("path"), F.array(F.lit("EEG CZ-REF")).alias("names"), F.array("x").alias("x"), F.lit(8 / 64).alias("period_s"), omit.alias("omit"))
+    found = chain.before_after(rows, chain.Chain(64.0, n_average=5), 32)
+    return found.withColumns({c: F.round(c, 4) for c in ("raw", "repaired")})
+
+
+@query("eeg_channels", ctes("signals") + " SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN 'F7,T3,Cz' ELSE 'Fp1,F7,T3,Cz' END AS names, round(list_sum(CASE WHEN vec_id % 3 = 0 THEN x[17:32] ELSE x[1:16] END), 6) AS first FROM signals")
+def eeg_channels(spark, d):
+    """The channels that are EEG by their names; every third recording has a heart lead in the place of one."""
+    names = F.array(*[F.lit(n) for n in NAMES])
+    own = F.when(F.col("vec_id") % 3 == 0, F.transform(names, lambda n: F.when(n == NAMES[0], "EKG1").otherwise(n))).otherwise(names)
+    picked, x = chain.pick_eeg(own, four_channels())
+    return signals(spark, d).select("vec_id", F.array_join(picked, ",").alias("names"), F.round(total(F.get(x, F.lit(0))), 6).alias("first"))
+
+
+@query("electrode_distances", ctes("components") + """, e AS (SELECT unnest(['Fp1', 'Cz', 'O2', 'T3']) AS channel, unnest([-18, 0, 162, -90]) AS a, unnest([90, 0, 90, 90]) AS i), p AS (SELECT channel, sin(radians(a)) * sin(radians(i)) AS px, cos(radians(a)) * sin(radians(i)) AS py, cos(radians(i)) AS pz FROM e),
+d AS (SELECT path, ic, channel, round(sqrt(pow(x - px, 2) + pow(y - py, 2) + pow(z - pz, 2)), 9) AS d FROM components, p)
+SELECT path, ic, channel, round(d, 6) AS distance FROM d QUALIFY row_number() OVER (PARTITION BY path, ic ORDER BY d, channel) = 1""")
+def electrode_distances(spark, d):
+    """The nearest of four standard positions to each component's dipole, from the broadcast table of positions."""
+    places = chain.electrode_positions(spark).filter(F.col("channel").isin("Fp1", "Cz", "O2", "T3")).select("channel", *[F.col(c).alias(f"p{c}") for c in "xyz"])
+    rows = components(spark, d).join(F.broadcast(places)).withColumn("distance", F.round(F.sqrt(sum((F.col(c) - F.col(f"p{c}")) * (F.col(c) - F.col(f"p{c}")) for c in "xyz")), 9))
+    nearest = rows.groupBy("path", "ic").agg(F.min(F.struct("distance", "channel")).alias("n"))
+    return nearest.select("path", "ic", "n.channel", F.round("n.distance", 6).alias("distance"))
+
+
+@query("matched_channels", ctes("components") + """, names AS (SELECT ['Fp1', 'EEG F7-REF', 't3', 'C-z', 'O2', 'Pz', 'F8', 'A1'] AS n), have AS (SELECT DISTINCT path, n[1 + (ic + CAST(path AS INTEGER)) % 8] AS c FROM components, names WHERE ic < 6),
+w AS (SELECT path, unnest(['Fp1', 'F7', 'T3', 'Cz']) AS want FROM (SELECT DISTINCT path FROM have)), m AS (SELECT w.path, w.want, (SELECT min(c) FROM have h WHERE h.path = w.path AND regexp_replace(lower(regexp_replace(regexp_replace(h.c, '(?i)-(REF|LE)$', ''), '(?i)^EEG ', '')), '[^a-z0-9]', '', 'g') = lower(w.want)) AS mine FROM w)
+SELECT path, bool_and(mine IS NOT NULL) AS complete, CASE WHEN bool_and(mine IS NOT NULL) THEN count(*) FILTER (mine <> want) ELSE 0 END AS n_renames FROM m GROUP BY path""")
+def matched_channels(spark, d):
+    """How the channels of each recording serve a decomposition of four channels, by exact or by plain names."""
+    names = F.array(*[F.lit(n) for n in ("Fp1", "EEG F7-REF", "t3", "C-z", "O2", "Pz", "F8", "A1")])
+    have = components(spark, d).filter("ic < 6").select("path", F.get(names, ((F.col("ic") + F.col("path").cast("int")) % 8).cast("int")).alias("channel"))
+    wanted = have.select("path").distinct().select("path", F.explode(F.array(*[F.lit(n) for n in ("Fp1", "F7", "T3", "Cz")])).alias("channel"))
+    return chain.match_channels(have, wanted).select("path", "complete", F.size("renames").cast("long").alias("n_renames"))
+
+
+@query("class_labels", "SELECT event_type AS y, row_number() OVER (ORDER BY event_type) - 1 AS place FROM (SELECT DISTINCT event_type FROM events)")
+def class_labels(spark, d):
+    """The labels of a table in order, with their places."""
+    return features.class_labels(table(spark, d, "events").select(F.col("event_type").alias("y"))).withColumn("place", F.col("place").cast("long"))

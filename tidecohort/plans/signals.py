@@ -81,9 +81,9 @@ def regional_sums(spark, d):
 WELCH_SQL = "hann AS (SELECT list(0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * j / 32) ORDER BY j) AS h, 64 * sum(pow(0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * j / 32), 2)) AS scale FROM range(32) AS r(j))"
 
 
-def welch_sql(of: str, name: str) -> str:
-    """A view (vec_id, k, p) of Welch spectra at 64 Hz of a view with signals of 64 samples."""
-    parts = f"{name}_parts AS (SELECT vec_id, s, x[1 + 16 * s : 32 + 16 * s] AS x FROM {of}, unnest(range(3)) AS u(s))"
+def welch_sql(of: str, name: str, segments: int = 3) -> str:
+    """A view (vec_id, k, p) of Welch spectra at 64 Hz of a view with signals of 64 samples, over the first segments."""
+    parts = f"{name}_parts AS (SELECT vec_id, s, x[1 + 16 * s : 32 + 16 * s] AS x FROM {of}, unnest(range({segments})) AS u(s))"
     tapered = f"{name}_tapered AS (SELECT vec_id, s, scale, list_transform(range(1, 33), lambda j: (x[j] - list_avg(x)) * h[j]) AS x FROM {name}_parts, hann)"
     wave = lambda f: f"pow(list_sum(list_transform(range(0, 32), lambda j: x[j + 1] * {f}(2 * pi() * j * k / 32))), 2)"
     return f"{parts}, {tapered}, {name} AS (SELECT vec_id, CAST(k AS INTEGER) AS k, avg(({wave('cos')} + {wave('sin')}) / scale) * CASE WHEN k IN (0, 16) THEN 1 ELSE 2 END AS p FROM {name}_tapered, unnest(range(17)) AS v(k) GROUP BY vec_id, k)"
@@ -94,3 +94,11 @@ def welch_spectra(spark, d):
     rows = signal.spectra(signals(spark, d), 64.0, 32)
     return rows.select("vec_id", F.posexplode("p").alias("k", "p")).withColumn("p", F.round("p", 7))
 
+
+
+@query("stacked_windows", ctes("signals") + " SELECT vec_id, vec_id % 6 <> 0 AS ok, CASE WHEN vec_id % 6 <> 0 THEN 4 END AS n_channels, CASE WHEN vec_id % 6 <> 0 THEN round(CAST(CAST(x[17] AS FLOAT) AS DOUBLE), 7) END AS value FROM signals")
+def stacked_windows(spark, d):
+    """Windows as single floats of one shape; every sixth has a channel too short."""
+    short = F.when(F.col("vec_id") % 6 == 0, F.array(*[F.slice("x", 1 + 16 * i, 16 - i) for i in range(4)])).otherwise(four_channels())
+    rows = signals(spark, d).select("vec_id", signal.stacked(short, 4, 16).alias("x"))
+    return rows.select("vec_id", F.col("x").isNotNull().alias("ok"), F.when(F.col("x").isNotNull(), F.size("x")).alias("n_channels"), F.round(F.get(F.get("x", F.lit(1)), F.lit(0)).cast("double"), 7).alias("value"))
