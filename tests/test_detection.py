@@ -157,3 +157,34 @@ def test_margins_keep_filters_from_the_edges(spark, folder):
             at = int((s - low) * FS)
             assert np.allclose(got[f"{folder}/r{k}.edf", s].x, part[:, at : at + 2 * FS], atol=0.2)
     assert all(len(r.x[0]) == 2 * FS for r in got.values() if r.ok)
+
+
+def test_stacks_by_length_keep_places_and_nulls(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.standard_normal(40 if i % 2 else 64).tolist() if i % 5 else None) for i in range(12)]
+    frame = spark.createDataFrame(rows, "id int, x array<double>").coalesce(1)
+    out = {r.id: r for r in frame.select("id", signal.spectrum(F.col("x"), 32.0, 16).alias("p"), signal.without_artifact(F.col("x"), 32.0, 0.25, 3).alias("c")).collect()}
+    for i, x in rows:
+        if x is None:
+            assert out[i].p is None and out[i].c is None
+        else:
+            assert np.allclose(out[i].p, signal.welch(np.array(x), 32.0, 16)[1]) and np.allclose(out[i].c, signal.subtract_average_artifact(np.array(x), 32.0, 0.25, 3))
+
+
+def test_before_and_after_leave_bad_spans_out(spark):
+    x = noise(6, 3, 10 * FS)
+    spoilt = x.copy()
+    spoilt[:, 3 * FS : 4 * FS] += 1000
+    frame = spark.createDataFrame([("a", ["EEG FP1-REF", "F7", "T3"], spoilt.tolist(), [(3.0, 4.0)]), ("b", ["EEG FP1-REF", "F7", "T3"], x.tolist(), [])], "path string, names array<string>, x array<array<double>>, omit array<struct<start:double,stop:double>>")
+    rows = chain.before_after(frame, chain.Chain(FS, pairs=(("Fp1", "F7"),), least_pairs=1), FS).toPandas()
+    assert set(rows.channel) == {"Fp1", "F7", "T3", "Fp1-F7"} and rows[rows.channel == "Fp1-F7"].raw.isna().all() and rows[rows.channel == "T3"].repaired.isna().all()
+    assert rows[rows.path == "a"].raw.max() < 20
+    whole = rows[(rows.path == "b") & (rows.channel == "F7")].sort_values("k").raw
+    assert np.allclose(whole, 10 * np.log10(signal.welch(x[1], FS, FS)[1]))
+    assert np.isnan(signal.welch(x, FS, 64, [(0.0, 10.0)])[1]).all()
+
+
+def test_windows_are_stacked_to_one_shape(spark):
+    frame = spark.createDataFrame([(1, [[1.0, 2.0], [3.0, 4.0]]), (2, [[1.0], [3.0, 4.0]]), (3, [[1.0, 2.0]])], "id int, x array<array<double>>")
+    out = frame.select("id", signal.stacked(F.col("x"), 2, 2).alias("x"))
+    assert dict(out.dtypes)["x"] == "array<array<float>>" and {r.id: r.x for r in out.collect()} == {1: [[1.0, 2.0], [3.0, 4.0]], 2: None, 3: None}

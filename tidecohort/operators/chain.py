@@ -188,12 +188,15 @@ def regional_series(components: DataFrame, key: str = "path") -> DataFrame:
     ``components`` has (key, ic, region, topography, x). All seven regions appear for each key, silent ones with zeros.
     """
     strongest = F.array_max(F.transform("topography", lambda v: F.struct(F.abs(v).alias("size"), v.alias("v"))))["v"]
-    signed = components.select(key, "region", F.posexplode(F.transform("x", lambda v: F.when(strongest < 0, -v).otherwise(v))).alias("t", "v"))
-    sums = signed.groupBy(key, "region", "t").agg(F.sum("v").alias("v"), F.count("*").alias("n"))
-    series = sums.groupBy(key, "region").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("t", "v"))), lambda s: s["v"]).alias("x"))
+    signed = components.select(key, "region", F.transform("x", lambda v: F.when(strongest < 0, -v).otherwise(v)).alias("x"))
+    # Whole series are added up; the components of a decomposition bound the group.
+    gathered = signed.groupBy(key, "region").agg(F.collect_list("x").alias("all"))
+    zeros = F.array_repeat(F.lit(0.0), F.array_max(F.transform("all", F.size)))
+    added = F.aggregate("all", zeros, lambda a, x: F.zip_with(a, x, lambda p, q: p + F.coalesce(q, F.lit(0.0))))
+    series = gathered.select(key, "region", F.size("all").cast("long").alias("n"), added.alias("x"))
     lengths = components.groupBy(key).agg(F.max(F.size("x")).alias("length"))
     every = lengths.select(key, "length", F.explode(F.array(*[F.lit(r) for r in scalars.REGIONS])).alias("region"))
-    return every.join(series, [key, "region"], "left").select(key, "region", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("x", F.array_repeat(F.lit(0.0), F.col("length"))).alias("x"))
+    return every.join(series, [key, "region"], "left").select(key, "region", F.coalesce("n", F.lit(0).cast("long")).alias("n"), F.coalesce("x", F.array_repeat(F.lit(0.0), F.col("length"))).alias("x"))
 
 
 def before_after(recordings: DataFrame, chain: Chain, nperseg: int, key: str = "path") -> DataFrame:

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,18 +52,45 @@ def bipolar(signals: Column, pairs: list[tuple[str, str]] = PAIRS, least: int =
     return F.when(F.size(formed) >= least, F.map_from_entries(formed))
 
 
-def tile_templates(tiles: DataFrame, before: int = 10, window: int = 21) -> DataFrame:
-    """Average artifact subtraction on (path, tile, phase, v): each tile minus the mean of original tiles [max(0, i - before), .. + window)."""
-    a = tiles.groupBy("path", "phase").agg(F.array_sort(F.collect_list(F.struct("tile", "v"))).alias("t"))
-    values, n = F.transform("t", lambda x: x["v"]), F.size("t")
-    first = lambda i: F.greatest(i - before, F.lit(0))
-    mean = lambda i: (lambda part: F.aggregate(part, F.lit(0.0), lambda s, v: s + v) / F.size(part))(F.slice(values, first(i) + 1, F.least(n - first(i), F.lit(window))))
-    cleaned = F.transform("t", lambda x, i: F.struct(x["tile"].alias("tile"), (x["v"] - mean(i)).alias("v")))
-    return a.select("path", "phase", F.explode(cleaned).alias("c")).select("path", "c.tile", "phase", "c.v")
+def by_length(x: pa.Array, transform) -> pa.Array:
+    """Arrays (n, out) of ``transform`` over the signals of a batch, equal lengths stacked to (n, time); null stays null."""
+    out: list = [None] * len(x)
+    valid = np.flatnonzero(np.asarray(x.is_valid()))
+    lengths = np.asarray(pc.list_value_length(x.drop_null())).astype(int)
+    values, ends = np.asarray(x.drop_null().flatten()).astype(float), np.cumsum(lengths)
+    for n in np.unique(lengths):
+        own = np.flatnonzero(lengths == n)
+        for place, row in zip(valid[own], transform(np.stack([values[ends[i] - n : ends[i]] for i in own])), strict=True):
+            out[place] = row
+    return pa.array(out, pa.list_(pa.float64()))
+
+
+def without_artifact(x: Column, fs: float, period_s: float, n_avg: int = 21) -> Column:
+    """Signals without their average artifact, in Arrow batches of stacked signals."""
+
+    @F.arrow_udf("array<double>")
+    def subtract(signals: pa.Array) -> pa.Array:
+        return by_length(signals, lambda stack: subtract_average_artifact(stack, fs, period_s, n_avg))
+
+    return subtract(x)
+
+
+def spectrum(x: Column, fs: float, nperseg: int) -> Column:
+    """Welch spectra of signals, in Arrow batches of stacked signals."""
+
+    @F.arrow_udf("array<double>")
+    def estimate(signals: pa.Array) -> pa.Array:
+        return by_length(signals, lambda stack: welch(stack, fs, nperseg)[1])
+
+    return estimate(x)
 
 
 def subtract_average_artifact(x: np.ndarray, fs: float, period_s: float, n_avg: int = 21) -> np.ndarray:
-    """The same for one array; short signals come back unchanged, the rest after the last whole period stays."""
+    """Average artifact subtraction along the last axis: every period minus the mean of ``n_avg`` original periods around it.
+
+    The mean starts ``n_avg // 2`` periods before, at the first period at least, and ends with the signal. Short signals come
+    back unchanged, and the rest after the last whole period stays.
+    """
     period = int(round(period_s * fs))
     if period < 4 or x.shape[-1] < 3 * period:
         return x
@@ -181,12 +210,7 @@ def spherical_weights(known: np.ndarray, wanted: np.ndarray, stiffness: int = 4,
 
 def spectra(signals: DataFrame, fs: float, nperseg: int) -> DataFrame:
     """(vec_id, p): Welch spectra of (vec_id, x)."""
-
-    def run(batches):
-        for frame in batches:
-            yield pd.DataFrame({"vec_id": frame["vec_id"], "p": [welch(np.asarray(x, float), fs, nperseg)[1].tolist() for x in frame["x"]]})
-
-    return signals.select("vec_id", "x").mapInPandas(run, "vec_id long, p array<double>")
+    return signals.select("vec_id", spectrum(F.col("x"), fs, nperseg).alias("p"))
 
 
 def stacked(channels: Column, n_channels: int, n: int) -> Column:

@@ -129,15 +129,11 @@ g AS (SELECT vec_id, y, unnest(CASE WHEN affected THEN ['all', 'affected'] ELSE
 SELECT grp, y AS cls, a.k, count(*) AS n, round(avg(a.p), 7) AS raw, round(avg(b.p), 7) AS repaired FROM g JOIN a USING (vec_id) JOIN b ON b.vec_id = a.vec_id AND b.k = a.k GROUP BY grp, y, a.k""")
 def before_after(spark, d):
     """Mean spectra over recordings before and after artifact subtraction, for all and for those that it changed much."""
-    whole = signals(spark, d)
-    tiles = whole.select(F.col("vec_id").alias("path"), F.posexplode("x").alias("i", "v")).select("path", F.expr("cast(i div 8 as int)").alias("tile"), (F.col("i") % 8).alias("phase"), "v")
-    cleaned = signal.tile_templates(tiles, 2, 5).groupBy("path").agg(F.array_sort(F.collect_list(F.struct((F.col("tile") * 8 + F.col("phase")).alias("i"), "v"))).alias("s"))
-    both = whole.join(cleaned.select("path", F.transform("s", lambda s: s["v"]).alias("clean")), F.col("vec_id") == F.col("path"))
+    both = signals(spark, d).withColumn("clean", signal.without_artifact(F.col("x"), 64.0, 8 / 64, 5))
     removed = total(F.zip_with("x", "clean", lambda a, b: (a - b) * (a - b)))
     grp = F.when(removed > F.lit(0.15) * total(F.transform("x", lambda v: v * v)), F.array(F.lit("all"), F.lit("affected"))).otherwise(F.array(F.lit("all")))
-    raw = signal.spectra(whole, 64.0, 32)
-    repaired = signal.spectra(both.select("vec_id", F.col("clean").alias("x")), 64.0, 32).select(F.col("vec_id").alias("of"), F.col("p").alias("q"))
-    joined = both.select("vec_id", "y", F.explode(grp).alias("grp")).join(raw, "vec_id").join(repaired, F.col("vec_id") == F.col("of")).filter(F.size("p") == F.size("q"))
+    spectra = both.withColumns({"p": signal.spectrum(F.col("x"), 64.0, 32), "q": signal.spectrum(F.col("clean"), 64.0, 32)})
+    joined = spectra.select("y", F.explode(grp).alias("grp"), "p", "q")
     bins = joined.select("grp", F.col("y").alias("cls"), F.posexplode(F.arrays_zip("p", "q")).alias("k", "z"))
     return bins.groupBy("grp", "cls", "k").agg(F.count("*").alias("n"), F.round(F.avg("z.p"), 7).alias("raw"), F.round(F.avg("z.q"), 7).alias("repaired"))
 

@@ -53,8 +53,9 @@ def bipolar_pairs(spark, d):
 m AS (SELECT a.vec_id, a.tile, a.phase, a.v - avg(b.v) AS v FROM t a JOIN t b ON a.vec_id = b.vec_id AND a.phase = b.phase AND b.tile >= greatest(a.tile - 3, 0) AND b.tile < greatest(a.tile - 3, 0) + 7 GROUP BY a.vec_id, a.tile, a.phase, a.v)
 SELECT vec_id, tile, phase, round(v, 6) AS v FROM m""")
 def artifact_subtraction(spark, d):
-    tiles = signals(spark, d).select(F.col("vec_id").alias("path"), F.posexplode("x").alias("i", "v")).select("path", F.expr("cast(i div 4 as int)").alias("tile"), (F.col("i") % 4).alias("phase"), "v")
-    return signal.tile_templates(tiles, 3, 7).select(F.col("path").alias("vec_id"), "tile", "phase", F.round("v", 6).alias("v"))
+    """Signals without the average of seven periods around each, sample by sample."""
+    cleaned = signals(spark, d).select("vec_id", F.posexplode(signal.without_artifact(F.col("x"), 1.0, 4.0, 7)).alias("i", "v"))
+    return cleaned.select("vec_id", F.expr("cast(i div 4 as int)").alias("tile"), (F.col("i") % 4).alias("phase"), F.round("v", 6).alias("v"))
 
 
 @query("period_average", ctes("signals") + " SELECT vec_id, CAST((i - 1) % 8 AS INTEGER) AS phase, round(avg(x[i]), 6) AS v FROM signals, unnest(range(1, 65)) AS u(i) GROUP BY 1, 2")
