@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from tidecohort.functions import scalars
 from tidecohort.operators import cohort, replayed
 from tidecohort.operators.tables import shared_dir
-from tidecohort.plans.cohorts import CAP, EXCLUDED_SQL, LENGTH, RATIOS, SPLITS_SQL, STRIDE, WINDOWS_SQL, plan
+from tidecohort.plans.cleaning import LOBE_SQL
+from tidecohort.plans.cohorts import CAP, EXCLUDED_SQL, LENGTH, RATIOS, REGION_SQL, SPLITS_SQL, STRIDE, WINDOWS_SQL, plan
 from tidecohort.plans.register import query
 from tidecohort.sources.fixtures import SQL, ctes, recordings, spans, table
 
@@ -85,7 +86,7 @@ def sliding_windows(spark, d):
 
 @query("running_counters", "SELECT event_id, user_id, row_number() OVER w AS n, round(max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 6) AS most FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
 def running_counters(spark, d):
-    """What the stateful stream keeps for each user, after every event."""
+    """Counters after every event, in a batch window; ``keyed_state`` is the stream that keeps them."""
     upto = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = table(spark, d, "events")
     return rows.select("event_id", "user_id", F.count("*").over(upto).alias("n"), F.round(F.max("value").over(upto), 6).alias("most"))
@@ -120,7 +121,8 @@ def performance_table(spark, d):
     return rows.select("model", scalars.markdown_row(F.col("model"), scalars.mean_with_deviation(F.col("m"), F.col("s"), F.col("n"))).alias("line"))
 
 
-@query("sql_functions", ctes("components") + " SELECT path, ic, CASE WHEN z < 0.030 AND abs(x) > 0.035 THEN 'temporal_' || CASE WHEN x < 0 THEN 'left' ELSE 'right' END WHEN abs(x) < 0.015 THEN 'central_midline' WHEN y > 0.030 THEN 'frontal_' || CASE WHEN x < 0 THEN 'left' ELSE 'right' END WHEN y < -0.020 THEN 'posterior_' || CASE WHEN x < 0 THEN 'left' ELSE 'right' END ELSE 'central_midline' END AS region, ['frontal_left', 'posterior_right', 'central_midline'][1 + ic % 3] AS electrode FROM components")
+@query("sql_functions", ctes("components") + f""", e AS (SELECT *, upper(regexp_replace(regexp_replace(['EEG FP1-REF', 'O2', 'FC3'][1 + ic % 3], '-(REF|LE)$', ''), '^EEG ', '')) AS n FROM components), p AS (SELECT *, {LOBE_SQL} AS lobe, regexp_extract(n, '(\\d+)$', 1) AS k FROM e)
+SELECT path, ic, {REGION_SQL} AS region, CASE WHEN k = '' OR lobe = 'central' THEN 'central_midline' ELSE lobe || '_' || CASE WHEN CAST(k AS INTEGER) % 2 = 1 THEN 'left' ELSE 'right' END END AS electrode FROM p""")
 def sql_functions(spark, d):
     """The registered SQL functions over all components."""
     from tidecohort.sources.fixtures import components
