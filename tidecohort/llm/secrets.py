@@ -266,8 +266,7 @@ def _letter_keys(word: Column) -> Column:
     """For each letter of a word and its end: the number of the letter with the two before it, of 27 ** 3."""
     codes = F.transform(F.split(F.lower(word), ""), lambda c: F.ascii(c) - 96)
     padded = F.concat(F.array(F.lit(0), F.lit(0)), codes, F.array(F.lit(0)))
-    at = lambda i, k: F.get(padded, i + k)
-    return F.transform(F.sequence(F.lit(0), F.length(word)), lambda i: (at(i, 0) * 27 + at(i, 1)) * 27 + at(i, 2))
+    return _let(padded, lambda p: F.transform(F.sequence(F.lit(0), F.size(p) - 3), lambda i: (F.get(p, i) * 27 + F.get(p, i + 1)) * 27 + F.get(p, i + 2)))
 
 
 def letter_costs(tokens: DataFrame) -> list[float]:
