@@ -55,6 +55,6 @@ def best_of_duplicates(rows: DataFrame) -> DataFrame:
 
 
 def last_by_stem(rows: DataFrame, order: str = "line") -> DataFrame:
-    """(stem, anomaly): one row a file stem, the last one in the order of ``order``; rows of a path in several lists overwrite."""
+    """(stem, anomaly): one row a file stem, the last one in the order of ``order`` and the most anomalous of equals."""
     stem = F.regexp_replace(F.regexp_extract("path", r"([^/]*)$", 1), r"\.[^.]*$", "")
-    return rows.withColumn("stem", stem).groupBy("stem").agg(F.max_by("anomaly", order).alias("anomaly"))
+    return rows.withColumn("stem", stem).groupBy("stem").agg(F.max_by("anomaly", F.struct(order, "anomaly")).alias("anomaly"))

@@ -265,7 +265,7 @@ def subject_highlights(spark, d):
     return fused.orderBy(F.desc("anomaly"), "path").limit(10).select(F.col("path").alias("subject"), F.round("anomaly", 4).alias("anomaly"))
 
 
-@query("anomalies_by_stem", "SELECT l_suppkey || '_s' || l_linenumber AS stem, max_by(l_extendedprice, l_orderkey * 10 + l_linenumber) AS anomaly FROM lineitem GROUP BY l_suppkey, l_linenumber")
+@query("anomalies_by_stem", "SELECT l_suppkey || '_s' || l_linenumber AS stem, max_by(l_extendedprice, (l_orderkey * 10 + l_linenumber, l_extendedprice)) AS anomaly FROM lineitem GROUP BY l_suppkey, l_linenumber")
 def anomalies_by_stem(spark, d):
     """One score for each file stem of several lists, the last one listed."""
     rows = table(spark, d, "lineitem").select(F.format_string("/corpus/%d/%d_s%d.edf", "l_orderkey", "l_suppkey", "l_linenumber").alias("path"), F.col("l_extendedprice").alias("anomaly"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"))

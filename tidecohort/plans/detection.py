@@ -144,11 +144,11 @@ def sql_welch(spark, d):
     return spark.sql("SELECT s.vec_id, w.k, w.f, round(w.p, 7) AS p FROM {rows} s, LATERAL tide_welch(s.x, 64.0D, 32) w", rows=signals(spark, d))
 
 
-@query("sql_features", ctes("signals") + ", " + competition_sql(bank(), CHANNELS_SQL) + " SELECT vec_id AS window_id, list(round(v, 6) ORDER BY place) AS features FROM dense GROUP BY vec_id")
+@query("sql_features", ctes("signals") + ", " + competition_sql(bank(), CHANNELS_SQL) + " SELECT vec_id AS window_id, CAST(place AS INTEGER) AS k, round(v, 6) AS v FROM dense")
 def sql_features(spark, d):
     """Convolution features by a vectorised function in SQL."""
     sql.register(spark)
-    return spark.sql("SELECT window_id, transform(tide_features(x, 4, 4, 42), v -> round(v, 6)) AS features FROM {rows}", rows=windows(spark, d))
+    return spark.sql("SELECT window_id, f.k, round(f.v, 6) AS v FROM (SELECT window_id, tide_features(x, 4, 4, 42) AS features FROM {rows}) LATERAL VIEW posexplode(features) f AS k, v", rows=windows(spark, d))
 
 
 @query("sql_signal_steps", ctes("signals") + " SELECT vec_id, len(x[9:40]) AS n, round(list_sum(x[9:40]), 6) AS total, round(list_sum(list_transform(range(1, 17), lambda i: abs(x[i] - (x[i] + x[i + 16] + x[i + 32] + x[i + 48]) / 4))), 6) AS referenced FROM signals")

@@ -113,11 +113,11 @@ dense AS (SELECT w.vec_id, s.*, coalesce(f.v, 0) AS v, row_number() OVER (PARTIT
 CHANNELS_SQL = "win AS (SELECT vec_id, y, [x[1:16], x[17:32], x[33:48], x[49:64]] AS ch FROM signals)"
 
 
-@query("convolution_features", ctes("signals") + ", " + competition_sql(bank(), CHANNELS_SQL) + " SELECT vec_id AS window_id, list(round(v, 6) ORDER BY place) AS features FROM dense GROUP BY vec_id")
+@query("convolution_features", ctes("signals") + ", " + competition_sql(bank(), CHANNELS_SQL) + " SELECT vec_id AS window_id, CAST(place AS INTEGER) AS k, round(v, 6) AS v FROM dense")
 def convolution_features(spark, d):
-    """Soft and hard wins of every kernel; the SQL builds responses, winners and losers as relations."""
+    """Soft and hard wins of every kernel, a row a feature; the SQL builds responses, winners and losers as relations."""
     rows = features.transform(windows(spark, d), bank(), exact=True)
-    return rows.select("window_id", F.transform("features", lambda v: F.round(v, 6)).alias("features"))
+    return rows.select("window_id", F.posexplode("features").alias("k", "v")).withColumn("v", F.round("v", 6))
 
 
 @query("kernel_win_counts", ctes("signals") + ", " + competition_sql(bank(), CHANNELS_SQL) + """, taken AS (SELECT vec_id, 0 AS hard, dil, r, g, k, v FROM won UNION ALL SELECT vec_id, 1, dil, r, g, k, v FROM lost),

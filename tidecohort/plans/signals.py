@@ -97,9 +97,9 @@ def welch_spectra(spark, d):
 
 
 
-@query("stacked_windows", ctes("signals") + " SELECT vec_id, vec_id % 6 <> 0 AS ok, CASE WHEN vec_id % 6 <> 0 THEN 4 END AS n_channels, CASE WHEN vec_id % 6 <> 0 THEN round(CAST(CAST(x[17] AS FLOAT) AS DOUBLE), 7) END AS value FROM signals")
+@query("stacked_windows", ctes("signals") + " SELECT vec_id, vec_id % 6 <> 0 AS ok, CASE WHEN vec_id % 6 <> 0 THEN 4 ELSE 0 END AS n_channels, CASE WHEN vec_id % 6 <> 0 THEN round(CAST(CAST(x[17] AS FLOAT) AS DOUBLE), 7) ELSE 0 END AS value FROM signals")
 def stacked_windows(spark, d):
     """Windows as single floats of one shape; every sixth has a channel too short."""
     short = F.when(F.col("vec_id") % 6 == 0, F.array(*[F.slice("x", 1 + 16 * i, 16 - i) for i in range(4)])).otherwise(four_channels())
     rows = signals(spark, d).select("vec_id", signal.stacked(short, 4, 16).alias("x"))
-    return rows.select("vec_id", F.col("x").isNotNull().alias("ok"), F.when(F.col("x").isNotNull(), F.size("x")).alias("n_channels"), F.round(F.get(F.get("x", F.lit(1)), F.lit(0)).cast("double"), 7).alias("value"))
+    return rows.select("vec_id", F.col("x").isNotNull().alias("ok"), F.when(F.col("x").isNotNull(), F.size("x")).otherwise(0).alias("n_channels"), F.coalesce(F.round(F.get(F.get("x", F.lit(1)), F.lit(0)).cast("double"), 7), F.lit(0.0)).alias("value"))
