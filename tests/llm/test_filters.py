@@ -297,6 +297,16 @@ def test_decontamination_finds_an_edited_copy_that_is_common(spark):
     assert decontam.clean(docs, items).count() == 1980
 
 
+def test_decontamination_counts_words_in_all_documents(spark):
+    """2,000 documents and texts of a megabyte were the bounds of the sample that was counted before."""
+    docs = texts(spark, *["one two two"] * 2500, "one " * 400_000, None, "")
+    known = np.unique(decontam._words(pa.array(["one two three"]))[1])
+    name = {w: int(decontam._words(pa.array([w]))[1][0]) for w in ("one", "two", "three")}
+    found = dict(zip(known.tolist(), decontam.counted_words(docs, known).tolist(), strict=True))
+    assert found == {name["one"]: 402_500, name["two"]: 5000, name["three"]: 0}
+    assert decontam.counted_words(docs.limit(0), known).tolist() == [0, 0, 0]
+
+
 @pytest.mark.parametrize("edits", ["every third", "every fourth", "insert after each", "drop every third", "random quarter"])
 def test_decontamination_loses_no_alignment_above_the_threshold(spark, edits):
     rng, items, values = np.random.default_rng(11), [], []

@@ -6,8 +6,8 @@ near 0. Seeds are pairs of words at most two apart, in the item as in the docume
 They lose nothing. Matched words that follow each other with two edits or more between them cost what they earn, so that an
 alignment of ``threshold`` over an item of L words has at least ``threshold * L - 1`` close pairs of matched words, each
 with its own first word in the item. Of the L - 1 places a pair can begin at, an item may therefore leave out as many as that
-less one: it leaves out the most frequent ones, as a sample of the documents shows, and the rare ones are its seeds. The
-sample decides how many stretches are looked at, not what is found, and no seed is too common to be followed.
+less one: it leaves out the most frequent ones, and the rare ones are its seeds. The words of a block of items are counted
+in all documents. The counts decide how many stretches are looked at, not what is found, and no seed is too common to be followed.
 
 Where a seed of an item occurs in a document, the stretch that an alignment at the threshold can reach is aligned with the
 item. An alignment matches no more words than the item has in the document, or in the stretch; where these are too few for
@@ -68,25 +68,26 @@ def _pair(first: np.ndarray, second: np.ndarray) -> np.ndarray:
         return mix(first * U(0x9E3779B97F4A7C15) + mix(second))
 
 
-def frequent_words(docs: DataFrame, most_docs: int = 2000) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes and counts of the words of a bounded sample of documents."""
-    share = F.pmod(F.xxhash64(F.coalesce(F.col("text"), F.lit(""))), F.lit(1 << 20))
-    total = docs.count()
-    rows = docs.filter(share < int(min(1.0, most_docs / max(total, 1)) * (1 << 20)) + 1).filter(F.octet_length("text") <= 1 << 20).select("text")
+def counted_words(docs: DataFrame, words: np.ndarray) -> np.ndarray:
+    """How often each of the given words (sorted hashes) occurs in all documents; a task keeps one count a word."""
+    shared = docs.sparkSession.sparkContext.broadcast(words)
 
     def count(batches):
+        totals = np.zeros(len(shared.value) + 1, np.int64)
         for whole in batches:
             for batch in slices(whole, "text"):
-                found, n = np.unique(_words(batch.column("text"))[1], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], names=["h", "n"])
-
-    found = rows.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").toArrow()
-    keys, counts = np.asarray(found["h"]).view(U), np.asarray(found["n"])
-    order = np.argsort(keys)
-    return keys[order], np.append(counts[order], 1)
+                totals += np.bincount(lookup(shared.value, _words(batch.column("text"))[1]) + 1, minlength=len(totals))
+        at = np.flatnonzero(totals[1:])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(totals[1:][at])], names=["at", "n"])
+
+    found = docs.select("text").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    shared.unpersist()
+    out = np.zeros(len(words), np.int64)
+    out[np.asarray(found["at"])] = np.asarray(found["n"])
+    return out
 
 
-def _blocks(benchmark: DataFrame, threshold: float, frequent: tuple[np.ndarray, np.ndarray], block_bytes: int):
+def _blocks(docs: DataFrame, benchmark: DataFrame, threshold: float, block_bytes: int):
     """Blocks of items: ids, words and, by kind of seed, sorted hashes with the places (item, position) of each."""
     held, size = [], 0
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text IS NOT NULL").orderBy("item_id", "text")
@@ -94,16 +95,16 @@ def _blocks(benchmark: DataFrame, threshold: float, frequent: tuple[np.ndarray,
         held.append(row)
         size += len(row["text"])
         if size >= block_bytes:
-            yield _block(held, threshold, frequent)
+            yield _block(held, threshold, docs)
             held, size = [], 0
     if held:
-        yield _block(held, threshold, frequent)
+        yield _block(held, threshold, docs)
 
 
-def _seeds(own: np.ndarray, threshold: float, frequent: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def _seeds(own: np.ndarray, threshold: float, counted: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and places of the rarest close pairs of an item, as many as no alignment at the threshold can avoid."""
     n = len(own) - 1
-    counts = frequent[1][lookup(frequent[0], own)].astype(float)
+    counts = counted[1][lookup(counted[0], own)].astype(float)
     follows = np.append(counts[2:], np.inf)
     common = counts[:-1] * np.maximum(counts[1:], np.where(np.isinf(follows), 0, follows))
     left_out = max(1, int(np.ceil(threshold * len(own) - 1 - 1e-9))) - 1
@@ -112,13 +113,15 @@ def _seeds(own: np.ndarray, threshold: float, frequent: tuple[np.ndarray, np.nda
     return np.concatenate([_pair(own[place], own[place + 1]), _pair(own[wide], own[wide + 2])]), np.concatenate([place, wide])
 
 
-def _block(rows: list, threshold: float, frequent: tuple[np.ndarray, np.ndarray]) -> dict:
+def _block(rows: list, threshold: float, docs: DataFrame) -> dict:
     b, hashes = _words(pa.array([r["text"] for r in rows], pa.string()))
     words = [hashes[b.first[i] : b.first[i + 1]] for i in range(b.n)]
+    known = np.unique(hashes)
+    counted = known, counted_words(docs, known)
     kinds: dict = {}
     for item, own in enumerate(words):
         if len(own) > 2:
-            found, place = _seeds(own, threshold, frequent)
+            found, place = _seeds(own, threshold, counted)
             kinds.setdefault(0, []).append((found, np.full(len(found), item), place))
         elif len(own):
             kinds.setdefault(len(own), []).append((own if len(own) == 1 else _pair(own[:1], own[1:]), np.array([item]), np.array([0])))
@@ -249,7 +252,7 @@ def _by_block(docs: DataFrame, benchmark: DataFrame, threshold: float, block_byt
     Of several blocks each is written before the next is read, and its broadcast goes: the driver and a task hold one block,
     and no plan has more than one. A single block stays a plan, which runs with what uses it.
     """
-    context, blocks = docs.sparkSession.sparkContext, _blocks(benchmark, threshold, frequent_words(docs), block_bytes)
+    context, blocks = docs.sparkSession.sparkContext, _blocks(docs, benchmark, threshold, block_bytes)
     held, alone = next(blocks, None), True
     while held is not None:
         following = next(blocks, None)
