@@ -1,5 +1,7 @@
 """Array operators against closed forms and hand-walked cases, and edge cases of the relational ones."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -172,3 +174,23 @@ def test_stream_equals_batch(spark, tmp_path):
     batch = streams.hourly(source.withColumn("ts", F.col("ts").cast("timestamp")))
     key = lambda df: sorted((r["user_id"], str(r["hour"]), r["n"]) for r in df.collect())
     assert key(spark.table("hourly")) == key(batch)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_exclusion_and_replay_do_not_sort_by_expressions(spark):
+    """Sorts of a join evaluate their keys at every comparison; these were patterns over paths before."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(10).selectExpr("concat('/c/', id, '/s/', id, '.edf') AS path", "10.0D AS duration")
+        kept = cohort.without_excluded(rows, spark.createDataFrame([("/c//1/./s/1.edf",), ("/c/1/s/1.edf",), ("# no",)], "value string"))
+        assert kept.columns == rows.columns and kept.count() == 9
+        manifests = rows.selectExpr("concat('/moved', path) AS path", "0.0D AS start", "5.0D AS end", "'test' AS split")
+        replayed = cohort.replay(kept, manifests)
+        assert replayed.count() == 9
+        assert not any("Sort [" in line and "regexp" in line for p in (kept, replayed) for line in plan_of(p).splitlines())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

@@ -16,10 +16,15 @@ def normalised(path: str) -> F.Column:
 
 
 def without_excluded(recordings: DataFrame, excluded: DataFrame) -> DataFrame:
-    """Drop recordings whose normalised path is listed; ``excluded`` has one path per row, blanks and comments ignored."""
+    """Drop recordings whose normalised path is listed; ``excluded`` has one path per row, blanks and comments ignored.
+
+    An anti join would take the expressions for its keys and evaluate them at every comparison of its sort; an outer join
+    sorts by what was computed once a row.
+    """
     line = F.trim(F.col("value"))
     listed = excluded.select(line.alias("value")).filter("value <> '' AND NOT startswith(value, '#')").select(normalised("value").alias("gone"))
-    return recordings.join(listed, normalised("path") == F.col("gone"), "left_anti")
+    met = recordings.withColumn("__whole", normalised("path")).join(listed.distinct(), F.col("__whole") == F.col("gone"), "left")
+    return met.filter("gone IS NULL").drop("__whole", "gone")
 
 
 def with_label(recordings: DataFrame, labels: DataFrame, keep: list[str]) -> DataFrame:
