@@ -194,3 +194,37 @@ def test_exclusion_and_replay_do_not_sort_by_expressions(spark):
         assert not any("Sort [" in line and "regexp" in line for p in (kept, replayed) for line in plan_of(p).splitlines())
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_capped_plans_equal_brute_force_and_deal_recordings_not_windows(spark):
+    """Before, every window was dealt to its subject and sorted there. With a cap of 1 some subjects find none below their bound."""
+    rows = [(str(k), f"/{k}/{r}", 120.0 + 60 * (k * 7 % 13) + r) for k in range(3000) for r in range(2)]
+    frame = spark.createDataFrame(rows, "subject string, path string, duration double")
+    key = lambda w: (hashlib.md5(f"42|{w[1]}|{w[2]}".encode()).hexdigest(), *w[1:])
+    listed = {}
+    for subject, path, duration in rows:
+        listed.setdefault(subject, []).extend((subject, path, i) for i in range(int((duration - 120) // 60) + 1))
+    for cap in (1, 5):
+        found = cohort.windows(frame, 120.0, 60.0, cap)
+        want = {(*w, place) for own in listed.values() for place, w in enumerate(sorted(own, key=key)[:cap])}
+        assert {(r["subject"], r["path"], r["idx"], r["position"]) for r in found.collect()} == want
+        text = plan_of(cohort.windows(frame, 120.0, 60.0, cap))
+        assert text.count("Exchange hashpartitioning(subject") == 1 and text.index("Exchange hashpartitioning(subject") > text.index("Generate explode")
+
+
+def test_replay_matches_short_paths_only_as_they_stand(spark):
+    """A manifest row without three components and without a recording met every such recording before."""
+    rec = spark.createDataFrame([("a", 9.0), ("b", 9.0)], "path string, duration double")
+    manifests = spark.createDataFrame([("a", 0.0, 1.0, "test"), ("z", 0.0, 1.0, "test")], "path string, start double, end double, split string")
+    assert [r["path"] for r in cohort.replay(rec, manifests).collect()] == ["a"]
+
+
+def test_splits_equal_brute_force(spark):
+    rows = [(f"s{i}", None if i % 7 == 0 else i % 3 == 0) for i in range(500)]
+    out = cohort.splits(spark.createDataFrame(rows, "subject string, epilepsy boolean"), {"train": 0.6, "val": 0.2, "test": 0.2})
+    want = {}
+    for label in (None, True, False):
+        names = sorted((s for s, e in rows if e is label), key=lambda s: (hashlib.md5(f"42|{s}".encode()).hexdigest(), s))
+        train, val = int(0.6 * len(names)), int(0.2 * len(names))
+        want |= {s: "train" if i < train else "val" if i < train + val else "test" for i, s in enumerate(names)}
+    assert {r["subject"]: r["split"] for r in out.collect()} == want

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidecohort.operators.tables import stored
+
 
 def seizure_free(recordings: DataFrame) -> DataFrame:
     return recordings.filter("n_seizure = 0")
@@ -86,24 +88,52 @@ def windows(recordings: DataFrame, length: float, stride: float, cap: int | None
     With ``balance`` and no cap the limit is the smallest count of any subject that has windows.
     """
     check_plan(1 - stride / length if stride < length else 0, cap)
-    listed = recordings.withColumn("n", window_count(F.col("duration"), length, stride)).filter("n > 0")
-    listed = listed.withColumn("idx", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    listed = listed.withColumns({"start": F.col("idx") * F.lit(float(stride)), "end": F.col("idx") * F.lit(float(stride)) + F.lit(float(length))})
-    key = F.md5(F.concat_ws("|", F.lit(str(seed)), "path", F.col("idx").cast("string")))
-    placed = listed.withColumn("position", (F.row_number().over(Window.partitionBy("subject").orderBy(key, "path", "idx")) - 1).cast("long"))
-    if cap is not None:
-        placed = placed.filter(F.col("position") < cap)
-    elif balance:
+    counted = recordings.withColumn("n", window_count(F.col("duration"), length, stride)).filter("n > 0")
+    key = lambda i: F.md5(F.concat_ws("|", F.lit(str(seed)), "path", i.cast("string")))
+    every = F.sequence(F.lit(0).cast("long"), F.col("n") - 1)
+    if cap is None and not balance:
+        listed = counted.withColumn("idx", F.explode(every)).withColumn("key", key(F.col("idx")))
+    else:
         limit = subject_counts(recordings, length, stride).agg(F.min("n_windows").alias("limit"))
-        placed = placed.join(F.broadcast(limit), F.col("position") < F.col("limit")).drop("limit")
-    return placed.drop("n")
+        limited = counted.withColumn("limit", F.lit(cap).cast("long")) if cap is not None else counted.join(F.broadcast(limit))
+        listed = first_keys(limited, F.transform(every, lambda i: F.struct(key(i).alias("key"), i.alias("idx"))))
+    start = F.col("idx") * F.lit(float(stride))
+    placed = listed.withColumn("position", (F.row_number().over(Window.partitionBy("subject").orderBy("key", "path", "idx")) - 1).cast("long"))
+    if "limit" in listed.columns:
+        placed = placed.filter(F.col("position") < F.col("limit"))
+    return placed.select(*recordings.columns, "idx", start.alias("start"), (start + F.lit(float(length))).alias("end"), "position")
+
+
+def first_keys(counted: DataFrame, keyed) -> DataFrame:
+    """A row (key, idx) for each window that can be among the first ``limit`` of its subject, by md5 keys ``keyed`` (key, idx).
+
+    Keys are spread evenly, so that the first ``limit`` of a subject's windows lie below a bound that its count gives. Windows
+    above it are left out before they become rows, in the order of recordings dealt by subject. Where a subject has too few
+    windows below its bound, all are listed: the bound decides the work, never the result.
+    """
+    of = Window.partitionBy("subject")
+    ample = F.col("limit") + 2.5 * F.sqrt("limit") + 4
+    bound = F.when(ample >= F.col("total"), "g").otherwise(F.lpad(F.lower(F.hex((ample / F.col("total") * F.lit(float(1 << 32))).cast("long"))), 8, "0"))
+    below = counted.withColumn("total", F.sum("n").over(of)).withColumn("bound", bound)
+    below = below.withColumn("below", F.filter(keyed, lambda w: w["key"] < F.col("bound")))
+    enough = F.sum(F.size("below")).over(of) >= F.least("limit", "total")
+    kept = below.withColumn("enough", enough).withColumn("w", F.explode(F.when(F.col("enough"), F.col("below")).otherwise(keyed)))
+    return kept.select(*counted.columns, "w.key", "w.idx")
 
 
 def splits(subjects: DataFrame, ratios: dict[str, float], seed: int = 42) -> DataFrame:
-    """(subject, split): per label, subjects in seeded order cut at floors of the ratios; the rest goes to the last split."""
-    order = Window.partitionBy("epilepsy").orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), "subject")), "subject")
-    placed = subjects.select("subject", "epilepsy", F.row_number().over(order).alias("rank"), F.count("*").over(Window.partitionBy("epilepsy")).alias("of"))
-    return cut(placed, ratios)
+    """(subject, split): per label, subjects in seeded order cut at floors of the ratios; the rest goes to the last split.
+
+    Subjects are ranked in 256 parts by the leading digits of their keys; what lies before a part is counted.
+    """
+    subjects = stored(subjects.select("subject", "epilepsy")).withColumn("key", F.md5(F.concat_ws("|", F.lit(str(seed)), "subject")))
+    subjects = subjects.withColumn("part", F.substring("key", 1, 2))
+    before = Window.partitionBy("label").orderBy("of_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = subjects.groupBy(F.col("epilepsy").alias("label"), F.col("part").alias("of_part")).agg(F.count("*").alias("k"))
+    parts = counts.select("label", "of_part", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("before"), F.sum("k").over(Window.partitionBy("label")).alias("of"))
+    order = Window.partitionBy("epilepsy", "part").orderBy("key", "subject")
+    ranked = subjects.withColumn("place", F.row_number().over(order)).join(F.broadcast(parts), F.col("epilepsy").eqNullSafe(F.col("label")) & (F.col("part") == F.col("of_part")))
+    return cut(ranked.select("subject", (F.col("before") + F.col("place")).alias("rank"), "of"), ratios)
 
 
 def cut(placed: DataFrame, ratios: dict[str, float]) -> DataFrame:
@@ -163,16 +193,24 @@ def without_bad(windows: DataFrame, spans: DataFrame, too_many: DataFrame | None
 def replay(recordings: DataFrame, manifests: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
     """A plan from written manifests (path, start, end, split): one table of all splits, joined to the recordings.
 
-    Paths are compared normalised. Manifest rows whose path is gone are matched by the path below the corpus folder; this
-    second join sees only the rows that the first has left.
+    Paths are compared normalised. Manifest rows whose path is gone are matched by the path below the corpus folder, which is
+    the key of the one join; of the recordings found there the row's own path has precedence. Shorter paths match as they stand.
     """
     kept = without_excluded(recordings, excluded) if excluded is not None else recordings
     rows = manifests.select(normalised("path").alias("wanted"), F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"), "split")
-    own = kept.withColumns({"whole": normalised("path"), "tail": F.regexp_extract(normalised("path"), r"([^/]+/[^/]+/[^/]+)$", 1)})
-    exact = rows.join(own, F.col("wanted") == F.col("whole")).drop("wanted", "whole", "tail")
-    left = rows.join(own.select("whole"), F.col("wanted") == F.col("whole"), "left_anti")
-    by_tail = left.join(own, F.regexp_extract("wanted", r"([^/]+/[^/]+/[^/]+)$", 1) == F.col("tail")).drop("wanted", "whole", "tail")
-    return exact.unionByName(by_tail)
+    return matched(rows, kept.withColumn("whole", normalised("path")), "wanted", "whole", r"([^/]+/[^/]+/[^/]+)$").drop("wanted", "whole")
+
+
+def matched(rows: DataFrame, others: DataFrame, wanted: str, whole: str, tail: str) -> DataFrame:
+    """``rows`` joined to ``others`` by the part of their paths that ``tail`` matches (group 1), or by the path where nothing does.
+
+    Equal paths have equal tails, so that one join finds both: where a wanted path exists as it stands, other matches are left out.
+    """
+    key = lambda c: F.coalesce(F.nullif(F.regexp_extract(c, tail, 1), F.lit("")), F.col(c))
+    met = rows.withColumn("__tail", key(wanted)).join(others.withColumn("__tail", key(whole)), "__tail")
+    own = F.col(wanted) == F.col(whole)
+    found = met.withColumn("__own", F.max(own).over(Window.partitionBy("__tail", wanted))).filter(own | ~F.col("__own"))
+    return found.drop("__tail", "__own")
 
 
 def data_module(
