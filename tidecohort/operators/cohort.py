@@ -224,7 +224,7 @@ def data_module(
     rows = rows.filter(near(F.col("sfreq"), rate)) if rate else rows
     subjects = rows.groupBy("subject").agg(F.bool_or("epilepsy").alias("epilepsy"))
     plan = windows(rows, length, stride, cap, seed=seed).join(splits(subjects, ratios, seed), "subject").filter(F.col("split").isNotNull())
-    return without_bad(targets(plan), spans, too_many, drop_segments, drop_seizures)
+    return without_bad(targets(stored(plan)), spans, too_many, drop_segments, drop_seizures)
 
 
 def permuted_files(recordings: DataFrame, limit: int, seed: int = 42) -> DataFrame:
