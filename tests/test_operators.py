@@ -228,3 +228,9 @@ def test_splits_equal_brute_force(spark):
         train, val = int(0.6 * len(names)), int(0.2 * len(names))
         want |= {s: "train" if i < train else "val" if i < train + val else "test" for i, s in enumerate(names)}
     assert {r["subject"]: r["split"] for r in out.collect()} == want
+
+
+def test_only_recordings_with_spans_list_windows(spark):
+    rec = spark.createDataFrame([("a", 9.0), ("b", 9.0)], "path string, duration double")
+    spans = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("c", 1.0)], "path string, start double")
+    assert [tuple(r) for r in cohort.with_spans(rec, spans).collect()] == [("a", 9.0)]

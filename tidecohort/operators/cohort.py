@@ -158,6 +158,11 @@ def overlapping(windows: DataFrame, spans: DataFrame, how: str = "left_anti") ->
     return windows.join(s, (F.col("path") == F.col("of")) & (F.col("span_start") < F.col("end")) & (F.col("span_stop") > F.col("start")), how)
 
 
+def with_spans(recordings: DataFrame, spans: DataFrame) -> DataFrame:
+    """Recordings that have a span; others need not list windows where only windows with a span are asked for."""
+    return recordings.join(spans.select("path").distinct(), "path").select(*recordings.columns)
+
+
 def pool_counts(recordings: DataFrame) -> DataFrame:
     """Subjects, sessions and recordings per class and in total (null class)."""
     rows = recordings.withColumn("which", F.explode(F.array(F.col("epilepsy").cast("string"), F.lit("all"))))

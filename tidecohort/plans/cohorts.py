@@ -128,7 +128,8 @@ def window_drop(spark, d):
 
 @query("windows_with_seizure", ctes("rec", "spans") + ",\n" + WINDOWS_SQL + " SELECT subject, path, idx FROM placed w WHERE EXISTS (SELECT 1 FROM spans s WHERE s.kind = 'seiz' AND s.path = w.path AND s.start < w.\"end\" AND s.stop > w.start)")
 def windows_with_seizure(spark, d):
-    return cohort.overlapping(cohort.windows(recordings(spark, d), LENGTH, STRIDE), spans(spark, d).filter("kind = 'seiz'"), "left_semi").select("subject", "path", "idx")
+    seizures = spans(spark, d).filter("kind = 'seiz'")
+    return cohort.overlapping(cohort.windows(cohort.with_spans(recordings(spark, d), seizures), LENGTH, STRIDE), seizures, "left_semi").select("subject", "path", "idx")
 
 
 @query("manifest_replay", ctes("rec") + ",\n" + WINDOWS_SQL + """, m AS (SELECT idx, CASE WHEN idx % 2 = 0 THEN path ELSE replace(path, '/corpus/', '/elsewhere/corpus/') END AS path, position FROM placed WHERE position < 5)
