@@ -139,10 +139,7 @@ def manifest_replay(spark, d):
     rec = recordings(spark, d).select("path", "duration")
     moved = F.when(F.col("idx") % 2 == 0, F.col("path")).otherwise(F.replace("path", F.lit("/corpus/"), F.lit("/elsewhere/corpus/")))
     manifest = cohort.windows(recordings(spark, d), LENGTH, STRIDE, 5).select("idx", moved.alias("listed"))
-    tail = lambda c: F.regexp_extract(c, r"([^/]+/){3}[^/]+$", 0)
-    exact = manifest.join(rec, F.col("listed") == F.col("path")).select("path", "idx", "duration")
-    rest = manifest.join(rec.select(F.col("path").alias("found")), F.col("listed") == F.col("found"), "left_anti")
-    return exact.union(rest.join(rec, tail("listed") == tail("path")).select("path", "idx", "duration"))
+    return cohort.matched(manifest, rec, "listed", "path", r"(([^/]+/){3}[^/]+)$").select("path", "idx", "duration")
 
 
 @query("pool_counts", ctes("rec") + " SELECT which, count(DISTINCT subject) AS subjects, count(DISTINCT (subject, year)) AS sessions, count(*) AS recordings FROM (SELECT *, unnest([CAST(epilepsy AS VARCHAR), 'all']) AS which FROM rec) GROUP BY which")
