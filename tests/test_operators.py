@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidecohort.functions import scalars
-from tidecohort.operators import cohort, features, metrics, ml, ranking, signal
+from tidecohort.operators import cohort, features, metrics, ml, ranking, replayed, signal
 from tidecohort.sources import corpus
 from tidecohort.streaming import windows as streams
 
@@ -234,3 +234,11 @@ def test_only_recordings_with_spans_list_windows(spark):
     rec = spark.createDataFrame([("a", 9.0), ("b", 9.0)], "path string, duration double")
     spans = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("c", 1.0)], "path string, start double")
     assert [tuple(r) for r in cohort.with_spans(rec, spans).collect()] == [("a", 9.0)]
+
+
+def test_replayed_plans_list_only_windows_with_a_place(spark):
+    """Before, every window was listed and joined to the places."""
+    rec = spark.createDataFrame([(str(k % 20), f"/{k % 20}/{k}", 900.0 + 600 * (k % 5), k % 2 == 0) for k in range(200)], "subject string, path string, duration double, epilepsy boolean")
+    found = replayed.plan(rec, 120.0, 60.0, {"train": 0.6, "val": 0.2, "test": 0.2}, 3)
+    assert found.groupBy("subject").count().filter("count <> 3").count() == 0 and found.select("subject").distinct().count() == 20
+    assert "sequence(0" not in plan_of(found)
