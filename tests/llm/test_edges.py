@@ -218,6 +218,24 @@ def test_hot_buckets_of_near_copies_are_broadcast(spark, monkeypatch):
     assert {found[i] for i in range(30)} == {0} and all(found[i] == i for i in range(30, 60))
 
 
+def test_a_crowded_bucket_is_dealt_by_its_outsiders(spark, monkeypatch):
+    """Blocks for every outsider cost n * n / BLOCK rows before, also where almost all classes were one component."""
+    monkeypatch.setattr(minhash, "BLOCK", 50)
+    hot = spark.createDataFrame([], "bucket long")
+    for n, outside in ((1000, 10), (2000, 10), (600, 120)):
+        placed = spark.createDataFrame([(5, 0, i, n, i if i < outside else n) for i in range(n)], "bucket long, band int, id long, n long, component long")
+        dealt = minhash._dealt(placed, hot).collect()
+        blocks = outside // 50 + 1
+        assert len(dealt) == n * blocks + outside * (n // 50 + 1)
+        left, right = ({(r.id, r.p, r.q) for r in dealt if r.left == side} for side in (True, False))
+        met = {(p, q): ([], []) for _, p, q in right}
+        for side, rows in enumerate((left, right)):
+            for i, p, q in rows:
+                met[p, q][side].append(i)
+        pairs = [(x, y) for xs, ys in met.values() for x in xs for y in ys]
+        assert len(pairs) == len(set(pairs)) == n * outside, "each outsider meets each class once"
+
+
 def test_hot_payloads_are_broadcast(spark):
     pages = spark.createDataFrame([(i, f"u{i}", "same" if i % 2 else ("twin" if i % 4 else f"own{i}")) for i in range(100)], "page_id long, url string, html string")
     few, many = (sorted(tuple(r) for r in warc.with_references(pages, crowd=c).collect()) for c in (10_000, 5))

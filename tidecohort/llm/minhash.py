@@ -14,8 +14,10 @@ verified by the exact J_P of both texts, in two rounds that lose no pair of a bu
    bucket. Verified links are merged into components; in a large group of mutual near copies this connects almost all of it.
 2. In buckets that still hold several components, every class outside the bucket's largest component is compared with all
    classes of other components; pairs inside one component could not change the result. Small buckets list these pairs. A
-   crowded bucket is dealt into blocks of about ``BLOCK`` classes; each pair of blocks is one small task that compares
-   signatures, then texts, and emits only the links it verifies, so no pairs are written out however large the group is.
+   crowded bucket is dealt into blocks of about ``BLOCK`` classes, those outside the largest component apart; each pair of
+   blocks is one small task that compares signatures, then texts, and emits only the links it verifies, so no pairs are
+   written out. Of n classes with o outside, about n * (1 + o / ``BLOCK``) + o * (1 + n / ``BLOCK``) rows are dealt: in
+   proportion to n while few are outside, but each of o classes unlike all others is still compared with n.
    A pair that shares several buckets is compared in the first of them only.
 
 Joins by bucket take the few hottest buckets (of more than ``HOT`` classes, and of one in a million of all hits) from a
@@ -44,7 +46,7 @@ from tidecohort.llm.vectext import Batch, mix, shingles, slices
 SHINGLE = 5
 #: Buckets with more classes than this are compared by blocks.
 CROWD = 50
-BLOCK = 200
+BLOCK = 500
 #: Buckets with more classes than this may be broadcast in joins by bucket.
 HOT = 1000
 NEIGHBOURS = 2
@@ -215,20 +217,29 @@ def _across(placed: DataFrame) -> DataFrame:
     return across.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b"))
 
 
-def _blocked(placed: DataFrame, hot: DataFrame, reps: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Verified links (a, b) between components of crowded buckets; placed has bucket, band, id, n, component."""
+def _dealt(placed: DataFrame, hot: DataFrame) -> DataFrame:
+    """(bucket, band, id, component, p, q, left, outside): the classes of each pair of blocks of a crowded bucket.
+
+    Block p has some of the classes outside the largest component, block q some of all classes; each kind has as many blocks as
+    its own number of classes asks.
+    """
     sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("k"))
-    largest = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("k", "component")).alias("largest"))
-    rows = _on_bucket(placed, largest, hot).withColumn("parts", F.expr(f"cast(n div {BLOCK} + 1 as int)"))
-    rows = rows.withColumns({"part": F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"), "outside": F.col("component") != F.col("largest")})
-    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    largest = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("k", "component")).alias("largest"), F.max("k").alias("most"))
+    rows = _on_bucket(placed, largest, hot).withColumn("outside", F.col("component") != F.col("largest"))
+    rows = rows.withColumns({"ps": F.expr(f"cast((n - most) div {BLOCK} + 1 as int)"), "qs": F.expr(f"cast(n div {BLOCK} + 1 as int)")})
+    of = lambda blocks: F.pmod(F.xxhash64("id"), F.col(blocks)).cast("int")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
     common = ["bucket", "band", "id", "component"]
-    left = rows.filter("outside").select(*common, F.col("part").alias("p"), every.alias("q"), F.lit(True).alias("left"), "outside")
-    taken = left.select("bucket", "p").distinct()
-    right = rows.join(taken, "bucket").select(*common, "p", F.col("part").alias("q"), F.lit(False).alias("left"), "outside")
+    left = rows.filter("outside").select(*common, of("ps").alias("p"), every("qs").alias("q"), F.lit(True).alias("left"), "outside")
+    right = rows.select(*common, every("ps").alias("p"), of("qs").alias("q"), F.lit(False).alias("left"), "outside")
+    return left.union(right)
+
+
+def _blocked(placed: DataFrame, hot: DataFrame, reps: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Verified links (a, b) between components of crowded buckets; placed has bucket, band, id, n, component."""
     own = placed.select("id").distinct()
     payload = texts.join(own, F.col("doc_id") == F.col("id")).select(F.col("id").alias("of"), "text").join(reps.groupBy("id").agg(F.min_by("buckets", "sketch").alias("buckets"), F.min("sketch").alias("sketch")), F.col("of") == F.col("id")).drop("id")
-    dealt = left.union(right).join(payload, F.col("id") == F.col("of")).drop("of")
+    dealt = _dealt(placed, hot).join(payload, F.col("id") == F.col("of")).drop("of")
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.combine_chunks().sort_by([("id", "ascending"), ("text", "ascending")])
