@@ -144,6 +144,19 @@ def test_suffix_buckets_compare_across_boundaries(spark):
     assert covered == {(d, p) for _, d, _, p in rows if d}
 
 
+def test_suffix_buckets_pack_what_they_cover(spark):
+    """A bucket had a row for each document that it touches before, which is one for each string once there are many buckets."""
+    rng = np.random.default_rng(5)
+    strings = [bytes(x) for x in rng.integers(0, 256, (60, 50)).astype(np.uint8)]
+    rows = [(x, d, 7 - d, at) for d in range(80) for at, x in enumerate(strings)]
+    suffixes = spark.createDataFrame(rows, "suffix binary, doc_id long, row long, at long")
+    dealt = substrings._sorted_buckets(suffixes.repartitionByRange(10, "suffix", "doc_id", "row", "at"), 50, 3)
+    assert dealt.count() <= 10 * (1 + 2 * 3)
+    found = substrings.covered_suffixes(suffixes, 50, 10).collect()
+    assert sorted((r.doc_id, r.row, r.undecided) for r in found) == [(d, 7 - d, False) for d in range(1, 80)]
+    assert all(np.frombuffer(r.stretches, "<i8").tolist() == [0, 60] for r in found)
+
+
 def test_multikey_order_sorts():
     rng = np.random.default_rng(1)
     strings = rng.integers(0, 3, (500, 20)).astype(np.uint8)

@@ -21,7 +21,8 @@ only those that can still matter become suffixes:
    quicksort on eight-byte characters. In sorted order the first suffix of a run of equal ones has the smallest doc_id, and
    the others with larger ids are covered; the first run of a bucket is compared with the last ones of the buckets before it.
    There are at most ``MOST_RANGES`` buckets, or as many as the session has shuffle partitions; the driver sees the first
-   and last string of each.
+   and last string of each. What a bucket covers is packed by hash parts of the documents and gathered there, so that a
+   document whose strings lie in many buckets has no row in each.
 3. *Removal.* Covered stretches are joined to the documents and cut out.
 
 Defined results: null text is empty; strings shorter than ``length`` never match; repeated rows with one doc_id do not cover
@@ -39,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidecohort.llm.common import materialize
-from tidecohort.llm.vectext import Batch, lookup, slices
+from tidecohort.llm.vectext import Batch, lookup, mix, slices
 
 U = np.uint64
 BUCKET_BYTES = 4 << 20
@@ -64,25 +65,28 @@ def runs(b: Batch, length: int, gram: int) -> dict[str, np.ndarray]:
     place = np.arange(n - gram + 1)
     hashes = b.hashes(place, place + gram)
     least, size = (hashes & U(0xFFFFFFFF00000000)) | place.astype(U), 1
+    del hashes, place
     while size * 2 <= wide:
         least, size = np.minimum(least[:-size], least[size:]), size * 2
     least = np.minimum(least[: len(least) - (wide - size)], least[wide - size :])
-    anchor = (least & U(0xFFFFFFFF)).astype(np.int64)
-    mark, long = np.zeros(n + 1, np.int64), b.lengths >= length
+    anchor = (least & U(0xFFFFFFFF)).astype(np.uint32)
+    del least
+    mark, long = np.zeros(n + 1, np.int32), b.lengths >= length
     np.add.at(mark, b.offsets[:-1][long], 1)
     np.add.at(mark, (b.offsets[1:] - length + 1)[long], -1)
-    inside = np.cumsum(mark)[: len(anchor)] > 0
+    inside = np.cumsum(mark, out=mark)[: len(anchor)] > 0
+    del mark
     changed = anchor[1:] != anchor[:-1]
     begins, ends = inside.copy(), inside.copy()
     begins[1:] &= changed | ~inside[:-1]
     ends[:-1] &= changed | ~inside[1:]
     low, high = np.flatnonzero(begins), np.flatnonzero(ends)
-    p = anchor[low]
+    p = anchor[low].astype(np.int64)
     doc = np.searchsorted(b.offsets, low, "right") - 1
     clip = lambda x: np.clip(x, b.offsets[doc], b.offsets[doc + 1])
     sides = {f"left_{i}": b.hashes(clip(p - e), p + gram) for i, e in enumerate(extents(length, gram), 1)}
     sides |= {f"right_{i}": b.hashes(p, clip(p + gram + e)) for i, e in enumerate(extents(length, gram), 1)}
-    return {"g": hashes[p], **sides, "whole": b.hashes(low, high + length), "doc": doc, "at": low - b.offsets[doc], "n": high - low + 1, "lead": p - low}
+    return {"g": b.hashes(p, p + gram), **sides, "whole": b.hashes(low, high + length), "doc": doc, "at": low - b.offsets[doc], "n": high - low + 1, "lead": p - low}
 
 
 def extents(length: int, gram: int) -> tuple[int, int, int]:
@@ -261,7 +265,7 @@ def multikey_order(strings: np.ndarray) -> np.ndarray:
     n, width = strings.shape
     padded = np.zeros((n, -(-width // 8) * 8), np.uint8)
     padded[:, :width] = strings
-    characters = padded.view(">u8").astype(U)
+    characters = padded.view(">u8").byteswap(inplace=True).view(U)
     order, tied, group = np.arange(n), np.arange(n), np.zeros(n, np.int64)
     for c in range(characters.shape[1]):
         if len(tied) < 2:
@@ -277,13 +281,29 @@ def multikey_order(strings: np.ndarray) -> np.ndarray:
     return order
 
 
-def _sorted_buckets(suffixes: DataFrame, length: int) -> DataFrame:
+def _packed(ids, rows, places, parts: int) -> list[tuple[int, bytes, bytes, bytes]]:
+    """(part, documents, counts, offsets): strings packed for each hash part of their document."""
+    if not len(ids):
+        return []
+    with np.errstate(over="ignore"):
+        part = (mix(ids.astype(U) ^ mix(rows.astype(U))) % U(parts)).astype(np.int64)
+    order = np.lexsort((places, rows, ids, part))
+    part, ids, rows, places = part[order], ids[order], rows[order], places[order].astype("<u4")
+    starts = np.flatnonzero(_groups(part, ids, rows))
+    docs, counts = np.stack([ids[starts], rows[starts]]).astype("<i8"), np.diff(np.append(starts, len(ids))).astype("<u4")
+    firsts = np.flatnonzero(_groups(part[starts]))
+    cuts = zip(firsts, np.append(firsts[1:], len(starts)), starts[firsts], np.append(starts[firsts[1:]], len(ids)), strict=True)
+    return [(int(part[k]), docs[:, i:j].tobytes(), counts[i:j].tobytes(), places[k:m].tobytes()) for i, j, k, m in cuts]
+
+
+def _sorted_buckets(suffixes: DataFrame, length: int, parts: int) -> DataFrame:
     """What the sorted range partitions find.
 
-    For each bucket a head row (first and last string, smallest doc_id of each), the members of its first string as stretches
-    with ``edge`` true, and the covered ones among the others with ``edge`` false.
+    For each bucket a head row (first and last string, smallest doc_id of each), the members of its first string with ``edge``
+    true, and the covered ones among the others with ``edge`` false. Strings are packed by the hash part of their document, so
+    that there are as many rows as pairs of buckets and parts at most, and not one for each document that a bucket touches.
     """
-    kinds = (("bucket", pa.int32()), ("first", pa.binary()), ("last", pa.binary()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("edge", pa.bool_()), ("doc_id", pa.int64()), ("row", pa.int64()), ("stretches", pa.binary()))
+    kinds = (("bucket", pa.int32()), ("first", pa.binary()), ("last", pa.binary()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("edge", pa.bool_()), ("part", pa.int64()), ("docs", pa.binary()), ("counts", pa.binary()), ("places", pa.binary()))
     schema = pa.schema(list(kinds))
 
     def run(batches):
@@ -291,24 +311,33 @@ def _sorted_buckets(suffixes: DataFrame, length: int) -> DataFrame:
         if not tables:
             return
         table = pa.Table.from_batches(tables).combine_chunks()
-        strings = np.frombuffer(b"".join(table.column("suffix").to_pylist()), np.uint8).reshape(-1, length)
+        tables.clear()
+        # All have the same length, so that their bytes lie in one buffer without gaps.
+        suffix = table.column("suffix").chunk(0).cast(pa.binary())
+        first = np.frombuffer(suffix.buffers()[1], "<i4", 1, 4 * suffix.offset)[0]
+        strings = np.frombuffer(suffix.buffers()[2], np.uint8, len(suffix) * length, first).reshape(-1, length)
         ids, rows, places = (np.asarray(table.column(c)) for c in ("doc_id", "row", "at"))
         by_id = np.lexsort((places, rows, ids))
         order = by_id[multikey_order(strings[by_id])]
         strings, ids, rows, places = strings[order], ids[order], rows[order], places[order]
+        del table, suffix, by_id, order
         new = np.ones(len(ids), bool)
-        new[1:] = (strings[1:] != strings[:-1]).any(1)
+        for at in range(1, len(ids), 1 << 16):
+            part = strings[at - 1 : at + (1 << 16)]
+            new[at : at + (1 << 16)] = (part[1:] != part[:-1]).any(1)
         starts, of = np.flatnonzero(new), np.cumsum(new) - 1
         smallest, bucket = ids[starts], TaskContext.get().partitionId()
-        head = [[bucket], [strings[0].tobytes()], [strings[-1].tobytes()], [int(smallest[0])], [int(smallest[-1])], [None], [None], [None], [None]]
+        del new
+        head = [[bucket], [strings[0].tobytes()], [strings[-1].tobytes()], [int(smallest[0])], [int(smallest[-1])], *[[None]] * 5]
+        del strings
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(head, kinds, strict=True)], schema=schema)
         for edge, mask in ((True, of == 0), (False, (of > 0) & (ids > smallest[of]))):
-            found = _stretches(ids[mask], rows[mask], places[mask], np.ones(int(mask.sum()), np.int64), False)
+            found = _packed(ids[mask], rows[mask], places[mask], parts)
             n = len(found)
-            columns = [[bucket] * n, *[[None] * n] * 4, [edge] * n, found["doc_id"], found["row"], found["stretches"]]
+            columns = [[bucket] * n, *[[None] * n] * 4, [edge] * n, *(zip(*found, strict=True) if n else [[]] * 4)]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(columns, kinds, strict=True)], schema=schema)
 
-    return suffixes.mapInArrow(run, "bucket int, first binary, last binary, first_id long, last_id long, edge boolean, doc_id long, row long, stretches binary")
+    return suffixes.mapInArrow(run, "bucket int, first binary, last binary, first_id long, last_id long, edge boolean, part long, docs binary, counts binary, places binary")
 
 
 def _edges(found: DataFrame) -> list[tuple[int, int]]:
@@ -321,14 +350,29 @@ def _edges(found: DataFrame) -> list[tuple[int, int]]:
     return out
 
 
+def _unpacked(frame: pd.DataFrame) -> pd.DataFrame:
+    """The packed strings of a part as stretches; of those at an edge, the ones of documents after the smallest."""
+    parts = []
+    for docs, counts, places, edge, smallest in zip(frame["docs"], frame["counts"], frame["places"], frame["edge"], frame["smallest"], strict=True):
+        ids, rows = np.frombuffer(docs, "<i8").reshape(2, -1)
+        n = np.frombuffer(counts, "<u4")
+        kept = np.repeat(ids > smallest if edge else np.ones(len(ids), bool), n)
+        parts.append([np.repeat(ids, n)[kept], np.repeat(rows, n)[kept], np.frombuffer(places, "<u4")[kept]])
+    ids, rows, places = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((places, rows, ids))
+    ids, rows, places = ids[order], rows[order], places[order].astype(np.int64)
+    # Neighbouring strings become one stretch.
+    fresh = np.flatnonzero(_groups(ids, rows, places - np.arange(len(places)))) if len(ids) else np.zeros(0, np.int64)
+    return _stretches(ids[fresh], rows[fresh], places[fresh], np.diff(np.append(fresh, len(ids))), False)
+
+
 def covered_suffixes(suffixes: DataFrame, length: int, partitions: int) -> DataFrame:
-    """Covered strings among (suffix, doc_id, row, at), as stretches."""
+    """Covered strings among (suffix, doc_id, row, at), as stretches: one row for each document row."""
     dealt = suffixes.repartitionByRange(partitions, "suffix", "doc_id", "row", "at")
-    found = materialize(_sorted_buckets(dealt, length))
+    found = materialize(_sorted_buckets(dealt, length, partitions))
     smallest = found.sparkSession.createDataFrame(_edges(found), "of int, smallest long")
-    edges = found.filter("edge").join(smallest, F.col("bucket") == F.col("of")).filter("doc_id > smallest")
-    columns = ["doc_id", "row", F.lit(False).alias("undecided"), "stretches"]
-    return found.filter("NOT edge").select(*columns).union(edges.select(*columns))
+    packed = found.filter("part IS NOT NULL").join(F.broadcast(smallest), F.col("bucket") == F.col("of"))
+    return packed.select("part", "docs", "counts", "places", "edge", "smallest").groupBy("part").applyInPandas(_unpacked, STRETCHES)
 
 
 def find(docs: DataFrame, length: int = 50, gram: int = 16) -> DataFrame:
