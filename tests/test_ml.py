@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.ml import Pipeline
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import functions as F
 
@@ -100,6 +101,27 @@ def test_cross_validation_takes_the_best_strength(spark, rows):
     assert len(found.avgMetrics) == 3 and max(found.avgMetrics) > 0.8
 
 
+@pytest.mark.parametrize(("kind", "scoring"), [("ridge", "balanced_accuracy"), ("logistic", "recall")])
+def test_search_equals_cross_validation_with_fewer_jobs(spark, kind, scoring):
+    """The same scores by strength as Spark's cross-validator; classes are not counted, nor rows judged, once for each fit."""
+    rng = np.random.default_rng(4)
+    frame = spark.createDataFrame([(i, int(v[0] + rng.normal() > 0), Vectors.dense(v)) for i, v in enumerate(rng.normal(size=(150, 3)))], ["window_id", "y", "scaled"])
+    trainer = training.Trainer(kind=kind, scoring=scoring, grid=(1e-2, 1.0, 1e3), folds=2, most_steps=5)
+    dealt, n = ml.dealt(frame, "window_id", 2)
+    fit = trainer.classifier()
+    grid = ParamGridBuilder().addGrid(fit.strength, list(trainer.grid)).build()
+    jobs = lambda group: len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    spark.sparkContext.setJobGroup(f"whole {kind} {scoring}", "")
+    whole = CrossValidator(estimator=fit, estimatorParamMaps=grid, evaluator=ml.BinaryScore(metricName=scoring), numFolds=n, foldCol="fold").fit(dealt)
+    spark.sparkContext.setJobGroup(f"search {kind} {scoring}", "")
+    model, strength, scores = trainer.search(frame)
+    spark.sparkContext.setJobGroup("others", "")
+    assert np.allclose(scores, whole.avgMetrics, atol=1e-12) and strength == trainer.grid[int(np.argmax(whole.avgMetrics))]
+    assert np.allclose(model.coefficients.toArray(), whole.bestModel.coefficients.toArray(), atol=1e-9)
+    fits = len(trainer.grid) * n
+    assert 0 < jobs(f"search {kind} {scoring}") < jobs(f"whole {kind} {scoring}") - 2 * fits
+
+
 def test_metrics_of_computed_means_do_not_depend_on_partitions(spark):
     """Means of doubles differ in their last bit with the order of rows; ranks must come from stored ones."""
     rng = np.random.default_rng(7)

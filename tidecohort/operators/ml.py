@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Transformer
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -143,6 +143,13 @@ def scaled(features: Column, mean: np.ndarray, std: np.ndarray, mask: bool) -> C
 class _Classifier(Estimator, HasFeaturesCol, HasLabelCol, DefaultParamsReadable, DefaultParamsWritable):
     strength = _param("strength", "C of logistic regression, alpha of ridge", TypeConverters.toFloat)
 
+    def _fit(self, rows: DataFrame):
+        return self.fit_counted(rows, {int(r[0]): r[1] for r in rows.groupBy(self.getLabelCol()).count().collect()})
+
+    def fit_counted(self, rows: DataFrame, sizes: dict[int, int]):
+        """The model of rows whose number in each class is known already."""
+        raise NotImplementedError
+
 
 class BalancedLogistic(_Classifier, HasMaxIter):
     """Logistic regression with class weights n / (2 n_class) and penalty 1 / (strength * n); L1 or L2."""
@@ -155,10 +162,8 @@ class BalancedLogistic(_Classifier, HasMaxIter):
         self._setDefault(featuresCol="scaled", labelCol="y", strength=1.0, l1=False, maxIter=100)
         self._set(**self._input_kwargs)
 
-    def _fit(self, rows: DataFrame):
-        label = self.getLabelCol()
-        sizes = {int(r[label]): r["count"] for r in rows.groupBy(label).count().collect()}
-        n = sum(sizes.values())
+    def fit_counted(self, rows: DataFrame, sizes: dict[int, int]):
+        label, n = self.getLabelCol(), sum(sizes.values())
         weight = F.when(F.col(label) == 1, F.lit(n / (2 * sizes.get(1, n)))).otherwise(F.lit(n / (2 * sizes.get(0, n))))
         data = rows.select(F.col(self.getFeaturesCol()).alias("vector"), F.col(label).cast("double").alias("label"), weight.alias("weight"))
         fit = LogisticRegression(featuresCol="vector", weightCol="weight", regParam=1 / (self.getOrDefault("strength") * n), elasticNetParam=float(self.getOrDefault("l1")), standardization=False, maxIter=self.getMaxIter())
@@ -174,9 +179,9 @@ class BalancedRidge(_Classifier):
         self._setDefault(featuresCol="scaled", labelCol="y", strength=1.0)
         self._set(**self._input_kwargs)
 
-    def _fit(self, rows: DataFrame):
+    def fit_counted(self, rows: DataFrame, sizes: dict[int, int]):
         data = rows.select(F.col(self.getFeaturesCol()).alias("vector"), (F.col(self.getLabelCol()).cast("double") * 2 - 1).alias("label"))
-        fit = LinearRegression(featuresCol="vector", regParam=self.getOrDefault("strength") / data.count(), elasticNetParam=0.0, standardization=False)
+        fit = LinearRegression(featuresCol="vector", regParam=self.getOrDefault("strength") / sum(sizes.values()), elasticNetParam=0.0, standardization=False)
         return fit.fit(data).setFeaturesCol(self.getFeaturesCol())
 
 
@@ -185,6 +190,18 @@ def decision(rows: DataFrame) -> Column:
     return F.get(vector_to_array("rawPrediction"), F.lit(1)) if "rawPrediction" in rows.columns else F.col("prediction")
 
 
+def decisions(models: list, rows: DataFrame) -> DataFrame:
+    """(k, s, y) of the decision value of each row by each model, in one pass over the rows; ``k`` is the model's place."""
+    for k, model in enumerate(models):
+        own = model.copy()
+        if isinstance(own, LogisticRegressionModel):
+            rows = own.setRawPredictionCol(f"by_{k}").setProbabilityCol("").setPredictionCol("").transform(rows)
+        else:
+            rows = own.setPredictionCol(f"by_{k}").transform(rows)
+    values = [F.get(vector_to_array(f"by_{k}"), F.lit(1)) if isinstance(m, LogisticRegressionModel) else F.col(f"by_{k}") for k, m in enumerate(models)]
+    return rows.select(F.posexplode(F.array(*values)).alias("k", "s"), F.col("y"))
+
+
 class BinaryScore(Evaluator, HasLabelCol, DefaultParamsReadable, DefaultParamsWritable):
     """One of the nine metrics of decision values; a metric without a value (one class only) counts as -1."""
 
@@ -197,10 +214,14 @@ class BinaryScore(Evaluator, HasLabelCol, DefaultParamsReadable, DefaultParamsWr
         self._set(**self._input_kwargs)
 
     def _evaluate(self, rows: DataFrame) -> float:
+        return self.each(rows.select(F.lit(0).alias("k"), decision(rows).alias("s"), F.col(self.getLabelCol()).alias("y")), 1)[0]
+
+    def each(self, rows: DataFrame, n: int) -> list[float]:
+        """The metric of each of n sets of decision values, from rows (k, s, y) of all of them."""
         name = {"recall": "sensitivity"}.get(self.getOrDefault("metricName"), self.getOrDefault("metricName"))
-        scores = rows.select(decision(rows).alias("s"), F.col(self.getLabelCol()).cast("int").alias("y"))
-        found = (metrics.counted if name in COUNTED else metrics.classification)(scores, []).first()
-        return -1.0 if found is None or found[name] is None else float(found[name])
+        scores = rows.select("k", "s", F.col("y").cast("int").alias("y"))
+        found = {r["k"]: r[name] for r in (metrics.counted if name in COUNTED else metrics.classification)(scores, ["k"]).collect()}
+        return [-1.0 if found.get(k) is None else float(found[k]) for k in range(n)]
 
     def isLargerBetter(self) -> bool:  # noqa: N802
         return True

@@ -8,9 +8,11 @@ over the subjects of the validation split. Everything but the fitted coefficient
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from multiprocessing.pool import ThreadPool
 
+import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,8 @@ from tidecohort.operators.tables import stored
 
 #: Ten strengths from 1e-3 to 1e3.
 GRID = tuple(10.0 ** (-3 + 6 * k / 9) for k in range(10))
+#: Numbers of a partition of a search (64 MB), its least partitions, and partitions that its fits hold at once.
+VALUES, LEAST, HELD = 1 << 23, 5, 60
 
 
 @dataclass(frozen=True)
@@ -54,7 +58,8 @@ class Trainer:
     """Options of a fit. Folds of the search are cut by ``fold_by``: windows as they come, or whole subjects.
 
     ``stages`` come before the scaler, whose input is a column ``features``. Of several strengths the one with the best mean
-    score over the folds is taken, the first of equals.
+    score over the folds is taken, the first of equals. The search counts classes once for all folds, fits strengths of all folds
+    beside each other (``parallelism`` of them, fewer as partitions grow in number) and scores a fold by all its models in one pass.
     """
 
     kind: str = "logistic"
@@ -67,7 +72,7 @@ class Trainer:
     calibrate: bool = False
     most_steps: int = 100
     stages: tuple = ()
-    parallelism: int = 4
+    parallelism: int = 12
 
     def classifier(self):
         return ml.BalancedRidge() if self.kind == "ridge" else ml.BalancedLogistic(l1=self.l1, maxIter=self.most_steps)
@@ -78,10 +83,25 @@ class Trainer:
         if len(self.grid) == 1:
             return fit.copy({fit.strength: self.grid[0]}).fit(rows), self.grid[0], ()
         dealt, folds = ml.dealt(rows, self.fold_by, self.folds)
-        maps = ParamGridBuilder().addGrid(fit.strength, list(self.grid)).build()
-        found = CrossValidator(estimator=fit, estimatorParamMaps=maps, evaluator=ml.BinaryScore(metricName=self.scoring), numFolds=folds, foldCol="fold", parallelism=self.parallelism).fit(dealt)
-        scores = tuple(found.avgMetrics)
-        return found.bestModel, self.grid[scores.index(max(scores))], scores
+        counts = {(r["fold"], int(r["y"])): r["count"] for r in dealt.groupBy("fold", "y").count().collect()}
+        without = [{y: sum(n for (f, c), n in counts.items() if f != fold and c == y) for y in {c for f, c in counts if f != fold}} for fold in range(folds)]
+        whole = {y: sum(n for (_, c), n in counts.items() if c == y) for _, y in counts}
+        parts = max(LEAST, -(-sum(whole.values()) * rows.first()["scaled"].size // VALUES))
+        models = [fit.copy({fit.strength: v}) for v in self.grid]
+        judge = ml.BinaryScore(metricName=self.scoring)
+        dealt = dealt.select("scaled", "y", "fold").coalesce(parts).persist()
+        pool, carried = ThreadPool(max(2, min(self.parallelism, HELD // parts))), inheritable_thread_target(rows.sparkSession)
+        try:
+            dealt.count()
+            fitted = pool.map(carried(lambda at: models[at[1]].fit_counted(dealt.filter(F.col("fold") != at[0]), without[at[0]])), np.ndindex(folds, len(models)), chunksize=1)
+            by_fold = [fitted[f * len(models) : (f + 1) * len(models)] for f in range(folds)]
+            found = pool.map(carried(lambda f: judge.each(ml.decisions(by_fold[f], dealt.filter(F.col("fold") == f)), len(models))), range(folds), chunksize=1)
+            scores = tuple(np.mean(found, axis=0).tolist())
+            best = scores.index(max(scores))
+            return models[best].fit_counted(dealt, whole), self.grid[best], scores
+        finally:
+            pool.terminate()
+            dealt.unpersist()
 
     def fit(self, rows: DataFrame) -> Fitted:
         """The pipeline fitted on the training rows of a plan. Features and scaled features are computed and stored once."""
