@@ -122,6 +122,35 @@ def test_search_equals_cross_validation_with_fewer_jobs(spark, kind, scoring):
     assert 0 < jobs(f"search {kind} {scoring}") < jobs(f"whole {kind} {scoring}") - 2 * fits
 
 
+def test_search_cuts_its_rows_by_size(spark):
+    """A table below 64 MB is two partitions to each of the fits, however many it came in."""
+    rng = np.random.default_rng(5)
+    frame = spark.createDataFrame([(i, int(v[0] + rng.normal() > 0), Vectors.dense(v)) for i, v in enumerate(rng.normal(size=(160, 3)))], ["window_id", "y", "scaled"]).repartition(8)
+    spark.sparkContext.setJobGroup("cut", "")
+    training.Trainer(grid=(1e-2, 1.0), folds=2, most_steps=3).search(training.stored(frame))
+    spark.sparkContext.setJobGroup("others", "")
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("cut") for s in tracker.getJobInfo(j).stageIds]
+    tasks = [s.numTasks for s in stages if s]
+    assert len(tasks) > 10 and sum(n > 2 for n in tasks) < len(tasks) / 4
+
+
+def test_performance_scores_windows_once(spark, monkeypatch):
+    """The metrics of the fitted and calibrated pipeline, with one pass over the windows for threshold and metrics."""
+    rng = np.random.default_rng(6)
+    y = [i % 20 % 2 for i in range(400)]
+    raw = spark.createDataFrame([(i, f"u{i % 20:02d}", y[i], (rng.random(4) + 0.4 * y[i]).tolist()) for i in range(400)], "window_id long, subject string, y int, features array<double>")
+    rows = training.stored(planned(raw))
+    trainer = training.Trainer(l1=True, grid=(1e-2, 1.0), fold_by="subject", folds=3, scoring="recall", merge=False, calibrate=True, most_steps=10)
+    calls, scores = [], training.Trainer.scores
+    monkeypatch.setattr(training.Trainer, "scores", lambda self, *args: calls.append(1) or scores(self, *args))
+    values = lambda df: {(r.split, r.level): [None if v is None else round(v, 9) for v in r[1:-1]] for r in df.collect()}
+    found = values(trainer.performance(rows))
+    assert len(calls) == 1
+    fitted = trainer.fit(rows)
+    assert fitted.threshold != 0 and found == values(trainer.test(fitted, rows)) and len(found) == 6
+
+
 def test_metrics_of_computed_means_do_not_depend_on_partitions(spark):
     """Means of doubles differ in their last bit with the order of rows; ranks must come from stored ones."""
     rng = np.random.default_rng(7)

@@ -22,7 +22,7 @@ from tidecohort.operators.tables import stored
 #: Ten strengths from 1e-3 to 1e3.
 GRID = tuple(10.0 ** (-3 + 6 * k / 9) for k in range(10))
 #: Numbers of a partition of a search (64 MB), its least partitions, and partitions that its fits hold at once.
-VALUES, LEAST, HELD = 1 << 23, 5, 60
+VALUES, LEAST, HELD = 1 << 23, 2, 60
 
 
 @dataclass(frozen=True)
@@ -103,18 +103,34 @@ class Trainer:
             pool.terminate()
             dealt.unpersist()
 
-    def fit(self, rows: DataFrame) -> Fitted:
-        """The pipeline fitted on the training rows of a plan. Features and scaled features are computed and stored once."""
+    def uncalibrated(self, rows: DataFrame) -> Fitted:
+        """``fit`` with the threshold 0. Stored rows without stages before the scaler have their features stored already."""
         seen = rows.filter(F.col("split").isin("train", "val") if self.merge else F.col("split") == "train")
         before = Pipeline(stages=list(self.stages)).fit(seen)
-        featured = stored(before.transform(seen).select("window_id", "subject", "y", "features"))
+        featured = before.transform(seen).select("window_id", "subject", "y", "features")
+        if self.stages or not getattr(rows, "stored_at", None):
+            featured = stored(featured)
         scaler = ml.SparseScaler().fit(featured)
         model, strength, scores = self.search(stored(scaler.transform(featured).select("window_id", "subject", "y", "scaled")))
-        fitted = Fitted(PipelineModel([*before.stages, scaler, model]), 0.0, strength, scores)
-        if self.calibrate:
-            subjects = metrics.subject_scores(self.scores(fitted, rows.filter("split = 'val'")))
-            fitted = replace(fitted, threshold=float(metrics.best_threshold(stored(subjects)).first()["threshold"] or 0.0))
-        return fitted
+        return Fitted(PipelineModel([*before.stages, scaler, model]), 0.0, strength, scores)
+
+    def calibrated(self, fitted: Fitted, scores: DataFrame) -> Fitted:
+        """``fitted`` with the threshold that the scores of validation windows give, if there is to be one."""
+        if not self.calibrate:
+            return fitted
+        threshold = metrics.best_threshold(stored(metrics.subject_scores(scores))).first()["threshold"]
+        return replace(fitted, threshold=float(threshold or 0.0))
+
+    def fit(self, rows: DataFrame) -> Fitted:
+        """The pipeline fitted on the training rows of a plan. Features and scaled features are computed and stored once."""
+        fitted = self.uncalibrated(rows)
+        return self.calibrated(fitted, self.scores(fitted, rows.filter("split = 'val'")))
+
+    def performance(self, rows: DataFrame) -> DataFrame:
+        """What ``test`` says of the pipeline that ``fit`` gives; the threshold is read off the scores that are tested."""
+        fitted = self.uncalibrated(rows)
+        scores = stored(self.scores(fitted, rows))
+        return evaluate(scores, self.calibrated(fitted, scores.filter("split = 'val'")).threshold)
 
     def scores(self, fitted: Fitted, rows: DataFrame) -> DataFrame:
         """(window_id, subject, split, y, s) of windows under a fitted pipeline."""

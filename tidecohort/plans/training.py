@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tidecohort.operators import cohort, features, ml, training
-from tidecohort.operators.tables import shared_dir
+from tidecohort.operators.tables import shared_dir, stored
 from tidecohort.plans.analytics import METRIC_NAMES, METRICS_SQL, r6
 from tidecohort.plans.cleaning import FS
 from tidecohort.plans.cohorts import RATIOS
@@ -50,9 +50,8 @@ def model_performance(spark, d):
 @query("calibrated_performance")
 def calibrated_performance(spark, d):
     """L1 chosen by recall over folds of whole subjects, and a threshold from the validation subjects."""
-    rows = spectral_rows(spark, d)
     trainer = training.Trainer(l1=True, grid=training.GRID, fold_by="subject", scoring="recall", merge=False, calibrate=True, most_steps=20)
-    return rounded(trainer.test(trainer.fit(rows), rows))
+    return rounded(trainer.performance(stored(spectral_rows(spark, d))))
 
 
 @query("ridge_performance")
